@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from tarnfield.llm.quality_rules import op3_quality_rules
+from tarnfield.llm.revisits import OP5_SQL, op5_revisits
+from tarnfield.llm.sharding import op4_sharding
 from tarnfield.llm.simhash import op8_simhash
+from tarnfield.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
+    "op4_sharding": op4_sharding,
+    "op5_revisits": op5_revisits,
     "op8_simhash": op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_revisits": OP5_SQL}
