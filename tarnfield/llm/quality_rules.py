@@ -101,11 +101,10 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def ratios_from_counts(counts: DataFrame) -> DataFrame:
     every = counts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(F.broadcast(counts), "bucket", "left").na.fill(0, ["raw", "target"])  # BUCKETS rows
-    sums = full.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
+    whole = full.withColumns({n: counts.agg(F.coalesce(F.sum(c), F.lit(0))).scalar() for n, c in (("n_raw", "raw"), ("n_target", "target"))})
     share = lambda c, n: (F.col(c) + 1) / (F.col(n) + BUCKETS)
     ratio = F.when(F.col("n_target") > 0, F.round(F.log(share("target", "n_target") / share("raw", "n_raw")) * UNITS)).otherwise(0)
-    one_row = full.join(F.broadcast(sums), F.lit(True)).select("bucket", ratio.cast("long").alias("ratio"))
-    listed = one_row.agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))).alias("all"))
+    listed = whole.select("bucket", ratio.cast("long").alias("ratio")).agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio"))).alias("all"))
     return listed.select(F.transform("all", lambda x: x["ratio"]).alias("ratios"))
 
 

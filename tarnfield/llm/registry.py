@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tarnfield.llm.quality_rules import op3_quality_rules
 from tarnfield.llm.revisits import OP5_SQL, op5_revisits
+from tarnfield.llm.secrets import op6_secrets
 from tarnfield.llm.sharding import op4_sharding
 from tarnfield.llm.simhash import op8_simhash
 from tarnfield.llm.toxicity import op1_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_revisits": op5_revisits,
+    "op6_secrets": op6_secrets,
     "op8_simhash": op8_simhash,
 }
 
