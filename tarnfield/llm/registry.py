@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tarnfield.llm.importance import op2_importance
+from tarnfield.llm.pii import op7_pii
 from tarnfield.llm.quality_rules import op3_quality_rules
 from tarnfield.llm.revisits import OP5_SQL, op5_revisits
 from tarnfield.llm.secrets import op6_secrets
@@ -11,10 +13,12 @@ from tarnfield.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_importance": op2_importance,
     "op3_quality_rules": op3_quality_rules,
     "op4_sharding": op4_sharding,
     "op5_revisits": op5_revisits,
     "op6_secrets": op6_secrets,
+    "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
 }
 
