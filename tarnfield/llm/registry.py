@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tarnfield.llm.decontamination import op9_decontamination
 from tarnfield.llm.importance import op2_importance
+from tarnfield.llm.pieces import op10_pieces
 from tarnfield.llm.pii import op7_pii
 from tarnfield.llm.quality_rules import op3_quality_rules
 from tarnfield.llm.revisits import OP5_SQL, op5_revisits
@@ -20,6 +22,8 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLE_SQL = {"op5_revisits": OP5_SQL}
