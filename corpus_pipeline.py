@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tarnfield.llm import quality_rules, simhash
+from tarnfield.llm import decontamination, pieces, quality_rules, secrets, simhash
 from tarnfield.llm.common import durable, read
 
 
@@ -18,9 +19,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one_of_each(docs)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that leak a benchmark item."""
+    return decontamination.remove_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts by a mark; n_chars follows."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode what is left with merge dropout, decode it and compare."""
+    return pieces.round_trip(docs)
+
+
 STAGES = [
     ("quality rules", quality),
     ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", without_secrets),
+    ("SentencePiece encoding and decoding", encoded),
 ]
 
 #: The n-gram hashes, fingerprints and merges of the stages cannot be stated in SQL.
