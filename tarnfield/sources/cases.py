@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RAW = "id string, query string, question string, relevant array<string>, gold_files array<string>"
@@ -15,6 +15,17 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW).option("multiLine", str(not path.endswith(".jsonl")).lower()).json(path)
 
 
+def query_of() -> Column:
+    """query, or question where it is missing or empty."""
+    return F.coalesce(F.nullif(F.col("query"), F.lit("")), F.nullif(F.col("question"), F.lit("")))
+
+
+def gold_of() -> Column:
+    """relevant, or gold_files where it is missing or empty."""
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return F.coalesce(some("relevant"), some("gold_files"))
+
+
 def normalize_cases(raw: DataFrame, strict: bool = True) -> DataFrame:
     """cases(query_id, query, relevant): empty counts as missing, question and gold_files stand in, ids default to case-<number>.
 
@@ -22,11 +33,8 @@ def normalize_cases(raw: DataFrame, strict: bool = True) -> DataFrame:
     """
     rows = raw.withColumn("__at", F.monotonically_increasing_id())
     rows = rows.withColumn("__no", F.row_number().over(Window.orderBy("__at")))  # a test set is small
-    text = lambda c: F.nullif(F.col(c), F.lit(""))
-    some = lambda c: F.when(F.size(c) > 0, F.col(c))
-    query = F.coalesce(text("query"), text("question"))
-    gold = F.coalesce(some("relevant"), some("gold_files"))
-    rows = rows.select(F.coalesce(text("id"), F.format_string("case-%d", "__no")).alias("query_id"), query.alias("query"), gold.alias("relevant"))
+    own_id = F.coalesce(F.nullif(F.col("id"), F.lit("")), F.format_string("case-%d", "__no"))
+    rows = rows.select(own_id.alias("query_id"), query_of().alias("query"), gold_of().alias("relevant"))
     if not strict:
         return rows.filter("query is not null and relevant is not null")
     fail = F.raise_error(F.concat(F.lit("case without query or gold files: "), F.col("query_id")))
@@ -35,8 +43,7 @@ def normalize_cases(raw: DataFrame, strict: bool = True) -> DataFrame:
 
 def bad_cases(raw: DataFrame) -> DataFrame:
     """Raw cases without query or gold files."""
-    empty = lambda a, b: (F.coalesce(F.nullif(F.col(a), F.lit("")), F.nullif(F.col(b), F.lit("")))).isNull()
-    return raw.filter(empty("query", "question") | (F.greatest(F.coalesce(F.size("relevant"), F.lit(0)), F.coalesce(F.size("gold_files"), F.lit(0))) <= 0))
+    return raw.filter(query_of().isNull() | gold_of().isNull())
 
 
 def write_json(df: DataFrame, path: str) -> None:
