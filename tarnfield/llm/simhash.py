@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tarnfield.llm.common import durable, read
 from tarnfield.llm.components import connected_components
@@ -300,7 +301,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     heads = classes.filter("rep <=> component_id")
     keep = heads.select(F.col("fp").alias("__fp"), F.col("rep").cast(id_type).alias("__rep"))
 
-    schema = docs.schema.add("__fp", "long")
+    schema = StructType([*docs.schema, StructField("__fp", LongType())])
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
