@@ -19,7 +19,7 @@ BUCKETS = 1 << 14
 #: Bound on the trusted documents that the target multinomial is fitted on; the raw counts cover all documents.
 TRUSTED_LIMIT = 20_000
 #: Mean log ratio per n-gram from which a document is kept.
-THRESHOLD = -0.05
+THRESHOLD = -0.08
 #: Ratios are held as integers in these units, so that sums do not depend on their order.
 UNITS = 1_000_000
 
@@ -118,22 +118,30 @@ def judge(
     """
     ratios = durable(fit_ratios(docs, labels, id_col, text_col)).scalar()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"__pieces": pieces_of(F.col(text_col)), "__ratios": ratios})
-    rows = rows.withColumn("__words", F.array_remove("__pieces", ""))
-    w = F.col("__words")
-
-    def total(m: Column) -> Column:
-        step = lambda x, i: F.get(m.r, _bucket(x)) + F.when(i > 0, F.get(m.r, _bucket(F.get(w, i - 1), x))).otherwise(0)
-        return F.aggregate(F.transform(w, step), F.lit(0).cast("long"), lambda a, x: a + x)
-
-    n_grams = F.greatest(2 * F.size(w) - 1, F.lit(1))
-    score = let(F.struct(F.col("__ratios").alias("r")), total) / n_grams / UNITS
-    counts = base_rules(text, F.col("__pieces"), w)
-    rows = rows.withColumn("__judged", F.struct(*[c.alias(n) for n, c in counts.items()], score.alias("score")))
-    j = F.col("__judged")
-    fails = base_failed(j["n_words"], j["n_repeat_words"])
-    verdict = F.struct(*[j[n].alias(n) for n in counts], fails.alias("base_failed"), j["score"].alias("score"), (~fails & (j["score"] >= threshold)).alias("kept"))
-    return rows.withColumn("verdict", verdict).drop("__pieces", "__words", "__ratios", "__judged")
+
+    # all of it is bound by let(): a filter on the verdict may be pushed into the scan's stage with its
+    # whole expression, and must not make the words again for each of them
+    def of_words(m: Column) -> Column:
+        w = m.w
+
+        def step(x: Column, i: Column) -> Column:
+            pair = F.when(i > 0, F.get(m.r, _bucket(F.get(w, i - 1), x))).otherwise(0)
+            return F.get(m.r, _bucket(x)) + pair
+
+        total = F.aggregate(F.transform(w, step), F.lit(0).cast("long"), lambda a, x: a + x)
+        score = total / F.greatest(2 * F.size(w) - 1, F.lit(1)) / UNITS
+        counts = base_rules(m.t, m.p, w)
+        return F.struct(*[c.alias(n) for n, c in counts.items()], score.alias("score"))
+
+    def of_counts(j: Column) -> Column:
+        fails = base_failed(j["n_words"], j["n_repeat_words"])
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        return F.struct(*[j[n].alias(n) for n in names], fails.alias("base_failed"), j["score"].alias("score"), (~fails & (j["score"] >= threshold)).alias("kept"))
+
+    cut = F.struct(text.alias("t"), pieces_of(F.col(text_col)).alias("p"), F.col("__ratios").alias("r"))
+    bound = lambda m: let(F.struct(m.t.alias("t"), m.p.alias("p"), m.r.alias("r"), F.array_remove(m.p, "").alias("w")), of_words)
+    rows = docs.withColumn("__ratios", ratios)
+    return rows.withColumn("verdict", let(let(cut, bound), of_counts)).drop("__ratios")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
