@@ -38,12 +38,13 @@ _NUMBER, _NAME, _UNIT = "#n", "#p", "#u"
 def tokens(text: Column) -> tuple[Column, Column]:
     """(raw, template) token arrays of equal length; a name is a capitalised word inside a sentence."""
     marked = F.replace(F.coalesce(text, F.lit("")), F.lit("\x01"), F.lit(" "))
-    marked = F.regexp_replace(marked, "(?<=[\\p{Ll}\\p{N},;:] )(?=\\p{Lu}\\p{Ll})", "\x01")
-    plain = F.regexp_replace(marked, "(?<![0-9])[.,:/]|[.,:/](?![0-9])|[^\\p{L}\\p{N}\x01.,:/]+", " ")
-    plain = F.trim(F.regexp_replace(plain, " {2,}", " "))
+    # every pattern starts with what is rare, so that most characters fail on one test
+    marked = F.regexp_replace(marked, " (?<=[\\p{Ll}\\p{N},;:] )(?=\\p{Lu}\\p{Ll})", " \x01")
+    other = "[^\\p{L}\\p{N}\x01]"
+    plain = F.trim(F.regexp_replace(marked, f"{other}(?<![0-9][.,:/](?=[0-9])){other}*", " "))
     template = F.regexp_replace(plain, "\x01[^ ]+", _NAME)
-    template = F.regexp_replace(template, "(?<![^ ])[0-9][^ ]*", _NUMBER)
-    template = F.regexp_replace(template, f"(?<={_NUMBER} )(?:{'|'.join(UNITS)})(?= |$)", _UNIT)
+    template = F.regexp_replace(template, "[0-9](?<![^ ].)[^ ]*", _NUMBER)
+    template = F.regexp_replace(template, f"{_NUMBER} (?i:{'|'.join(UNITS)})(?= |$)", f"{_NUMBER} {_UNIT}")
     cut = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, " "))
     return cut(F.replace(plain, F.lit("\x01"), F.lit(""))), cut(F.lower(template))
 
@@ -64,7 +65,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     (its first word then looks like a name) or without capitals.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    inside = [F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))) for x in tokens(F.concat(F.lit("a "), text))]
+    inside = [F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))) for x in tokens(F.concat(F.lit("a "), F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30)))]
     readings = F.array(*[F.struct(raw.alias("raw"), template.alias("template")) for raw, template in (tokens(text), inside, tokens(F.lower(text)))])
     rows = items.select(F.col(id_col).alias("item_id"), F.explode(readings).alias("x")).select("item_id", "x.*").filter(F.size("template") > 0)
     rows = rows.withColumn("width", F.least(F.size("template"), F.lit(window)))
@@ -140,7 +141,9 @@ def find_leaks(
 
     # slots: along one alignment (shift) each value of the item must meet one value only
     zipped = F.filter(F.arrays_zip(F.col("template").alias("kind"), F.col("braw").alias("item"), F.col("raw").alias("doc")), lambda x: x["kind"].isin(_NUMBER, _NAME, _UNIT))
-    slots = found.select("key", "item_id", "shift", F.explode(zipped).alias("s")).select("key", "item_id", "shift", "s.*").distinct()
+    slots = found.select("key", "item_id", "shift", F.explode(zipped).alias("s"))
+    low = lambda c: F.lower(F.col(f"s.{c}")).alias(c)  # noqa: E731  values in another case are no other values
+    slots = slots.select("key", "item_id", "shift", "s.kind", low("item"), low("doc")).distinct()
     by_item = slots.groupBy("key", "item_id", "shift", "kind", "item").agg(F.count("*").alias("n"))
     by_doc = slots.filter(F.col("kind") == _NAME).groupBy("key", "item_id", "shift", "kind", "doc").agg(F.count("*").alias("n"))
     clash = by_item.select("key", "item_id", "shift", "n").union(by_doc.select("key", "item_id", "shift", "n")).filter("n > 1").select("key", "item_id", "shift").distinct()
