@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The separators of words besides the space.
-_OTHER_SEPARATORS = "\t\n\x0b\f\r"
-
+from tarnfield.sources.scratch import durable, scratch_dir
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: spark.checkpoint.dir, or an own one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tarnfield-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
+__all__ = ["count_chars", "durable", "forget", "let", "pieces_of", "read", "scratch_dir", "words_of"]
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: short lineage that outlives executors."""
-    path = f"{scratch_dir(df.sparkSession)}/tarnfield-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The separators of words besides the space.
+_OTHER_SEPARATORS = "\t\n\x0b\f\r"
 
 
 def forget(df: DataFrame) -> None:

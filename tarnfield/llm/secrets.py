@@ -3,8 +3,8 @@
 Base spans come from three patterns.  The method adds tokens that look random:
 two first-order character models are counted from the corpus, one of random
 strings (the values that the base patterns find, the labelled positives) and
-one of ordinary identifiers (all other tokens of the same alphabet), and a
-token is a secret if its mean log-likelihood ratio per transition reaches a
+one of ordinary identifiers (other tokens of the same alphabet with few digits;
+the undecided rest trains neither), and a token is a secret if its mean log-likelihood ratio per transition reaches a
 threshold.  Counts cover every text; the model is a table of fixed size that a
 scalar subquery hands to the scoring pass, which runs row by row.
 
@@ -69,8 +69,9 @@ def _apart(x: Column, spans: Column) -> Column:
 
 def _cells(word: Column) -> Column:
     """Numbers of a token's transitions: previous character times SIZE plus character, the start counting as zero."""
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substr(word, i, F.lit(1)))
-    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.when(i > 1, at(i - 1)).otherwise(0) * SIZE + at(i))
+    at = lambda c: F.instr(F.lit(ALPHABET), c)
+    chars = F.filter(F.split(word, ""), lambda c: c != "")
+    return let(chars, lambda w: F.transform(w, lambda c, i: F.when(i > 0, at(F.get(w, i - 1))).otherwise(0) * SIZE + at(c)))
 
 
 def _found(docs: DataFrame, text_col: str) -> DataFrame:
@@ -84,6 +85,11 @@ def _found(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn("__tokens", let(base, tokens)).drop("__all")
 
 
+def _ordinary(x: Column) -> Column:
+    """Whether less than an eighth of a token's characters are digits."""
+    return 8 * F.length(F.regexp_replace(x["word"], "[^0-9]", "")) < F.length(x["word"])
+
+
 def fit_ratios(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: ratios, SIZE * SIZE integers, log(random / ordinary) of each transition in UNITS.
 
@@ -91,7 +97,7 @@ def fit_ratios(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows = _found(docs.select(text_col), text_col)
     labelled = lambda spans, is_random: F.transform(spans, lambda x: F.struct(x["word"].alias("word"), F.lit(is_random).alias("r")))
-    samples = F.concat(*[labelled(F.col(c), 1) for c in ("__assign", "__access", "__hex")], labelled(F.col("__tokens"), 0))
+    samples = F.concat(*[labelled(F.col(c), 1) for c in ("__assign", "__access", "__hex")], labelled(F.filter("__tokens", _ordinary), 0))
     words = rows.select(F.explode(samples).alias("s")).select(F.regexp_replace("s.word", "[^A-Za-z0-9+/_=-]", "").alias("word"), "s.r")
     cells = words.filter("word <> ''").select(F.explode(_cells(F.col("word"))).alias("cell"), "r")
     counts = durable(cells.groupBy("cell").agg(F.sum("r").alias("random"), F.sum(1 - F.col("r")).alias("ordinary")))
