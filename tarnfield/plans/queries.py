@@ -249,7 +249,8 @@ def stage_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"{_EVAL} select query_id, diagnosis from diagnosed where not final_hit")
 def bad_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_evaluation(spark, sf_dir).flags.filter(~F.col("final_hit")).select("query_id", "diagnosis")
+    flags = docs_evaluation(spark, sf_dir).flags
+    return flags.filter(~F.col("final_hit")).select("query_id", "diagnosis")
 
 
 @registered(
@@ -266,6 +267,30 @@ def stage_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("query_id", F.array_join("files", ",").alias("files"), F.array_join("matched_gold_files", ",").alias("matched_gold_files"), "hit")
 
 
+@registered(
+    f"""{_EVAL}, at_k as (select query_id, stage, min(spot) filter (where gi is not null) as hit, count(distinct file_path) filter (where spot <= {K}) as n_files from all_hits group by all)
+    select query_id, diagnosis, cast(coalesce(max(n_files) filter (where stage = 'seed'), 0) as int) as seed_files, cast(coalesce(max(n_files) filter (where stage = 'recall'), 0) as int) as recall_files,
+      cast(coalesce(max(n_files) filter (where stage = 'final'), 0) as int) as final_files, coalesce(max(hit) filter (where stage = 'final') <= {K}, false) as final_hit
+    from diagnosed left join at_k using (query_id) group by query_id, diagnosis"""
+)
+def stage_file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases, found = tables.document_cases(spark, sf_dir), docs_found(spark, sf_dir)
+    stages = [evaluate.gold_matches(x, cases) for x in (found.seeds, found.recalled, found.final)]
+    r = evaluate.stage_file_records(*stages, cases, K)
+    size = lambda view: F.size(f"{view}.files")
+    return r.select("query_id", "diagnosis", size("initial_review").alias("seed_files"), size("recall_review_top_k").alias("recall_files"), size("final").alias("final_files"), F.col("final.hit").alias("final_hit"))
+
+
+@registered(
+    f"""{_EVAL}, counts as (select query_id, count(*) filter (where stage = 'seed') as seeds, count(*) filter (where stage = 'final') as finals from all_hits group by 1)
+    select query_id as id, round(rr, 6) as rr, final_hit, cast(seeds as int) as n_seeds, cast(finals as int) as n_final, 2 as n_hints from metrics join flags using (query_id) join counts using (query_id)"""
+)
+def evaluation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = docs_evaluation(spark, sf_dir)
+    r = evaluate.case_records(tables.document_cases(spark, sf_dir), e.metrics, e.flags, retrieval_traces(spark, sf_dir))
+    return r.select("id", rounded("metrics.rr").alias("rr"), "bad_case.final_hit", F.size("seed").alias("n_seeds"), F.size("final").alias("n_final"), F.size("bad_case.prompt_hints").alias("n_hints"))
+
+
 @registered(
     f"""{_EVAL}, known(position, diagnosis) as (values {', '.join(f"({i + 1}, '{d}')" for i, d in enumerate(evaluate.DIAGNOSES))})
     select cast(position as int) as position, diagnosis, count(query_id) as n, coalesce(string_agg(cast(query_id as varchar), ',' order by query_id), '') as case_ids
