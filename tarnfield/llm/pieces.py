@@ -3,13 +3,16 @@
 Segmentation follows the merge-type model of a SentencePiece file: the best
 scored candidate merge is taken first, the leftmost among equals, until none is
 left.  With dropout each candidate is skipped for good when a keyed hash of
-(seed, variant of the document, chunk, place of the merge) falls below the
-rate, so a segmentation varies over documents and seeds yet can be repeated.
-With rate zero the ids equal the library's.
+(seed, document, number of the chunk in the text, place of the merge) falls
+below the rate, so every occurrence of a word is segmented by its own draws,
+yet can be repeated.  With rate zero the ids equal the library's.
 
-Chunks (a run of word marks and what follows) never merge with each other, so
-equal chunks of a variant are segmented once for each batch, all at once with
-numpy: every step applies one merge in every unfinished chunk.
+Chunks (a run of word marks and what follows) never merge with each other.
+What is cached of a chunk holds no draw: the merges that are taken when none of
+them is skipped, and for each of these what follows when it is.  An occurrence
+only compares its own hashes with the merges on its way.  What is missing, and
+chunks too long for that, is segmented all at once with numpy: every step
+applies one merge in every unfinished chunk.
 
 Decoding joins the pieces' bytes and is lossless for every text, also where it
 holds the word mark itself, which is always written as bytes.
@@ -18,8 +21,9 @@ holds the word mark itself, which is always written as bytes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +38,14 @@ from tarnfield.llm.common import read
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 SEED = 7
-#: Different segmentations that a chunk can get for one seed; a document's id picks one.
-VARIANTS = 2
 
 MARK = "▁"
 _NEVER = np.iinfo(np.int32).max
-_CACHE_LIMIT = 400_000
+#: Bounds on memory only: what is dropped is worked out again.
+_CACHE_LIMIT = 500_000
+_CACHE_SLOTS = 6_000_000
+#: Characters of a chunk beyond which every occurrence is segmented from the start; below 256.
+_LONG = 24
 _DOCS_AT_ONCE = 256
 
 
@@ -112,22 +118,30 @@ class Pieces:
 
     def segment(self, chunks: list[str], keys: np.ndarray, rate: float) -> list[list[int]]:
         """Ids of each chunk; keys are the chunks' 64-bit dropout keys."""
+        floor = _floor(rate)
+        skip = lambda word, a, b, c: _mix(keys[word] ^ _mix(_place(a, b, c))) < floor
+        return self.agenda(chunks, skip if rate > 0 else None)[0]
+
+    def agenda(self, chunks: list[str], skip: Callable[..., np.ndarray] | None) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Ids of each chunk, and (chunk, place) of the merges done, by chunk in their order.
+
+        skip(chunk, start, middle, end) tells which candidates are left out.
+        """
         sizes = np.array([len(c) for c in chunks])
         sym = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
         word = np.repeat(np.arange(len(chunks)), sizes)
         start = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         end = start + 1
-        floor = np.uint64(min(rate, 1.0) * float(2**64 - 2**11))
         done: list[list[int]] = [[] for _ in chunks]
+        merged: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
 
         def candidates(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             rank, made = self.lookup(sym[i], sym[i + 1])
             rank[word[i] != word[i + 1]] = _NEVER
-            if rate > 0:
+            if skip:
                 live = np.flatnonzero(rank < _NEVER)
                 j = i[live]
-                place = (start[j] << 42 | start[j + 1] << 21 | end[j + 1]).astype(np.uint64)
-                rank[live[_mix(keys[word[j]] ^ _mix(place)) < floor]] = _NEVER
+                rank[live[skip(word[j], start[j], start[j + 1], end[j + 1])]] = _NEVER
             return rank, made
 
         rank, made = np.full(len(sym), _NEVER, np.int32), np.zeros(len(sym), np.int32)
@@ -147,6 +161,7 @@ class Pieces:
                     break
             hits = np.flatnonzero(rank == best_here)
             hits = hits[np.concatenate(([True], word[hits][1:] != word[hits][:-1]))]  # the leftmost of each chunk
+            merged.append((word[hits], _place(start[hits], start[hits + 1], end[hits + 1])))
             sym[hits], end[hits] = made[hits], end[hits + 1]
             stay = np.ones(len(sym), bool)
             stay[hits + 1] = False
@@ -156,7 +171,9 @@ class Pieces:
             again = np.concatenate([at, at - 1])
             again = again[(again >= 0) & (again + 1 < len(sym))]
             rank[again], made[again] = candidates(again)
-        return done
+        of = np.concatenate([w for w, _ in merged])
+        order = np.argsort(of, kind="stable")
+        return done, of[order], np.concatenate([x for _, x in merged])[order]
 
     def _emit(self, sym: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.ndarray, chunks: list[str], done: list[list[int]]) -> None:
         heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
@@ -177,68 +194,178 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _place(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (start << 42 | middle << 21 | end).astype(np.uint64)
+
+
+def _floor(rate: float) -> np.uint64:
+    """Hashes below it skip."""
+    return np.uint64(min(rate, 1.0) * float(2**64 - 2**11))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], ..., starts[0] + sizes[0] - 1, starts[1], ..."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+class _Rows:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.n, self.all = 0, np.zeros(1024, kind)
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.all):
+            self.all = np.concatenate([self.all[: self.n], np.zeros(self.n + 2 * len(more), self.all.dtype)])
+        self.all[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 @lru_cache(maxsize=2)
 def pieces_of_model(path: str) -> Pieces:
     return Pieces(path)
 
 
 class Encoder:
-    def __init__(self, path: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
-        self.pieces, self.rate, self.seed = pieces_of_model(path), rate, seed
-        self.variants = variants if rate > 0 else 1
-        self.cache: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
-        self.literal = [self.pieces.byte_ids[b] for b in MARK.encode()]
+    """Encodes texts; it caches nodes, each a chunk with the merges left out so far, and the merges done if no other is left out."""
 
-    def variant(self, doc_id: int | None) -> int:
-        return xxhash.xxh64_intdigest(str(doc_id), self.seed) % self.variants
+    def __init__(self, path: str = MODEL, rate: float = RATE, seed: int = SEED):
+        self.pieces, self.rate, self.seed = pieces_of_model(path), rate, seed
+        self.floor = _floor(rate)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.chunks: list[str] = []
+        self.left_out: list[tuple[int, ...]] = []
+        self.ids, self.id_at, self.n_ids = _Rows(np.int32), _Rows(np.int64), _Rows(np.int64)
+        # slots: the merges of all nodes that are still to be drawn for, and the node that follows if the merge is left out
+        self.slot_at, self.n_slots, self.past = _Rows(np.int64), _Rows(np.int64), _Rows(np.int64)
+        self.place, self.drawn, self.next, self.owner = _Rows(np.uint64), _Rows(np.uint64), _Rows(np.int64), _Rows(np.int64)
+        self._store([""], [()], [[self.pieces.byte_ids[b] for b in MARK.encode()]])
+        self.known: dict[str | None, int] = {None: 0}  # the word mark inside a text
+
+    def _store(self, chunks: list[str], left_out: list[tuple[int, ...]], found: list[list[int]]) -> None:
+        """New nodes without slots."""
+        self.chunks += chunks
+        self.left_out += left_out
+        sizes = np.array([len(x) for x in found])
+        self.id_at.add(self.ids.n + np.cumsum(sizes) - sizes)
+        self.n_ids.add(sizes)
+        self.ids.add(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
+        for rows in (self.slot_at, self.n_slots, self.past):
+            rows.add(np.zeros(len(chunks), np.int64))
+
+    def _grow(self, chunks: list[str], left_out: list[tuple[int, ...]], past: np.ndarray) -> int:
+        """The first of new nodes, whose first `past` merges are known to be done."""
+        first, skip = len(self.chunks), None
+        if any(left_out):
+            out = np.sort(np.array([k << 24 | (x >> 42) << 16 | (x >> 21 & 255) << 8 | x & 255 for k, own in enumerate(left_out) for x in own]))
+
+            def skip(word: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+                at = word << 24 | a << 16 | b << 8 | c
+                return out[np.minimum(np.searchsorted(out, at), len(out) - 1)] == at
+
+        found, of, place = self.pieces.agenda(chunks, skip)
+        self._store(chunks, left_out, found)
+        if self.rate > 0:
+            counts = np.bincount(of, minlength=len(chunks))
+            rest = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) >= past[of]
+            of, place, counts = of[rest], place[rest], counts - past
+            self.slot_at.all[first : first + len(chunks)] = self.place.n + np.cumsum(counts) - counts
+            self.n_slots.all[first : first + len(chunks)] = counts
+            self.past.all[first : first + len(chunks)] = past
+            self.place.add(place)
+            self.drawn.add(_mix(place))
+            self.owner.add(first + of)
+            self.next.add(np.full(len(of), -1))
+        return first
+
+    def _leave_out(self, slots: np.ndarray) -> None:
+        """Nodes for these merges left out."""
+        owners = self.owner.all[slots]
+        past = self.past.all[owners] + slots - self.slot_at.all[owners]
+        out = [(*self.left_out[o], x) for o, x in zip(owners.tolist(), self.place.all[slots].tolist())]
+        first = self._grow([self.chunks[o] for o in owners.tolist()], out, past)
+        self.next.all[slots] = first + np.arange(len(slots))
+
+    def flat(self, texts: list[str | None], doc_ids: Iterable[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, with the end."""
+        if len(self.chunks) > _CACHE_LIMIT or self.place.n + self.ids.n > _CACHE_SLOTS:
+            self._clear()
+        chunks: list[str | None] = []
+        ends = [0]
+        for text in texts:
+            for k, part in enumerate((" " + text).split(MARK) if text else ()):
+                if k:
+                    chunks.append(None)
+                chunks += self.pieces.chunks.findall(part.replace(" ", MARK))
+            ends.append(len(chunks))
+        if not chunks:
+            return np.zeros(0, np.int32), np.zeros(len(ends), np.int64)
+        known, long = self.known, self.rate > 0
+        new = [c for c in dict.fromkeys(chunks) if c not in known and not (long and len(c) > _LONG)]
+        if new:
+            first = self._grow(new, [()] * len(new), np.zeros(len(new), np.int64))
+            known.update(zip(new, range(first, first + len(new))))
+        node = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if self.rate > 0:
+            sizes = np.diff(ends)
+            of_doc = np.array([xxhash.xxh64_intdigest(str(i), self.seed) for i in doc_ids], np.uint64)
+            number = np.arange(len(chunks)) - np.repeat(ends[:-1], sizes)
+            keys = _mix(np.repeat(of_doc, sizes) ^ _mix(number.astype(np.uint64) + np.uint64(1)))
+            direct = np.flatnonzero(node < 0)
+            if len(direct):
+                first, own = len(self.chunks), [chunks[k] for k in direct.tolist()]
+                self._store([""] * len(own), [()] * len(own), self.pieces.segment(own, keys[direct], self.rate))
+                node[direct] = first + np.arange(len(own))
+            self._walk(node, keys)
+        sizes = self.n_ids.all[node]
+        return self.ids.all[_ranges(self.id_at.all[node], sizes)], np.concatenate([[0], np.cumsum(sizes)])[ends]
+
+    def _walk(self, node: np.ndarray, keys: np.ndarray) -> None:
+        """Moves each occurrence to the node that its draws lead to."""
+        todo = np.flatnonzero(self.n_slots.all[node])
+        while len(todo):
+            sizes = self.n_slots.all[node[todo]]
+            slots = _ranges(self.slot_at.all[node[todo]], sizes)
+            hits = np.flatnonzero(_mix(np.repeat(keys[todo], sizes) ^ self.drawn.all[slots]) < self.floor)
+            who = np.searchsorted(np.cumsum(sizes), hits, "right")
+            lead = np.diff(who, prepend=-1) > 0  # the first merge left out of each
+            slots, todo = slots[hits[lead]], todo[who[lead]]
+            missing = np.unique(slots[self.next.all[slots] < 0])
+            if len(missing):
+                self._leave_out(missing)
+            node[todo] = self.next.all[slots]
+            todo = todo[self.n_slots.all[node[todo]] > 0]
 
     def encode(self, texts: list[str | None], doc_ids: Iterable[int | None]) -> list[list[int]]:
-        plans = []
-        wanted: list[dict[str, None]] = [{} for _ in range(self.variants)]
-        if sum(map(len, self.cache)) > _CACHE_LIMIT:  # a bound on memory only: what is dropped is segmented again
-            self.cache = [{} for _ in range(self.variants)]
-        for text, doc_id in zip(texts, doc_ids):
-            v = self.variant(doc_id)
-            parts = [self.pieces.chunks.findall(p.replace(" ", MARK)) for p in ((" " + text).split(MARK) if text else [])]
-            known, new = self.cache[v], wanted[v]
-            for part in parts:
-                new.update(dict.fromkeys(c for c in part if c not in known))
-            plans.append((v, parts))
-        chunks = [(v, c) for v, new in enumerate(wanted) for c in new]
-        if chunks:
-            keys = np.array([xxhash.xxh64_intdigest(c, self.seed * self.variants + v) for v, c in chunks], np.uint64)
-            for (v, c), ids in zip(chunks, self.pieces.segment([c for _, c in chunks], keys, self.rate)):
-                self.cache[v][c] = ids
-        out = []
-        for v, parts in plans:
-            known, ids = self.cache[v], []
-            for k, part in enumerate(parts):
-                if k:
-                    ids += self.literal
-                for c in part:
-                    ids += known[c]
-            out.append(ids)
-        return out
+        flat, ends = self.flat(texts, doc_ids)
+        ids = flat.tolist()
+        return [ids[x:y] for x, y in zip(ends.tolist(), ends[1:].tolist())]
 
     def decode(self, ids: Iterable[int]) -> str:
         content = self.pieces.content
         return b"".join([content[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model: str, rate: float, seed: int) -> Encoder:
+    """One for all tasks of a worker, whose results do not depend on what is cached."""
+    return Encoder(model, rate, seed)
+
+
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE, seed: int = SEED
 ) -> DataFrame:
     """doc_id, text, ids of every row. Null and empty texts have no ids; null ids count as one document key; repeated rows get equal ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model, rate, seed, variants)
+        encoder = encoder_of(model, rate, seed)
         for whole in batches:
             for at in range(0, whole.num_rows, _DOCS_AT_ONCE):
                 b = whole.slice(at, _DOCS_AT_ONCE)
-                found = encoder.encode(b.column(1).to_pylist(), b.column(0).to_pylist())
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = np.fromiter((i for ids in found for i in ids), np.int32, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "text", "ids"])
+                flat, ends = encoder.flat(b.column(1).to_pylist(), b.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "text", "ids"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, text string, ids array<int>")
@@ -260,7 +387,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def round_trip(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE, seed: int = SEED
 ) -> DataFrame:
     """doc_id, n_pieces, ids_hash (XXH64 over the ids) and lossless of every row; null counts as the empty text.
 
@@ -268,7 +395,7 @@ def round_trip(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(model, rate, seed, variants)
+        coder = encoder_of(model, rate, seed)
         for whole in batches:
             for at in range(0, whole.num_rows, _DOCS_AT_ONCE):
                 b = whole.slice(at, _DOCS_AT_ONCE)

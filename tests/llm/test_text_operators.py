@@ -237,3 +237,23 @@ def test_segments_equal_a_plain_agenda():
     keys = np.arange(1, 1 + len(chunks)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for rate in (0.0, 0.1, 0.5, 1.0):
         assert p.segment(chunks, keys, rate) == [brute_segment(p, c, int(k), rate) for c, k in zip(chunks, keys)]
+
+
+def test_every_occurrence_of_a_chunk_has_its_own_dropout():
+    import numpy as np
+    import xxhash
+
+    text = "international transformation " * 40 + "internationalisationconfigurationmanagers " * 3
+    coder = pieces.Encoder(rate=0.3, seed=3)
+    p, found, ways = coder.pieces, coder.encode([text] * 30, range(30)), {}
+    for doc, ids in enumerate(found):
+        chunks = p.chunks.findall((" " + text).replace(" ", "▁"))
+        own = pieces._mix(np.arange(1, 1 + len(chunks)).astype(np.uint64))
+        keys = pieces._mix(np.uint64(xxhash.xxh64_intdigest(str(doc), 3)) ^ own)
+        parts = [brute_segment(p, c, int(k), 0.3) for c, k in zip(chunks, keys)] if doc < 3 else p.segment(chunks, keys, 0.3)
+        assert ids == [i for x in parts for i in x]
+        for k, x in enumerate(parts[:80]):
+            ways.setdefault(chunks[k], []).append((doc, tuple(x)))
+    assert all(len({x for _, x in w}) > 10 and len({x for d, x in w if d == 0}) > 4 for c, w in ways.items() if len(c) > 1)
+    # what is cached makes no difference
+    assert [pieces.Encoder(rate=0.3, seed=3).encode([text], [d])[0] for d in range(30)] == found
