@@ -4,8 +4,9 @@ Base spans come from four patterns on the source text.  The method then runs
 the text through small transducers that normalise homoglyphs, spelled digits
 and at/dot disguises.  Each transducer yields pieces of output, every output
 character keeping the source range it came from; the same patterns run on the
-normalised text, and what they find is mapped back to source offsets.  Spans
-that touch a base span are left out, so base spans stay as they are.
+normalised text, and what they find is mapped back to source offsets.  Base
+spans stay as they are; spans that one of the same kind covers are left out, and
+those that reach beyond a base span stand beside it.
 """
 
 from __future__ import annotations
@@ -181,12 +182,11 @@ def detect(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int
     _fold_digits(m)
     if m.text == text:
         return base, []
-    taken, added = [(a, b) for _, a, b in base], []
+    added = []
     for rank, a, b in find(m.text):
         x, y = m.start[a], m.end[b - 1]
-        if (m.text[a:b] != text[x:y]) and not any(s < y and x < e for s, e in taken):
+        if m.text[a:b] != text[x:y] and not any(k == rank and s <= x and y <= e for k, s, e in base):
             added.append((rank, x, y))
-            taken.append((x, y))
     return base, added
 
 

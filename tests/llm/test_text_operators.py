@@ -135,6 +135,22 @@ def test_disguised_data_maps_back_to_the_source(text, kind, found):
     assert [(pii.KINDS[k], ("😀 " + text)[a:b]) for k, a, b in added] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    "text, kind, fragment, found",
+    [
+        ("ask olga.petrоva@example.com now", "email", "va@example.com", "olga.petrоva@example.com"),
+        ("ask john@mail.exаmple.com now", "email", "john@mail.ex", "john@mail.exаmple.com"),
+        ("ask john@mail.example.cоm now", "email", "john@mail.example.c", "john@mail.example.cоm"),
+        ("ask jo\u200bhn@example.com now", "email", "hn@example.com", "jo\u200bhn@example.com"),
+    ],
+)
+def test_a_disguise_around_a_base_span_is_added_whole(text, kind, fragment, found):
+    base, added = pii.detect(text)
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in base] == [(kind, fragment)]
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [(kind, found)]
+    assert pii.detect("“x@y.org” and x@y.org")[1] == []
+
+
 @pytest.mark.parametrize("text", ["meet me at the one place", "one two or three of them", "naïve café at noon", "a dot and a line"])
 def test_ordinary_text_has_no_disguise(text):
     assert pii.detect(text) == ([], [])
