@@ -47,16 +47,24 @@ DIGIT_WORDS = {
 }
 
 _WORD_OF_DIGIT = "|".join(DIGIT_WORDS)
+_CASELESS = re.IGNORECASE | re.ASCII
 #: A run of spelled digits, perhaps mixed with written ones; a single word is no number.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\x20-])?(?:(?:{_WORD_OF_DIGIT}|[0-9]|dot|point)[\x20-]?){{3,}}(?![A-Za-z])", re.IGNORECASE)
-_SPELLED_PART = re.compile(rf"(plus|{_WORD_OF_DIGIT}|dot|point)[\x20-]?", re.IGNORECASE)
-#: name (at) host (dot) org: bracketed, or bare words with at and dot both present.
-_BRACKETED = re.compile(r"\x20?[\[({<]\x20?(at|dot)\x20?[\])}>]\x20?", re.IGNORECASE)
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\x20at\x20|\x20@\x20)[A-Za-z0-9-]+(?:(?:\x20dot\x20|\x20?\.\x20?)[A-Za-z0-9-]+)+", re.IGNORECASE)
-_BARE_PART = re.compile(r"\x20(at|dot|@)\x20|\x20?(\.)\x20?", re.IGNORECASE)
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\x20-])?(?:(?:{_WORD_OF_DIGIT}|[0-9]|dot|point)[\x20-]?){{3,}}(?![A-Za-z])", _CASELESS)
+_SPELLED_PART = re.compile(rf"(plus|{_WORD_OF_DIGIT}|dot|point)[\x20-]?|([0-9])[\x20-](?={_WORD_OF_DIGIT}|dot|point)", _CASELESS)
+_A_WORD = re.compile(_WORD_OF_DIGIT, _CASELESS)
+#: A dot in words between written digits.
+_WRITTEN = re.compile(r"(?<=[0-9])[\x20-](?:dot|point)[\x20-](?=[0-9])", _CASELESS)
+#: name (at) host (dot) org: bracketed signs, or bare words where another sign is disguised too, in any mix.
+_BRACKETED = re.compile(r"\x20?[\[({<]\x20?(at|dot)\x20?[\])}>]\x20?", _CASELESS)
+_AT = re.compile(r"\x20?[\[({<]\x20?at\x20?[\])}>]\x20?|\x20(at|@)\x20|@", _CASELESS)
+_DOT_WORD = r"\x20?[\[({<]\x20?dot\x20?[\])}>]\x20?|\x20dot\x20"
+_DOTS = {False: re.compile(rf"({_DOT_WORD}|\x20\.\x20)|\.", _CASELESS), True: re.compile(rf"({_DOT_WORD})|\x20?\.\x20?", _CASELESS)}
+_HOSTS = {k: re.compile(rf"[A-Za-z0-9-]+(?:(?:{x.pattern})[A-Za-z0-9-]+)+", _CASELESS) for k, x in _DOTS.items()}
+_NAME_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile("[0-9]")
-_TWO_SPELLED = re.compile(rf"(?:{_WORD_OF_DIGIT}|plus|[0-9])[\x20-](?:{_WORD_OF_DIGIT}|dot|point)(?![a-z])")
-_SIGNS = re.compile(r"[\[({<]\x20?(?:at|dot)|\x20(?:dot|@)\x20")
+#: What every run of spelled digits holds: the name of a digit beside another part.
+_TWO_SPELLED = re.compile(rf"(?:{_WORD_OF_DIGIT})[\x20-]?(?:{_WORD_OF_DIGIT}|[0-9]|dot|point)|(?:[0-9]|dot|point)[\x20-]?(?:{_WORD_OF_DIGIT})")
+_SIGNS = re.compile(r"[\[({<]\x20?(?:at|dot)")
 
 
 @cache
@@ -79,7 +87,8 @@ def _disguised(text: str) -> bool:
     low = text.lower()
     if " dot " in low or " @ " in low or any(c in low for c in "[({<") and _SIGNS.search(low):
         return True
-    return not DIGIT_WORDS.keys().isdisjoint(low.replace("-", " ").split()) and _TWO_SPELLED.search(low) is not None
+    return _TWO_SPELLED.search(low) is not None or ("dot" in low or "point" in low) and _WRITTEN.search(low) is not None
+
 
 
 def luhn(digits: str) -> bool:
@@ -147,27 +156,50 @@ def _fold_characters(m: Mapped) -> None:
 
 
 def _fold_signs(m: Mapped) -> None:
-    m.rewrite([(x.start(), x.end(), "@" if x[1].lower() == "at" else ".") for x in _BRACKETED.finditer(m.text)])
-    edits = []
-    for x in _BARE.finditer(m.text):
-        if re.search(r"\x20dot\x20", x[0], re.IGNORECASE) or x[1].strip() == "@":
-            for y in _BARE_PART.finditer(x[0]):
-                sign = (y[1] or y[2]).lower()
-                edits.append((x.start() + y.start(), x.start() + y.end(), "@" if sign in ("at", "@") else "."))
+    text, edits, done = m.text, [], 0
+    for x in _AT.finditer(text):
+        bare, left = x[1] is not None, x.start()
+        host = _HOSTS[bare].match(text, x.end()) if x.start() >= done else None
+        if not host:
+            continue
+        dots = list(_DOTS[bare].finditer(text, host.start(), host.end()))
+        in_words = any(y[1] and y[1] != " . " for y in dots)
+        # a bare sign between words is one where the rest is disguised too; "at" and "@" as such are common
+        if not (in_words or x[1] == "@" or not bare and x[0] != "@"):
+            continue
+        before = []
+        while True:
+            word = left
+            while word > done and text[word - 1] in _NAME_CHARACTERS:
+                word -= 1
+            if word == left or word - 5 <= done or text[word - 5 : word].lower() != " dot " or text[word - 6] not in _NAME_CHARACTERS:
+                break
+            before.append((word - 5, word, "."))
+            left = word - 5
+        if word == x.start():
+            continue
+        edits += before[::-1]
+        if bare:
+            edits.append((x.start(), x.end(), "@"))
+        edits += [(y.start(), y.end(), ".") for y in dots if y[0] != "." and not set(y[0]) & set("[({<")]
+        done = host.end()
     m.rewrite(edits)
+    m.rewrite([(x.start(), x.end(), "@" if x[1].lower() == "at" else ".") for x in _BRACKETED.finditer(m.text)])
 
 
 def _fold_digits(m: Mapped) -> None:
     edits = []
     for x in _SPELLED.finditer(m.text):
-        if not re.search(_WORD_OF_DIGIT, x[0], re.IGNORECASE):
+        if not _A_WORD.search(x[0]):
             continue
         for y in _SPELLED_PART.finditer(x[0]):
-            word, gap = y[1].lower(), len(y[0]) - len(y[1])
-            new = "+" if word == "plus" else "." if word in ("dot", "point") else DIGIT_WORDS[word]
+            word = (y[1] or y[2]).lower()
+            gap = len(y[0]) - len(word)
+            new = "+" if word == "plus" else "." if word in ("dot", "point") else DIGIT_WORDS.get(word, word)
             last = x.start() + y.end() == x.end()
             edits.append((x.start() + y.start(), x.start() + y.end() - (gap if last else 0), new))
     m.rewrite(edits)
+    m.rewrite([(x.start(), x.end(), ".") for x in _WRITTEN.finditer(m.text)])
 
 
 def detect(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -151,6 +151,42 @@ def test_a_disguise_around_a_base_span_is_added_whole(text, kind, fragment, foun
     assert pii.detect("“x@y.org” and x@y.org")[1] == []
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("john [at] example dot com", "email"),
+        ("john@example dot com", "email"),
+        ("john at example [dot] com", "email"),
+        ("john (at) mail dot example.com", "email"),
+        ("john dot smith at example dot com", "email"),
+        ("john @ mail.example [dot] com", "email"),
+        ("192 dot 168 dot 1 dot 10", "ip"),
+        ("one 9 two dot 168 dot one dot 10", "ip"),
+        ("four" + "one" * 15, "card"),
+        ("plus one 2345678901", "phone"),
+    ],
+)
+def test_mixed_disguises_are_found(text, kind):
+    if kind == "card":
+        text = next(t for d in pii.DIGIT_WORDS for t in [text[:-3] + d] if pii.luhn("4" + "1" * 14 + pii.DIGIT_WORDS[d]))
+    base, added = pii.detect(f"so, {text}; right")
+    assert (0, [(pii.KINDS[k], f"so, {text}; right"[a:b]) for k, a, b in added]) == (len([x for x in base if x[0] == pii.KINDS.index(kind)]), [(kind, text)])
+
+
+@pytest.mark.parametrize("text", ["look at example.com. Then", "thanks @john. Then", "the first point of 3 dots"])
+def test_ordinary_signs_are_no_disguise(text):
+    assert pii.detect(text) == ([], [])
+
+
+def test_the_gate_hides_nothing(monkeypatch):
+    rng = random.Random(6)
+    parts = ["john", "a.b", "ıx", "at", "AT", "@", "dot", "Dot", "point", ".", " ", " ", "-", "(", "[", "]", ")", "one", "five", "Oh", "fıve", "plus", "1", "192", "168", "4111", "com", "é", "K", "😀"]
+    texts = ["".join(rng.choice(parts) + " " * rng.randint(0, 1) for _ in range(rng.randint(1, 20))) for _ in range(20_000)]
+    gated = [pii.detect(t) for t in texts]
+    monkeypatch.setattr(pii, "_disguised", lambda text: True)
+    assert [pii.detect(t) for t in texts] == gated and any(added for _, added in gated)
+
+
 @pytest.mark.parametrize("text", ["meet me at the one place", "one two or three of them", "naïve café at noon", "a dot and a line"])
 def test_ordinary_text_has_no_disguise(text):
     assert pii.detect(text) == ([], [])
