@@ -3,9 +3,11 @@
 Numbers, names and units of a text are replaced by typed placeholders, so that
 a question asked again with other values has the same template.  Windows of
 template tokens are hashed and joined; a document leaks an item if at least
-half of the item's windows occur in it and the values in the slots fit: along
-one alignment an item's value always meets the same document value, and two
-names never fall together.
+half of the item's windows occur in it and the values in their slots fit: along
+one alignment an item's value meets the document value that it meets at most
+places, and two names do not fall together.  A window that holds another value
+is not counted, unless all its values are the item's own.  Equal numbers before
+different words play different roles and may become different numbers.
 
 The windows of an item lie at every place; those of a document at every
 `stride`-th, where stride is the largest that cannot miss a document with half
@@ -14,7 +16,7 @@ of an item's windows.  Documents that this finds are compared at every place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfield.llm.common import durable, read
@@ -59,7 +61,7 @@ def _hashes(template: Column, width: int, stride: int) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """item_id, width, n, bpos, hash, braw, btemplate: all windows of every item; an item of fewer tokens is one window.
+    """item_id, width, n, bpos, hash, braw, brole, btemplate: all windows of every item; an item of fewer tokens is one window.
 
     An item is read three ways, since a document may hold it inside a sentence
     (its first word then looks like a name) or without capitals.
@@ -68,11 +70,13 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     inside = [F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))) for x in tokens(F.concat(F.lit("a "), F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30)))]
     readings = F.array(*[F.struct(raw.alias("raw"), template.alias("template")) for raw, template in (tokens(text), inside, tokens(F.lower(text)))])
     rows = items.select(F.col(id_col).alias("item_id"), F.explode(readings).alias("x")).select("item_id", "x.*").filter(F.size("template") > 0)
-    rows = rows.withColumn("width", F.least(F.size("template"), F.lit(window)))
+    # what must meet one value only: a name or unit, a number with the word after it
+    role = F.transform("template", lambda x, i: F.when(x == _NUMBER, F.concat_ws(" ", F.get("raw", i), F.get("raw", i + 1))).otherwise(F.get("raw", i)))
+    rows = rows.withColumn("role", role).withColumn("width", F.least(F.size("template"), F.lit(window)))
     places = F.sequence(F.lit(0), F.size("template") - F.col("width"))
     rows = rows.withColumn("n", F.size(places).cast("long")).withColumn("bpos", F.explode(places))
     piece = lambda c: F.slice(c, F.col("bpos") + 1, F.col("width"))
-    rows = rows.select("item_id", "width", "n", "bpos", F.xxhash64(piece("template")).alias("hash"), piece("raw").alias("braw"), piece("template").alias("btemplate"))
+    rows = rows.select("item_id", "width", "n", "bpos", F.xxhash64(piece("template")).alias("hash"), piece("raw").alias("braw"), piece("role").alias("brole"), piece("template").alias("btemplate"))
     return rows.dropDuplicates(["item_id", "width", "bpos", "hash"])
 
 
@@ -137,20 +141,28 @@ def find_leaks(
     piece = lambda c: F.slice(c, F.col("p.pos") + 1, F.col("p.width"))
     places = places.select("key", "doc_id", F.col("p.width").alias("width"), F.col("p.pos").alias("pos"), F.col("p.hash").alias("hash"), piece("raw").alias("raw"), piece("template").alias("template"))
     met = places.join(_small(bench), ["width", "hash"]).filter("template = btemplate")
-    found = durable(met.select("key", "doc_id", "item_id", "n", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "raw", "braw", "template"))
-
-    # slots: along one alignment (shift) each value of the item must meet one value only
-    zipped = F.filter(F.arrays_zip(F.col("template").alias("kind"), F.col("braw").alias("item"), F.col("raw").alias("doc")), lambda x: x["kind"].isin(_NUMBER, _NAME, _UNIT))
-    slots = found.select("key", "item_id", "shift", F.explode(zipped).alias("s"))
-    low = lambda c: F.lower(F.col(f"s.{c}")).alias(c)  # noqa: E731  values in another case are no other values
-    slots = slots.select("key", "item_id", "shift", "s.kind", low("item"), low("doc")).distinct()
-    by_item = slots.groupBy("key", "item_id", "shift", "kind", "item").agg(F.count("*").alias("n"))
-    by_doc = slots.filter(F.col("kind") == _NAME).groupBy("key", "item_id", "shift", "kind", "doc").agg(F.count("*").alias("n"))
-    clash = by_item.select("key", "item_id", "shift", "n").union(by_doc.select("key", "item_id", "shift", "n")).filter("n > 1").select("key", "item_id", "shift").distinct()
-    changed = slots.filter("item <> doc").select("key", "item_id", F.lit(True).alias("changed")).distinct()
+    found = met.select("key", "doc_id", "item_id", "n", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "raw", "braw", "brole", "template")
+    zipped = F.arrays_zip(F.col("template").alias("kind"), F.col("brole").alias("item"), F.col("braw").alias("own"), F.col("raw").alias("doc"))
+    low = lambda x, c: F.lower(x[c]).alias(c)  # noqa: E731  values in another case are no other values
+    placed = F.transform(zipped, lambda x, i: F.struct((F.col("bpos") + i).alias("at"), x["kind"].alias("kind"), low(x, "item"), low(x, "own"), low(x, "doc")))
+    found = found.withColumn("slots", F.filter(placed, lambda x: x["kind"].isin(_NUMBER, _NAME, _UNIT)))
+    found = found.withColumn("verbatim", F.forall("slots", lambda x: x["own"] == x["doc"]))
+    window_of = ["key", "item_id", "shift", "bpos", "tag"]
+    found = durable(found.select("doc_id", "key", "item_id", "shift", "bpos", F.xxhash64("braw").alias("tag"), "slots", "verbatim"))
+
+    # slots: along one alignment (shift) a value of the item goes with what it meets at most places, its own value among equals
+    slots = found.select(*window_of, "verbatim", F.explode("slots").alias("s")).select(*window_of, "verbatim", "s.*")
+    pair = ["key", "item_id", "shift", "kind", "item", "doc"]
+    pairs = slots.groupBy(*pair).agg((2 * F.countDistinct("at") + F.max((F.col("own") == F.col("doc")).cast("int"))).alias("weight"))
+    by_item, by_doc = (Window.partitionBy("key", "item_id", "shift", "kind", c) for c in ("item", "doc"))
+    for name, by in (("of_item", by_item), ("of_doc", by_doc)):
+        pairs = pairs.withColumn("best", F.max("weight").over(by)).withColumn(name, (F.col("weight") == F.col("best")) & (F.sum((F.col("weight") == F.col("best")).cast("int")).over(by) == 1))
+    clash = pairs.filter(~F.col("of_item") | (F.col("kind") == _NAME) & ~F.col("of_doc")).select(*pair)
+    broken = slots.filter("not verbatim").join(clash, pair, "left_semi").select(*window_of).distinct()
+    changed = slots.filter("own <> doc").select("key", "item_id", F.lit(True).alias("changed")).distinct()
 
     total = bench.groupBy("item_id").agg(F.countDistinct("bpos").alias("n_windows"))
-    good = found.join(clash, ["key", "item_id", "shift"], "left_anti").groupBy("key", "doc_id", "item_id").agg(F.countDistinct("bpos").alias("n_found"))
+    good = found.join(broken, window_of, "left_anti").groupBy("key", "doc_id", "item_id").agg(F.countDistinct("bpos").alias("n_found"))
     scored = good.join(_small(total), "item_id").join(changed, ["key", "item_id"], "left")
     share = F.col("n_found") / F.col("n_windows")
     return scored.filter(share >= coverage).select(

@@ -212,6 +212,17 @@ def test_reparameterised_items_are_found_and_inconsistent_ones_not(spark):
     assert decontamination.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_one_inconsistent_slot_drops_only_its_windows(spark):
+    price = "at the small shop near our house she bought {} apples for {} dollars because they were on sale this week"
+    copy = "the train left with 5 cars early in the morning and it came back late in the evening with all its 5 cars quite empty and very dirty again"
+    items = spark.createDataFrame([(1, copy), (2, price.format(3, 3)), (3, ITEM)], "item_id long, text string")
+    rows = [(1, copy.replace("5", "8", 1)), (2, price.format(5, 4)), (3, copy), (4, price.format(6, 6)), (5, ITEM.replace("then John", "then Tim"))]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {(r["doc_id"], r["item_id"]): r["n_found"] for r in decontamination.find_leaks(docs, items).collect()}
+    n, m = len(copy.split()) - 7, len(price.split()) - 7
+    assert got == {(1, 1): n - 5, (2, 2): m, (3, 1): n, (4, 2): m}
+
+
 @pytest.mark.parametrize("n", [9, 12, 16, 23, 40])
 def test_stride_misses_no_half_covered_item(n):
     rng, w = random.Random(n), decontamination.WINDOW
