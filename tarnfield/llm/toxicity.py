@@ -35,6 +35,8 @@ from tarnfield.llm.common import durable, read
 TRAIN_LIMIT = 20_000
 WORD_LIMIT = 4_096
 SAMPLE_LIMIT = 2_000
+#: Words of a sample; a longer document gives several.
+SAMPLE_WORDS = 256
 #: Least number of training documents with a word, and least z-score of its excess in toxic (ordinary) documents.
 LEAST_DOCS = 4
 TOXIC_Z, ORDINARY_Z = 6.0, 2.0
@@ -145,6 +147,12 @@ def _word_excess(rows: DataFrame, n_toxic: int, n_ordinary: int) -> DataFrame:
     return counts.filter(F.col("n") >= LEAST_DOCS).select("word", ((F.col("a") - n_toxic * share) / spread).alias("z"))
 
 
+def _samples(text: str | None, chosen: frozenset[bytes]) -> list[bytes]:
+    """The codes of all chosen words of a text, in samples of SAMPLE_WORDS words."""
+    codes = [_code(w) for w in word_list(text) if w in chosen]
+    return [b"".join(codes[at : at + SAMPLE_WORDS]) for at in range(0, len(codes), SAMPLE_WORDS)]
+
+
 def _dictionary(words: list[bytes], samples: list[bytes]) -> bytes:
     """A trained dictionary; where the samples are too few for zstandard's trainer, the words' codes as a raw one."""
     if not words:
@@ -185,8 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            coded = [(t, b"".join(_code(w) for w in word_list(x) if w in chosen[t])[:4096]) for x, t in pairs]
-            coded = [x for x in coded if x[1]]
+            coded = [(t, x) for text, t in pairs for x in _samples(text, chosen[t])]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in coded], pa.int32()), pa.array([x for _, x in coded], pa.binary())], ["toxic", "codes"])
 
     coded = durable(rows.mapInArrow(samples, "toxic int, codes binary"))

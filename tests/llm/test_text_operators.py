@@ -36,6 +36,12 @@ def test_toxicity_learns_held_out_documents(spark):
     assert toxicity.fit(docs, turned) == toxicity.fit(docs, lab.filter("doc_id is not null and toxic is not null"))
 
 
+def test_samples_cover_long_training_documents():
+    words = [b"early"] * 300 + [b"late"] * 300
+    got = toxicity._samples(b" ".join(words).decode(), frozenset(words))
+    assert len(got) == 3 and b"".join(got) == b"".join(map(toxicity._code, words))
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], DOCS)
     none = spark.createDataFrame([], LABELS)
