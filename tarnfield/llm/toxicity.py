@@ -1,18 +1,22 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-A text is cut into windows of sixteen words; each word becomes a fixed-length
-code (its XXH3-128 digest), so that knowing a word is worth the same number of
-bytes whatever its length, and a word that neither dictionary knows costs the
-same under both.  One dictionary is trained on the toxic documents' text and
-one on the ordinary documents' text, each restricted to words that its class
-uses significantly more often.  A window votes by the difference of its two
-compressed lengths against a threshold calibrated on ordinary windows; a
-logistic curve calibrated on the training documents turns the votes into a
-probability.
-
-Fitted on at most TRAIN_LIMIT labelled rows, none of them held out; word counts
-are made by Spark, the driver gets no more than the selected words, a bounded
-number of dictionary samples and four numbers for each training document.
+A text is cut into windows of twelve words, and each window is compressed twice:
+with a dictionary trained on ordinary text, and with one trained on toxic text.
+The bytes that the second saves are held against thresholds; a logistic curve,
+calibrated on the training documents, turns the shares of a text's windows over
+the thresholds into a score.
+
+Both dictionaries rest on the same ordinary text, so a window of ordinary words
+costs the same under both and the difference shows toxic content only.  The
+toxic one ends with what zstandard's trainer keeps of the toxic documents' words
+that are not ordinary: words with a beginning (four to eight characters, or the
+whole word) that significantly more toxic than ordinary documents hold.  Without
+that, what toxic documents have in common with all others fills the dictionary
+and the windows' differences are mostly noise.
+
+Fitted on at most TRAIN_LIMIT labelled rows, none of them held out.  Word counts
+are made by Spark; the driver gets the selected beginnings, at most SAMPLE_LIMIT
+windows a class, and the features of each training document.
 """
 
 from __future__ import annotations
@@ -24,29 +28,31 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.llm.common import durable, read
 
-#: Bounds on what the model is fitted on: labelled rows, dictionary words a class, dictionary samples a class.
+#: Bounds on what the model is fitted on: labelled rows, selected beginnings, and windows of a class for its dictionary.
 TRAIN_LIMIT = 20_000
-WORD_LIMIT = 4_096
-SAMPLE_LIMIT = 2_000
-#: Words of a sample; a longer document gives several.
-SAMPLE_WORDS = 256
-#: Least number of training documents with a word, and least z-score of its excess in toxic (ordinary) documents.
-LEAST_DOCS = 4
-TOXIC_Z, ORDINARY_Z = 6.0, 2.0
-WINDOW = 16
-#: Share of ordinary windows that may reach the window threshold.
-WINDOW_QUANTILE = 0.995
+STEM_LIMIT = 4_096
+SAMPLE_LIMIT = 40_000
+#: Least number of training documents with a beginning, and least z-score of its excess in toxic documents.
+LEAST_DOCS = 5
+LEAST_Z = 6.0
+STEM_SIZES = range(4, 9)
+WINDOW = 12
+#: Bytes of the two dictionaries' parts; least length of a match, so that shared syllables do not count as matches.
+ORDINARY_BYTES, TOXIC_BYTES = 110 << 10, 2 << 10
+LEAST_MATCH = 6
+#: Saved bytes of a window: thresholds of the shares, and those of the counts.
+SHARES, COUNTS = (1, 2, 3, 4, 5, 6, 8), (3, 4, 6)
+#: What a missed toxic training document counts for in the calibration.
+TOXIC_WEIGHT = 3.0
 HOLDOUT_FOLDS = 5
 
 _EDGES = b".,;:!?|*&%$#\"'()[]{}<>~`-_=+/\\"
-_FORMAT = zstandard.FORMAT_ZSTD1_MAGICLESS
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -54,39 +60,40 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HOLDOUT_FOLDS == 0
 
 
-def normal_word(word: bytes) -> bytes:
-    return word.strip(_EDGES) or word
+def words_of_text(text: str | None) -> list[bytes]:
+    """Words in lower case without punctuation at their ends."""
+    return [w for w in (x.strip(_EDGES) for x in (text or "").lower().encode().split()) if w]
 
 
-def word_list(text: str | None) -> list[bytes]:
-    return [normal_word(w) for w in (text or "").encode().lower().split()]
+def windows_of(words: list[bytes]) -> list[bytes]:
+    return [b" ".join(words[at : at + WINDOW]) for at in range(0, len(words), WINDOW)]
 
 
-def _code(word: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(word)
+def stems(word: bytes) -> list[bytes]:
+    """Beginnings of a word that are looked at, after a blank; the whole word has a blank behind it too."""
+    text = word.decode()
+    return [f" {text[:k]}".encode() for k in STEM_SIZES if k < len(text)] + [b" " + word + b" "]
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     toxic_dict: bytes
     ordinary_dict: bytes
-    window_threshold: int
     weights: tuple[float, ...]  # of features(), the last for the constant
 
 
 class Scorer:
-    """Compressors of one model; made once in each Python worker."""
+    """Compressors of one model; made once for each task."""
 
     def __init__(self, model: ToxicityModel):
         self.model = model
         self.toxic, self.ordinary = map(self._compressor, (model.toxic_dict, model.ordinary_dict))
-        self.codes: dict[bytes, bytes] = {}
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
         params = zstandard.ZstdCompressionParameters.from_level(
-            1, write_content_size=0, write_checksum=0, write_dict_id=0, format=_FORMAT
-        )
+            3, strategy=zstandard.STRATEGY_DFAST, min_match=LEAST_MATCH, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+        )
         if not content:
             return zstandard.ZstdCompressor(compression_params=params)
         known = zstandard.ZstdCompressionDict(content)
@@ -95,23 +102,14 @@ class Scorer:
 
     def differences(self, text: str | None) -> np.ndarray:
         """By window, bytes that the toxic dictionary saves against the ordinary one."""
-        words, codes = (text or "").encode().lower().split(), self.codes
-        if len(codes) > 400_000:
-            codes.clear()
-        coded = []
-        for w in words:
-            c = codes.get(w)
-            if c is None:
-                c = codes[w] = _code(normal_word(w))
-            coded.append(c)
         toxic, ordinary = self.toxic.compress, self.ordinary.compress
-        windows = [b"".join(coded[i : i + WINDOW]) for i in range(0, len(coded), WINDOW)]
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows], dtype=np.int64)
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows_of(words_of_text(text))] or [0], np.int64)
 
     def features(self, text: str | None) -> list[float]:
         d = self.differences(text)
-        hits = d[d >= self.model.window_threshold]
-        return [math.log1p(len(hits)), math.log1p(float(hits.sum())), len(hits) / (len(d) or 1), math.log1p(len(d)), 1.0]
+        shares = [float((d >= t).mean()) for t in SHARES]
+        counts = [math.log1p(int((d >= t).sum())) for t in COUNTS]
+        return [*shares, *counts, float(d.mean()), min(int(d.max()), 20) / 10, 1.0]
 
     def score(self, text: str | None) -> float:
         z = sum(a * b for a, b in zip(self.model.weights, self.features(text)))
@@ -119,59 +117,54 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """(text, toxic) of up to limit labelled documents that are not held out, in the order of a hash of the id."""
+    """(text, toxic) of up to limit labelled documents that are not held out, in the order of a hash of the id; a repeated id counts once."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % HOLDOUT_FOLDS != 0)
     order = F.xxhash64(F.col("doc_id").cast("string"))
     known = durable(known.select(F.col("doc_id").alias("known_id"), F.col("toxic").cast("int")).orderBy(order, "known_id").limit(limit))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(known), texts["id"] == known["known_id"]).select("text", "toxic")  # at most limit ids
+    found = texts.join(F.broadcast(known), texts["id"] == known["known_id"])  # at most limit ids
+    return found.groupBy("known_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
-def _word_excess(rows: DataFrame, n_toxic: int, n_ordinary: int) -> DataFrame:
-    """(word, z) of words in LEAST_DOCS training documents or more: z-score of the toxic documents among those with the word."""
+def _stem_excess(rows: DataFrame, n_toxic: int, n_ordinary: int) -> DataFrame:
+    """(stem, z) of stems in LEAST_DOCS training documents or more: z-score of the toxic documents among those with the stem."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, toxic = [], []
             for text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = set(word_list(text))
-                words += own
-                toxic += [t] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(toxic, pa.int32())], ["word", "toxic"])
+                own = list({s for w in set(words_of_text(text)) for s in stems(w)})
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([t] * len(own), pa.int32())], ["stem", "toxic"])
 
-    counts = rows.mapInArrow(run, "word binary, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    counts = rows.mapInArrow(run, "stem binary, toxic int").groupBy("stem").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     n = n_toxic + n_ordinary
-    share = F.col("n") / n
-    spread = F.sqrt(n_toxic * n_ordinary * share * (1 - share) / n + 1e-9)
-    return counts.filter(F.col("n") >= LEAST_DOCS).select("word", ((F.col("a") - n_toxic * share) / spread).alias("z"))
+    share = n_toxic / n
+    spread = F.sqrt(F.col("n") * share * (1 - share) * (1 - F.col("n") / n) + 1e-9)
+    return counts.filter(F.col("n") >= LEAST_DOCS).select("stem", ((F.col("a") - F.col("n") * share) / spread).alias("z"))
 
 
-def _samples(text: str | None, chosen: frozenset[bytes]) -> list[bytes]:
-    """The codes of all chosen words of a text, in samples of SAMPLE_WORDS words."""
-    codes = [_code(w) for w in word_list(text) if w in chosen]
-    return [b"".join(codes[at : at + SAMPLE_WORDS]) for at in range(0, len(codes), SAMPLE_WORDS)]
+def shortest(stems_z: list[tuple[bytes, float]]) -> frozenset[bytes]:
+    """The stems that do not begin with another one of no lower z-score."""
+    z = dict(stems_z)
+    return frozenset(s for s in z if not any(z.get(s[:k], -math.inf) >= z[s] for k in range(2, len(s))))
 
 
-def _dictionary(words: list[bytes], samples: list[bytes]) -> bytes:
-    """A trained dictionary; where the samples are too few for zstandard's trainer, the words' codes as a raw one."""
-    if not words:
-        return b""
-    plain = b"".join(map(_code, words))
+def _trained(size: int, samples: list[bytes], **how: int) -> bytes:
+    """A trained dictionary; of samples too few for zstandard's trainer, their end."""
+    samples = [s for s in samples if len(s) >= 8]
+    total = sum(map(len, samples))
     try:
-        trained = zstandard.train_dictionary(max(1024, 24 * len(words)), samples, k=16, d=8).as_bytes()
+        return zstandard.train_dictionary(min(size, max(256, total // 8)), samples, **how).as_bytes()
     except zstandard.ZstdError:
-        return plain.ljust(16, b"\0")
-    missing = b"".join(c for c in map(_code, words) if c not in trained)
-    return trained + missing  # content is read from the end, so the rest of the words go there
+        return b" ".join(samples)[-size:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     w = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + 1e-2 * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1]), grad)
+        grad = x.T @ (weight * (p - y)) + 0.1 * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1]), grad)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -184,33 +177,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return ToxicityModel(b"", b"", 1, (0.0, 0.0, 0.0, 0.0, math.log(1 / 3)))
-    excess = durable(_word_excess(rows, n1, n0))
-    over = [bytes(r["word"]) for r in excess.filter(F.col("z") >= TOXIC_Z).orderBy(F.desc("z"), "word").limit(WORD_LIMIT).collect()]
-    under = [bytes(r["word"]) for r in excess.filter(F.col("z") <= -ORDINARY_Z).orderBy("z", "word").limit(WORD_LIMIT).collect()]
-    chosen = {1: frozenset(over), 0: frozenset(under)}
+        return ToxicityModel(b"", b"", (*[0.0] * (len(SHARES) + len(COUNTS) + 2), math.log(1 / 3)))
+    excess = _stem_excess(rows, n1, n0).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "stem").limit(STEM_LIMIT)
+    chosen = shortest([(bytes(r["stem"]), r["z"]) for r in excess.collect()])
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            coded = [(t, x) for text, t in pairs for x in _samples(text, chosen[t])]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in coded], pa.int32()), pa.array([x for _, x in coded], pa.binary())], ["toxic", "codes"])
-
-    coded = durable(rows.mapInArrow(samples, "toxic int, codes binary"))
-    take = lambda t: [bytes(r["codes"]) for r in coded.filter(F.col("toxic") == t).orderBy(F.xxhash64("codes"), "codes").limit(SAMPLE_LIMIT).collect()]
-    dicts = _dictionary(over, take(1)), _dictionary(under, take(0))
-
-    def ordinary_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(ToxicityModel(*dicts, 1, ()))
-        for b in batches:
-            found = [scorer.differences(x) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["d"])
-
-    spread = rows.filter("toxic = 0").select("text").mapInArrow(ordinary_windows, "d long").groupBy("d").count().orderBy("d").collect()
-    d, n = np.array([r["d"] for r in spread] or [0]), np.array([r["count"] for r in spread] or [1])
-    at = int(np.searchsorted(np.cumsum(n), WINDOW_QUANTILE * n.sum()))
-    threshold = max(1, int(d[min(at, len(d) - 1)]) + 1)
-    unfitted = ToxicityModel(*dicts, threshold, ())
+            for text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of_text(text)
+                if t:
+                    words = [w for w in words if not chosen.isdisjoint(stems(w))]
+                own = [b" " + w + b" " if t else w for w in windows_of(words)]
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(own), pa.int32()), pa.array(own, pa.binary())], ["toxic", "window"])
+
+    cut = durable(rows.mapInArrow(samples, "toxic int, window binary"))
+    take = lambda t: [bytes(r["window"]) for r in cut.filter(F.col("toxic") == t).orderBy(F.xxhash64("window"), "window").limit(SAMPLE_LIMIT).collect()]
+    ordinary = _trained(ORDINARY_BYTES, take(0))
+    toxic = ordinary + _trained(TOXIC_BYTES, take(1), k=32, d=8) if chosen else ordinary
+    unfitted = ToxicityModel(toxic, ordinary, ())
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(unfitted)
@@ -218,16 +202,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = pa.array([scorer.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([x, b.column(1)], ["x", "toxic"])
 
-    got = rows.mapInArrow(measured, "x array<double>, toxic int").collect()
-    weights = _logistic(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float))
-    return ToxicityModel(*dicts, threshold, tuple(weights.tolist()))
+    got = rows.mapInArrow(measured, "x array<double>, toxic int").collect()  # at most limit rows
+    y = np.array([r["toxic"] for r in got], float)
+    weights = _logistic(np.array([r["x"] for r in got]), y, np.where(y > 0, TOXIC_WEIGHT, 1.0))
+    return ToxicityModel(toxic, ordinary, tuple(np.round(weights, 9).tolist()))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
-    Null and empty texts have no window and get the calibrated score of a text
-    without votes; repeated rows come out repeated with equal scores.
+    Null and empty texts have one empty window and get the calibrated score of a
+    text without savings; repeated rows come out repeated with equal scores; ids
+    may be null; other columns of docs are not looked at; an empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

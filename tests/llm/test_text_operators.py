@@ -23,7 +23,7 @@ def test_toxicity_learns_held_out_documents(spark):
             w.insert(rng.randrange(len(w)), rng.choice(bad))
         rows.append((i, " ".join(w)))
         labels.append((i, 1, int(toxic)))
-    docs = spark.createDataFrame([*rows, (None, None), (1000, ""), (1001, "vile " * 30_000), rows[0]], DOCS)
+    docs = spark.createDataFrame([*rows, (None, None), (1000, ""), (1001, "vile nasty " * 30_000), rows[0]], DOCS)
     lab = spark.createDataFrame([*labels, (None, 1, 1), (3, 1, None)], LABELS)
     model = toxicity.fit(docs, lab)
     got = toxicity.score(docs, model).collect()
@@ -36,10 +36,23 @@ def test_toxicity_learns_held_out_documents(spark):
     assert toxicity.fit(docs, turned) == toxicity.fit(docs, lab.filter("doc_id is not null and toxic is not null"))
 
 
-def test_samples_cover_long_training_documents():
-    words = [b"early"] * 300 + [b"late"] * 300
-    got = toxicity._samples(b" ".join(words).decode(), frozenset(words))
-    assert len(got) == 3 and b"".join(got) == b"".join(map(toxicity._code, words))
+def test_windows_cover_whole_texts_and_stems_end_words():
+    words = toxicity.words_of_text("Early! " * 300 + "### late, " * 300)
+    assert words == [b"early"] * 300 + [b"late"] * 300
+    assert b" ".join(toxicity.windows_of(words)).split() == words
+    assert toxicity.stems("résumés".encode()) == [" résu".encode(), " résum".encode(), " résumé".encode(), " résumés ".encode()]
+    assert toxicity.shortest([(b" nast", 9.0), (b" nasty", 9.0), (b" nastier", 9.5), (b" vile ", 7.0)]) == {b" nast", b" nastier", b" vile "}
+
+
+def test_toxicity_of_held_out_labels(spark):
+    """Toxic documents rank above ordinary ones that the model never saw; labels hold some noise."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op1_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "toxic", "predicted").collect()
+    toxic, plain = ([r["score"] for r in got if r["toxic"] == t] for t in (1, 0))
+    assert sum((x > y) + 0.5 * (x == y) for x in toxic for y in plain) > 0.92 * len(toxic) * len(plain)
+    cut = sorted(plain)[int(0.9 * len(plain))]
+    assert sum(x > cut for x in toxic) > 0.85 * len(toxic)
+    assert sum(r["predicted"] for r in got if r["toxic"] == 0) < 0.06 * len(plain)
 
 
 def test_toxicity_without_labels(spark):
