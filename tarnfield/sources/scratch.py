@@ -6,13 +6,19 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of rows up to which a table is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, a temporary folder of this process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that spark.checkpoint.dir names; a temporary one where a local session names none, an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tarnfield-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="tarnfield-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
 
@@ -22,3 +28,22 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/tarnfield-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of durable() tables that no later step reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def byte_size(df: DataFrame) -> int:
+    """Bytes of all rows of df as text, a bound on what they take in memory up to a small factor."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+
+
+def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows take at most limit bytes; call it on stored tables, which it reads once."""
+    return F.broadcast(df) if df.columns and byte_size(df) <= limit else df
