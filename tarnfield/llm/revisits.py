@@ -5,11 +5,13 @@ It is resolved by an as-of join: the latest strictly earlier full response of
 the same canonical URL.  Their validators are compared, and the revisit's
 headers are merged into the response's where the HTTP rules permit it.
 
-The as-of join runs on (URL, time slice) so that a URL with a great share of
-all records is spread over many groups: each slice's last response is kept as
-one row, a running last over those rows gives every slice its starting point,
-and inside a slice a running last does the rest.  Payloads are not moved; a
-resolved record refers to the response that holds it.
+The as-of join runs on (URL, slice).  Slices are ranges of the order by URL, time
+and record that hold about equally many records, so a URL, or one instant of it,
+with a great share of all records is spread over many groups whatever its times
+are: each slice's last response is kept as one row, a running last over those
+rows gives every slice its starting point, and inside a slice a running last
+does the rest.  Payloads are not moved; a resolved record refers to the response
+that holds it.
 """
 
 from __future__ import annotations
@@ -36,9 +38,9 @@ FIXED_HEADERS = (
     "transfer-encoding",
     "upgrade",
 )
-#: Records of one URL and time slice that one group should not exceed by far.
+#: Records that one slice should not exceed by far.
 ROWS_PER_SLICE = 200_000
-LEAST_SLICES = 64
+LEAST_SLICES = 16
 
 
 def canonical_url(url: Column) -> Column:
@@ -46,7 +48,8 @@ def canonical_url(url: Column) -> Column:
     parts = F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:[?]([^#]*))?", 0)
     piece = lambda i: F.regexp_extract(parts, "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:[?]([^#]*))?", i)
     scheme = F.lower(piece(1))
-    host = F.regexp_replace(F.regexp_replace(F.lower(piece(2)), "^[^@]*@", ""), F.lit(":(80|443)?$"), F.lit(""))
+    port = F.when(scheme == "http", ":(80)?$").when(scheme == "https", ":(443)?$").otherwise(":$")
+    host = F.regexp_replace(F.regexp_replace(F.lower(piece(2)), "^[^@]*@", ""), port, F.lit(""))
     path = F.regexp_replace(piece(3), "/+$", "")
     kept = F.filter(F.split(piece(4), "&"), lambda p: (p != "") & ~p.rlike(f"^(?:{TRACKING})(?:=|$)"))
     query = F.array_join(F.array_sort(kept), "&")
@@ -70,8 +73,17 @@ def validators_agree(revisit: Column, response: Column) -> Column:
 
 
 def merge_headers(stored: Column, update: Column) -> Column:
-    """stored with the permitted headers of update added or put in place; names are compared in lower case."""
-    low = lambda m: F.transform_keys(m, lambda k, v: F.lower(k))
+    """stored with the permitted headers of update added or put in place; names are compared in lower case.
+
+    Of names that differ in case only, the one that sorts last counts (`date`, not `Date`).
+    """
+
+    def low(m: Column) -> Column:
+        lines = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+        names = lambda x: F.transform(x, lambda e: e["key"])
+        last = lambda x: F.filter(x, lambda e, i: ~F.array_contains(names(F.slice(x, i + 2, F.size(x))), e["key"]))
+        return F.map_from_entries(F.element_at(F.transform(F.array(lines), last), 1))
+
     new = F.map_filter(low(update), lambda k, v: ~k.isin(*FIXED_HEADERS))
     old = F.map_filter(low(stored), lambda k, v: ~F.map_contains_key(new, k))
     return F.map_concat(old, new)
@@ -85,7 +97,9 @@ def resolve(records: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFra
     'resolved', 'validator_mismatch' or 'no_earlier_response' (also for
     revisits without a URL or date); only resolved rows carry digest and
     headers.  Responses of equal date are ordered by record_id; a response of
-    the revisit's own instant is not earlier.  Repeated revisits each come out.
+    the revisit's own instant is not earlier.  Repeated revisits each come out;
+    null headers count as none; other columns of records are not looked at; an
+    empty table gives an empty result.
     """
     base = records.select(
         "record_id",
@@ -97,14 +111,12 @@ def resolve(records: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFra
         F.col("kind"),
     ).filter("kind in ('response', 'revisit')")
     usable = base.filter("canonical_url is not null and date is not null")
-    bounds = usable.agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count("*").alias("n")).first()
-    slices = max(LEAST_SLICES, (bounds["n"] or 0) // rows_per_slice)
-    first, last = (x.timestamp() if x is not None else 0.0 for x in (bounds["a"], bounds["b"]))
-    seconds = F.unix_micros("date") / 1_000_000
-    at = F.width_bucket(seconds, F.lit(first), F.lit(last + 1.0), F.lit(slices))
+    slices = max(LEAST_SLICES, usable.count() // rows_per_slice)
     # a response is referred to by a struct that sorts by date and id
     answer = F.when(F.col("full"), F.struct("date", "record_id", "etag", "last_modified", "digest", "headers"))
-    rows = durable(usable.withColumn("slice", at).withColumn("answer", answer))
+    in_order = ["date", "full", "record_id"]
+    ranges = usable.withColumn("answer", answer).repartitionByRange(slices, "canonical_url", *in_order)
+    rows = durable(ranges.withColumn("slice", F.spark_partition_id()))
 
     order = F.struct("date", "record_id")
     last_of_slice = rows.filter("full").groupBy("canonical_url", "slice").agg(F.max_by("answer", order).alias("closing"))
@@ -112,7 +124,7 @@ def resolve(records: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFra
     before = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     opening = every_slice.select("canonical_url", "slice", F.last("closing", ignorenulls=True).over(before).alias("opening"))
 
-    inside = Window.partitionBy("canonical_url", "slice").orderBy("date", "full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("canonical_url", "slice").orderBy(*in_order).rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(opening, ["canonical_url", "slice"])
     found = joined.withColumn("response", F.coalesce(F.last("answer", ignorenulls=True).over(inside), F.col("opening"))).filter("not full")
 
@@ -145,7 +157,8 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     Times, validators and headers follow from page_id and html alone: every
     seventh page has another entity tag by the time of its checks, every fifth
     has only a modification date, and each check brings new cache headers and a
-    wrong length that must not be taken over.
+    wrong length that must not be taken over.  Pages without page_id are left
+    out, since their records would have no id to be told apart by.
     """
     i = F.col("page_id")
     digest = F.md5(F.coalesce("html", F.lit("")))
@@ -205,7 +218,7 @@ canon as (
   select *, list_aggregate(list_sort(list_filter(string_split(u.q, '&'),
       lambda x: x <> '' and not regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)(?:=|$)'))), 'string_agg', '&') as q2,
     regexp_replace(u.p, '/+$', '') as p2,
-    regexp_replace(regexp_replace(lower(u.h), '^[^@]*@', ''), ':(80|443)?$', '') as h2
+    regexp_replace(regexp_replace(lower(u.h), '^[^@]*@', ''), case lower(u.s) when 'http' then ':(80)?$' when 'https' then ':(443)?$' else ':$' end, '') as h2
   from parts),
 records as (
   select i, chk, i * 3 + chk as record_id, d, size,

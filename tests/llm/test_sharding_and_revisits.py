@@ -95,9 +95,26 @@ def test_headers_and_payload(spark):
         (2, "http://u:p@a.org/x?a=1&b=2", 20, "revisit", 'W/"a"', None, None, {"content-length": "0", "etag": "b", "Cache-Control": "x"}),
         (3, "http://a.org/x?a=1&b=2", 10, "revisit", '"a"', None, None, None),
         (4, "not a url", 30, "revisit", None, None, None, {}),
+        (5, "http://a.org:443/y", 10, "response", '"p"', None, "d5", {"Date": "1", "date": "2", "Server": "t"}),
+        (6, "https://a.org:443/y", 20, "revisit", '"p"', None, None, {"Age": "1"}),
+        (7, "http://A.org:443/y/", 20, "revisit", '"p"', None, None, {"AGE": "1", "age": "2", "Age": "3"}),
+        (8, "https://b.org:80/", 20, "revisit", '"p"', None, None, {}),
     ]
     df = spark.createDataFrame(rows, RECORDS).withColumn("date", F.timestamp_seconds("date"))
     got = {r["record_id"]: r for r in revisits.with_payload(revisits.resolve(df), df.withColumn("html", F.lit("body")), "record_id", "html").collect()}
     assert got[2]["headers"] == {"content-length": "9", "etag": "b", "server": "s", "cache-control": "x"} and got[2]["payload"] == "body"
     assert got[2]["canonical_url"] == "http://a.org/x?a=1&b=2" and got[2]["digest"] == "d1"
+    assert got[7]["headers"] == {"date": "2", "server": "t", "age": "2"} and got[7]["canonical_url"] == "http://a.org:443/y"
+    assert got[6]["status"] == "no_earlier_response" and (got[6]["canonical_url"], got[8]["canonical_url"]) == ("https://a.org/y", "https://b.org:80/")
     assert got[3]["status"] == got[4]["status"] == "no_earlier_response" and got[4]["payload"] is None
+
+
+def test_slices_hold_equal_numbers_whatever_the_times(spark):
+    """One hot URL, all records in one month but one, many of them in one instant."""
+    rows = [(i, "http://hot.org/", 1_000_000 + (i % 3 and i), "revisit" if i % 2 else "response", '"a"', None, "d", {}) for i in range(2000)]
+    rows += [(2000, "http://hot.org/", 253_000_000_000, "revisit", '"a"', None, None, {})]
+    df = spark.createDataFrame(rows, RECORDS).withColumn("date", F.timestamp_seconds("date"))
+    got = {r["record_id"]: (r["response_id"], r["status"]) for r in revisits.resolve(df).collect()}
+    assert got == brute(rows)
+    ranges = df.repartitionByRange(revisits.LEAST_SLICES, "url", "date", "record_id").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in ranges.collect()) < 3 * len(rows) / revisits.LEAST_SLICES
