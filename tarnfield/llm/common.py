@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.sources.scratch import durable, scratch_dir
+from tarnfield.sources.scratch import durable, forget, scratch_dir, sized_broadcast
 
-__all__ = ["count_chars", "durable", "forget", "let", "pieces_of", "read", "scratch_dir", "words_of"]
+__all__ = ["count_chars", "durable", "forget", "free_name", "let", "own_columns", "pieces_of", "read", "scratch_dir", "sized_broadcast", "words_of"]
 
 #: The separators of words besides the space.
 _OTHER_SEPARATORS = "\t\n\x0b\f\r"
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a durable() table that no later step reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def free_name(name: str, *tables: DataFrame) -> str:
+    """name, with underscores behind it until no column of the tables is called so in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of df by name, names with dots too."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def pieces_of(text: Column) -> Column:

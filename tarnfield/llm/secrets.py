@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import durable, let, read
+from tarnfield.llm.common import durable, free_name, let, own_columns, read
 
 #: Fixed patterns. The length limits of hex and access only ever drop whole maximal runs, so they stand in the patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,7 +34,35 @@ SIZE = len(ALPHABET) + 1  # and the start of a token
 THRESHOLD = 0.7
 UNITS = 1_000_000
 
-_SPAN = "array<struct<start: int, rank: int, end: int, word: string>>"
+_SPAN_FIELDS = "struct<start: int, rank: int, end: int, word: string>"
+_SPAN = f"array<{_SPAN_FIELDS}>"
+#: Elements that one inner pass of running() appends to one array.
+_PART = 256
+_LAST = (1 << 31) - 1
+
+
+def running(rows: Column, start: Column, state_type: str, step, out_type: str) -> Column:
+    """All outputs of step(state, row) -> (next state, array of outputs) over the array rows, in order.
+
+    An array that grows one by one is copied each time, so outputs are gathered
+    in parts: time grows with the number of rows, not with its square.  rows is
+    used more than once and should be bound by let().
+    """
+    kind = f"struct<state: {state_type}, out: array<{out_type}>>"
+    parts = f"struct<state: {state_type}, out: array<array<{out_type}>>>"
+    empty = lambda t: F.array().cast(f"array<{t}>")
+
+    def add(acc: Column, row: Column) -> Column:
+        after, out = step(acc["state"], row)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out")).cast(kind)
+
+    def part(acc: Column, at: Column) -> Column:
+        done = F.aggregate(F.slice(rows, at + 1, F.lit(_PART)), F.struct(acc["state"].alias("state"), empty(out_type).alias("out")).cast(kind), add)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out"))).cast(parts)
+
+    starts = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1, F.lit(_PART))).otherwise(empty("int"))
+    zero = F.struct(start.alias("state"), empty(f"array<{out_type}>").alias("out")).cast(parts)
+    return F.flatten(F.aggregate(starts, zero, part, lambda acc: acc["out"]))
 
 
 def _places(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
@@ -42,29 +70,42 @@ def _places(text: Column, pattern: str, rank: int, group: int = 0, least: int =
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
 
-    def spans(m: Column) -> Column:
-        rows = F.arrays_zip(F.slice(m.pieces, F.lit(1), F.size(m.whole)).alias("p"), m.whole.alias("w"), m.inner.alias("g"))
-        start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPAN).alias("none"), F.array().cast(_SPAN).alias("out")).dropFields("none")
-
-        def add(acc: Column, x: Column) -> Column:
-            a = acc["at"] + F.length(x["p"])
-            b = a + F.length(x["w"])
-            one = F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), x["g"].alias("word"))
-            out = F.when(F.length(x["g"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-            return F.struct(b.alias("at"), out.alias("out"))
-
-        return F.aggregate(rows, start, add, lambda acc: acc["out"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        a = at + F.length(x["p"])
+        b = a + F.length(x["w"])
+        one = F.array(F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), x["g"].alias("word")))
+        return b, F.when(F.length(x["g"]) >= least, one).otherwise(F.array().cast(_SPAN))
 
+    rows = lambda m: F.arrays_zip(F.slice(m.pieces, F.lit(1), F.size(m.whole)).alias("p"), m.whole.alias("w"), m.inner.alias("g"))
     parts = F.struct(F.split(text, pattern).alias("pieces"), whole.alias("whole"), inner.alias("inner"))
-    return F.when(text.rlike(pattern), let(parts, spans)).otherwise(F.array().cast(_SPAN))
+    spans = let(let(parts, rows), lambda r: running(r, F.lit(0), "int", step, _SPAN_FIELDS))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
     return _places(text, ASSIGN, 0, 1, LEAST_VALUE), _places(text, ACCESS, 1), _places(text, HEX, 2)
 
 
-def _apart(x: Column, spans: Column) -> Column:
-    return ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
+def _end_mark(rank: int) -> Column:
+    return F.array(F.struct(F.lit(_LAST).alias("start"), F.lit(rank).alias("rank"), F.lit(_LAST).alias("end"), F.lit("").alias("word"))).cast(_SPAN)
+
+
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens (apart from each other, of the highest rank) that no base span overlaps; one pass over both by start.
+
+    A token is held until the next one comes, and dropped if a base span begins inside it or reached over its start.
+    """
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        is_base, held, reach = x["rank"] < 3, state["held"], state["reach"]
+        kept = F.when(is_base, F.when(held["end"] > x["start"], None).otherwise(held)).when(reach <= x["start"], x)
+        after = F.struct(F.when(is_base, F.greatest(reach, x["end"])).otherwise(reach).alias("reach"), kept.alias("held"))
+        return after, F.when(~is_base & held.isNotNull(), F.array(held)).otherwise(F.array().cast(_SPAN))
+
+    state = f"struct<reach: int, held: {_SPAN_FIELDS}>"
+    start = F.struct(F.lit(0).alias("reach"), F.lit(None).cast(_SPAN_FIELDS).alias("held"))
+    both = F.sort_array(F.concat(base, tokens, _end_mark(3)))
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(let(both, lambda r: running(r, start, state, step, _SPAN_FIELDS)))
 
 
 def _cells(word: Column) -> Column:
@@ -74,15 +115,17 @@ def _cells(word: Column) -> Column:
     return let(chars, lambda w: F.transform(w, lambda c, i: F.when(i > 0, at(F.get(w, i - 1))).otherwise(0) * SIZE + at(c)))
 
 
-def _found(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with __text, the base spans __assign, __access, __hex, and __tokens: judged tokens apart from them."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__text", text)
-    assign, access, hexes = base_spans(F.col("__text"))
-    rows = rows.withColumns({"__assign": assign, "__access": access, "__hex": hexes, "__all": _places(F.col("__text"), TOKEN, 3)})
-    base = F.concat("__assign", "__access", "__hex")
-    tokens = lambda b: F.filter("__all", lambda x: x["word"].rlike("[A-Za-z]") & _apart(x, b))
-    return rows.withColumn("__tokens", let(base, tokens)).drop("__all")
+def _found(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with helper columns, and their names: the base spans assign, access and hex, and tokens: judged tokens apart from them."""
+    names = {n: free_name(n, docs) for n in ("whole_text", "assign", "access", "hex", "every_token", "tokens")}
+    rows = docs.withColumn(names["whole_text"], F.coalesce(F.col(text_col), F.lit("")))
+    text = F.col(names["whole_text"])
+    spans = dict(zip(("assign", "access", "hex"), base_spans(text)))
+    rows = rows.withColumns({names[n]: c for n, c in spans.items()} | {names["every_token"]: _places(text, TOKEN, 3)})
+    base = F.concat(*[F.col(names[n]) for n in spans])
+    lettered = F.filter(names["every_token"], lambda x: x["word"].rlike("[A-Za-z]"))
+    both = F.struct(lettered.alias("tokens"), base.alias("base"))
+    return rows.withColumn(names["tokens"], let(both, lambda m: _apart(m["tokens"], m["base"]))), names
 
 
 def _ordinary(x: Column) -> Column:
@@ -95,9 +138,9 @@ def fit_ratios(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Counts of all texts, raised by one half; without any random sample all ratios are zero.
     """
-    rows = _found(docs.select(text_col), text_col)
+    rows, names = _found(docs.select(text_col), text_col)
     labelled = lambda spans, is_random: F.transform(spans, lambda x: F.struct(x["word"].alias("word"), F.lit(is_random).alias("r")))
-    samples = F.concat(*[labelled(F.col(c), 1) for c in ("__assign", "__access", "__hex")], labelled(F.filter("__tokens", _ordinary), 0))
+    samples = F.concat(*[labelled(F.col(names[n]), 1) for n in ("assign", "access", "hex")], labelled(F.filter(names["tokens"], _ordinary), 0))
     words = rows.select(F.explode(samples).alias("s")).select(F.regexp_replace("s.word", "[^A-Za-z0-9+/_=-]", "").alias("word"), "s.r")
     cells = words.filter("word <> ''").select(F.explode(_cells(F.col("word"))).alias("cell"), "r")
     counts = durable(cells.groupBy("cell").agg(F.sum("r").alias("random"), F.sum(1 - F.col("r")).alias("ordinary")))
@@ -113,14 +156,16 @@ def fit_ratios(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return listed.select(F.transform("all", lambda x: F.when(F.col("n") > 0, x["ratio"]).otherwise(F.lit(0).cast("long"))).alias("ratios"))
 
 
-def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with a column `secrets`: spans {start, rank, end, word} sorted by start and kind; rank counts KINDS.
+def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, spans_col: str = "secrets") -> DataFrame:
+    """docs with a column `spans_col` (in place of one of that name): spans {start, rank, end, word} by start and kind; rank counts KINDS.
 
     Null counts as the empty text; texts without a match have an empty list;
-    repeated rows are scanned each; other columns stay as they are.
+    repeated rows are scanned each; other columns stay as they are; an empty
+    table stays empty; time grows with the number of matches of a text.
     """
     ratios = durable(fit_ratios(docs, text_col)).scalar()
-    rows = _found(docs, text_col).withColumn("__ratios", ratios)
+    table = free_name("ratios", docs)
+    rows, names = _found(docs.withColumn(table, ratios), text_col)
 
     def random_ones(m: Column) -> Column:
         def mean(x: Column) -> Column:
@@ -129,28 +174,50 @@ def scan(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD)
 
         return F.filter(m.tokens, lambda x: mean(x) >= threshold)
 
-    added = let(F.struct(F.col("__ratios").alias("r"), F.col("__tokens").alias("tokens")), random_ones)
-    every = F.concat("__assign", "__access", "__hex", added)
-    return rows.withColumn("secrets", F.sort_array(every)).drop("__text", "__assign", "__access", "__hex", "__tokens", "__ratios")
+    added = let(F.struct(F.col(table).alias("r"), F.col(names["tokens"]).alias("tokens")), random_ones)
+    every = F.concat(*[F.col(names[n]) for n in ("assign", "access", "hex")], added)
+    return rows.withColumn(free_name("found", rows), F.sort_array(every)).select(
+        *[c for c, n in zip(own_columns(docs), docs.columns) if n.lower() != spans_col.lower()], F.col(free_name("found", rows)).alias(spans_col)
+    )
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with every secret span of the text replaced by mark; overlapping spans give one mark. Null texts stay null."""
-    text = F.col(text_col)
+    """docs with every secret span of the text replaced by mark; overlapping spans give one mark.
+
+    Null texts stay null and texts without a secret stay as they are; rows,
+    their repeats and all other columns, whatever their names, stay too.
+    """
+    text, spans = F.col(text_col), free_name("secrets", docs)
+
+    def step(now: Column, x: Column) -> tuple[Column, Column]:
+        apart = x["start"] >= now["end"]
+        joined = F.struct(now["start"].alias("start"), F.greatest(now["end"], x["end"]).alias("end"))
+        after = F.when(apart, F.struct(x["start"].alias("start"), x["end"].alias("end"))).otherwise(joined)
+        return after, F.when(apart & (now["end"] > 0), F.array(now)).otherwise(F.array().cast("array<struct<start: int, end: int>>"))
+
+    def rebuilt(m: Column) -> Column:
+        """Text around the spans m, which are in order and apart, cut in parts so that no cut reads the whole text."""
+
+        def part(at: Column) -> Column:
+            some = F.slice(m, at + 1, F.lit(_PART))
+            before = F.when(at > 0, F.get(m, at - 1)["end"]).otherwise(0)
+            own = F.struct(some.alias("s"), before.alias("a"), F.substr(text, before + 1, F.element_at(some, -1)["end"] - before).alias("t"))
 
-    def rebuilt(s: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+            def cut(q: Column) -> Column:
+                left = lambda i: F.when(i > 0, F.get(q["s"], i - 1)["end"]).otherwise(q["a"])
+                return F.array_join(F.transform(q["s"], lambda x, i: F.concat(F.substr(q["t"], left(i) - q["a"] + 1, x["start"] - left(i)), F.lit(mark))), "")
 
-        def add(acc: Column, x: Column) -> Column:
-            gap = F.substr(text, acc["at"] + 1, x["start"] - acc["at"])
-            out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+            return let(own, cut)
 
-        return F.aggregate(s, start, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+        parts = F.transform(F.sequence(F.lit(0), F.size(m) - 1, F.lit(_PART)), part)
+        return F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(m, -1)["end"] + 1))
 
-    scanned = scan(docs, text_col, threshold)
-    new = F.when(F.size("secrets") > 0, let(F.col("secrets"), rebuilt)).otherwise(text)
-    return scanned.withColumn(text_col, new).drop("secrets").select(*docs.columns)
+    scanned = scan(docs, text_col, threshold, spans)
+    state = "struct<start: int, end: int>"
+    start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+    whole = lambda rows: running(rows, start, state, step, state)
+    new = F.when(F.size(spans) > 0, let(let(F.concat(spans, _end_mark(0)), whole), rebuilt)).otherwise(text)
+    return scanned.withColumn(text_col, new).select(*own_columns(docs))
 
 
 def span_text(spans: Column) -> Column:
