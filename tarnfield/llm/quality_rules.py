@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import count_chars, durable, let, pieces_of, read, words_of
+from tarnfield.llm.common import count_chars, durable, free_name, let, own_columns, pieces_of, read, words_of
 
 BUCKETS = 1 << 14
 #: Bound on the trusted documents that the target multinomial is fitted on; the raw counts cover all documents.
@@ -39,7 +39,10 @@ def _grams(w: Column) -> Column:
 
 
 def _repeated_words(g: Column) -> Column:
-    """Words covered by 3-word windows that occur twice or more; g: the windows' hashes in text order."""
+    """Words covered by 3-word windows that occur twice or more; g: the windows' hashes in text order.
+
+    Windows count as equal when their 64-bit hashes are; two of a text's n windows collide with a chance below n * n / 2**65.
+    """
 
     def width(starts: Column) -> Column:
         gaps = F.transform(starts, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(starts, i + 1) - x, F.lit(3))))
@@ -109,14 +112,16 @@ def ratios_from_counts(counts: DataFrame) -> DataFrame:
 
 
 def judge(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, verdict_col: str = "verdict"
 ) -> DataFrame:
-    """docs with a struct column `verdict`: the base counts, base_failed, score and kept.
+    """docs with a struct column `verdict_col` (in place of one of that name): the base counts, base_failed, score and kept.
 
     Null and empty texts have no words and fail the base rules with a score of
-    zero; repeated rows get the same verdict each; ids may be null.
+    zero; repeated rows get the same verdict each; ids may be null; all other
+    columns stay; an empty table stays empty.  Texts are read whole, however long.
     """
     ratios = durable(fit_ratios(docs, labels, id_col, text_col)).scalar()
+    table = free_name("ratios", docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     # all of it is bound by let(): a filter on the verdict may be pushed into the scan's stage with its
@@ -138,10 +143,16 @@ def judge(
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
         return F.struct(*[j[n].alias(n) for n in names], fails.alias("base_failed"), j["score"].alias("score"), (~fails & (j["score"] >= threshold)).alias("kept"))
 
-    cut = F.struct(text.alias("t"), pieces_of(F.col(text_col)).alias("p"), F.col("__ratios").alias("r"))
+    cut = F.struct(text.alias("t"), pieces_of(F.col(text_col)).alias("p"), F.col(table).alias("r"))
     bound = lambda m: let(F.struct(m.t.alias("t"), m.p.alias("p"), m.r.alias("r"), F.array_remove(m.p, "").alias("w")), of_words)
-    rows = docs.withColumn("__ratios", ratios)
-    return rows.withColumn("verdict", let(let(cut, bound), of_counts)).drop("__ratios")
+    return docs.withColumn(table, ratios).withColumn(verdict_col, let(let(cut, bound), of_counts)).drop(table)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose verdict is kept, with docs' own columns whatever their names."""
+    verdict = free_name("verdict", docs)
+    judged = judge(docs, labels, id_col, text_col, threshold, verdict)
+    return judged.filter(F.col(verdict)["kept"]).select(*own_columns(docs))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
