@@ -67,45 +67,59 @@ def with_weights(docs: DataFrame, ratios: DataFrame, id_col: str = "doc_id", tex
     return scored.select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log(uniform))).alias("key"), "tie")
 
 
-def take_largest(scored: DataFrame, k: int) -> DataFrame:
-    """scored(key, tie, ...) with `kept`: true for the k rows of largest (key, tie, doc_id); repeated rows share their fate.
+def _border(rows: DataFrame, value: str, k: int) -> tuple[object, int, int]:
+    """(border, rows above it, rows on it): the border is the k-th largest value of rows, 1 <= k <= their number.
 
-    The k-th largest key is found by counting rows in ever narrower bins, so no
-    task sorts or holds the whole table; rows that equal the border key are
-    then settled by tie and id among themselves.
+    Found by counting rows in ever narrower bins, so no task sorts or holds the whole table.
     """
-    bounds = scored.agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).first()
-    if not bounds["n"] or k >= bounds["n"] or k <= 0:
-        return scored.withColumn("kept", F.lit(k > 0))
-    low, high, above = bounds["a"], bounds["b"], 0  # rows with a key over high: `above`
-    for _ in range(8):
+    bounds = rows.agg(F.min(value).alias("a"), F.max(value).alias("b"), F.count("*").alias("n")).first()
+    low, high, above, size = bounds["a"], bounds["b"], 0, bounds["n"]
+    while low < high:
         width = (high - low) / _BINS
-        if not width > 0 or low + width == low:
-            break
-        inside = scored.filter((F.col("key") >= low) & (F.col("key") <= high))
-        number = F.least(F.floor((F.col("key") - low) / width), F.lit(_BINS - 1))
-        bins = inside.groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
+        inside = rows.filter((F.col(value) >= low) & (F.col(value) <= high))
+        number = F.least(F.floor((F.col(value) - low) / width), F.lit(_BINS - 1)) if low + width > low else (F.col(value) > low).cast("long")
+        bins = inside.groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.min(value).alias("a"), F.max(value).alias("b"))
         for r in sorted(bins.collect(), key=lambda r: -r["bin"]):  # at most _BINS rows
             if above + r["n"] >= k:
                 low, high, size = r["a"], r["b"], r["n"]
                 break
             above += r["n"]
-        if size <= 1 or low == high:
-            break
-    border = scored.filter((F.col("key") >= low) & (F.col("key") <= high))
-    last = border.orderBy(F.desc("key"), F.desc("tie"), F.desc("doc_id")).limit(max(1, k - above)).agg(
-        F.min(F.struct("key", "tie", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("m")
-    ).first()["m"]  # the bin that holds the border: a row, or rows of nearly equal keys
-    own = F.struct("key", "tie", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
-    cut = F.struct(F.lit(last["key"]).alias("key"), F.lit(last["tie"]).alias("tie"), F.lit(last["id"]).alias("id"))
-    return scored.withColumn("kept", own >= cut)
+    return low, above, size
+
+
+def take_largest(scored: DataFrame, k: int) -> DataFrame:
+    """scored(doc_id, log_weight, key, tie) with `kept`: true for exactly k rows, those of largest key, then tie, then doc_id.
+
+    scored must be a stored table.  Of rows that repeat all columns as many as
+    there is room for are kept; since they are alike, the ones on the border are
+    written anew with their number.
+    """
+    n = scored.count()
+    if k >= n or k <= 0:
+        return scored.withColumn("kept", F.lit(k > 0))
+    half = lambda c, part: F.shiftright(c, 32) if part == "high" else F.col(c).bitwiseAND(F.lit((1 << 32) - 1))  # noqa: E731  exact as floating point too
+    rows = scored.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    levels = {"k": F.col("key"), "t1": half("tie", "high"), "t2": half("tie", "low"), "i1": half("id", "high"), "i2": half("id", "low")}
+    rows = rows.withColumns(levels)
+    border, room, over, equal = rows, k, F.lit(False), F.lit(True)
+    for c in levels:
+        value, above, size = _border(border, c, room)
+        over, equal = over | equal & (F.col(c) > value), equal & (F.col(c) == value)
+        room, border = room - above, border.filter(F.col(c) == value)
+        if size == room:
+            return rows.withColumn("kept", over | equal).select(*scored.columns, "kept")
+    one = border.select(*scored.columns).first()
+    alike = scored.sparkSession.range(size).select(*[F.lit(one[c]).cast(t).alias(c) for c, t in scored.dtypes], (F.col("id") < room).alias("kept"))
+    return rows.filter(~equal).withColumn("kept", over).select(*scored.columns, "kept").union(alike)
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """doc_id, log_weight, key, kept of every row; round(share * rows) rows are kept.
+    """doc_id, log_weight, key, kept of every row; exactly round(share * rows) rows are kept.
 
-    Null and empty texts have no n-gram and weight one; rows that repeat an id
-    and a text have one key and are kept or left together; an empty table stays empty.
+    Null and empty texts have no n-gram and weight one; ids may be null; rows
+    that repeat an id and a text have one key and stand together in the order,
+    so the border can fall among them; an empty table stays empty; other columns
+    of docs are not looked at.
     """
     scored = durable(with_weights(docs, durable(fit_ratios(docs, labels, id_col, text_col)), id_col, text_col, seed))
     k = round(share * scored.count())

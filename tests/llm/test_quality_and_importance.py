@@ -119,9 +119,17 @@ def test_importance_equals_brute_force(spark):
 
 def test_take_largest_settles_ties_and_bounds(spark):
     rows = [(i, float(i % 3), i) for i in range(300)]
-    scored = spark.createDataFrame(rows, "doc_id long, key double, tie long")
+    scored = spark.createDataFrame([(i, 0.0, key, tie) for i, key, tie in rows], "doc_id long, log_weight double, key double, tie long")
     for k in (0, 1, 99, 100, 101, 299, 300, 500):
         got = {r["doc_id"] for r in importance.take_largest(scored, k).filter("kept").collect()}
         want = {i for i, _, _ in sorted(rows, key=lambda r: (-r[1], -r[2]))[:k]}
         assert got == want, k
+    alike = spark.createDataFrame([(1, 0.5, 1.5, -7)] * 10 + [(None, 0.5, 1.5, -7)] * 4 + [(2, 0.1, float(-i), 1 << 62) for i in range(5)], scored.schema)
+    for k in (1, 5, 9, 12, 16):
+        got = importance.take_largest(alike, k).collect()
+        assert len(got) == 19 and sum(r["kept"] for r in got) == k
+        want = sorted(alike.collect(), key=lambda r: (r["key"], r["tie"], -1 if r["doc_id"] is None else r["doc_id"]))[-k:]
+        assert sorted(map(str, [r[:4] for r in got if r["kept"]])) == sorted(str(tuple(r)) for r in want)
+    same = spark.createDataFrame([(7, "ten equal rows")] * 10, "doc_id long, text string")
+    assert sum(r["kept"] for r in importance.resample(same, spark.createDataFrame([], LABELS), 0.5).collect()) == 5
     assert importance.resample(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], LABELS)).count() == 0
