@@ -228,7 +228,9 @@ _SPANS = "array<struct<kind: string, start: int, end: int, added: boolean>>"
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans (kind, start, end, added) of every row, by kind and start.
 
-    Null and empty texts have no span; repeated rows are scanned each; ids may be null.
+    Null and empty texts have no span; repeated rows are scanned each; ids may be
+    null; texts are read whole, however long, in time that grows with their
+    length; other columns of docs are not looked at; an empty table stays empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,6 +255,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         *[number(k).alias(f"n_{k}") for k in KINDS],
+        F.size("spans").cast("long").alias("n_spans"),
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )

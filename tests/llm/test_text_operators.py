@@ -211,6 +211,60 @@ def test_ordinary_text_has_no_disguise(text):
     assert pii.detect(text) == ([], [])
 
 
+def _luhn_card(rng):
+    body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+    return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+
+def _disguises(rng):
+    """(disguise, kind, disguised text) of one random identifier for each disguise."""
+    name, host = (rng.choice(x) for x in (["john.smith", "o_neil", "ann-marie", "info"], ["example.com", "mail.example.org", "uni-x.de"]))
+    mail = f"{name}@{host}"
+    words = list(pii.DIGIT_WORDS)
+    spell = lambda d: rng.choice([w for w in words if pii.DIGIT_WORDS[w] == d])
+    spelled = lambda s, sep: sep.join({"+": "plus", ".": "dot"}.get(c) or spell(c) for c in s)
+    ip, phone, card = ".".join(str(rng.randrange(1, 256)) for _ in range(4)), "+" + "".join(rng.choice("123456789") for _ in range(11)), _luhn_card(rng)
+    twin = {v: k for k, v in pii.HOMOGLYPHS.items() if v in "aeopcyx"}
+    at = rng.choice([i for i, c in enumerate(mail) if c in twin])
+    hidden = rng.randrange(1, len(mail) - 1)
+    left, right = rng.choice(["()", "[]", "{}", "<>"])
+    return [
+        ("brackets", "email", mail.replace("@", f" {left}at{right} ").replace(".", f" {left}dot{right} ")),
+        ("tight brackets", "email", mail.replace("@", f"{left}at{right}")),
+        ("words", "email", mail.replace("@", " at ").replace(".", " dot ")),
+        ("half in words", "email", f"{name} (at) {host.replace('.', ' dot ')}"),
+        ("homoglyph", "email", mail[:at] + twin[mail[at]] + mail[at + 1 :]),
+        ("invisible", "email", mail[:hidden] + rng.choice(pii.INVISIBLE) + mail[hidden:]),
+        ("wide digits", "card", "".join(chr(ord(c) + 0xFEE0) for c in card)),
+        ("spelled address", "ip", spelled(ip, " ")),
+        ("dots in words", "ip", ip.replace(".", " dot ")),
+        ("spelled phone", "phone", spelled(phone, rng.choice(" -"))),
+        ("joined digits", "card", spelled(card, "")),
+        ("mixed digits", "card", " ".join(spell(c) if i % 2 else c for i, c in enumerate(card))),
+    ]
+
+
+def test_recall_of_each_disguise():
+    """Of random identifiers in ordinary text at least nine in ten are marked whole, for every disguise."""
+    rng, hits, n = random.Random(11), {}, 150
+    for _ in range(n):
+        for name, kind, shown in _disguises(rng):
+            text = f"{rng.choice(['Please write to', 'é 😀 see', 'It is'])} {shown} {rng.choice(['today', '; thanks', 'and so on'])}"
+            a = text.index(shown)
+            base, added = pii.detect(text)
+            hits[name] = hits.get(name, 0) + any(pii.KINDS[k] == kind and x <= a and y >= a + len(shown) for k, x, y in base + added)
+    assert all(h >= 0.9 * n for h in hits.values()), hits
+
+
+def test_very_long_texts_take_linear_time():
+    import time
+
+    for unit in ("five ", "a.b@", "1.", "9", "at dot ", "(at) ", "+1 ", "jо@"):
+        began = time.perf_counter()
+        pii.detect(unit * (300_000 // len(unit)))
+        assert time.perf_counter() - began < 20, unit
+
+
 ITEM = "Yesterday John Smith bought 5 apples for 3 dollars at the market and then John gave 2 apples to Mary before noon"
 
 
