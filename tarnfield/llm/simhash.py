@@ -32,11 +32,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from tarnfield.llm.common import durable, read
+from tarnfield.llm.common import durable, forget, free_name, own_columns, read, sized_broadcast
 from tarnfield.llm.components import connected_components
 
 #: Fixed values of the code and of the cut: x^11+x^9+x^7+x^6+x^5+x+1, and (shift, width) by segment.
@@ -44,6 +43,9 @@ GENERATOR = 0b101011100011
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 
 LINK_BITS = 3
+#: Fingerprints of one task that makes keys; one of so many is looked at to find large buckets, which have at least so many in that share.
+FPS_PER_TASK = 50_000
+SAMPLED, LEAST_SAMPLED = 64, 64
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -69,15 +71,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Every row stays, with null ids and repeats too."""
+    """(doc_id, fp, mark): fp is the fingerprint as a signed long, mark a hash of the text. Every row stays, with null ids and repeats too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["doc_id", "fp", "mark"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _mark(text_col).alias("mark"))
+    return narrow.mapInArrow(run, "doc_id long, fp long, mark long")
+
+
+def _mark(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 # ---------------------------------------------------------------- Golay keys
@@ -258,20 +264,40 @@ def star_links(fps: DataFrame) -> DataFrame:
     return spread_out.repartition("z").sortWithinPartitions("z", "far", "fp").mapInArrow(gather, "a long, b long")
 
 
+def _crowded_keys(fps: DataFrame) -> DataFrame:
+    """Keys of buckets that a sample shows to be large: their members need no sorting to be known as crowded.
+
+    Which keys are found changes how the work is shared, never the links.
+    """
+    sample = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0)
+    return golay_keys(sample).groupBy("key").count().filter(F.col("count") >= LEAST_SAMPLED).select(F.col("key").alias("large"))
+
+
 def near_duplicate_classes(prints: DataFrame, bucket_limit: int = 128) -> DataFrame:
-    """(fp, rep, component_id) for the distinct fingerprints of prints(doc_id, fp).
+    """(fp, rep, component_id, head) for the distinct fingerprints of prints(doc_id, fp).
 
     rep and component_id are the smallest doc_id with that fingerprint and in
-    that component; null only where every such id is null.
+    that component; null only where every such id is null.  head tells one
+    fingerprint of each component: the one with component_id, and where that is
+    null the smallest.
     """
     reps = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = durable(bucket_links(golay_keys(reps), bucket_limit).distinct())
+    width = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = reps.select("fp").repartition(max(width, reps.count() // FPS_PER_TASK))  # few files, many keys each
+    large = durable(_crowded_keys(reps))
+    keys = golay_keys(spread).join(sized_broadcast(large), F.col("key") == F.col("large"), "left")
+    in_large = keys.filter("large is not null").select(F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"))
+    found = durable(bucket_links(keys.filter("large is null"), bucket_limit).union(in_large).distinct())
     crowded = found.filter("b is null").select(F.col("a").alias("fp"))
     links = found.filter("b is not null").union(star_links(crowded).distinct())
     linked = connected_components(links).withColumnRenamed("node", "fp").join(reps, "fp")
     lowest = linked.groupBy("component").agg(F.min("rep").alias("low"))
-    linked = linked.join(lowest, "component").select("fp", "low")
-    return durable(reps.join(linked, "fp", "left").select("fp", "rep", F.coalesce("low", "rep").alias("component_id")))
+    linked = linked.join(lowest, "component").select("fp", "low", "component")
+    rows = reps.join(linked, "fp", "left").withColumn("component_id", F.coalesce("low", "rep"))
+    head = F.when(F.col("component_id").isNull(), F.col("fp") == F.coalesce("component", "fp")).otherwise(F.col("rep").eqNullSafe(F.col("component_id")))
+    done = durable(rows.select("fp", "rep", "component_id", head.alias("head")))
+    forget(found, large)
+    return done
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = 128) -> DataFrame:
@@ -290,28 +316,21 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs, all columns kept, with one document of each near-duplicate component: the smallest id.
 
     Ids that are null count as larger than any other; where a component has no
-    id at all, one row of each fingerprint stays.  Of rows that repeat an id and
-    a fingerprint one stays.
+    id at all, one row of its smallest fingerprint stays.  Of rows that repeat
+    that id (or have none) and that fingerprint one stays.  Null texts count as
+    empty; an empty table stays empty.  What stays is decided on ids,
+    fingerprints and hashes of texts; the texts move once, to be joined with it.
     """
-    names = docs.columns
-    id_type = docs.schema[id_col].dataType
     prints = durable(with_fingerprints(docs, id_col, text_col))
-    classes = near_duplicate_classes(prints, bucket_limit)
-    # the fingerprint that holds its component's smallest id; fingerprints of components without any id
-    heads = classes.filter("rep <=> component_id")
-    keep = heads.select(F.col("fp").alias("__fp"), F.col("rep").cast(id_type).alias("__rep"))
-
-    schema = StructType([*docs.schema, StructField("__fp", LongType())])
-    at = names.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(at).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], [*names, "__fp"])
-
-    marked = docs.mapInArrow(run, schema)
-    kept = marked.join(keep, (marked["__fp"] == keep["__fp"]) & marked[id_col].eqNullSafe(keep["__rep"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__fp"]).select(*names)
+    heads = near_duplicate_classes(prints, bucket_limit).filter("head").select("fp", "rep")
+    same = (prints["fp"] == heads["fp"]) & prints["doc_id"].eqNullSafe(heads["rep"])
+    chosen = prints.join(heads, same, "left_semi").groupBy("doc_id", "fp").agg(F.min("mark").alias("mark"))
+    id_name, mark_name = free_name("kept_id", docs), free_name("kept_mark", docs)
+    keep = chosen.select(F.col("doc_id").alias(id_name), F.col("mark").alias(mark_name))
+    own_id, own_mark = free_name("own_id", docs), free_name("own_mark", docs)
+    marked = docs.withColumns({own_id: F.col(id_col).cast("long"), own_mark: _mark(text_col)})
+    kept = marked.join(keep, F.col(own_id).eqNullSafe(F.col(id_name)) & (F.col(own_mark) == F.col(mark_name)), "left_semi")
+    return kept.dropDuplicates([own_id, own_mark]).select(*own_columns(docs))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

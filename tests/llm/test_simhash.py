@@ -48,8 +48,10 @@ def made_texts():
     return texts + texts[12:20]
 
 
-@pytest.mark.parametrize("limit", [128, 2])
-def test_components_equal_brute_force(spark, limit):
+@pytest.mark.parametrize("limit, least", [(128, 64), (2, 64), (128, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, limit, least):
+    monkeypatch.setattr(simhash, "LEAST_SAMPLED", least)
+    monkeypatch.setattr(simhash, "SAMPLED", 64 if least > 1 else 2)
     rows = [(100 - i if i % 9 else None, t) for i, t in enumerate(made_texts())]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     prints = [(i, brute_fingerprint(t)) for i, t in rows]
@@ -85,6 +87,12 @@ def test_keep_one_of_each(spark):
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((str(r["doc_id"]) for r in kept.collect())) == ["3", "9", "None"]
+    near = " ".join(f"w{i}" for i in range(400))
+    nameless = [(None, near, 1), (None, near + " more", 2), (None, near, 1), (None, "apart from them", 3), (7, near.upper(), 4), (7, "another text of seven", 5)]
+    for rows, n in ((nameless[:4], 2), (nameless, 3)):
+        some = spark.createDataFrame(rows, "doc_id long, text string, `own.mark` int")
+        got = simhash.keep_one_of_each(some)
+        assert got.columns == some.columns and got.count() == n
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
