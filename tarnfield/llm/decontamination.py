@@ -9,9 +9,13 @@ places, and two names do not fall together.  A window that holds another value
 is not counted, unless all its values are the item's own.  Equal numbers before
 different words play different roles and may become different numbers.
 
-The windows of an item lie at every place; those of a document at every
-`stride`-th, where stride is the largest that cannot miss a document with half
-of an item's windows.  Documents that this finds are compared at every place.
+Windows lie at every place of items and documents.  A window says little where
+it holds fewer than two different words besides placeholders, or where its
+template comes twice in its item (a table of numbers, a list): such *weak*
+windows must occur word for word, so that no table meets every other one at all
+places.  A document's window that comes again word for word counts at its first
+place.  So a document has at most one row for each of its windows and each item
+that holds it.
 """
 
 from __future__ import annotations
@@ -19,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import durable, read
+from tarnfield.llm.common import durable, free_name, own_columns, read, sized_broadcast
 
 WINDOW = 8
 COVERAGE = 0.5
-#: Most rows of a table that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Different words besides placeholders from which a window can be matched by its template.
+LEAST_WORDS = 2
 
 #: Units of measure and currencies that make a slot after a number.
 UNITS = (
@@ -51,52 +55,45 @@ def tokens(text: Column) -> tuple[Column, Column]:
     return cut(F.replace(plain, F.lit("\x01"), F.lit(""))), cut(F.lower(template))
 
 
-def _hashes(template: Column, width: int, stride: int) -> Column:
-    """(pos, hash) of template windows at every stride-th place."""
+def _hashes(template: Column, width: int) -> Column:
+    """(pos, hash) of the template windows at every place."""
     last = F.size(template) - width
     return F.when(
         last >= 0,
-        F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(template, i + 1, width)).alias("hash"))),
+        F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(template, i + 1, width)).alias("hash"))),
     ).otherwise(F.array().cast("array<struct<pos: int, hash: bigint>>"))
 
 
+def _lower(words: Column) -> Column:
+    return F.transform(words, lambda x: F.lower(x))
+
+
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """item_id, width, n, bpos, hash, braw, brole, btemplate: all windows of every item; an item of fewer tokens is one window.
+    """item_id, width, places, hash, weak, braw, brole, btemplate: all windows of every item; an item of fewer tokens is one window.
 
-    An item is read three ways, since a document may hold it inside a sentence
-    (its first word then looks like a name) or without capitals.
+    braw is in lower case; places are those of a window in its item, of which
+    only weak ones have several.  An item is read three ways, since a document
+    may hold it inside a sentence (its first word then looks like a name) or
+    without capitals.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     inside = [F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))) for x in tokens(F.concat(F.lit("a "), F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30)))]
     readings = F.array(*[F.struct(raw.alias("raw"), template.alias("template")) for raw, template in (tokens(text), inside, tokens(F.lower(text)))])
     rows = items.select(F.col(id_col).alias("item_id"), F.explode(readings).alias("x")).select("item_id", "x.*").filter(F.size("template") > 0)
+    rows = rows.withColumn("raw", _lower(F.col("raw")))
     # what must meet one value only: a name or unit, a number with the word after it
     role = F.transform("template", lambda x, i: F.when(x == _NUMBER, F.concat_ws(" ", F.get("raw", i), F.get("raw", i + 1))).otherwise(F.get("raw", i)))
     rows = rows.withColumn("role", role).withColumn("width", F.least(F.size("template"), F.lit(window)))
     places = F.sequence(F.lit(0), F.size("template") - F.col("width"))
-    rows = rows.withColumn("n", F.size(places).cast("long")).withColumn("bpos", F.explode(places))
+    rows = rows.withColumn("bpos", F.explode(places))
     piece = lambda c: F.slice(c, F.col("bpos") + 1, F.col("width"))
-    rows = rows.select("item_id", "width", "n", "bpos", F.xxhash64(piece("template")).alias("hash"), piece("raw").alias("braw"), piece("role").alias("brole"), piece("template").alias("btemplate"))
-    return rows.dropDuplicates(["item_id", "width", "bpos", "hash"])
-
-
-def safe_stride(n_tokens: int, window: int = WINDOW, coverage: float = COVERAGE) -> int:
-    """Largest stride at which a text with `coverage` of an item's windows surely has one of them at a multiple of it.
-
-    If all runs of common tokens had at most r tokens, at most
-    (n + 1) / (r + 1) runs of r - window + 1 windows each could occur.
-    """
-    if n_tokens <= window:
-        return 1
-    need = coverage * (n_tokens - window + 1)
-    r = window
-    while (n_tokens + 1) / (r + 1) * (r - window + 1) < need and r < n_tokens:
-        r += 1
-    return r - window + 1
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    rows = rows.select("item_id", "width", "bpos", F.xxhash64(piece("template")).alias("hash"), piece("raw").alias("braw"), piece("role").alias("brole"), piece("template").alias("btemplate"))
+    rows = rows.groupBy("item_id", "width", "hash", "btemplate", "bpos", "braw").agg(F.min("brole").alias("brole"))
+    again = rows.groupBy("item_id", "width", "hash", "btemplate").agg(F.countDistinct("bpos").alias("times"))
+    words = F.array_distinct(F.filter("btemplate", lambda x: ~x.isin(_NUMBER, _NAME, _UNIT)))
+    weak = (F.size(words) < LEAST_WORDS) | (F.col("times") > 1)
+    rows = rows.join(again, ["item_id", "width", "hash", "btemplate"]).withColumn("weak", weak)
+    return rows.groupBy("item_id", "width", "hash", "btemplate", "braw", "weak").agg(F.array_sort(F.collect_set("bpos")).alias("places"), F.min("brole").alias("brole"))
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -119,36 +116,41 @@ def find_leaks(
     Null and empty texts leak nothing, and null, empty or word-less items are
     never leaked; rows that repeat an id and a text give one result; items that
     repeat an id count as one with the windows of both.  An empty benchmark or
-    an empty table gives an empty result.
+    an empty table gives an empty result.  Texts are read whole, however long;
+    other columns of docs and items are not looked at.
     """
     bench = durable(item_windows(items, item_id_col, item_text_col, window))
-    own = bench.groupBy("width").agg(F.min("n").alias("least"), F.count("*").alias("rows")).collect()  # one row for each width up to window
-    strides = {r["width"]: safe_stride(r["least"] + r["width"] - 1, window, coverage) if r["width"] == window else 1 for r in own}
+    widths = [r["width"] for r in bench.select("width").distinct().collect()]  # at most `window` numbers
     rows = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     _, template = tokens(F.col("text"))
     sketch = rows.select("key", template.alias("template"))
-    some = [_hashes(F.col("template"), w, s) for w, s in strides.items()] or [F.array().cast("array<struct<pos: int, hash: bigint>>")]
-    probes = sketch.select("key", F.explode(F.concat(*some)).alias("p")).select("key", "p.hash")
-    suspects = durable(probes.join(_small(durable(bench.select("hash").distinct())), "hash", "left_semi").select("key").distinct())
+    none = F.array().cast("array<struct<pos: int, hash: bigint>>")
+    probes = sketch.select("key", F.explode(F.concat(none, *[_hashes(F.col("template"), w) for w in widths])).alias("p")).select("key", "p.hash")
+    suspects = durable(probes.join(sized_broadcast(durable(bench.select("hash").distinct())), "hash", "left_semi").select("key").distinct())
 
-    near = rows.join(_small(suspects), "key", "left_semi").dropDuplicates(["key"])
+    near = rows.join(sized_broadcast(suspects), "key", "left_semi").dropDuplicates(["key"])
     raw, template = tokens(F.col("text"))
-    near = near.select("key", "doc_id", raw.alias("raw"), template.alias("template"))
-    every = [F.transform(_hashes(F.col("template"), w, 1), lambda x: F.struct(F.lit(w).alias("width"), x["pos"].alias("pos"), x["hash"].alias("hash"))) for w in strides] or [
-        F.array().cast("array<struct<width: int, pos: int, hash: bigint>>")
-    ]
-    places = near.select("key", "doc_id", "raw", "template", F.explode(F.concat(*every)).alias("p"))
+    near = near.select("key", "doc_id", _lower(raw).alias("raw"), template.alias("template"))
+    wide = "array<struct<width: int, pos: int, hash: bigint>>"
+    of_width = lambda w: F.transform(_hashes(F.col("template"), w), lambda x: F.struct(F.lit(w).alias("width"), x["pos"].alias("pos"), x["hash"].alias("hash")))
+    every = [of_width(w) for w in widths]
+    places = near.select("key", "doc_id", "raw", "template", F.explode(F.concat(F.array().cast(wide), *every)).alias("p"))
     piece = lambda c: F.slice(c, F.col("p.pos") + 1, F.col("p.width"))
     places = places.select("key", "doc_id", F.col("p.width").alias("width"), F.col("p.pos").alias("pos"), F.col("p.hash").alias("hash"), piece("raw").alias("raw"), piece("template").alias("template"))
-    met = places.join(_small(bench), ["width", "hash"]).filter("template = btemplate")
-    found = met.select("key", "doc_id", "item_id", "n", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "raw", "braw", "brole", "template")
+    # a weak window is met by its words: the table of windows has one row for a template, or one for each wording of it
+    whole = bench.withColumn("wording", F.when(F.col("weak"), F.xxhash64("braw")).otherwise(F.lit(0).cast("long")))
+    asked = places.withColumn("wording", F.explode(F.array(F.lit(0).cast("long"), F.xxhash64("raw"))))
+    met = asked.join(sized_broadcast(durable(whole)), ["width", "hash", "wording"]).filter("template = btemplate and (not weak or raw = braw)")
+    alike = ["key", "doc_id", "item_id", "weak", "places", "braw", "brole", "template", "raw"]
+    first = durable(met.groupBy(*alike).agg(F.min("pos").alias("pos")))
+    strong = first.filter("not weak").withColumn("bpos", F.get("places", 0))
+    found = strong.select("key", "doc_id", "item_id", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "raw", "braw", "brole", "template")
     zipped = F.arrays_zip(F.col("template").alias("kind"), F.col("brole").alias("item"), F.col("braw").alias("own"), F.col("raw").alias("doc"))
-    low = lambda x, c: F.lower(x[c]).alias(c)  # noqa: E731  values in another case are no other values
-    placed = F.transform(zipped, lambda x, i: F.struct((F.col("bpos") + i).alias("at"), x["kind"].alias("kind"), low(x, "item"), low(x, "own"), low(x, "doc")))
+    placed = F.transform(zipped, lambda x, i: F.struct((F.col("bpos") + i).alias("at"), x["kind"].alias("kind"), x["item"].alias("item"), x["own"].alias("own"), x["doc"].alias("doc")))
     found = found.withColumn("slots", F.filter(placed, lambda x: x["kind"].isin(_NUMBER, _NAME, _UNIT)))
     found = found.withColumn("verbatim", F.forall("slots", lambda x: x["own"] == x["doc"]))
     window_of = ["key", "item_id", "shift", "bpos", "tag"]
-    found = durable(found.select("doc_id", "key", "item_id", "shift", "bpos", F.xxhash64("braw").alias("tag"), "slots", "verbatim"))
+    found = durable(found.select("doc_id", "key", "item_id", "shift", "bpos", F.xxhash64("raw", "braw").alias("tag"), "slots", "verbatim"))
 
     # slots: along one alignment (shift) a value of the item goes with what it meets at most places, its own value among equals
     slots = found.select(*window_of, "verbatim", F.explode("slots").alias("s")).select(*window_of, "verbatim", "s.*")
@@ -161,9 +163,11 @@ def find_leaks(
     broken = slots.filter("not verbatim").join(clash, pair, "left_semi").select(*window_of).distinct()
     changed = slots.filter("own <> doc").select("key", "item_id", F.lit(True).alias("changed")).distinct()
 
-    total = bench.groupBy("item_id").agg(F.countDistinct("bpos").alias("n_windows"))
-    good = found.join(broken, window_of, "left_anti").groupBy("key", "doc_id", "item_id").agg(F.countDistinct("bpos").alias("n_found"))
-    scored = good.join(_small(total), "item_id").join(changed, ["key", "item_id"], "left")
+    total = bench.select("item_id", F.explode("places").alias("bpos")).groupBy("item_id").agg(F.countDistinct("bpos").alias("n_windows"))
+    good = found.join(broken, window_of, "left_anti").select("key", "doc_id", "item_id", "bpos")
+    good = good.union(first.filter("weak").select("key", "doc_id", "item_id", F.explode("places")))
+    counted = good.groupBy("key", "doc_id", "item_id").agg(F.countDistinct("bpos").alias("n_found"))
+    scored = counted.join(sized_broadcast(durable(total)), "item_id").join(changed, ["key", "item_id"], "left")
     share = F.col("n_found") / F.col("n_windows")
     return scored.filter(share >= coverage).select(
         "key", "doc_id", "item_id", "n_windows", "n_found", F.round(share, 6).alias("coverage"), F.coalesce("changed", F.lit(False)).alias("reparameterised")
@@ -171,10 +175,11 @@ def find_leaks(
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns kept, that leak no item."""
-    leaks = durable(find_leaks(docs, items, id_col, text_col).select(F.col("key").alias("__leak")).distinct())
-    marked = docs.withColumn("__key", _key(id_col, text_col))
-    return marked.join(_small(leaks), F.col("__key") == F.col("__leak"), "left_anti").select(*docs.columns)
+    """The rows of docs, all columns kept whatever their names, that leak no item; rows with null or empty texts and repeats stay."""
+    leak, own = free_name("leak", docs), free_name("own_key", docs)
+    leaks = durable(find_leaks(docs, items, id_col, text_col).select(F.col("key").alias(leak)).distinct())
+    marked = docs.withColumn(own, _key(id_col, text_col))
+    return marked.join(sized_broadcast(leaks), F.col(own) == F.col(leak), "left_anti").select(*own_columns(docs))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,15 +296,101 @@ def test_one_inconsistent_slot_drops_only_its_windows(spark):
     assert got == {(1, 1): n - 5, (2, 2): m, (3, 1): n, (4, 2): m}
 
 
-@pytest.mark.parametrize("n", [9, 12, 16, 23, 40])
-def test_stride_misses_no_half_covered_item(n):
-    rng, w = random.Random(n), decontamination.WINDOW
-    s = decontamination.safe_stride(n)
-    for _ in range(3000):
-        same = [rng.random() < 0.93 for _ in range(n)]
-        hits = [i for i in range(n - w + 1) if all(same[i : i + w])]
-        if len(hits) >= decontamination.COVERAGE * (n - w + 1):
-            assert all(any((i + shift) % s == 0 for i in hits) for shift in range(s))
+def brute_leaks(docs, readings):
+    """{(doc, item): (windows, found, changed)} by the definition, from tokens: docs {id: (raw, template)}, readings {item: [(raw, template)]}."""
+    marks, w = ("#n", "#p", "#u"), decontamination.WINDOW
+    out = {}
+    for item, ways in readings.items():
+        rows, every = set(), set()
+        for raw, template in ways:
+            raw, width = [x.lower() for x in raw], min(w, len(template))
+            role = [" ".join(raw[i : i + 2]) if t == "#n" else raw[i] for i, t in enumerate(template)]
+            for b in range(len(template) - width + 1 if template else 0):
+                rows.add((b, *(tuple(x[b : b + width]) for x in (template, raw, role))))
+                every.add(b)
+        spots = {}
+        for b, t, _, _ in rows:
+            spots.setdefault(t, set()).add(b)
+        strong = {t for t, at in spots.items() if len(at) == 1 and len(set(t) - set(marks)) >= 2}
+        for doc, (raw, template) in docs.items():
+            raw, seen, good, hits = [x.lower() for x in raw], set(), set(), []
+            for width in {len(t) for t in spots}:
+                for p in range(len(template) - width + 1):
+                    t, r = tuple(template[p : p + width]), tuple(raw[p : p + width])
+                    if (t, r) in seen or t not in spots:
+                        continue
+                    seen.add((t, r))
+                    for b, tt, own, role in rows:
+                        if tt == t and t in strong:
+                            slots = [(b + i, k, role[i], own[i], r[i]) for i, k in enumerate(t) if k in marks]
+                            hits.append((p - b, b, r, own, slots))
+                        elif (tt, own) == (t, r):
+                            good.add(b)
+            weight = {}
+            for shift, b, _, _, slots in hits:
+                for at, kind, role, own, value in slots:
+                    x = weight.setdefault((shift, kind, role, value), [set(), 0])
+                    x[0].add(at)
+                    x[1] |= own == value
+            score = {k: 2 * len(at) + same for k, (at, same) in weight.items()}
+
+            def best(key, at):
+                rivals = [v for k, v in score.items() if k[0:2] == key[0:2] and k[at] == key[at]]
+                return score[key] == max(rivals) and rivals.count(score[key]) == 1
+
+            for shift, b, r, own, slots in hits:
+                fits = all(best((shift, k, role, v), 2) and (k != "#p" or best((shift, k, role, v), 3)) for _, k, role, _, v in slots)
+                if fits or all(o == v for *_, o, v in slots):
+                    good.add(b)
+            if every and len(good) >= decontamination.COVERAGE * len(every):
+                out[doc, item] = (len(every), len(good), any(o != v for h in hits for *_, o, v in h[4]))
+    return out
+
+
+def leak_tokens(spark, docs, items):
+    from pyspark.sql import functions as F
+
+    pair = lambda c: F.struct(*decontamination.tokens(c))
+    d = {r[0]: (r[1][0], r[1][1]) for r in docs.select("doc_id", pair(F.col("text"))).collect()}
+    t = F.col("text")
+    up = F.concat(F.lit("a "), F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
+    i = {r[0]: [(r[1][0], r[1][1]), (r[2][0][1:], r[2][1][1:]), (r[3][0], r[3][1])] for r in items.select("item_id", pair(t), pair(up), pair(F.lower(t))).collect()}
+    return d, i
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(21)
+    words = ["the", "boy", "gave", "apples", "to", "market", "Tom", "Anna", "Bob", "kg", "dollars", "near", "house", "old", "red"]
+    number = lambda: str(rng.choice([2, 3, 5, 12, 40]))
+    text = lambda n: " ".join(number() if rng.random() < 0.25 else rng.choice(words) for _ in range(n))
+    items = [text(rng.randint(3, 26)) for _ in range(12)] + ["7 7 7 7 7 7 7 7 7 7 7", " ".join(f"{i} apples" for i in range(14)), " ".join(number() for _ in range(20)), "", "..."]
+    docs = [None, "", " ".join(number() for _ in range(60)), "7 " * 40, " ".join(f"{i} apples" for i in range(5, 30))]
+    for _ in range(80):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            own = rng.choice(items).split() or ["x"]
+            own = [number() if x.isdigit() and rng.random() < 0.3 else rng.choice(["Tim", "Sue", x]) if x.istitle() else x for x in own]
+            if rng.random() < 0.3:
+                own[rng.randrange(len(own))] = rng.choice(words)
+            a = rng.randrange(len(own))
+            parts += [" ".join(own if rng.random() < 0.6 else own[a : a + 9]), text(rng.randint(0, 6))]
+        docs.append(" ".join(parts))
+    d = spark.createDataFrame(list(enumerate(docs)), DOCS)
+    i = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_found"], r["reparameterised"]) for r in decontamination.find_leaks(d, i).collect()}
+    assert got == brute_leaks(*leak_tokens(spark, d, i)) and len(got) > 20
+
+
+def test_scattered_passages_and_number_tables(spark):
+    """Eight of an item's thirteen windows, each in its own passage, are a leak; other numbers in a table are none."""
+    w = [f"word{i}x" for i in range(20)]
+    item, table = " ".join(w), " ".join(str(i * 7) for i in range(60))
+    passages = ". ".join(" ".join(w[a : a + 8]) + f" filler{a}" for a in (0, 1, 2, 4, 5, 7, 9, 11))
+    rows = [(1, passages), (2, " ".join(str(1000 + 3 * i) for i in range(400))), (3, f"see {table} end")]
+    docs = spark.createDataFrame(rows, DOCS)
+    items = spark.createDataFrame([(1, item), (2, table)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_found"] for r in decontamination.find_leaks(docs, items).collect()}
+    assert got == {(1, 1): 8, (3, 2): 53}
 
 
 def test_leaks_equal_plain_containment(spark, small):
