@@ -8,7 +8,8 @@ below the rate, so every occurrence of a word is segmented by its own draws,
 yet can be repeated.  With rate zero the ids equal the library's.
 
 Chunks (a run of word marks and what follows) never merge with each other.
-What is cached of a chunk holds no draw: the merges that are taken when none of
+A chunk of many characters (text without blanks) keeps its agenda in a heap, so
+time grows little faster than its length; all others go as follows.  What is cached of a chunk holds no draw: the merges that are taken when none of
 them is skipped, and for each of these what follows when it is.  An occurrence
 only compares its own hashes with the merges on its way.  What is missing, and
 chunks too long for that, is segmented all at once with numpy: every step
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain, repeat
 
 import numpy as np
@@ -44,8 +46,10 @@ _NEVER = np.iinfo(np.int32).max
 #: Bounds on memory only: what is dropped is worked out again.
 _CACHE_LIMIT = 500_000
 _CACHE_SLOTS = 6_000_000
-#: Characters of a chunk beyond which every occurrence is segmented from the start; below 256.
+#: Characters of a chunk beyond which every occurrence is segmented from the start (below 256), and beyond which a heap holds the agenda.
 _LONG = 24
+_WIDE = 400
+_MASK = (1 << 64) - 1
 _DOCS_AT_ONCE = 256
 
 
@@ -85,7 +89,11 @@ class Pieces:
             for k in range(1, len(p))
             if p[:k] in self.symbols and p[k:] in self.symbols
         }
+        self.pairs = pairs
         self._tabulate(pairs)
+        self.sizes = np.array([len(x) for x in self.content])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.content), np.uint8)
 
     def _tabulate(self, pairs: dict[int, tuple[int, int]]) -> None:
         """Open addressing over a power of two, at most an eighth full."""
@@ -119,8 +127,44 @@ class Pieces:
     def segment(self, chunks: list[str], keys: np.ndarray, rate: float) -> list[list[int]]:
         """Ids of each chunk; keys are the chunks' 64-bit dropout keys."""
         floor = _floor(rate)
-        skip = lambda word, a, b, c: _mix(keys[word] ^ _mix(_place(a, b, c))) < floor
-        return self.agenda(chunks, skip if rate > 0 else None)[0]
+        short = np.array([k for k, c in enumerate(chunks) if len(c) <= _WIDE], np.int64)
+        own = keys[short]
+        skip = lambda word, a, b, c: _mix(own[word] ^ _mix(_place(a, b, c))) < floor
+        done: list[list[int] | None] = [None] * len(chunks)
+        for k, ids in zip(short.tolist(), self.agenda([chunks[k] for k in short.tolist()], skip if rate > 0 else None)[0] if len(short) else ()):
+            done[k] = ids
+        return [self.wide(c, int(keys[k]), int(floor) if rate > 0 else 0) if x is None else x for k, (c, x) in enumerate(zip(chunks, done))]
+
+    def wide(self, chunk: str, key: int, floor: int) -> list[int]:
+        """Ids of one chunk of any length: candidates wait in a heap by rank and place, and stale ones are passed over."""
+        sym = self.of_char[np.frombuffer(chunk.encode("utf-32-le"), np.uint32)].tolist()
+        n, pairs, span = len(sym), self.pairs, self.span
+        end, last = list(range(1, n + 1)), list(range(-1, n))
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def consider(a: int, b: int) -> None:
+            if a >= 0 and b < n and (found := pairs.get(sym[a] * span + sym[b])) and not (floor and _one_mix(key ^ _one_mix(_one_place(a, b, end[b]))) < floor):
+                heap.append((found[1], a, b, end[b], found[0]))
+
+        for a in range(n - 1):
+            consider(a, a + 1)
+        heapify(heap)
+        while heap:
+            _, a, b, c, made = heappop(heap)
+            if sym[a] < 0 or end[a] != b or sym[b] < 0 or end[b] != c:
+                continue
+            sym[a], sym[b], end[a], last[c] = made, -1, c, a
+            for x, y in ((last[a], a), (a, c)):
+                before = len(heap)
+                consider(x, y)
+                if len(heap) > before:
+                    heappush(heap, heap.pop())
+        out: list[int] = []
+        at = 0
+        while at < n:
+            out += (sym[at],) if sym[at] < self.n else [self.byte_ids[x] for x in chunk[at : end[at]].encode()]
+            at = end[at]
+        return out
 
     def agenda(self, chunks: list[str], skip: Callable[..., np.ndarray] | None) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
         """Ids of each chunk, and (chunk, place) of the merges done, by chunk in their order.
@@ -198,6 +242,20 @@ def _place(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray
     return (start << 42 | middle << 21 | end).astype(np.uint64)
 
 
+def _one_mix(x: int) -> int:
+    """_mix() of one number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return x ^ x >> 31
+
+
+def _one_place(start: int, middle: int, end: int) -> int:
+    """_place() of one merge; what does not fit in 21 bits is mixed in."""
+    low = (1 << 21) - 1
+    high = (start >> 21) << 42 | (middle >> 21) << 21 | end >> 21
+    return ((start & low) << 42 | (middle & low) << 21 | end & low) ^ _one_mix(high & _MASK)
+
+
 def _floor(rate: float) -> np.uint64:
     """Hashes below it skip."""
     return np.uint64(min(rate, 1.0) * float(2**64 - 2**11))
@@ -303,12 +361,13 @@ class Encoder:
         if not chunks:
             return np.zeros(0, np.int32), np.zeros(len(ends), np.int64)
         known, long = self.known, self.rate > 0
-        new = [c for c in dict.fromkeys(chunks) if c not in known and not (long and len(c) > _LONG)]
+        limit = _LONG if long else _WIDE
+        new = [c for c in dict.fromkeys(chunks) if c not in known and len(c) <= limit]
         if new:
             first = self._grow(new, [()] * len(new), np.zeros(len(new), np.int64))
             known.update(zip(new, range(first, first + len(new))))
         node = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
-        if self.rate > 0:
+        if self.rate > 0 or (node < 0).any():
             sizes = np.diff(ends)
             of_doc = np.array([xxhash.xxh64_intdigest(str(i), self.seed) for i in doc_ids], np.uint64)
             number = np.arange(len(chunks)) - np.repeat(ends[:-1], sizes)
@@ -344,8 +403,16 @@ class Encoder:
         return [ids[x:y] for x, y in zip(ends.tolist(), ends[1:].tolist())]
 
     def decode(self, ids: Iterable[int]) -> str:
-        content = self.pieces.content
-        return b"".join([content[i] for i in ids]).decode("utf-8", "replace")[1:]
+        ids = np.fromiter(ids, np.int64)
+        return self.decode_flat(ids, np.array([0, len(ids)]))[0]
+
+    def decode_flat(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts whose ids stand in a row, each from ends[k] to ends[k + 1]."""
+        p = self.pieces
+        sizes = p.sizes[flat]
+        data = p.bytes[_ranges(p.starts[flat], sizes)].tobytes()
+        at = np.concatenate([[0], np.cumsum(sizes)])[ends].tolist()
+        return [data[x:y].decode("utf-8", "replace")[1:] for x, y in zip(at, at[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -379,8 +446,9 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         decoder = Encoder(model, 0.0)
         for b in batches:
             ids = b.column(names.index("ids"))
-            flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())]).tolist()
-            texts = [decoder.decode(flat[x:y]) if ok else None for x, y, ok in zip(ends, ends[1:], ids.is_valid().to_pylist())]
+            ends = np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())])
+            found = decoder.decode_flat(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends)
+            texts = [t if ok else None for t, ok in zip(found, ids.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema, StructField("decoded", StringType())]))
@@ -389,9 +457,12 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 def round_trip(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE, seed: int = SEED
 ) -> DataFrame:
-    """doc_id, n_pieces, ids_hash (XXH64 over the ids) and lossless of every row; null counts as the empty text.
+    """doc_id, ids, n_pieces, ids_hash (XXH64 over the ids) and lossless of every row.
 
-    encode() and decode() in one pass, so that neither ids nor texts leave the worker.
+    Null and empty texts have no ids; null ids count as one document key;
+    repeated rows get equal ids; texts are read whole, however long; other
+    columns of docs are not looked at; an empty table stays empty.  encode() and
+    decode() in one pass: texts do not leave the worker again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,14 +471,16 @@ def round_trip(
             for at in range(0, whole.num_rows, _DOCS_AT_ONCE):
                 b = whole.slice(at, _DOCS_AT_ONCE)
                 texts = b.column(1).to_pylist()
-                found = coder.encode(texts, b.column(0).to_pylist())
-                same = [coder.decode(ids) == (t or "") for ids, t in zip(found, texts)]
-                marks = [xxhash.xxh64_hexdigest(np.array(ids, "<i4").tobytes()) for ids in found]
-                columns = [b.column(0), pa.array(map(len, found), pa.int32()), pa.array(marks, pa.string()), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_hash", "lossless"])
+                flat, ends = coder.flat(texts, b.column(0).to_pylist())
+                flat, ends = flat.astype("<i4"), ends.astype(np.int32)
+                same = [x == (t or "") for x, t in zip(coder.decode_flat(flat, ends), texts)]
+                marks = [xxhash.xxh64_hexdigest(flat[x:y].tobytes()) for x, y in zip(ends.tolist(), ends[1:].tolist())]
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                columns = [b.column(0), ids, pa.array(np.diff(ends)), pa.array(marks, pa.string()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_pieces", "ids_hash", "lossless"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_pieces int, ids_hash string, lossless boolean")
+    return narrow.mapInArrow(run, "doc_id long, ids array<int>, n_pieces int, ids_hash string, lossless boolean")
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

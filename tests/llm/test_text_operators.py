@@ -420,6 +420,8 @@ def test_dropout_varies_repeats_and_is_lossless(spark):
     got = pieces.round_trip(docs).collect()
     assert len(got) == len(rows) + 4 and all(r["lossless"] for r in got)
     assert len({r["ids_hash"] for r in got if r["doc_id"] == 7}) == 1
+    own = pieces.Encoder().encode(texts, range(len(texts)))
+    assert all(r["ids"] == own[r["doc_id"]] and r["n_pieces"] == len(r["ids"]) for r in got if r["doc_id"] not in (None, 3))
     plain, some, other = (pieces.Encoder(rate=r, seed=s).encode(texts, range(len(texts))) for r, s in ((0.0, 1), (0.2, 1), (0.2, 2)))
     assert some != plain and some != other and sum(map(len, some)) > sum(map(len, plain))
     assert pieces.Encoder(rate=0.2, seed=1).encode(texts[::-1], range(len(texts))[::-1])[::-1] == some
@@ -458,7 +460,24 @@ def test_segments_equal_a_plain_agenda():
     chunks = ["▁transformation", "▁the", "▁▁▁x", "é中😀", "▁internationalisation", "\n", "▁ciónmentejación"]
     keys = np.arange(1, 1 + len(chunks)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for rate in (0.0, 0.1, 0.5, 1.0):
-        assert p.segment(chunks, keys, rate) == [brute_segment(p, c, int(k), rate) for c, k in zip(chunks, keys)]
+        want = [brute_segment(p, c, int(k), rate) for c, k in zip(chunks, keys)]
+        assert p.segment(chunks, keys, rate) == want
+        assert [p.wide(c, int(k), int(pieces._floor(rate)) if rate else 0) for c, k in zip(chunks, keys)] == want
+
+
+def test_chunks_without_blanks_take_little_more_than_linear_time():
+    import time
+
+    rng = random.Random(9)
+    text = "".join(rng.choice(["inter", "nation", "al", "é", "x", "中", "ing", "😀"]) for _ in range(70_000))
+    for rate in (0.0, 0.1):
+        coder = pieces.Encoder(rate=rate)
+        coder.encode(["warm up"], [0])
+        began = time.perf_counter()
+        (ids,) = coder.encode([text], [1])
+        assert time.perf_counter() - began < 15 and coder.decode(ids) == text
+    assert pieces._one_place(5, 6, 9) == int(pieces._place(*(__import__("numpy").array([x]) for x in (5, 6, 9)))[0])
+    assert pieces._one_place(5, 6, 9 + (1 << 21)) != pieces._one_place(5, 6, 9)
 
 
 def test_every_occurrence_of_a_chunk_has_its_own_dropout():
