@@ -23,20 +23,35 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared
 
 
+def _own_prefix(spark: SparkSession) -> str:
+    return f"tarnfield-{spark.sparkContext.applicationId}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df written as Parquet into the shared folder and read back: computed once, with a short lineage that outlives executors."""
-    path = f"{scratch_dir(df.sparkSession)}/tarnfield-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{_own_prefix(df.sparkSession)}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    for found in system.globStatus(path) or []:
+        system.delete(found.getPath(), True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of durable() tables that no later step reads."""
     for df in tables:
-        context = df.sparkSession.sparkContext
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that durable() wrote for this application; call it when its results are written."""
+    _delete(spark, f"{scratch_dir(spark)}/{_own_prefix(spark)}-*")
 
 
 def byte_size(df: DataFrame) -> int:
