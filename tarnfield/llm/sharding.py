@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import read
+from tarnfield.llm.common import free_name, own_columns, read
 
 #: Prime; at least a hundred times the shards for even shares.
 TABLE_SIZE = 65_537
@@ -67,11 +67,12 @@ def place(
     empty tables stay empty. The broadcast table has `size` rows whatever df holds.
     """
     rows = [(i, name) for i, name in enumerate(lookup_table(shards, size))]
-    table = df.sparkSession.createDataFrame(rows, "__slot int, __shard string")
-    own = [c for c in df.columns if c not in ("slot", "shard")]
-    placed = df.withColumn("__at", slot_of(F.col(key_col), F.col(instead_col), size))
-    placed = placed.join(F.broadcast(table), F.col("__at") == F.col("__slot"))
-    return placed.select(*own, F.col("__at").alias("slot"), F.col("__shard").alias("shard"))
+    at, number, shard = (free_name(n, df) for n in ("slot_of_key", "slot_number", "shard_name"))
+    table = df.sparkSession.createDataFrame(rows, f"{number} int, {shard} string")
+    own = [c for c, n in zip(own_columns(df), df.columns) if n.lower() not in ("slot", "shard")]
+    placed = df.withColumn(at, slot_of(F.col(key_col), F.col(instead_col), size))
+    placed = placed.join(F.broadcast(table), F.col(at) == F.col(number))
+    return placed.select(*own, F.col(at).alias("slot"), F.col(shard).alias("shard"))
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 1) -> None:

@@ -2,7 +2,7 @@ import __spark_entry__
 import corpus_pipeline
 import duckdb
 import pytest
-from tarnfield.llm import registry
+from tarnfield.llm import decontamination, importance, pieces, pii, quality_rules, registry, secrets, sharding, simhash, toxicity
 
 
 def test_stages_and_run(spark, small):
@@ -19,12 +19,61 @@ def test_stages_and_run(spark, small):
     assert {r["doc_id"] for r in out} == want and all(r["lossless"] for r in out)
 
 
-def test_stages_take_empty_and_odd_rows(spark, small):
+CLASHING = (
+    "verdict secrets fp key item_id slot shard ratios tokens kept leak own_key own_mark kept_id kept_mark whole_text assign access hex found "
+    "decoded ids text_ words w t r mark component_id fingerprint held_out score tie log_weight `a.b` Verdict2 __key __fp"
+).split()
+LONG = ("The quick brown fox jumps over lazy dogs 12 times, token=abcdefgh" + "%d and deadbeefdeadbeefdeadbeefdeadbeef7 again. ") * 9_000  # over 1 MB
+
+
+def odd_rows(spark, schema):
+    """Nulls in every column, empty and long texts, ties and repeats, and clashing further columns."""
+    texts = [(None, None), (1, ""), (1, ""), (None, "w " * 70), (2, LONG % tuple(range(9_000))), (3, "tie of words " * 30), (4, "tie of words " * 30), (5, None)]
+    rows = [(i, t, *[None] * (len(schema) - 2), *["x"] * len(CLASHING)) for i, t in texts]
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", " + ", ".join(f"{c} string" for c in CLASHING)
+    return spark.createDataFrame(rows, ddl)
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_take_empty_and_odd_rows(spark, small, number):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (None, "w " * 70, None, None, None)], docs.schema)
-    for rows in (docs.limit(0), odd):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, rows, small).count() <= 4
+    odd = odd_rows(spark, docs.schema)
+    name, stage = corpus_pipeline.STAGES[number]
+    for rows in (odd.limit(0), odd):
+        out = stage(spark, rows, small)
+        n = out.count()
+        assert n <= rows.count()
+        if number < 4:
+            assert out.dtypes == rows.dtypes
+        if number >= 3:
+            assert n == rows.count()
+    kept = stage(spark, odd, small).collect()
+    if number == 1:
+        assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "3", "None"]
+    if number == 3:
+        long = next(r["text"] for r in kept if r["doc_id"] == 2)
+        assert len(long) > 400_000 and long.count("[SECRET]") == 18_000
+    if number == 4:
+        assert all(r["lossless"] for r in kept)
+
+
+def test_operators_take_odd_rows(spark, small):
+    labels, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("labels", "benchmark"))
+    odd = odd_rows(spark, spark.read.parquet(f"{small}/documents.parquet").schema)
+    calls = {
+        "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, labels)),
+        "importance": lambda d: importance.resample(d, labels),
+        "quality": lambda d: quality_rules.judge(d, labels),
+        "sharding": lambda d: sharding.place(d, {"a": 1.0, "b": 1.0}),
+        "secrets": secrets.scan,
+        "pii": pii.scan,
+        "simhash": simhash.near_duplicates,
+        "pieces": pieces.encode,
+    }
+    for name, call in calls.items():
+        for rows in (odd.limit(0), odd):
+            assert call(rows).count() == rows.count(), name
+    assert decontamination.find_leaks(odd, items).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
