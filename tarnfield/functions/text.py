@@ -26,3 +26,8 @@ def preview(text: Column, max_chars: int = 120) -> Column:
 
 def right_trim(text: Column) -> Column:
     return F.regexp_replace(text, "\\s+$", "")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once for each row."""
+    return F.get(F.transform(F.array(value), body), 0)

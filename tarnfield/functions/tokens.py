@@ -46,6 +46,8 @@ SYNONYMS: dict[str, tuple[str, ...]] = {
 TEST_WORDS = ("test", "tests", "testing", "unittest", "pytest", "测试", "单测", "断言")
 
 _CJK = "[\u4e00-\u9fff]"
+#: What makes more of a token than its lower-case form.
+_COMPOUND = f"_|[a-z0-9][A-Z]|[A-Z]{{2}}|{_CJK}"
 _TOKEN = f"[A-Za-z_][A-Za-z_0-9]*|\\p{{Nd}}+|{_CJK}+"
 
 
@@ -80,14 +82,18 @@ def cjk_tokens(run: Column, least: int = 1, most: int = 4) -> Column:
 
 
 def tokenize(text: Column, keep_full: bool = True, cjk_min: int = 1, cjk_max: int = 4) -> Column:
-    """Tokens of identifiers, numbers and Chinese runs in text order, duplicates kept; null text has none."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
+    """Tokens of identifiers, numbers and Chinese runs in text order, duplicates kept; null text has none.
+
+    Texts without compound names or Chinese, and all plain words in others, take a short way to the same result.
+    """
+    own = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(own, F.lit(_TOKEN), F.lit(0))
     one = lambda t: (
-        F.when(t.rlike("^[A-Za-z_]"), identifier_tokens(t, keep_full))
-        .when(t.rlike(f"^{_CJK}"), cjk_tokens(t, cjk_min, cjk_max))
-        .otherwise(F.array(t))
+        F.when(~t.rlike(_COMPOUND), F.array(F.lower(t)))
+        .when(t.rlike("^[A-Za-z_]"), identifier_tokens(t, keep_full))
+        .otherwise(cjk_tokens(t, cjk_min, cjk_max))
     )
-    return F.flatten(F.transform(found, one))
+    return F.when(own.rlike(_COMPOUND), F.flatten(F.transform(found, one))).otherwise(F.transform(found, F.lower))
 
 
 def is_chinese(text: Column) -> Column:

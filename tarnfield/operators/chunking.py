@@ -33,10 +33,13 @@ def split_files(files: DataFrame, chunk_size: int = 40, overlap: int = 5) -> Dat
 
 
 def rebuild_source(chunks: DataFrame) -> DataFrame:
-    """(corpus_id, file_key, text) from chunks: of each line the earliest chunk's copy, gaps as empty lines."""
+    """(corpus_id, file_key, text) from chunks: of each line the earliest chunk's copy, gaps as empty lines.
+
+    The lines of a file are sorted once by their number; each brings the breaks between it and the line before.
+    """
     lines = chunks.select("corpus_id", "file_key", "start_line", F.posexplode(lines_of(F.col("text"))).alias("i", "line"))
     numbered = lines.withColumn("no", F.col("start_line") + F.col("i"))
     first = numbered.groupBy("corpus_id", "file_key", "no").agg(F.min_by("line", "start_line").alias("line"))
-    whole = first.groupBy("corpus_id", "file_key").agg(F.map_from_entries(F.collect_list(F.struct("no", "line"))).alias("m"), F.max("no").alias("last"))
-    at = F.transform(F.sequence(F.lit(1), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("")))
-    return whole.select("corpus_id", "file_key", F.array_join(at, "\n").alias("text"))
+    whole = first.groupBy("corpus_id", "file_key").agg(F.sort_array(F.collect_list(F.struct("no", "line"))).alias("all"))
+    breaks = lambda x, i: F.repeat(F.lit("\n"), x["no"] - F.when(i > 0, F.get("all", i - 1)["no"]).otherwise(1))
+    return whole.select("corpus_id", "file_key", F.array_join(F.transform("all", lambda x, i: F.concat(breaks(x, i), x["line"])), "").alias("text"))

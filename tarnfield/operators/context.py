@@ -52,23 +52,20 @@ def header(index: Column, block: Column) -> Column:
     )
 
 
-def render(blocks: DataFrame, max_chars: int = 12000) -> DataFrame:
-    """(query_id, context): blocks in rank order as text. Each block may use what the ones before left; the blank lines between do not count.
+def _framed(head: Column, text: Column) -> Column:
+    code = right_trim(text)
+    return F.struct(head.alias("head"), code.alias("code"), F.concat(head, F.lit("\n```python\n"), code, F.lit("\n```")).alias("full"))
 
-    A block that does not fit is cut inside its code, or, where not even its
-    frame fits, as a whole; both get the cut mark.
-    """
-    fields = ["first_rank", "file_path", "start_line", "end_line", "text", "score", "sources", "chunk_count"]
-    listed = blocks.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("blocks"))  # few per query
 
-    def framed(b: Column, i: Column) -> Column:
-        head = header(i + 1, b)
-        code = right_trim(b["text"])
-        return F.struct(head.alias("head"), code.alias("code"), F.concat(head, F.lit("\n```python\n"), code, F.lit("\n```")).alias("full"))
+def _within(framed: Column, max_chars: int, inside: bool) -> Column:
+    """The framed parts in order as one text. Each may use what the ones before left; the blank lines between do not count.
+
+    A part that does not fit is cut inside its code (if so wanted, and if its frame fits), or as a whole; both get the cut mark.
+    """
 
     def add(state: Column, b: Column) -> Column:
         left = max_chars - state["used"]
-        room = F.greatest(F.lit(0), left - (F.length(b["head"]) + 14) - 20)
+        room = F.greatest(F.lit(0), left - (F.length(b["head"]) + 14) - 20) if inside else F.lit(0)
         cut_code = F.concat(b["head"], F.lit("\n```python\n"), F.substring(b["code"], F.lit(1), room), F.lit(CUT_MARK), F.lit("\n```"))
         cut_all = F.concat(right_trim(F.substring(b["full"], F.lit(1), F.greatest(F.lit(0), left - 40))), F.lit(CUT_MARK))
         shown = F.when(F.length(b["full"]) <= left, b["full"]).when(room > 0, cut_code).otherwise(cut_all)
@@ -80,8 +77,24 @@ def render(blocks: DataFrame, max_chars: int = 12000) -> DataFrame:
         )
 
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"), F.lit(False).alias("stop"))
-    text = F.aggregate(F.transform("blocks", framed), start, add, lambda s: F.array_join(s["out"], "\n\n"))
-    return listed.select("query_id", text.alias("context"))
+    return F.aggregate(framed, start, add, lambda s: F.array_join(s["out"], "\n\n"))
+
+
+def render(blocks: DataFrame, max_chars: int = 12000) -> DataFrame:
+    """(query_id, context): blocks in rank order as text of at most about max_chars; a block that does not fit is cut inside its code."""
+    fields = ["first_rank", "file_path", "start_line", "end_line", "text", "score", "sources", "chunk_count"]
+    listed = blocks.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("blocks"))  # few per query
+    framed = F.transform("blocks", lambda b, i: _framed(header(i + 1, b), b["text"]))
+    return listed.select("query_id", _within(framed, max_chars, inside=True).alias("context"))
+
+
+def render_results(results: DataFrame, max_chars: int = 12000) -> DataFrame:
+    """(query_id, context): ranked results as they are, not merged into blocks; one that does not fit is cut as a whole."""
+    fields = ["rank", "file_path", "start_line", "end_line", "text", "score", "source"]
+    listed = results.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))  # few per query
+    head = lambda r, i: F.format_string("[%d] %s:%d-%d (score=%.4f, source=%s)", i + 1, r["file_path"], r["start_line"], r["end_line"], r["score"], r["source"])
+    framed = F.transform("rows", lambda r, i: _framed(head(r, i), r["text"]))
+    return listed.select("query_id", _within(framed, max_chars, inside=False).alias("context"))
 
 
 def result_records(results: DataFrame, include_text: bool = False) -> DataFrame:

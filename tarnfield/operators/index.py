@@ -1,23 +1,30 @@
 """Index tables of a chunked corpus: postings of two fields, structural terms, and statistics.
 
-Metadata that belongs to a file (path, module, imports, calls) is stored once
-for the file and not once for each chunk; frequencies and lengths add up, so a
-chunk's count of a term is its own plus its file's.
+A posting holds how often a term stands in a chunk's content and in its metadata
+(its file's path, module, imports and calls, and its own symbols), so that a
+term shared with a query is one row whatever fields it is in.  Postings are made
+row by row where a chunk is, and lie there together: whatever is summed up for a
+chunk is summed up before any shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.functions.paths import path_parts
+from tarnfield.functions.text import let
 from tarnfield.functions.tokens import tokenize
 from tarnfield.operators.facts import chunk_symbols, structural_terms, symbol_words
+from tarnfield.sources.scratch import durable, sized_broadcast
 
 CHUNK = ["corpus_id", "file_path", "chunk_no"]
 EPSILON = 0.25
+#: A user's own tokens, or tokenize() with other options by functools.partial.
+Tokenizer = Callable[[Column], Column]
 
 #: A line that begins with class, def or async def, and the name after it.
 SYMBOL_LINE = "(?md)^\\s*(class|def|async\\s+def)\\s+([A-Za-z_][A-Za-z_0-9]*)"
@@ -25,12 +32,15 @@ SYMBOL_LINE = "(?md)^\\s*(class|def|async\\s+def)\\s+([A-Za-z_][A-Za-z_0-9]*)"
 
 @dataclass(frozen=True)
 class Index:
-    """chunks: keys, lines, lengths and sort key of each chunk; content, own_meta, file_meta: postings; terms: df and idf by field; corpora: size and mean length by field; structure, file_structure: terms for structural matches."""
+    """chunks: keys, lines and sort key of each chunk, with its number chunk_id.
+
+    postings: content and metadata frequency of each term of a chunk, with the
+    chunk's lengths; terms: df and idf of both fields; corpora: size and mean
+    lengths; structure, file_structure: terms for structural matches.
+    """
 
     chunks: DataFrame
-    content: DataFrame
-    own_meta: DataFrame
-    file_meta: DataFrame
+    postings: DataFrame
     terms: DataFrame
     corpora: DataFrame
     structure: DataFrame
@@ -40,72 +50,78 @@ class Index:
         return dict(vars(self))
 
 
-def _postings(bags: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
-    """Counts of the terms in column `tokens`, made where the row is: one row is one document, so no shuffle is needed."""
-    distinct = F.array_distinct("tokens")
-    tf = F.transform(distinct, lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).cast("long").alias("tf")))
-    small = F.size("tokens") <= 2000
-    grouped = bags.filter(~small).select(*keys, *keep, F.explode("tokens").alias("term")).groupBy(*keys, *keep, "term").agg(F.count("*").alias("tf"))
-    direct = bags.filter(small).select(*keys, *keep, F.explode(tf).alias("p")).select(*keys, *keep, "p.*")
-    return direct.unionByName(grouped)
+def term_counts(content: Column, metadata: Column) -> Column:
+    """(term, content_tf, metadata_tf) of the distinct terms of two token arrays, by one sort."""
+    tagged = lambda tokens, f: F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(f).alias("f")))
+
+    def of_sorted(s: Column) -> Column:
+        starts = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["t"] != x["t"]), i)))
+
+        def of_starts(b: Column) -> Column:
+            def one(at: Column, k: Column) -> Column:
+                size = F.coalesce(F.get(b, k + 1), F.size(s)) - at
+                n = F.when(size == 1, F.get(s, at)["f"]).otherwise(F.size(F.filter(F.slice(s, at + 1, size), lambda x: x["f"] == 1)))
+                return F.struct(F.get(s, at)["t"].alias("term"), (size - n).cast("long").alias("content_tf"), n.cast("long").alias("metadata_tf"))
+
+            return F.transform(b, one)
 
+        return let(starts, of_starts)
 
-def content_bags(chunks: DataFrame) -> DataFrame:
-    """Tokens of path and text of each chunk."""
-    return chunks.select(*CHUNK, tokenize(F.concat_ws("\n", "file_path", "text")).alias("tokens"))
+    return let(F.sort_array(F.concat(tagged(content, 0), tagged(metadata, 1))), of_sorted)
 
 
-def build(chunks: DataFrame, facts: DataFrame) -> Index:
-    bags = content_bags(chunks).withColumn("dl", F.size("tokens").cast("long"))
-    content = _postings(bags, CHUNK, ["dl"])
+def content_tokens(tokenizer: Tokenizer = tokenize) -> Column:
+    """Tokens of a chunk's path and text."""
+    return F.concat(tokenizer(F.col("file_path")), tokenizer(F.col("text")))
 
+
+def file_metadata() -> Column:
+    """What all chunks of a file share of its metadata, from its facts."""
     key = F.col("file_key")
-    path_text = F.concat_ws(" ", key, F.translate(key, "/.", "  "))
-    about = F.concat_ws(
-        " ", path_text, F.lit("module"), "module", F.lit("filetree"), F.array_join("directories", " "), F.lit("symbols imports"),
+    return F.concat_ws(
+        " ", key, F.translate(key, "/.", "  "), F.lit("module"), "module", F.lit("filetree"), F.array_join("directories", " "), F.lit("symbols imports"),
         F.array_join("imports", " "), F.lit("calls"), F.array_join("calls", " "),
     )
-    file_bags = facts.select("corpus_id", "file_path", tokenize(about).alias("tokens")).withColumn("file_dl", F.size("tokens").cast("long"))
-    file_meta = _postings(file_bags, ["corpus_id", "file_path"], [])
-
-    symbols = chunk_symbols(chunks, facts)
-    found = F.array_join(F.regexp_extract_all("text", F.lit(SYMBOL_LINE), F.lit(2)), " ")
-    own = symbols.join(chunks.select(*CHUNK, found.alias("lines")), CHUNK).select(*CHUNK, "symbols", tokenize(F.concat_ws(" ", "lines", symbol_words())).alias("tokens"))
-    own_meta = _postings(own, CHUNK, [])
-
-    lengths = own.select(*CHUNK, F.size("tokens").cast("long").alias("own_dl")).join(bags.select(*CHUNK, F.col("dl").alias("content_dl")), CHUNK)
-    lengths = lengths.join(file_bags.select("corpus_id", "file_path", "file_dl"), ["corpus_id", "file_path"])
-    table = chunks.select(*CHUNK, "file_key", "start_line", "end_line", path_parts(F.col("file_path")).alias("path_parts")).join(lengths, CHUNK)
-    table = table.withColumn("meta_dl", F.col("own_dl") + F.col("file_dl")).drop("own_dl", "file_dl")
-
-    per_file = table.groupBy("corpus_id", "file_path").agg(F.count("*").alias("n"))
-    from_file = file_meta.join(per_file, ["corpus_id", "file_path"]).groupBy("corpus_id", "term").agg(F.sum("n").alias("df"))
-    only_own = own_meta.join(file_meta, ["corpus_id", "file_path", "term"], "left_anti").groupBy("corpus_id", "term").agg(F.count("*").alias("df"))
-    meta_df = from_file.unionByName(only_own).groupBy("corpus_id", "term").agg(F.sum("df").alias("df"))
-    df = content.groupBy("corpus_id", "term").agg(F.count("*").alias("df")).withColumn("field", F.lit("content"))
-    df = df.unionByName(meta_df.withColumn("field", F.lit("metadata")))
-    sizes = table.groupBy("corpus_id").agg(F.count("*").alias("n"), F.sum("content_dl").alias("c"), F.sum("meta_dl").alias("m"))
-    corpora = sizes.select("corpus_id", "n", F.explode(F.map_from_arrays(F.array(F.lit("content"), F.lit("metadata")), F.array(F.col("c") / F.col("n"), F.col("m") / F.col("n")))).alias("field", "avgdl"))
-
-    file_structure = facts.select(
-        "corpus_id", "file_path",
-        F.explode(F.map_from_arrays(
-            F.array(F.lit("calls"), F.lit("imports"), F.lit("tree")),
-            F.array(F.col("calls"), F.col("imports"), F.concat(F.array("module"), "directories")),
-        )).alias("kind", "names"),
+
+
+def build(chunks: DataFrame, facts: DataFrame, tokenizer: Tokenizer = tokenize) -> Index:
+    """Index of stored tables chunks(..., chunk_id) and facts; the postings are written, once, and the other tables follow from them."""
+    shared = facts.withColumn("file_tokens", tokenizer(file_metadata()))
+    rows = chunk_symbols(chunks, shared, ["file_tokens"])
+    lines = F.array_join(F.regexp_extract_all("text", F.lit(SYMBOL_LINE), F.lit(2)), " ")
+    about = F.concat(F.coalesce("file_tokens", F.array().cast("array<string>")), tokenizer(F.concat_ws(" ", lines, symbol_words())))
+    bags = rows.select("corpus_id", "chunk_id", content_tokens(tokenizer).alias("content"), about.alias("metadata"))
+    counted = bags.select(
+        "corpus_id", "chunk_id", F.size("content").cast("long").alias("content_dl"), F.size("metadata").cast("long").alias("metadata_dl"),
+        F.explode(term_counts(F.col("content"), F.col("metadata"))).alias("p"),
     )
-    every_term = lambda c: F.array_distinct(F.flatten(F.transform(c, structural_terms)))
-    file_structure = file_structure.select("corpus_id", "file_path", "kind", F.explode(every_term("names")).alias("term"))
+    postings = durable(counted.select("corpus_id", "chunk_id", "content_dl", "metadata_dl", "p.*"))
+
+    per_corpus = chunks.groupBy("corpus_id").agg(F.count("*").alias("n"))
+    lengths = postings.groupBy("corpus_id").agg(F.sum("content_tf").alias("c"), F.sum("metadata_tf").alias("m"))
+    means = [(F.coalesce(F.col(c), F.lit(0)) / F.col("n")).alias(name) for c, name in (("c", "content_avgdl"), ("m", "metadata_avgdl"))]
+    corpora = durable(per_corpus.join(lengths, "corpus_id", "left").select("corpus_id", "n", *means))
+    df = durable(postings.groupBy("corpus_id", "term").agg(*[F.sum((F.col(f"{f}_tf") > 0).cast("long")).alias(f"{f}_df") for f in FIELDS]))
+
     named = F.concat(F.transform("symbols", lambda s: s["signature"]), F.transform("symbols", lambda s: s["name"]))
-    structure = own.select(*CHUNK, F.lit("signature").alias("kind"), F.explode(every_term(named)).alias("term"))
-    return Index(table, content, own_meta, file_meta, term_stats(df, corpora), corpora, structure, file_structure)
+    every_term = lambda c: F.array_distinct(F.flatten(F.transform(c, structural_terms)))
+    structure = rows.select("corpus_id", "chunk_id", F.lit("signature").alias("kind"), F.explode(every_term(named)).alias("term"))
+    kinds = {"calls": F.col("calls"), "imports": F.col("imports"), "tree": F.concat(F.array("module"), "directories")}
+    by_kind = F.explode(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*kinds.values()))).alias("kind", "names")
+    by_file = facts.select("corpus_id", "file_path", by_kind)
+    file_structure = by_file.select("corpus_id", "file_path", "kind", F.explode(every_term(F.col("names"))).alias("term"))
+    table = chunks.select("chunk_id", *CHUNK, "file_key", "start_line", "end_line", path_parts(F.col("file_path")).alias("path_parts"))
+    return Index(table, postings, term_stats(df, corpora), corpora, structure, file_structure)
+
+
+FIELDS = ("content", "metadata")
 
 
 def term_stats(df: DataFrame, corpora: DataFrame) -> DataFrame:
-    """(corpus_id, field, term, df, idf): a negative idf becomes EPSILON times the mean over all terms, taken before."""
-    raw = df.join(F.broadcast(corpora.select("corpus_id", "n").distinct()), "corpus_id").withColumn(
-        "raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    )
-    mean = raw.groupBy("corpus_id", "field").agg(F.avg("raw").alias("mean"))
-    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return raw.join(F.broadcast(mean), ["corpus_id", "field"]).select("corpus_id", "field", "term", "df", idf.alias("idf"))
+    """(corpus_id, term, and df and idf of both fields) of stored tables: a negative idf becomes EPSILON times the mean over all terms of the field, taken before."""
+    raw = df.join(sized_broadcast(corpora.select("corpus_id", "n")), "corpus_id")
+    weight = lambda f: F.when(F.col(f"{f}_df") > 0, F.log(F.col("n") - F.col(f"{f}_df") + 0.5) - F.log(F.col(f"{f}_df") + 0.5))
+    raw = raw.withColumns({f"{f}_raw": weight(f) for f in FIELDS})
+    means = durable(raw.groupBy("corpus_id").agg(*[F.avg(f"{f}_raw").alias(f"{f}_mean") for f in FIELDS]))
+    idf = lambda f: F.when(F.col(f"{f}_raw") < 0, EPSILON * F.col(f"{f}_mean")).otherwise(F.col(f"{f}_raw")).alias(f"{f}_idf")
+    return raw.join(sized_broadcast(means), "corpus_id").select("corpus_id", "term", *[c for f in FIELDS for c in (F.col(f"{f}_df"), idf(f))])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.functions.tokens import tokenize
+from tarnfield.operators.index import Tokenizer
 
 SCHEMA = "id string, created_at string, task string, status string, summary string, files array<string>, decisions array<string>"
 
@@ -20,15 +21,15 @@ def identity() -> list[Column]:
     return [normal_task(F.col("task")).alias("task_key"), F.array_sort("files").alias("files_key")]
 
 
-def memory_tokens(memories: DataFrame, key: str = "seq") -> DataFrame:
+def memory_tokens(memories: DataFrame, key: str = "seq", tokenizer: Tokenizer = tokenize) -> DataFrame:
     """(seq, token): distinct tokens of task, summary, files and decisions; store it beside the memories."""
     text = F.concat_ws(" ", "task", "summary", F.array_join("files", " "), F.array_join("decisions", " "))
-    return memories.select(key, F.explode(F.array_distinct(tokenize(text))).alias("token"))
+    return memories.select(key, F.explode(F.array_distinct(tokenizer(text))).alias("token"))
 
 
-def search(tasks: DataFrame, tokens: DataFrame, limit: int = 5) -> DataFrame:
+def search(tasks: DataFrame, tokens: DataFrame, limit: int = 5, tokenizer: Tokenizer = tokenize) -> DataFrame:
     """(task_id, seq, score, rank) of tasks(task_id, task): share of the task's distinct tokens that a memory has, latest first among equals."""
-    own = tasks.select("task_id", F.array_distinct(tokenize(F.col("task"))).alias("t"))
+    own = tasks.select("task_id", F.array_distinct(tokenizer(F.col("task"))).alias("t"))
     words = own.select("task_id", F.size("t").alias("n"), F.explode("t").alias("token"))
     hits = words.join(tokens, "token").groupBy("task_id", "seq").agg((F.count("*") / F.first("n")).alias("score"))
     order = Window.partitionBy("task_id").orderBy(F.desc("score"), F.desc("seq"))
@@ -54,11 +55,11 @@ def build(runs: DataFrame, created_at: str) -> DataFrame:
 
 def summary_text(task: Column, files: Column) -> Column:
     """One line that names the task and its first three files."""
-    named = F.when(F.size(files) > 0, F.array_join(F.slice(files, 1, 3), ", ")).otherwise("no files")
-    return F.concat(F.lit("任务“"), task, F.lit("”定位到 "), named)
+    named = F.when(F.size(files) > 0, F.array_join(F.slice(files, 1, 3), ", ")).otherwise("none")
+    return F.concat(F.lit("Task: "), task, F.lit(" | files: "), named)
 
 
 def format_memories(memory_rows: Column) -> Column:
     """Array of memory structs as lines."""
     line = lambda m: F.format_string("- %s [%s] %s; files=%s", m["created_at"], m["status"], m["summary"], F.array_join(m["files"], ", "))
-    return F.when(F.size(memory_rows) > 0, F.array_join(F.transform(memory_rows, line), "\n")).otherwise("无相关历史记忆。")
+    return F.when(F.size(memory_rows) > 0, F.array_join(F.transform(memory_rows, line), "\n")).otherwise("Nothing like it was done before.")

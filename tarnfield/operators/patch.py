@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,51 +11,38 @@ from pyspark.sql.types import StringType
 
 #: Names that need the import, and the line that brings them.
 NAMES = (
-    "ListNode TreeNode Node Optional List Dict Set Tuple Deque defaultdict deque Counter lru_cache cache heappush heappop heapify inf"
-).split()
+    "ListNode", "TreeNode", "Node", "Optional", "List", "Dict", "Set", "Tuple", "Deque", "defaultdict", "deque",
+    "Counter", "lru_cache", "cache", "heappush", "heappop", "heapify", "inf",
+)
 SHIM = "leetcode_types"
 IMPORT_LINE = f"from {SHIM} import *\n"
 SKIPPED = (".git", ".venv", "venv", "__pycache__")
 
+_BREAKS = r"\n\r\v\f\x1c-\x1e\x85  "
+_REST = rf"[^{_BREAKS}]*"
+_LINE = rf"{_REST}(?:\r\n|[{_BREAKS}]|\Z)"
+_ASIDE = rf"(?:[^\S{_BREAKS}]*(?:\#{_REST})?(?:\r\n|[{_BREAKS}]))*(?:[^\S{_BREAKS}]*\#{_REST}\Z)?"
+#: What an import may not stand before: interpreter and coding lines, comments, a docstring (an open one reaches to the end), future imports.
+_TOP = re.compile(
+    rf"""(?:\#!{_LINE})?
+    (?:(?={_REST}coding){_LINE})?
+    {_ASIDE}
+    (?:[^\S{_BREAKS}]*(?P<quote>\"{{3}}|'{{3}})(?s:.*?)(?:(?P=quote){_LINE}|\Z))?
+    {_ASIDE}
+    (?:from\ __future__\ import\ {_LINE})*""",
+    re.VERBOSE,
+)
 
-def _blank_or_comment(line: str) -> bool:
-    return not line.strip() or line.strip().startswith("#")
-
-
-def insert_index(text: str) -> int:
-    """Number of lines before the import: interpreter line, coding line, comments, docstring and future imports stay on top."""
-    lines = text.splitlines(keepends=True)
-    at = 0
 
-    def skip(test) -> None:
-        nonlocal at
-        while at < len(lines) and test(lines[at]):
-            at += 1
-
-    for test in (lambda x: x.startswith("#!"), lambda x: "coding" in x):
-        at += at < len(lines) and test(lines[at])
-    skip(_blank_or_comment)
-    if at < len(lines):
-        opening = lines[at].lstrip()
-        quote = next((q for q in ('"""', "'''") if opening.startswith(q)), None)
-        if quote and opening.count(quote) > 1:
-            at += 1
-        elif quote:
-            at += 1
-            skip(lambda x: quote not in x)
-            at = min(at + 1, len(lines))
-    skip(_blank_or_comment)
-    skip(lambda x: x.startswith("from __future__ import "))
-    return at
+def with_import(text: str) -> str:
+    """text with the import line under what has to stay on top."""
+    at = _TOP.match(text).end()
+    return text[:at] + IMPORT_LINE + text[at:]
 
 
 @F.pandas_udf(StringType())
 def _patched(texts: pd.Series) -> pd.Series:
-    def one(text: str) -> str:
-        lines, at = text.splitlines(keepends=True), insert_index(text)
-        return "".join([*lines[:at], IMPORT_LINE, *lines[at:]])
-
-    return texts.map(one)
+    return texts.map(with_import)
 
 
 def needs_patch(files: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.functions.paths import is_test_path
 from tarnfield.functions.tokens import TEST_WORDS, tokenize
-from tarnfield.operators.index import CHUNK, Index
+from tarnfield.operators.index import CHUNK, FIELDS, Index, Tokenizer
+from tarnfield.sources.scratch import durable, sized_broadcast
 
 K1, B = 1.5, 0.75
 WEIGHTS = {"content": 0.50, "metadata": 0.30, "overlap": 0.10, "structure": 0.10}
@@ -18,85 +21,102 @@ INTENTS = {
     "signature": (("signature", "function", "method", "def", "class"), 1.0),
     "tree": (("filetree", "tree", "path", "module"), 0.5),
 }
-#: Query-term rows up to which they are broadcast to the postings; beyond it the join shuffles by term.
-BROADCAST_ROWS = 2_000_000
-
 QUERY = ["query_id", "corpus_id"]
 ORDER = ["path_parts", "start_line"]
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+PLACE = [*CHUNK, "file_key", "start_line", "end_line", "path_parts"]
+#: Parts in which the first rows of a table are found before they are compared with each other.
+_PARTS = 64
+
+
+def query_terms(queries: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
     """(query_id, corpus_id, term, qtf, n_terms, intents, asks_tests) of queries(query_id, corpus_id, query): one row for each distinct token."""
-    bags = queries.select(*QUERY, tokenize(F.col("query")).alias("tokens"))
+    bags = queries.select(*QUERY, tokenizer(F.col("query")).alias("tokens"))
     overlaps = lambda words: F.arrays_overlap("tokens", F.array(*map(F.lit, words)))
     intents = F.array_compact(F.array(*[F.when(overlaps(words), k) for k, (words, _) in INTENTS.items()]))
-    bags = bags.withColumns({"intents": intents, "asks_tests": overlaps(TEST_WORDS), "terms": F.array_distinct("tokens")})
-    rows = bags.select(*QUERY, "intents", "asks_tests", F.size("terms").alias("n_terms"), "tokens", F.explode("terms").alias("term"))
-    return rows.withColumn("qtf", F.size(F.filter("tokens", lambda t: t == F.col("term")))).drop("tokens")
-
-
-def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
+    bags = bags.withColumns({"intents": intents, "asks_tests": overlaps(TEST_WORDS), "n_terms": F.size(F.array_distinct("tokens"))})
+    rows = bags.select(*QUERY, "intents", "asks_tests", "n_terms", F.explode("tokens").alias("term"))
+    return rows.groupBy(*QUERY, "intents", "asks_tests", "n_terms", "term").agg(F.count("*").cast("int").alias("qtf"))
 
 
 def bm25(tf: Column, dl: Column, avgdl: Column, idf: Column, qtf: Column) -> Column:
     return qtf * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def _weighted(index: Index, terms: DataFrame) -> DataFrame:
+    """(query_id, corpus_id, term, qtf, and idf and mean length of both fields) of the query terms that the index has; stored."""
+    known = index.terms.join(sized_broadcast(index.corpora), "corpus_id")
+    stats = [f"{f}_{x}" for f in FIELDS for x in ("idf", "avgdl")]
+    return durable(terms.select(*QUERY, "term", "qtf").join(known.select("corpus_id", "term", *stats), ["corpus_id", "term"]))
+
+
+def _part(f: str) -> Column:
+    part = bm25(F.col(f"{f}_tf"), F.col(f"{f}_dl"), F.col(f"{f}_avgdl"), F.col(f"{f}_idf"), F.col("qtf"))
+    return F.when(F.col(f"{f}_tf") > 0, part).otherwise(0.0).alias(f)
+
+
 def content_scores(index: Index, terms: DataFrame) -> DataFrame:
-    """(query, chunk, score): BM25 of the content field alone, for chunks that share a term."""
-    weighted = terms.join(index.terms.filter("field = 'content'").select("corpus_id", "term", "idf"), ["corpus_id", "term"])
-    weighted = weighted.join(index.corpora.filter("field = 'content'").select("corpus_id", "avgdl"), "corpus_id")
-    hits = index.content.join(_small(weighted.select(*QUERY, "term", "qtf", "idf", "avgdl")), ["corpus_id", "term"])
-    part = bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), F.col("qtf"))
-    return hits.groupBy("query_id", *CHUNK).agg(F.sum(part).alias("score"))
+    """(query_id, corpus_id, chunk_id, score): BM25 of the content field alone, for chunks that share a term there."""
+    hits = index.postings.filter("content_tf > 0").join(sized_broadcast(_weighted(index, terms)), ["corpus_id", "term"])
+    return hits.groupBy(*QUERY, "chunk_id").agg(F.sum(_part("content")).alias("score"))
 
 
 def _structural(index: Index, terms: DataFrame) -> DataFrame:
-    asked = _small(terms.filter(F.size("intents") > 0).select(*QUERY, "term", F.explode("intents").alias("kind")))
-    by_chunk = index.structure.join(asked, ["corpus_id", "kind", "term"]).select("query_id", *CHUNK, "kind")
+    """(query_id, corpus_id, chunk_id, kind): the kinds of structure that a query asks for and a chunk or its file has."""
+    asked = terms.filter(F.size("intents") > 0).select(*QUERY, "term", F.explode("intents").alias("kind"))
+    asked = sized_broadcast(durable(asked))
+    by_chunk = index.structure.join(asked, ["corpus_id", "kind", "term"]).select(*QUERY, "chunk_id", "kind")
     by_file = index.file_structure.join(asked, ["corpus_id", "kind", "term"]).select(*QUERY, "file_path", "kind").distinct()
-    spread = by_file.join(index.chunks.select(*CHUNK), ["corpus_id", "file_path"]).select("query_id", *CHUNK, "kind")
-    has = [F.max((F.col("kind") == k).cast("double")) * worth for k, (_, worth) in INTENTS.items()]
-    total = has[0] + has[1] + has[2] + has[3]
-    return by_chunk.unionByName(spread).groupBy("query_id", *CHUNK).agg((F.least(total, F.lit(1.5)) / 1.5).alias("structure"))
+    spread = by_file.join(index.chunks.select("corpus_id", "file_path", "chunk_id"), ["corpus_id", "file_path"]).select(*QUERY, "chunk_id", "kind")
+    return by_chunk.unionByName(spread)
+
+
+def placed(index: Index, scores: DataFrame) -> DataFrame:
+    """scores(chunk_id, ...) with the chunks' keys, lines and sort key."""
+    return scores.join(sized_broadcast(index.chunks.select("chunk_id", *PLACE[1:])), "chunk_id")
 
 
 def hybrid_scores(index: Index, terms: DataFrame) -> DataFrame:
-    """Candidates with their score: chunks that share a token or a structural term with the query; all others score zero."""
-    stats = index.terms.join(F.broadcast(index.corpora), ["corpus_id", "field"])
-    weighted = terms.select(*QUERY, "term", "qtf").join(stats.select("corpus_id", "field", "term", "idf", "avgdl"), ["corpus_id", "term"])
-    wanted = _small(weighted)
-    of = lambda field: wanted.filter(F.col("field") == field).drop("field")
-    none = F.lit(0).cast("long")
-    content = index.content.join(of("content"), ["corpus_id", "term"]).withColumns({"field": F.lit("content")})
-    own = index.own_meta.join(of("metadata"), ["corpus_id", "term"]).withColumns({"field": F.lit("metadata"), "dl": none})
-    by_file = index.file_meta.join(of("metadata"), ["corpus_id", "term"]).join(index.chunks.select(*CHUNK), ["corpus_id", "file_path"])
-    by_file = by_file.withColumns({"field": F.lit("metadata"), "dl": none})
-    columns = ["query_id", *CHUNK, "field", "term", "qtf", "idf", "avgdl", "tf", "dl"]
-    hits = content.select(*columns).unionByName(own.select(*columns)).unionByName(by_file.select(*columns))
-    # both sums below are made where a (query, chunk) lies after this one shuffle
-    hits = hits.repartition("query_id", *CHUNK)
-    by_term = hits.groupBy("query_id", *CHUNK, "field", "term").agg(F.sum("tf").alias("tf"), *[F.max(c).alias(c) for c in ("qtf", "idf", "avgdl", "dl")])
-    by_term = by_term.join(index.chunks.select(*CHUNK, "meta_dl"), CHUNK)
-    dl = F.when(F.col("field") == "content", F.col("dl")).otherwise(F.col("meta_dl"))
-    part = bm25(F.col("tf"), dl, F.col("avgdl"), F.col("idf"), F.col("qtf"))
-    field_sum = lambda f: F.sum(F.when(F.col("field") == f, part).otherwise(0.0)).alias(f)
-    lexical = by_term.groupBy("query_id", *CHUNK).agg(field_sum("content"), field_sum("metadata"), F.countDistinct("term").alias("shared"))
-
-    every = lexical.join(_structural(index, terms), ["query_id", *CHUNK], "full").na.fill(0, ["content", "metadata", "shared", "structure"])
-    tops = every.groupBy("query_id").agg(F.max("content").alias("top_c"), F.max("metadata").alias("top_m"))
-    about = terms.select("query_id", "n_terms", "asks_tests").distinct()
-    rows = every.join(_small(tops), "query_id").join(_small(about), "query_id")
-    rel = lambda c, top: F.when(F.col(top) <= 0, 0.0).otherwise(F.col(c) / F.col(top))
+    """(query_id, chunk keys, lines, score) of the candidates: chunks that share a token or a structural term with the query; all others score zero.
+
+    Hits of both fields and of the structure are summed up by (query, chunk) in
+    one aggregation, whose first half runs where a chunk's postings lie; what
+    is shuffled is one row for each query and chunk.  The sums are stored, since
+    a query's highest ones scale all of its scores.
+    """
+    terms = durable(terms)
+    hits = index.postings.join(sized_broadcast(_weighted(index, terms)), ["corpus_id", "term"])
+    asks = {k: f"has_{k}" for k in INTENTS}
+    lexical = hits.select(*QUERY, "chunk_id", *map(_part, FIELDS), F.lit(1).cast("long").alias("shared"), *[F.lit(0.0).alias(has) for has in asks.values()])
+    bare = _structural(index, terms).select(
+        *QUERY, "chunk_id", *[F.lit(0.0).alias(f) for f in FIELDS], F.lit(0).cast("long").alias("shared"), *[(F.col("kind") == k).cast("double").alias(has) for k, has in asks.items()]
+    )
+    both = lexical.unionByName(bare).groupBy(*QUERY, "chunk_id").agg(
+        *[F.sum(f).alias(f) for f in FIELDS], F.sum("shared").alias("shared"), *[F.max(has).alias(has) for has in asks.values()]
+    )
+    weight = sum((F.col(has) * INTENTS[k][1] for k, has in asks.items()), F.lit(0.0))
+    every = durable(both.select(*QUERY, "chunk_id", *FIELDS, "shared", (F.least(weight, F.lit(1.5)) / 1.5).alias("structure")))
+
+    tops = durable(every.groupBy("query_id").agg(*[F.max(f).alias(f"top_{f}") for f in FIELDS]))
+    about = durable(terms.select("query_id", "n_terms", "asks_tests").distinct())
+    rows = placed(index, every).join(sized_broadcast(tops), "query_id").join(sized_broadcast(about), "query_id")
+    rel = lambda f: F.when(F.col(f"top_{f}") <= 0, 0.0).otherwise(F.col(f) / F.col(f"top_{f}"))
     raw = (
-        WEIGHTS["content"] * rel("content", "top_c")
-        + WEIGHTS["metadata"] * rel("metadata", "top_m")
+        WEIGHTS["content"] * rel("content")
+        + WEIGHTS["metadata"] * rel("metadata")
         + WEIGHTS["overlap"] * F.col("shared") / F.col("n_terms")
         + WEIGHTS["structure"] * F.col("structure")
     )
     role = F.when(is_test_path(F.col("file_path")), F.when(F.col("asks_tests"), 1.05).otherwise(0.85)).otherwise(1.0)
-    return rows.select("query_id", *CHUNK, (raw * role).alias("score"))
+    return rows.select("query_id", "chunk_id", *PLACE, (raw * role).alias("score"))
+
+
+def _first(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of each group with their number `at`: those of parts of a group first, so that no task sorts a whole one."""
+    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "path_parts"]), F.lit(_PARTS))
+    few = rows.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order))).filter(F.col("at") <= n)
+    return few.drop("part").withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("at") <= n)
 
 
 def with_fillers(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -113,16 +133,16 @@ def with_fillers(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: in
     bounds = needy.agg(F.max("files").alias("f"), F.max("rows").alias("r")).first()
     if bounds["f"] is None:
         return scored
-    by_order = Window.partitionBy("corpus_id").orderBy("path_parts", "file_key")
+    limit = k + bounds["f"]
     files = chunks.groupBy("corpus_id", "file_key").agg(F.min("path_parts").alias("path_parts"))
-    files = files.withColumn("at", F.row_number().over(by_order)).filter(F.col("at") <= k + bounds["f"])
-    few = chunks.groupBy("corpus_id").agg(F.countDistinct("file_key").alias("n_files")).filter(F.col("n_files") < k)
-    first = chunks.join(F.broadcast(few), "corpus_id", "left_semi").withColumn("at", F.row_number().over(Window.partitionBy("corpus_id").orderBy(*ORDER))).filter(F.col("at") <= k + bounds["r"])
-    matched = scored.select("query_id", *CHUNK)
+    files = _first(files, ["corpus_id"], ["path_parts", "file_key"], limit)
+    few = chunks.groupBy("corpus_id").agg(F.countDistinct("file_key").alias("n_files")).filter(F.col("n_files") < k).select("corpus_id")
+    first = _first(chunks.join(few, "corpus_id", "left_semi"), ["corpus_id"], ORDER, k + bounds["r"])
+    matched = scored.select("query_id", "chunk_id")
     one = chunks.join(files.select("corpus_id", "file_key", "at"), ["corpus_id", "file_key"]).join(needy, "corpus_id").filter(F.col("at") <= k + F.col("files"))
-    one = one.join(matched, ["query_id", *CHUNK], "left_anti").withColumn("i", F.row_number().over(Window.partitionBy("query_id", "file_key").orderBy(*ORDER))).filter("i = 1")
-    more = first.join(needy, "corpus_id").filter(F.col("at") <= k + F.col("rows")).join(matched, ["query_id", *CHUNK], "left_anti")
-    names = ["query_id", *chunks.columns]
+    one = one.join(matched, ["query_id", "chunk_id"], "left_anti").withColumn("i", F.row_number().over(Window.partitionBy("query_id", "file_key").orderBy(*ORDER))).filter("i = 1")
+    more = first.join(needy, "corpus_id").filter(F.col("at") <= k + F.col("rows")).join(matched, ["query_id", "chunk_id"], "left_anti")
+    names = ["query_id", "chunk_id", *PLACE]
     extra = one.select(*names).unionByName(more.select(*names)).distinct().withColumn("score", F.lit(0.0))
     return scored.unionByName(extra.select(*scored.columns))
 
@@ -139,9 +159,8 @@ def top_k(scored: DataFrame, k: int, diverse: bool = True) -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= max(k, 0)).drop("again")
 
 
-def search(index: Index, queries: DataFrame, k: int = 5) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 5, tokenizer: Tokenizer = tokenize) -> DataFrame:
     """results(query_id, rank, chunk keys, score, source) of the hybrid ranking with file diversity."""
-    place = index.chunks.select(*CHUNK, "file_key", "start_line", "end_line", "path_parts")
-    scored = hybrid_scores(index, query_terms(queries)).join(place, CHUNK)
-    best = top_k(with_fillers(scored, queries, place, k), k)
+    scored = hybrid_scores(index, query_terms(queries, tokenizer))
+    best = top_k(with_fillers(scored, queries, index.chunks, k), k)
     return best.withColumn("source", F.lit("hybrid"))

@@ -56,9 +56,10 @@ def recommended_checks(kind: Column, files: Column, commands: Mapping[str, Seque
 
 
 def decisions(kind: Column, confidence: Column, top_k: int, window: int, used_model: bool) -> Column:
+    """What a run was done with: profile, search parameters, and whether a model wrote the plan."""
     return F.array(
-        F.format_string("任务类型: %s, confidence=%.2f", kind, confidence),
-        F.lit(f"使用 Hybrid Search top_k={top_k}, recall_window={window}"),
-        F.lit("使用上下文压缩后的证据块生成 Agent 计划"),
-        F.lit("启用 LLM 生成实现草案" if used_model else "未启用 LLM，仅生成离线工作流和候选文件"),
+        F.format_string("profile: %s (%.2f)", kind, confidence),
+        F.lit(f"search: best {top_k} chunks by the hybrid score, neighbours up to {window} away"),
+        F.lit("evidence: neighbouring chunks merged into blocks"),
+        F.lit("plan: written by a model" if used_model else "plan: files and checks only, no model"),
     )

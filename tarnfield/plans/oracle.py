@@ -43,8 +43,8 @@ def field(name: str, bags: str, queries: str) -> str:
 
 TEST_PATH = "(starts_with(lower(file_path), 'tests/') or contains(lower(file_path), '/tests/'))"
 QUERIES = "queries as (select item_id as query_id, text as query from benchmark)"
-CASES = f"""cases as (select doc_id as query_id, substr(text, 1, 160) as query, p1, p2,
-  case when doc_id % 100 = 0 then [p1, p2, p1] else [p1, p2] end as relevant
+CASES = f"""cases as (select doc_id as query_id, text as query, p1, p2,
+  case when doc_id % 150 = 50 then ['absent/doc_' || doc_id || '.py'] when doc_id % 100 = 0 then [p1, p2, p1] else [p1, p2] end as relevant
   from (select *, {PATH} as p1, {PATH.replace('doc_id', '(doc_id + 1)')} as p2 from documents where doc_id % 50 = 0))"""
 
 

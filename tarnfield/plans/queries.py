@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,11 @@ from tarnfield.plans import oracle as O
 from tarnfield.plans import tables, workloads
 from tarnfield.plans.tables import read
 from tarnfield.plans.workloads import Corpus, Found
-from tarnfield.sources.cases import gold_of, query_of
+from tarnfield.sources import cases as case_files
+from tarnfield.sources import files as source_files
+from tarnfield.sources.memories import append_memories, read_memories
+from tarnfield.sources.scratch import durable, scratch_dir
+from tarnfield.streaming.memory_stream import append_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,14 +39,30 @@ def registered(sql: str | None) -> Callable[[Query], Query]:
     return keep
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]) -> object:
-    """Index tables and stages are stored tables: made once for an application and input, then read."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def _stamp(spark: SparkSession, sf_dir: str, tables_read: tuple[str, ...]) -> str:
+    """Names, sizes and times of the files behind the tables; it changes when an input does."""
+    files = [read(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for t in tables_read]
+    return str(sorted(tuple(map(str, r)) for f in files for r in f.collect()))
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object], tables_read: tuple[str, ...] = ("documents",)) -> object:
+    """Index tables and stages are stored tables: made once for an application and a state of the input, then read by several queries."""
+    key = (spark.sparkContext.applicationId, scratch_dir(spark), _stamp(spark, sf_dir, tables_read), name)
     if key not in _STORED:
         _STORED[key] = make()
     return _STORED[key]
 
 
+def forget_stages() -> None:
+    """The next query makes its index tables and stages anew."""
+    _STORED.clear()
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for what a query writes and loads again."""
+    return f"{scratch_dir(spark)}/tarnfield-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
 def docs_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return _once(spark, sf_dir, "corpus", lambda: workloads.build_corpus(tables.document_files(spark, sf_dir), SIZE, OVERLAP))
 
@@ -83,10 +104,11 @@ def rebuilt_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"with {O.FILES}, {O.chunks(SIZE, OVERLAP)}, bags as (select file_path, chunk_no, {O.tokens('text')} as toks from chunks_{SIZE}) select term, count(*) as tf, count(distinct (file_path, chunk_no)) as df from (select file_path, chunk_no, unnest(toks) as term from bags) group by 1")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts are made in each chunk's row, so only terms with sums are shuffled."""
     c = chunking.split_files(tables.document_files(spark, sf_dir), SIZE, OVERLAP)
-    t = c.select("file_path", "chunk_no", F.explode(tokens.tokenize(F.col("text"))).alias("term"))
-    each = t.groupBy("file_path", "chunk_no", "term").agg(F.count("*").alias("n"))
-    return each.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    counted = index.term_counts(tokens.tokenize(F.col("text")), F.array().cast("array<string>"))
+    t = c.select(F.explode(counted).alias("p")).select("p.term", "p.content_tf")
+    return t.groupBy("term").agg(F.sum("content_tf").alias("tf"), F.count("*").alias("df"))
 
 
 @registered(
@@ -103,30 +125,48 @@ _CJK_FROM, _CJK_TO = "abcdefghijklmnopqrstuvwxyz", "检索测试函数类文件
 _SYN_ROWS = ", ".join(f"('{k}', [{', '.join(repr(x) for x in v)}])" for k, v in tokens.SYNONYMS.items())
 
 
+_CJK_SQL = f"translate(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), '{_CJK_FROM}', '{_CJK_TO}')"
+
+
+def _chinese(text: str) -> Column:
+    """Texts with Chinese characters for Latin letters, all else as blanks."""
+    return F.translate(F.regexp_replace(F.lower(text), "[^a-z]+", " "), _CJK_FROM, _CJK_TO)
+
+
 @registered(
-    f"""with runs as (select doc_id, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_CJK_FROM}', '{_CJK_TO}'), 1, 12) as run from documents),
+    f"""with runs as (select doc_id, run_no, run from (select doc_id, unnest(string_split(t, ' ')) as run, generate_subscripts(string_split(t, ' '), 1) as run_no from (select doc_id, {_CJK_SQL} as t from documents)) where run <> ''),
     grams as (select doc_id, substr(run, i, n) as token from (select doc_id, run, n, unnest(range(1, length(run) - n + 2)) as i
-      from (select doc_id, run, unnest(range(1, least(4, length(run)) + 1)) as n from runs where run <> ''))),
+      from (select doc_id, run, unnest(range(1, least(4, length(run)) + 1)) as n from runs))),
     synonyms(k, v) as (values {_SYN_ROWS}),
-    words as (select distinct doc_id, unnest(v) as token from runs join synonyms on contains(run, k))
-    select doc_id, array_to_string(list_sort(list(token)), ' ') as tokens from (select * from grams union all select * from words) group by 1"""
+    words as (select distinct doc_id, run_no, unnest(v) as token from runs join synonyms on contains(run, k)),
+    every as (select doc_id, token from grams union all select doc_id, token from words)
+    select doc_id, count(*) as n_tokens, md5(array_to_string(list_sort(list(token)), ' ')) as tokens_md5 from every group by 1"""
 )
 def cjk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = F.substring(F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _CJK_FROM, _CJK_TO), 1, 12)
-    rows = read(spark, sf_dir, "documents").select("doc_id", run.alias("run")).filter("run <> ''")
-    return rows.select("doc_id", F.array_join(F.array_sort(tokens.tokenize(F.col("run"))), " ").alias("tokens"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", tokens.tokenize(_chinese("text")).alias("t")).filter(F.size("t") > 0)
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("tokens_md5"))
+
+
+@registered(
+    f"""with t as (select doc_id, case when doc_id % 2 = 0 then replace({_CJK_SQL}, ' ', '') else coalesce(text, '') end as t from documents)
+    select doc_id, regexp_full_match(t, '[一-鿿]*') as chinese from t"""
+)
+def chinese_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts hold Chinese characters only: those of even ids, put into Chinese letters."""
+    t = F.when(F.col("doc_id") % 2 == 0, F.replace(_chinese("text"), F.lit(" "), F.lit(""))).otherwise(F.coalesce("text", F.lit("")))
+    return read(spark, sf_dir, "documents").select("doc_id", tokens.is_chinese(t).alias("chinese"))
 
 
 @registered(f"with {O.corpus(SIZE, OVERLAP)}, {O.QUERIES}, {O.field('c', 'content_bag', 'queries')} select term, df, round(idf, 6) as idf from c_idf")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs_corpus(spark, sf_dir).index.terms.filter("field = 'content'")
-    return t.select("term", "df", rounded("idf").alias("idf"))
+    t = docs_corpus(spark, sf_dir).index.terms.filter("content_df > 0")
+    return t.select("term", F.col("content_df").alias("df"), rounded("content_idf").alias("idf"))
 
 
 @registered(f"with {O.corpus(SIZE, OVERLAP)}, {O.QUERIES}, {O.field('m', 'meta_bag', 'queries')} select term, df, round(idf, 6) as idf from m_idf")
 def metadata_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = docs_corpus(spark, sf_dir).index.terms.filter("field = 'metadata'")
-    return t.select("term", "df", rounded("idf").alias("idf"))
+    t = docs_corpus(spark, sf_dir).index.terms.filter("metadata_df > 0")
+    return t.select("term", F.col("metadata_df").alias("df"), rounded("metadata_idf").alias("idf"))
 
 
 # ---------------------------------------------------------------- search and evidence
@@ -139,16 +179,10 @@ def metadata_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     select * from ranked where rank <= {K}"""
 )
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five best chunks of each benchmark passage by the content field alone: files to ranking without stored tables."""
-    chunks = chunking.split_files(tables.document_files(spark, sf_dir), SIZE, OVERLAP)
-    bags = index.content_bags(chunks).withColumn("dl", F.size("tokens").cast("long"))
-    post = bags.select(*index.CHUNK, "dl", F.explode("tokens").alias("term")).groupBy(*index.CHUNK, "dl", "term").agg(F.count("*").alias("tf"))
-    sizes = bags.groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("field", F.lit("content"))
-    df = post.groupBy("corpus_id", "term").agg(F.count("*").alias("df")).withColumn("field", F.lit("content"))
-    built = index.Index(chunks, post, None, None, index.term_stats(df, sizes), sizes, None, None)
-    scored = search.content_scores(built, search.query_terms(tables.benchmark_queries(spark, sf_dir)))
-    place = chunks.select(*index.CHUNK, "file_key", "start_line", paths.path_parts(F.col("file_path")).alias("path_parts"))
-    best = search.top_k(scored.join(place, index.CHUNK), K, diverse=False)
+    """Five best chunks of each benchmark passage by the content field alone."""
+    own = docs_corpus(spark, sf_dir).index
+    scored = search.placed(own, search.content_scores(own, search.query_terms(tables.benchmark_queries(spark, sf_dir))))
+    best = search.top_k(scored, K, diverse=False)
     return best.select("query_id", "file_path", "chunk_no", rounded("score").alias("score"), "rank")
 
 
@@ -192,10 +226,28 @@ def rendered_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("query_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
 
 
-@registered(None)
+_BUDGET = 3000
+_FRAMED = """named as (select *, list_filter(all_sources, lambda x, i: list_position(all_sources, x) = i) as own, row_number() over (partition by query_id order by first_rank) as i from blocks),
+headed as (select query_id, i, '### [' || i || '] ' || file_path || ':' || start_line || '-' || end_line || ' (score=' || printf('%.4f', score) || ', '
+  || case when len(own) = 1 then 'source=' else 'sources=' end || array_to_string(own, ',') || case when chunk_count > 1 then ', chunks=' || chunk_count else '' end || ')' as head,
+  regexp_replace(text, '\\s+$', '') as code from named),
+framed as (select *, head || chr(10) || '```python' || chr(10) || code || chr(10) || '```' as whole from headed)"""
+
+
+def _budget_sql(most: int) -> str:
+    cut = context.CUT_MARK.replace("\n", "' || chr(10) || '")
+    room = f"greatest(0, {most} - s.used - (length(head) + 14) - 20)"
+    shown = f"""case when length(whole) <= {most} - s.used then whole when {room} > 0 then head || chr(10) || '```python' || chr(10) || substr(code, 1, {room}) || '{cut}' || chr(10) || '```'
+      else regexp_replace(substr(whole, 1, greatest(0, {most} - s.used - 40)), '\\s+$', '') || '{cut}' end"""
+    return f"""{_FRAMED}, steps as (select query_id, cast(0 as bigint) as i, cast(0 as bigint) as used, '' as shown from (select distinct query_id from blocks)
+      union all select s.query_id, f.i, s.used + length({shown}), {shown} from steps s join framed f on f.query_id = s.query_id and f.i = s.i + 1 where s.used < {most}),
+    contexts as (select query_id, string_agg(shown, chr(10) || chr(10) order by i) as context from steps where i > 0 group by 1)"""
+
+
+@registered(f"{_STAGES.replace('with ', 'with recursive ', 1)}, {_budget_sql(_BUDGET)} select query_id, cast(length(context) as int) as n_chars, md5(context) as context_md5 from contexts")
 def budgeted_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sequential budget over few blocks of each query; tested against a plain loop."""
-    c = context.render(docs_found(spark, sf_dir).blocks, 3000)
+    """A sequential budget over few blocks of each query."""
+    c = context.render(docs_found(spark, sf_dir).blocks, _BUDGET)
     return c.select("query_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"))
 
 
@@ -247,10 +299,17 @@ def stage_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("reasons", F.array_join("reasons", ","))
 
 
-@registered(f"{_EVAL} select query_id, diagnosis from diagnosed where not final_hit")
+_REASONS_SQL = """array_to_string(list_filter([case when not seed_hit then 'query_token_mismatch_or_chunking' when not recall_hit then 'recall_window_insufficient'
+      when seed_hit and not final_hit then 'post_filter_dropped_relevant_chunk' end, case when recall_hit and not final_hit then 'rerank_or_topk_cutoff' end], lambda x: x is not null), ',')"""
+
+
+@registered(
+    f"""{_EVAL} select query_id as id, md5(query) as query_md5, {_REASONS_SQL} as reasons, '{"|".join(evaluate.HINTS)}' as hints from diagnosed join cases using (query_id) where not final_hit"""
+)
 def bad_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = docs_evaluation(spark, sf_dir).flags
-    return flags.filter(~F.col("final_hit")).select("query_id", "diagnosis")
+    e = docs_evaluation(spark, sf_dir)
+    records = evaluate.case_records(tables.document_cases(spark, sf_dir), e.metrics, e.flags, retrieval_traces(spark, sf_dir))
+    return evaluate.bad_case_table(records).select("id", F.md5("query").alias("query_md5"), F.array_join("reasons", ",").alias("reasons"), F.array_join("prompt_hints", "|").alias("hints"))
 
 
 @registered(
@@ -293,12 +352,16 @@ def evaluation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     f"""{_EVAL}, known(position, diagnosis) as (values {', '.join(f"({i + 1}, '{d}')" for i, d in enumerate(evaluate.DIAGNOSES))})
-    select cast(position as int) as position, diagnosis, count(query_id) as n, coalesce(string_agg(cast(query_id as varchar), ',' order by query_id), '') as case_ids
-    from known left join diagnosed using (diagnosis) group by all"""
+    select cast(position as int) as position, diagnosis, count(query_id) as n from known left join diagnosed using (diagnosis) group by all"""
 )
 def diagnosis_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = evaluate.diagnosis_histogram(docs_evaluation(spark, sf_dir).flags.select("query_id", "diagnosis"))
-    return h.withColumn("case_ids", F.array_join(F.transform("case_ids", lambda x: x.cast("string")), ","))
+    return evaluate.diagnosis_histogram(docs_evaluation(spark, sf_dir).flags.select("query_id", "diagnosis"))
+
+
+@registered(f"{_EVAL} select query_id, diagnosis from diagnosed")
+def diagnosed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids behind the histogram, a row for each."""
+    return evaluate.labelled(docs_evaluation(spark, sf_dir).flags.select("query_id", "diagnosis"))
 
 
 @registered(
@@ -311,43 +374,90 @@ def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     f"""{_STAGES}, totals as (select query_id, coalesce(sum(length(text)), 0) as total from cases left join blocks using (query_id) group by 1)
-    select count(*) as case_count, round(avg(total), 6) as avg_chars, cast(max(total) as bigint) as max_chars, 2000 as warning_threshold,
-      coalesce(string_agg(cast(query_id as varchar), ',' order by query_id) filter (where total > 2000), '') as over_threshold from totals"""
+    select count(*) as case_count, round(avg(total), 6) as avg_chars, cast(max(total) as bigint) as max_chars, 2000 as warning_threshold, count(*) filter (where total > 2000) as n_over from totals"""
 )
 def context_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.context_stats(docs_context_sizes(spark, sf_dir), 2000)
+
+
+@registered(f"{_STAGES} select query_id, cast(coalesce(sum(length(text)), 0) as bigint) as total from cases left join blocks using (query_id) group by 1 having total > 2000")
+def long_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_context_sizes(spark, sf_dir).filter("total > 2000")
+
+
+def docs_context_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = docs_found(spark, sf_dir).blocks.select("query_id", F.length("text").alias("char_count"), "text", F.lit(None).cast("string").alias("preview"))
-    s = evaluate.context_stats(blocks, tables.document_cases(spark, sf_dir), 2000)
-    return s.withColumn("over_threshold", F.array_join(F.transform("over_threshold", lambda x: x.cast("string")), ","))
+    return evaluate.context_sizes(blocks, tables.document_cases(spark, sf_dir))
 
 
-_GRID = ((4, 1, 1), (6, 1, 1), (6, 1, 2))
 _GRID_SQL = " union all ".join(
     f"(with {O.CASES}, {O.retrieval('cases', K, w, s, o)}, {O.HITS}, {O.flags(K)} select {i} as setting_no, {s} as chunk_size, {o} as overlap, {w} as recall_window, round(avg(rr), 6) as mrr from metrics)"
-    for i, (s, o, w) in enumerate(_GRID)
+    for i, (s, o, w) in enumerate(evaluate.SETTINGS)
 )
 
 
+def docs_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    make = lambda: durable(workloads.parameter_search(spark, tables.document_files(spark, sf_dir), tables.document_cases(spark, sf_dir), K))
+    return _once(spark, sf_dir, "settings", make)
+
+
 @registered(_GRID_SQL)
 def parameter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workloads.parameter_search(spark, tables.document_files(spark, sf_dir), tables.document_cases(spark, sf_dir), K, _GRID)
+    return docs_settings(spark, sf_dir)
+
+
+@registered(f"select * from ({_GRID_SQL}) order by mrr desc, setting_no limit 1")
+def best_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.best_setting(docs_settings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- sources
+
+
+@registered(
+    """with t as (select doc_id, case doc_id % 7 when 0 then 'legacy' when 1 then 'src/__pycache__' when 2 then 'src/legacy' else 'src' end as folder, text from documents)
+    select doc_id, folder, md5(coalesce(text, '') || chr(10)) as text_md5 from t where folder not in ('legacy', 'src/__pycache__')"""
+)
+def loaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files into four folders, two of them ignored, and loaded again."""
+    root = _folder(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    folders = {0: "legacy", 1: "src/__pycache__", 2: "src/legacy"}
+    place = F.col("doc_id") % 7
+    for n, folder in (folders | {3: "src"}).items():
+        own = docs.filter(place == n if n < 3 else place >= 3)
+        own.repartition("doc_id").write.partitionBy("doc_id").mode("append").text(f"{root}/{folder}")
+    found = source_files.in_file_order(source_files.load_files(spark, root, "written", "*.txt"))
+    parts = F.split("file_path", "/doc_id=")
+    return found.select(F.regexp_extract("file_path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), F.get(parts, 0).alias("folder"), F.md5("text").alias("text_md5"))
 
 
 @registered(
-    """select doc_id, case when doc_id % 3 = 0 then 'case-x' || doc_id else 'own-' || doc_id end as query_id, substr(text, 1, 20) as query, case when doc_id % 2 = 0 then 'a.py,b.py' else 'c.py' end as relevant
-    from documents where doc_id % 5 <> 0"""
+    """with raw as (select *, row_number() over (order by doc_id) as no from documents where coalesce(text, '') <> '')
+    select case when doc_id % 3 = 0 then 'case-' || no else 'own-' || doc_id end as query_id, md5(text) as query_md5, case when doc_id % 2 = 0 then 'a.py,b.py' else 'c.py' end as relevant from raw where doc_id % 5 <> 0"""
 )
 def normalized_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases that give question for query and gold_files for relevant, in turn, and some without gold that are set aside."""
-    i, none = F.col("doc_id"), F.lit(None).cast("array<string>")
+    """Cases written as JSON lines and loaded again: question stands for query and gold_files for relevant in turn, one id in three is missing, and cases without gold are set aside."""
+    i, path = F.col("doc_id"), _folder(spark)
+    none = F.lit(None).cast("array<string>")
     gold = F.when(i % 2 == 0, F.array(F.lit("a.py"), F.lit("b.py"))).otherwise(F.array(F.lit("c.py")))
-    text = F.substring("text", 1, 20)
-    raw = read(spark, sf_dir, "documents").select(
-        i, F.when(i % 3 == 0, F.concat(F.lit("case-x"), i.cast("string"))).otherwise(F.concat(F.lit("own-"), i.cast("string"))).alias("id"),
-        F.when(i % 4 == 0, "").otherwise(text).alias("query"), F.when(i % 4 == 0, text).alias("question"),
+    raw = read(spark, sf_dir, "documents").filter("coalesce(text, '') <> ''").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(
+        F.when(i % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("own-"), i.cast("string"))).alias("id"),
+        F.when(i % 4 == 0, "").otherwise(F.col("text")).alias("query"), F.when(i % 4 == 0, F.col("text")).alias("question"),
         F.when((i % 5 != 0) & (i % 2 == 0), gold).otherwise(F.array().cast("array<string>")).alias("relevant"), F.when((i % 5 != 0) & (i % 2 == 1), gold).otherwise(none).alias("gold_files"),
     )
-    rows = raw.select("doc_id", F.col("id").alias("query_id"), query_of().alias("query"), gold_of().alias("relevant"))
-    return rows.filter("query is not null and relevant is not null").withColumn("relevant", F.array_join("relevant", ","))
+    case_files.write_json(raw, path)
+    rows = case_files.normalize_cases(case_files.load_cases(spark, f"{path}/*.json", lines=True), strict=False)
+    return rows.select("query_id", F.md5("query").alias("query_md5"), F.array_join("relevant", ",").alias("relevant"))
+
+
+@registered(f"with {O.CASES} select query_id, md5(query) as query_md5, array_to_string(relevant, ',') as relevant, 'run/trace_stage_files.jsonl' as stage_files from cases")
+def written_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as JSON and read back, with the name of the file that goes beside their traces."""
+    path, cases = _folder(spark), tables.document_cases(spark, sf_dir)
+    case_files.write_json(cases, path)
+    again = spark.read.schema(cases.schema).json(path)
+    return again.select("query_id", F.md5("query").alias("query_md5"), F.array_join("relevant", ",").alias("relevant"), F.lit(case_files.sibling_paths("run/trace.jsonl")[0]).alias("stage_files"))
 
 
 # ---------------------------------------------------------------- code structure
@@ -383,13 +493,28 @@ def symbols_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(key.alias("s_suppkey"), "chunk_no", names.alias("symbols"))
 
 
+@registered(
+    f"""with base as (select s_suppkey as k, s_nationkey as n, {_BROKEN} as broken, {_MODULE} as module from supplier),
+    named as (select *, 'class Part_' || k || ' Part_' || k || ' signature Part_' || k || '(Base)' as c, 'function load_' || k || ' Part_' || k || '.load_' || k || ' signature load_' || k || '(self, path_' || n || ')' as f,
+      'async_function run_' || k || ' run_' || k || ' signature run_' || k || '(a, key, more)' as r from base),
+    parts as (select *, unnest([0, 1, 2, 3]) as chunk_no from named)
+    select k as s_suppkey, chunk_no, 'module ' || module || ' filetree code n' || n || ' symbols ' || case when broken then '' else case chunk_no when 0 then 'Part_' || k || ' load_' || k || ' run_' || k
+        when 1 then c || ' ' || f when 2 then c || ' ' || f || ' ' || r else r end end || ' imports ' || case when broken then '' else 'pkg.m_' || n || ' pkg m_' || n || ' lib.util lib util helper_' || n || ' lib.util.helper_' || n end
+      || ' calls ' || case when broken then '' else 'helper_' || n || ' client.send_' || n || ' send_' || n end as metadata from parts"""
+)
+def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tables.code_files(spark, sf_dir)
+    m = facts.chunk_metadata(chunking.split_files(files, 4, 1), facts.file_facts(files))
+    return m.select(F.regexp_extract("file_path", "part_([0-9]+)", 1).cast("long").alias("s_suppkey"), "chunk_no", "metadata")
+
+
 @registered(
     f"""with base as (select s_suppkey, s_nationkey, {_BROKEN} as broken from supplier)
     select s_suppkey as query_id, 'Code/N' || s_nationkey || '/part_' || s_suppkey || '.py' as file_path from base where not broken"""
 )
 def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each class is asked for by signature; the best hit is its own file, by structure and names together."""
-    corpus = _once(spark, sf_dir, "code", lambda: workloads.build_corpus(tables.code_files(spark, sf_dir), 4, 1))
+    corpus = _once(spark, sf_dir, "code", lambda: workloads.build_corpus(tables.code_files(spark, sf_dir), 4, 1), ("supplier",))
     s = read(spark, sf_dir, "supplier").filter("s_suppkey % 7 <> 0")
     asked = s.select(F.col("s_suppkey").alias("query_id"), F.lit("code").alias("corpus_id"), F.concat(F.lit("signature of class Part_"), F.col("s_suppkey").cast("string"), F.lit(" load_"), F.col("s_suppkey").cast("string")).alias("query"))
     return search.search(corpus.index, asked, 1).select("query_id", "file_path")
@@ -427,22 +552,35 @@ def checked_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    f"""{_ANSWERS}, n as (select query_id, count(*) as n_citations, count(*) filter (where not supported) as bad from cited group by 1)
-    select query_id, coalesce(n_citations, 0) as n_citations, coalesce(bad, 0) as n_invalid, i = 3 as missing_citations, i = 3 or coalesce(bad, 0) > 0 as has_issues from one left join n using (query_id)"""
+    f"""{_ANSWERS}, n as (select query_id, count(*) as n_citations, count(*) filter (where not supported) as bad,
+      string_agg('{citations.REPORT_INVALID}' || path || ':' || start_line || '-' || end_line, chr(10) order by citation_no) filter (where not supported) as lines from cited group by 1),
+    told as (select *, case i when 0 then 'see ' || file_path || ':' || a || '-' || b || '.' when 1 then 'in ' || file_path || ':' || a || '-' || (b + 1000) || ' and ' || name || ':' || a || '-' || a
+      when 2 then 'cf. ' || name || ':' || b || '-' || b || ', ' || name || ':' || (b + 1) || '-' || a when 3 then 'It is so.' else 'There is not enough evidence.' end as answer from one)
+    select query_id, coalesce(n_citations, 0) as n_citations, coalesce(bad, 0) as n_invalid, i = 3 as missing_citations, i = 3 or coalesce(bad, 0) > 0 as has_issues,
+      case when i = 3 then answer || chr(10) || chr(10) || '{citations.REPORT_TITLE}' || chr(10) || '{citations.REPORT_MISSING}' when bad > 0 then answer || chr(10) || chr(10) || '{citations.REPORT_TITLE}' || chr(10) || lines else answer end as report
+    from told left join n using (query_id)"""
 )
 def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = docs_found(spark, sf_dir).blocks
     v = citations.validate(_answers(blocks), blocks)
-    return v.select("query_id", "n_citations", F.size("invalid").cast("long").alias("n_invalid"), "missing_citations", "has_issues")
+    return v.select("query_id", "n_citations", F.size("invalid").cast("long").alias("n_invalid"), "missing_citations", "has_issues", "report")
+
+
+_MODES = [*prompts.TEMPLATES, "unknown"]
+_BY_MODE = [" ".join(f"when '{m}' then '{texts[i]}'" for m, texts in prompts.TEMPLATES.items()) + f" else '{prompts.TEMPLATES[prompts.DEFAULT_MODE][i]}' end" for i in (0, 1)]
 
 
-@registered(None)
+@registered(
+    f"""{_STAGES}, {_FRAMED}, shown as (select query_id, string_agg(whole, chr(10) || chr(10) order by i) as context from framed group by 1),
+    moded as (select query_id, query, coalesce(context, '') as context, [{', '.join(repr(m) for m in _MODES)}][(query_id // 50) % 6 + 1] as mode from cases left join shown using (query_id))
+    select query_id, case mode {_BY_MODE[0]} as system, md5('## Question' || chr(10) || query || chr(10) || chr(10) || '## Evidence' || chr(10) || context || chr(10) || chr(10) || case mode {_BY_MODE[1]}) as user_md5 from moded"""
+)
 def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages for each case under a mode chosen by its id; texts are templates of this library."""
-    modes = F.array(*map(F.lit, [*prompts.TEMPLATES, "unknown"]))
-    cases = tables.document_cases(spark, sf_dir).join(context.render(docs_found(spark, sf_dir).blocks), "query_id", "left")
-    rows = cases.withColumn("mode", F.get(modes, (F.col("query_id") / 50).cast("int") % 6))
-    return prompts.answer_prompts(rows)
+    cases = tables.document_cases(spark, sf_dir).join(context.render(docs_found(spark, sf_dir).blocks, 10_000_000), "query_id", "left")
+    rows = cases.withColumn("mode", F.get(F.array(*map(F.lit, _MODES)), (F.col("query_id") / 50).cast("int") % 6))
+    m = prompts.answer_prompts(rows)
+    return m.select("query_id", F.get("messages", 0)["content"].alias("system"), F.md5(F.get("messages", 1)["content"]).alias("user_md5"))
 
 
 # ---------------------------------------------------------------- tasks and memory
@@ -454,11 +592,11 @@ _HINTS = ("fix the BUG and bad case", "run pytest", "trace recall and mrr", "upd
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = read(spark, sf_dir, "conversations").filter("role = 'user'")
     hint = F.get(F.array(*map(F.lit, _HINTS)), (F.col("conv_id") % 6).cast("int"))
-    return users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("task_id"), F.col("conv_id"), F.concat(F.substring("text", 1, 60), F.lit(" "), hint).alias("task"))
+    return users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("task_id"), F.col("conv_id"), F.concat("text", F.lit(" "), hint).alias("task"))
 
 
 _HINT_SQL = f"[{', '.join(repr(h) for h in _HINTS)}][conv_id % 6 + 1]"
-_TASK_SQL = f"tasks as (select conv_id * 1000 + turn as task_id, conv_id, substr(text, 1, 60) || ' ' || {_HINT_SQL} as task from conversations where role = 'user')"
+_TASK_SQL = f"tasks as (select conv_id * 1000 + turn as task_id, conv_id, text || ' ' || {_HINT_SQL} as task from conversations where role = 'user')"
 _RULE_SQL = ", ".join(f"struct_pack(kind := '{k}', words := list_filter([{', '.join(repr(w) for w in ws)}], lambda w: contains(lower(task), w)))" for k, ws in tasks.RULES)
 
 
@@ -472,10 +610,10 @@ def task_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A memory for each user turn: its opening as the task, the answer's opening as the summary, files by conversation."""
+    """A memory for each user turn: its text as the task, the answer as the summary, files by conversation."""
     c = read(spark, sf_dir, "conversations")
-    user = c.filter("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 40).alias("task"))
-    reply = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.substring("text", 1, 60).alias("summary"))
+    user = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("task"))
+    reply = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("summary"))
     a, b = F.concat(F.lit("src/m_"), (F.col("conv_id") % 4).cast("string"), F.lit(".py")), F.lit("src/a.py")
     files = F.when(F.col("conv_id") % 2 == 0, F.array(a, b)).otherwise(F.array(b, a))
     rows = user.join(reply, ["conv_id", "turn"], "left")
@@ -483,7 +621,7 @@ def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "task", F.lit("planned").alias("status"), F.coalesce("summary", F.lit("")).alias("summary"), files.alias("files"), F.array(F.lit("keep")).alias("decisions"))
 
 
-_MEMORY_SQL = """memories as (select u.conv_id * 1000 + u.turn as seq, u.conv_id, substr(u.text, 1, 40) as task, coalesce(substr(a.text, 1, 60), '') as summary,
+_MEMORY_SQL = """memories as (select u.conv_id * 1000 + u.turn as seq, u.conv_id, u.text as task, coalesce(a.text, '') as summary,
   case when u.conv_id % 2 = 0 then ['src/m_' || (u.conv_id % 4) || '.py', 'src/a.py'] else ['src/a.py', 'src/m_' || (u.conv_id % 4) || '.py'] end as files
   from conversations u left join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user')"""
 
@@ -506,11 +644,53 @@ def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with {_MEMORY_SQL}, keyed as (select *, trim(regexp_replace(lower(task), '\\s+', ' ', 'g')) as k, list_sort(files) as f from memories),
     fresh as (select *, row_number() over (partition by k, f order by seq) as n from keyed b where conv_id % 3 <> 0
       and not exists (select 1 from keyed s where s.conv_id % 3 = 0 and s.k = b.k and s.f = b.f))
-    select seq, task from fresh where n = 1"""
+    select seq, md5(task) as task_md5 from fresh where n = 1"""
 )
 def memory_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _memories(spark, sf_dir)
-    return memory.new_memories(m.filter("conv_id % 3 <> 0"), m.filter("conv_id % 3 = 0")).select("seq", "task")
+    return memory.new_memories(m.filter("conv_id % 3 <> 0"), m.filter("conv_id % 3 = 0")).select("seq", F.md5("task").alias("task_md5"))
+
+
+@registered(f"with {_MEMORY_SQL} select md5(task) as task_md5, md5(summary) as summary_md5, array_to_string(files, ',') as files, count(*) as n from memories group by all")
+def stored_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories appended to a store in two batches and read back."""
+    m, store = _memories(spark, sf_dir), _folder(spark)
+    for part in (0, 1):
+        append_memories(m.filter(F.col("conv_id") % 2 == part), store)
+    rows = read_memories(spark, store)
+    return rows.groupBy(F.md5("task").alias("task_md5"), F.md5("summary").alias("summary_md5"), F.array_join("files", ",").alias("files")).agg(F.count("*").alias("n"))
+
+
+@registered(
+    f"""with {_MEMORY_SQL}, keyed as (select *, md5(trim(regexp_replace(lower(task), '\\s+', ' ', 'g'))) as task_key, array_to_string(list_sort(files), ',') as files_key from memories)
+    select task_key, files_key, count(*) filter (where conv_id % 3 = 0) + cast(count(*) filter (where conv_id % 3 = 0) = 0 as int) as n from keyed group by 1, 2"""
+)
+def streamed_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that holds the memories of one conversation in three, and the others arriving as a stream: an identity that is stored is not added again."""
+    m, store, arriving, state = _memories(spark, sf_dir), *[_folder(spark) for _ in range(3)]
+    append_memories(m.filter("conv_id % 3 = 0"), store)
+    append_memories(m.filter("conv_id % 3 <> 0"), arriving)
+    append_stream(spark, arriving, store, state).awaitTermination()
+    key, files = memory.identity()
+    rows = read_memories(spark, store).select(F.md5(key).alias("task_key"), F.array_join(files, ",").alias("files_key"))
+    return rows.groupBy("task_key", "files_key").agg(F.count("*").alias("n"))
+
+
+@registered(
+    f"""with {_TASK_SQL}, hit as (select task_id, task, list_filter([{_RULE_SQL}], lambda x: len(x.words) > 0)[1] as h from tasks),
+    known as (select task_id, task, coalesce(h.kind, 'general') as kind, case when h is null then 0.2 else least(0.95, 0.45 + 0.15 * len(h.words)) end as confidence, coalesce(array_to_string(h.words, ', '), '') as reasons from hit),
+    checked as (select *, case {' '.join(f"when kind = '{k}' then '{', '.join(c)}'" for k, c in tasks.CHECKS.items())} end as checks from known)
+    select task_id, kind, md5('## Task' || chr(10) || task || chr(10) || chr(10) || '## Profile' || chr(10) || '- kind: ' || kind || chr(10) || '- confidence: ' || printf('%.2f', cast(confidence as double)) || chr(10) || '- reasons: ' || reasons
+      || chr(10) || '- recommended_checks: ' || checks || chr(10) || chr(10) || '## Memories' || chr(10) || 'Nothing like it was done before.' || chr(10) || chr(10) || '## Evidence' || chr(10)) as user_md5 from checked"""
+)
+def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages for tasks without memories and evidence."""
+    none = F.array().cast("array<string>")
+    rows = _tasks(spark, sf_dir).select("task_id", "task", tasks.profile(F.col("task")).alias("p")).select(F.col("task_id").alias("query_id"), "task", "p.*")
+    empty = F.array().cast("array<struct<created_at: string, status: string, summary: string, files: array<string>>>")
+    rows = rows.withColumns({"checks": tasks.recommended_checks(F.col("kind"), none), "memories": memory.format_memories(empty), "context": F.lit(None).cast("string")})
+    m = prompts.task_prompts(rows).join(rows.select("query_id", "kind"), "query_id")
+    return m.select(F.col("query_id").alias("task_id"), "kind", F.md5(F.get("messages", 1)["content"]).alias("user_md5"))
 
 
 _CANDIDATE_SQL = f"""{_STAGES}, first_rank as (select query_id, file_path, min(rank) as r from final group by all),
@@ -531,11 +711,23 @@ def recommended_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("query_id", F.array_join(tasks.recommended_checks(F.lit("feature"), F.col("files")), ";").alias("checks"))
 
 
-@registered(None)
+_CHECKS_SQL = " ".join(f"when '{k}' then [{', '.join(repr(c) for c in lines)}]" for k, lines in tasks.CHECKS.items())
+_CASE_RULES = _RULE_SQL.replace("lower(task)", "lower(query)")
+
+
+@registered(
+    f"""{_CANDIDATE_SQL}, {_MEMORY_SQL}, toks as (select seq, unnest(list_distinct({O.tokens("task || ' ' || summary || ' ' || array_to_string(files, ' ') || ' keep'")})) as token from memories),
+    words as (select query_id, unnest(list_distinct({O.tokens('query')})) as token from cases), near as (select query_id, count(distinct seq) as n from words join toks using (token) group by 1),
+    hit as (select query_id, query, list_filter([{_CASE_RULES}], lambda x: len(x.words) > 0)[1] as h from cases), known as (select query_id, query, coalesce(h.kind, 'general') as kind from hit)
+    select query_id, kind, array_to_string(coalesce(files, []), ',') as files, cast(least(n, 5) as int) as n_memories,
+      array_to_string(list_concat(list_transform(list_filter(coalesce(files, []), lambda f: starts_with(f, 'tests/')), lambda f: 'python -m unittest ' || replace(regexp_replace(f, '\\.py$', ''), '/', '.')), case kind {_CHECKS_SQL} end), ';') as checks,
+      md5('Task: ' || query || ' | files: ' || case when len(coalesce(files, [])) > 0 then array_to_string(files[:3], ', ') else 'none' end) as summary_md5
+    from known left join listed using (query_id) left join near using (query_id)"""
+)
 def task_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile, memories, files, checks and new memory record of every case taken as a task."""
     runs = workloads.task_runs(docs_corpus(spark, sf_dir), tables.document_cases(spark, sf_dir), _memories(spark, sf_dir), "2024-01-02T00:00:00+00:00")
-    return runs.select("query_id", "profile.kind", F.array_join("files", ",").alias("files"), F.size("memories").alias("n_memories"), F.array_join("checks", ";").alias("checks"), "memory.summary")
+    return runs.select("query_id", "profile.kind", F.array_join("files", ",").alias("files"), F.size("memories").alias("n_memories"), F.array_join("checks", ";").alias("checks"), F.md5("memory.summary").alias("summary_md5"))
 
 
 # ---------------------------------------------------------------- paths and patching

@@ -40,9 +40,13 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth document asks with its opening; its own file and the next document's of that source are the gold files, the first listed twice where the id is a multiple of 100."""
+    """Every fiftieth document asks with its text; its own file and the next document's of that source are the gold files.
+
+    The first is listed twice where the id is a multiple of 100; one case in three has a gold file that the corpus lacks.
+    """
     docs = read(spark, sf_dir, "documents").filter("doc_id % 50 = 0")
     own = path_of(F.col("doc_id"), F.col("source"))
     other = path_of(F.col("doc_id") + 1, F.col("source"))
-    gold = F.when(F.col("doc_id") % 100 == 0, F.array(own, other, own)).otherwise(F.array(own, other))
-    return docs.select(F.col("doc_id").alias("query_id"), F.lit(CORPUS).alias("corpus_id"), F.substring("text", 1, 160).alias("query"), gold.alias("relevant"))
+    absent = F.concat(F.lit("absent/doc_"), F.col("doc_id").cast("string"), F.lit(".py"))
+    gold = F.when(F.col("doc_id") % 150 == 50, F.array(absent)).when(F.col("doc_id") % 100 == 0, F.array(own, other, own)).otherwise(F.array(own, other))
+    return docs.select(F.col("doc_id").alias("query_id"), F.lit(CORPUS).alias("corpus_id"), F.col("text").alias("query"), gold.alias("relevant"))

@@ -11,26 +11,27 @@ from pyspark.sql import functions as F
 from tarnfield.operators import context, evaluate, index, memory, recall, search, tasks
 from tarnfield.operators.chunking import split_files
 from tarnfield.operators.facts import file_facts
-from tarnfield.operators.index import CHUNK, Index
-from tarnfield.sources.scratch import durable
+from tarnfield.operators.index import CHUNK, Index, Tokenizer
+from tarnfield.functions.tokens import tokenize
+from tarnfield.sources.scratch import durable, sized_broadcast
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """Chunks with text, and the stored index tables over them."""
+    """Chunks with text, the stored index tables over them, and the tokens that made them."""
 
     chunks: DataFrame
     index: Index
+    tokenizer: Tokenizer = tokenize
 
 
-def build_corpus(files: DataFrame, chunk_size: int = 40, overlap: int = 5) -> Corpus:
-    """Chunk, parse and index files(corpus_id, file_path, text) once; the tables are written and serve any number of queries."""
-    chunks = durable(split_files(files, chunk_size, overlap))
-    built = index.build(chunks, durable(file_facts(files)))
-    stored: dict[str, DataFrame] = {}
-    for name in ("chunks", "content", "own_meta", "file_meta", "structure", "file_structure"):
-        stored[name] = durable(getattr(built, name))
-    return Corpus(chunks, Index(**stored, terms=durable(built.terms), corpora=durable(built.corpora)))
+def build_corpus(files: DataFrame, chunk_size: int = 40, overlap: int = 5, tokenizer: Tokenizer = tokenize) -> Corpus:
+    """Chunk, parse and index files(corpus_id, file_path, text), whose paths are unique; the tables are written and serve any number of queries."""
+    # the numbers are written with the chunks, so they stay
+    chunks = durable(split_files(files, chunk_size, overlap).withColumn("chunk_id", F.monotonically_increasing_id()))
+    built = index.build(chunks, durable(file_facts(files)), tokenizer)
+    stored = {name: durable(getattr(built, name)) for name in ("chunks", "terms", "structure", "file_structure")}
+    return Corpus(chunks, Index(**stored, postings=built.postings, corpora=built.corpora), tokenizer)
 
 
 @dataclass(frozen=True)
@@ -53,8 +54,8 @@ def retrieve(
     recall_limit of -1 means the default for k and window, None no limit.
     """
     wide = candidate_k or top_k
-    place = corpus.index.chunks.select(*CHUNK, "file_key", "start_line", "end_line", "path_parts")
-    scored = durable(search.hybrid_scores(corpus.index, search.query_terms(queries)).join(place, CHUNK))
+    place = corpus.index.chunks
+    scored = durable(search.hybrid_scores(corpus.index, search.query_terms(queries, corpus.tokenizer)))
     ranked = search.top_k(search.with_fillers(scored, queries, place, wide), wide)
     seeds = durable(ranked.withColumn("source", F.lit("hybrid")).select(*recall.RESULT, "rank"))
     limit = recall.default_limit(wide, window) if recall_limit == -1 else recall_limit
@@ -69,8 +70,8 @@ def retrieve(
 
 
 def with_text(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    """results with their chunks' text: only now, for a few rows, is the text read."""
-    return chunks.select(*CHUNK, "text").join(F.broadcast(results), CHUNK) if results.count() <= 100_000 else results.join(chunks.select(*CHUNK, "text"), CHUNK)
+    """Stored results with their chunks' text: only now, for a few rows, is the text read."""
+    return chunks.select(*CHUNK, "text").join(sized_broadcast(results), CHUNK)
 
 
 @dataclass(frozen=True)

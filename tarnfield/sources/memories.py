@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnfield.operators.memory import SCHEMA
 
 
+def _parsed(lines: DataFrame) -> DataFrame:
+    """lines(value, ...) that are not blank, with the record m and whether it is none."""
+    record = F.from_json("value", f"{SCHEMA}, broken string", {"columnNameOfCorruptRecord": "broken"})
+    return lines.filter(F.trim("value") != "").withColumn("m", record).withColumn("is_broken", F.col("m").isNull() | F.col("m.broken").isNotNull())
+
+
+def broken_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of the lines that are no memory record; it reads files as a whole, so call it only when something is wrong."""
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")
+    whole = spark.read.text(path, wholetext=True).select(name, F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    return _parsed(whole).filter("is_broken").select("file", (F.col("at") + 1).alias("line_no"), "value")
+
+
 def read_memories(spark: SparkSession, path: str) -> DataFrame:
-    """All stored memories; none where the store does not exist yet; a broken record fails the read."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+    """All stored memories; none where the store does not exist yet; a broken record fails the read with its file and line number."""
+    try:
+        rows = _parsed(spark.read.text(path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
+    if not rows.filter("is_broken").isEmpty():
+        first = broken_records(spark, path).orderBy("file", "line_no").first()
+        raise ValueError(f"broken memory record in {first['file']}, line {first['line_no']}")
+    return rows.select("m.*").drop("broken")
 
 
 def append_memories(memories: DataFrame, path: str) -> None:

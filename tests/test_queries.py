@@ -28,3 +28,17 @@ def test_query_equals_its_sql(spark, small, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["query_id", "file_path", "chunk_no", "score", "rank"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """A copy of the repository without the subpackage and the pipeline still registers the other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copytree(root / "tarnfield", tmp_path / "tarnfield", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_search' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)

@@ -27,9 +27,8 @@ def test_bm25_equals_plain_formula(spark):
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(30)] + ["the"] * 20
     bodies = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 40))) for _ in range(25)]
-    chunks = chunking.split_files(spark.createDataFrame([("c", f"f{i}", b) for i, b in enumerate(bodies)], FILES))
-    bags = index.content_bags(chunks).withColumn("dl", F.size("tokens").cast("long"))
-    docs = {r["file_path"]: r["tokens"] for r in bags.collect()}
+    corpus = workloads.build_corpus(spark.createDataFrame([("c", f"f{i}", b) for i, b in enumerate(bodies)], FILES))
+    docs = {r["file_path"]: r["tokens"] for r in corpus.chunks.select("file_path", index.content_tokens().alias("tokens")).collect()}
     n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
     df = {t: sum(t in d for d in docs.values()) for d in docs.values() for t in d}
     raw = {t: math.log(n - c + 0.5) - math.log(c + 0.5) for t, c in df.items()}
@@ -41,11 +40,8 @@ def test_bm25_equals_plain_formula(spark):
         parts = [idf[t] * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for t in search_tokens(spark, query) if t in d]
         if parts:
             want[name] = sum(parts)
-    post = bags.select(*index.CHUNK, "dl", F.explode("tokens").alias("term")).groupBy(*index.CHUNK, "dl", "term").agg(F.count("*").alias("tf"))
-    corpora = bags.groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("field", F.lit("content"))
-    dfs = post.groupBy("corpus_id", "term").agg(F.count("*").alias("df")).withColumn("field", F.lit("content"))
-    built = index.Index(chunks, post, None, None, index.term_stats(dfs, corpora), corpora, None, None)
-    got = {r["file_path"]: r["score"] for r in search.content_scores(built, search.query_terms(spark.createDataFrame([("q", "c", query)], QUERIES))).collect()}
+    terms = search.query_terms(spark.createDataFrame([("q", "c", query)], QUERIES))
+    got = {r["file_path"]: r["score"] for r in search.placed(corpus.index, search.content_scores(corpus.index, terms)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
@@ -55,6 +51,27 @@ def search_tokens(spark, text):
     return spark.range(1).select(tokenize(F.lit(text))).first()[0]
 
 
+def test_a_user_sets_the_tokenizer(spark):
+    only_whole = lambda c: F.split(F.lower(c), "[^a-z_]+")
+    files = spark.createDataFrame([("c", "a.py", "read_rows = 1"), ("c", "b.py", "read = 1")], FILES)
+    q = spark.createDataFrame([("q", "c", "read")], QUERIES)
+    for tokenizer, want in ((only_whole, ["b.py"]), (search.tokenize, ["a.py", "b.py"])):
+        corpus = workloads.build_corpus(files, tokenizer=tokenizer)
+        found = search.content_scores(corpus.index, search.query_terms(q, tokenizer))
+        assert sorted(r["file_path"] for r in search.placed(corpus.index, found).collect()) == want
+
+
+def test_term_counts_equal_plain_counts(spark):
+    from collections import Counter
+
+    rng = random.Random(2)
+    rows = [([rng.choice("abcdeé") for _ in range(rng.randint(0, 30))], [rng.choice("abxy") for _ in range(rng.randint(0, 9))]) for _ in range(50)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, c array<string>, m array<string>")
+    for r in df.select("i", index.term_counts(F.col("c"), F.col("m")).alias("t")).collect():
+        c, m = map(Counter, rows[r["i"]])
+        assert {x["term"]: (x["content_tf"], x["metadata_tf"]) for x in r["t"]} == {t: (c[t], m[t]) for t in {*c, *m}}
+
+
 def test_file_metadata_adds_up_and_structure_decides(spark):
     files = [
         ("c", "src/loader.py", "def read_rows(path):\n    return open(path)\n"), ("c", "src/user.py", "import loader\n\n\ndef use():\n    return loader.read_rows('x')\n"),
@@ -158,6 +175,20 @@ def test_blocks_equal_the_fold(spark):
         assert [r["text"] for r in mine] == ["\n".join(f"{b['path']}{i}" for i in sorted(b["lines"])) for b in want[q]]
 
 
+def test_each_result_within_its_own_budget(spark):
+    rows = [("q", 1, "a.py", 1, 2, "x" * 10, 0.5, "hybrid"), ("q", 2, "b.py", 1, 2, "y" * 50, 0.25, "hybrid")]
+    df = spark.createDataFrame(rows, "query_id string, rank int, file_path string, start_line int, end_line int, text string, score double, source string")
+    whole = [f"[{i}] {p}:1-2 (score={x:.4f}, source=hybrid)\n```python\n{t}\n```" for i, p, x, t in ((1, "a.py", 0.5, "x" * 10), (2, "b.py", 0.25, "y" * 50))]
+    for most in (1000, 150, 100, 60, 20):
+        shown, used = [], 0
+        for block in whole:
+            left = most - used
+            if left > 0:
+                shown.append(block if len(block) <= left else block[: max(0, left - 40)].rstrip() + context.CUT_MARK)
+                used += len(shown[-1])
+        assert context.render_results(df, most).first()["context"] == "\n\n".join(shown)
+
+
 def budget_loop(blocks, most):
     shown, used = [], 0
     for i, (path, a, b, text, score, sources, n) in enumerate(blocks, 1):

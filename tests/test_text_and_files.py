@@ -99,6 +99,11 @@ def test_code_facts(spark):
     assert all(got[n]["symbols"] == got[n]["calls"] == [] for n in ("bad.py", "nul.py", "none.py"))
     meta = facts.chunk_metadata(chunking.split_files(df.filter(F.col("file_path") == "Pkg\\m.py"), 5, 0), facts.file_facts(df))
     words = {r["chunk_no"]: r["metadata"] for r in meta.collect()}
+    own = df.filter(F.col("file_path") == "Pkg\\m.py")
+    twice = own.unionByName(own.withColumn("file_path", F.lit("PKG\\m.py")))
+    assert facts.chunk_metadata(chunking.split_files(twice, 5, 0), facts.file_facts(twice)).count() == 4
+    deep = facts.parse("x = " + " + ".join(["f()"] * 1500))
+    assert deep["calls"] == ["f"]
     assert "symbols A f inner imports os.path" in words[0] and "function f A.f signature f(self, a, b, key, args, kw)" in words[1]
 
 
@@ -125,6 +130,10 @@ def test_cases(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"id": "n", "query": "q"}\n')
     raw = cases.load_cases(spark, str(tmp_path / "bad.jsonl"))
     assert cases.bad_cases(raw).count() == 1 and cases.normalize_cases(raw, strict=False).count() == 0
+    several = spark.createDataFrame([(i, f"q{i}", ["g"]) for i in range(40)], "at int, question string, gold_files array<string>").repartitionByRange(5, "at").sortWithinPartitions("at")
+    several.write.json(str(tmp_path / "many"))
+    numbered = cases.normalize_cases(cases.load_cases(spark, str(tmp_path / "many/*.json"), lines=True))
+    assert {r["query_id"]: r["query"] for r in numbered.collect()} == {f"case-{i + 1}": f"q{i}" for i in range(40)}
     with pytest.raises(Exception, match="without query or gold"):
         cases.normalize_cases(raw).collect()
     assert cases.sibling_paths("out/t.jsonl") == ("out/t_stage_files.jsonl", "out/t_stage_summary.json")
@@ -134,8 +143,15 @@ def test_cases(spark, tmp_path):
 
 def test_import_patch(spark):
     body = '#!/bin/py\n# -*- coding: utf-8 -*-\n\n"""Doc\nmore"""\n# c\nfrom __future__ import annotations\nx: List[int] = []\n'
-    assert patch.insert_index(body) == 7
-    assert patch.insert_index("x = 1\n") == 0 and patch.insert_index('"""one"""\ny = 2\n') == 1 and patch.insert_index("'''never closed\n") == 1
+    lines_above = lambda t: patch.with_import(t).splitlines().index(patch.IMPORT_LINE.strip())
+    tops = {
+        body: 7, "x = 1\n": 0, '"""one"""\ny = 2\n': 1, "'''never closed\n": 1, "# a\n\n  # b\r\nx\n": 3, "from __future__ import a\nfrom __future__ import b\nx\n": 2,
+        "x = 'coding'\ny\n": 1, "#!/bin/py\nx\n": 1, '"""a\nb""" + """c"""\n# d\nz\n': 3, "": 0, "# only\n# comments\n": 2,
+    }
+    for source, n in tops.items():
+        assert lines_above(source) == n, source
+        assert patch.with_import(source).replace(patch.IMPORT_LINE, "", 1) == source
+    assert len(patch.with_import("# c\n" * 200_000 + "x")) > 800_000
     rows = [("c", "d/a.py", body), ("c", "d/b.py", "y = 1\n"), ("c", "e/c.py", "from leetcode_types import *\nNode()\n"), ("c", "venv/q.py", "deque()"), ("c", "leetcode_types.py", "Node")]
     df = spark.createDataFrame(rows, "corpus_id string, file_path string, text string")
     got = patch.patch_files(df).collect()
@@ -150,7 +166,7 @@ def test_memory_store(spark, tmp_path):
     memories.append_memories(one, store)
     memories.append_memories(one, store)
     assert memories.read_memories(spark, store).count() == 2
-    (tmp_path / "store" / "bad.json").write_text('{"id": 1, "files": "no')
-    with pytest.raises(Exception):
+    (tmp_path / "store" / "bad.json").write_text('{"id": "x"}\n{"id": 1, "files": "no\n')
+    assert [tuple(r) for r in memories.broken_records(spark, store).select("file", "line_no").collect()] == [("bad.json", 2)]
+    with pytest.raises(Exception, match="bad.json, line 2"):
         memories.read_memories(spark, store).collect()
-
