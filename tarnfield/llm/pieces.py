@@ -101,14 +101,11 @@ class Pieces:
         size = 1 << self.bits
         self.keys = np.full(size, -1, np.int64)
         self.made, self.rank = np.zeros(size, np.int32), np.full(size, _NEVER, np.int32)
-        self.probes = 1
         keys = np.fromiter(pairs, np.int64, len(pairs))
         for key, at, (piece, rank) in zip(keys.tolist(), self._slot(keys).tolist(), pairs.values()):
-            tries = 1
             while self.keys[at] >= 0:
-                at, tries = (at + 1) & (size - 1), tries + 1
+                at = (at + 1) & (size - 1)
             self.keys[at], self.made[at], self.rank[at] = key, piece, rank
-            self.probes = max(self.probes, tries)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -117,12 +114,16 @@ class Pieces:
         """(rank, piece made) of each pair of symbols; rank _NEVER where they do not merge."""
         keys = left.astype(np.int64) * self.span + right
         at = self._slot(keys)
-        rank, made = np.full(len(keys), _NEVER, np.int32), np.zeros(len(keys), np.int32)
-        for _ in range(self.probes):
-            hit = self.keys[at] == keys
-            rank[hit], made[hit] = self.rank[at[hit]], self.made[at[hit]]
-            at = (at + 1) & (len(self.keys) - 1)
-        return rank, made
+        seen = self.keys[at]
+        hit = seen == keys
+        rest = np.flatnonzero(~hit & (seen >= 0))  # few: the table is sparse
+        while len(rest):
+            at[rest] = (at[rest] + 1) & (len(self.keys) - 1)
+            seen = self.keys[at[rest]]
+            found = seen == keys[rest]
+            hit[rest[found]] = True
+            rest = rest[~found & (seen >= 0)]
+        return np.where(hit, self.rank[at], _NEVER), np.where(hit, self.made[at], 0)
 
     def segment(self, chunks: list[str], keys: np.ndarray, rate: float) -> list[list[int]]:
         """Ids of each chunk; keys are the chunks' 64-bit dropout keys."""
@@ -360,13 +361,15 @@ class Encoder:
             ends.append(len(chunks))
         if not chunks:
             return np.zeros(0, np.int32), np.zeros(len(ends), np.int64)
-        known, long = self.known, self.rate > 0
-        limit = _LONG if long else _WIDE
-        new = [c for c in dict.fromkeys(chunks) if c not in known and len(c) <= limit]
+        known, limit = self.known, _LONG if self.rate > 0 else _WIDE
+        node = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(node < 0)
+        unknown = [chunks[k] for k in missing.tolist()]
+        new = [c for c in dict.fromkeys(unknown) if len(c) <= limit]
         if new:
             first = self._grow(new, [()] * len(new), np.zeros(len(new), np.int64))
             known.update(zip(new, range(first, first + len(new))))
-        node = np.fromiter(map(known.get, chunks, repeat(-1)), np.int64, len(chunks))
+            node[missing] = np.fromiter(map(known.get, unknown, repeat(-1)), np.int64, len(unknown))
         if self.rate > 0 or (node < 0).any():
             sizes = np.diff(ends)
             of_doc = np.array([xxhash.xxh64_intdigest(str(i), self.seed) for i in doc_ids], np.uint64)
