@@ -3,8 +3,8 @@
 Base spans come from three patterns.  The method adds tokens that look random:
 two first-order character models are counted from the corpus, one of random
 strings (the values that the base patterns find, the labelled positives) and
-one of ordinary identifiers (other tokens of the same alphabet with few digits;
-the undecided rest trains neither), and a token is a secret if its mean log-likelihood ratio per transition reaches a
+one of ordinary identifiers (other tokens of the same alphabet that are put
+together from words; the undecided rest trains neither), and a token is a secret if its mean log-likelihood ratio per transition reaches a
 threshold.  Counts cover every text; the model is a table of fixed size that a
 scalar subquery hands to the scoring pass, which runs row by row.
 
@@ -29,9 +29,12 @@ LEAST_VALUE = 8
 
 #: Tokens that the models judge, their characters, and the least mean log ratio of a secret.
 TOKEN = "[A-Za-z0-9+/_=-]{16,}"
+ORDINARY = "^[_/+=-]*+(?:[a-z]{3,}+|[A-Z][a-z]{2,}+|[A-Z]{3,}+)(?:[_/+=-]*+(?:[a-z]{3,}+|[A-Z][a-z]{2,}+))*+[_/+=-]*+$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1  # and the start of a token
 THRESHOLD = 0.7
+#: Weight, in transitions, of what a character's frequency alone says about the one that follows.
+PRIOR = 4.0
 UNITS = 1_000_000
 
 _SPAN_FIELDS = "struct<start: int, rank: int, end: int, word: string>"
@@ -129,14 +132,16 @@ def _found(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
 
 
 def _ordinary(x: Column) -> Column:
-    """Whether less than an eighth of a token's characters are digits."""
-    return 8 * F.length(F.regexp_replace(x["word"], "[^0-9]", "")) < F.length(x["word"])
+    """Whether a token is put together from words of three letters or more in one case or capitalised; random strings hardly ever are."""
+    return x["word"].rlike(ORDINARY)
 
 
 def fit_ratios(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: ratios, SIZE * SIZE integers, log(random / ordinary) of each transition in UNITS.
 
-    Counts of all texts, raised by one half; without any random sample all ratios are zero.
+    Counts of all texts.  A transition's share is smoothed towards the frequency
+    of its second character (raised by one half), so that rows with few samples
+    do not look alike in both models; without any random sample all ratios are zero.
     """
     rows, names = _found(docs.select(text_col), text_col)
     labelled = lambda spans, is_random: F.transform(spans, lambda x: F.struct(x["word"].alias("word"), F.lit(is_random).alias("r")))
@@ -147,11 +152,19 @@ def fit_ratios(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     every = counts.sparkSession.range(SIZE * SIZE).select(F.col("id").cast("int").alias("cell"))
     full = every.join(F.broadcast(counts), "cell", "left").na.fill(0, ["random", "ordinary"])  # SIZE * SIZE rows
-    by_first = (F.col("cell") / SIZE).cast("int")
-    sums = full.groupBy(by_first.alias("first")).agg(F.sum("random").alias("nr"), F.sum("ordinary").alias("no"))
-    joined = full.withColumn("first", by_first).join(F.broadcast(sums), "first")
-    share = lambda c, n: (F.col(c) + 0.5) / (F.col(n) + 0.5 * SIZE)
-    ratio = F.round(F.log(share("random", "nr") / share("ordinary", "no")) * UNITS).cast("long")
+    full = full.withColumns({"first": (F.col("cell") / SIZE).cast("int"), "second": F.col("cell") % SIZE})
+    joined = full
+    for by in ("first", "second"):  # SIZE rows each
+        sums = full.groupBy(by).agg(F.sum("random").alias(f"random_{by}"), F.sum("ordinary").alias(f"ordinary_{by}"))
+        joined = joined.join(F.broadcast(sums), by)
+    whole = {n: counts.agg(F.coalesce(F.sum(n), F.lit(0))).scalar() for n in ("random", "ordinary")}
+    joined = joined.withColumns({f"{n}_all": c for n, c in whole.items()})
+
+    def share(n: str) -> Column:
+        alone = (F.col(f"{n}_second") + 0.5) / (F.col(f"{n}_all") + 0.5 * SIZE)
+        return (F.col(n) + PRIOR * alone) / (F.col(f"{n}_first") + PRIOR)
+
+    ratio = F.round(F.log(share("random") / share("ordinary")) * UNITS).cast("long")
     listed = joined.agg(F.sort_array(F.collect_list(F.struct("cell", ratio.alias("ratio")))).alias("all"), F.sum("random").alias("n"))
     return listed.select(F.transform("all", lambda x: F.when(F.col("n") > 0, x["ratio"]).otherwise(F.lit(0).cast("long"))).alias("ratios"))
 
