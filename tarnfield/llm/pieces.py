@@ -12,8 +12,8 @@ A chunk of many characters (text without blanks) keeps its agenda in a heap, so
 time grows little faster than its length; all others go as follows.  What is cached of a chunk holds no draw: the merges that are taken when none of
 them is skipped, and for each of these what follows when it is.  An occurrence
 only compares its own hashes with the merges on its way.  What is missing, and
-chunks too long for that, is segmented all at once with numpy: every step
-applies one merge in every unfinished chunk.
+chunks too long for that, is segmented all at once with numpy, chunks of similar
+length as the rows of a table: every step applies one merge in every unfinished row.
 
 Decoding joins the pieces' bytes and is lossless for every text, also where it
 holds the word mark itself, which is always written as bytes.
@@ -49,6 +49,8 @@ _CACHE_SLOTS = 6_000_000
 #: Characters of a chunk beyond which every occurrence is segmented from the start (below 256), and beyond which a heap holds the agenda.
 _LONG = 24
 _WIDE = 400
+#: Widths of the tables that chunks are put in.
+_WIDTHS = (4, 8, 12, 17, 24, 60, 150, _WIDE)
 _MASK = (1 << 64) - 1
 _DOCS_AT_ONCE = 256
 
@@ -132,8 +134,10 @@ class Pieces:
         own = keys[short]
         skip = lambda word, a, b, c: _mix(own[word] ^ _mix(_place(a, b, c))) < floor
         done: list[list[int] | None] = [None] * len(chunks)
-        for k, ids in zip(short.tolist(), self.agenda([chunks[k] for k in short.tolist()], skip if rate > 0 else None)[0] if len(short) else ()):
-            done[k] = ids
+        flat, sizes, _, _ = self.agenda([chunks[k] for k in short.tolist()], skip if rate > 0 else None)
+        ends, ids = np.cumsum(sizes).tolist(), flat.tolist()
+        for k, a, b in zip(short.tolist(), [0, *ends], ends):
+            done[k] = ids[a:b]
         return [self.wide(c, int(keys[k]), int(floor) if rate > 0 else 0) if x is None else x for k, (c, x) in enumerate(zip(chunks, done))]
 
     def wide(self, chunk: str, key: int, floor: int) -> list[int]:
@@ -167,69 +171,83 @@ class Pieces:
             at = end[at]
         return out
 
-    def agenda(self, chunks: list[str], skip: Callable[..., np.ndarray] | None) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-        """Ids of each chunk, and (chunk, place) of the merges done, by chunk in their order.
+    def agenda(self, chunks: list[str], skip: Callable[..., np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of chunks of up to _WIDE characters, all ids in a row, how many each has, and (chunk, place) of the merges done, by chunk in their order.
 
         skip(chunk, start, middle, end) tells which candidates are left out.
         """
-        sizes = np.array([len(c) for c in chunks])
-        sym = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
-        word = np.repeat(np.arange(len(chunks)), sizes)
-        start = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        end = start + 1
-        done: list[list[int]] = [[] for _ in chunks]
+        lengths = np.array([len(c) for c in chunks], np.int64)
+        table = np.searchsorted(_WIDTHS, lengths)
         merged: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-
-        def candidates(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            rank, made = self.lookup(sym[i], sym[i + 1])
-            rank[word[i] != word[i + 1]] = _NEVER
+        parts, order = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        sizes = np.zeros(len(chunks), np.int64)
+        for k in np.unique(table).tolist():
+            own = np.flatnonzero(table == k)
+            flat, sizes[own] = self._sweep(own, [chunks[i] for i in own.tolist()], lengths[own], _WIDTHS[k], skip, merged)
+            parts.append(flat)
+            order.append(own)
+        of, place = (np.concatenate(x) for x in zip(*merged))
+        by_chunk = np.argsort(of, kind="stable")
+        # the tables' chunks back into the order of chunks
+        listed, at = np.concatenate(order), np.zeros(len(chunks), np.int64)
+        at[listed] = np.cumsum(sizes[listed]) - sizes[listed]
+        return np.concatenate(parts)[_ranges(at, sizes)], sizes, of[by_chunk], place[by_chunk]
+
+    def _sweep(
+        self, own: np.ndarray, chunks: list[str], lengths: np.ndarray, width: int, skip: Callable[..., np.ndarray] | None, merged: list[tuple[np.ndarray, np.ndarray]]
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, how many each chunk has); the merges done go to merged. A node is known by its first column, -1 marks columns inside nodes."""
+        n = len(chunks)
+        chars = np.frombuffer("".join([c.ljust(width, "\0") for c in chunks]).encode("utf-32-le"), np.uint32).reshape(n, width)
+        column = np.arange(width, dtype=np.int64)
+        sym = np.where(column < lengths[:, None], self.of_char[chars], -1)
+        # flat positions: row * width + column
+        sym, base = sym.ravel(), np.arange(n, dtype=np.int64) * width
+        after = np.tile(column + 1, n)  # where the next node starts; also the end of this one
+        before = np.tile(column - 1, n)
+        rank, made = np.full(n * width, _NEVER, np.int32), np.zeros(n * width, np.int32)
+
+        def consider(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+            """Candidate merges of the nodes at columns a and b."""
+            x, y = base[row] + a, base[row] + b
+            found, piece = self.lookup(sym[x], sym[y])
             if skip:
-                live = np.flatnonzero(rank < _NEVER)
-                j = i[live]
-                rank[live[skip(word[j], start[j], start[j + 1], end[j + 1])]] = _NEVER
-            return rank, made
-
-        rank, made = np.full(len(sym), _NEVER, np.int32), np.zeros(len(sym), np.int32)
-        if len(sym) > 1:
-            rank[:-1], made[:-1] = candidates(np.arange(len(sym) - 1))
-        while len(sym):
-            heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            best = np.minimum.reduceat(rank, heads)
-            lengths = np.diff(np.append(heads, len(sym)))
-            best_here = np.repeat(best, lengths)
-            over = best_here == _NEVER
-            if over.any():
-                self._emit(sym[over], word[over], start[over], end[over], chunks, done)
-                stay = ~over
-                sym, word, start, end, rank, made, best_here = (x[stay] for x in (sym, word, start, end, rank, made, best_here))
-                if not len(sym):
-                    break
-            hits = np.flatnonzero(rank == best_here)
-            hits = hits[np.concatenate(([True], word[hits][1:] != word[hits][:-1]))]  # the leftmost of each chunk
-            merged.append((word[hits], _place(start[hits], start[hits + 1], end[hits + 1])))
-            sym[hits], end[hits] = made[hits], end[hits + 1]
-            stay = np.ones(len(sym), bool)
-            stay[hits + 1] = False
-            sym, word, start, end, rank, made = (x[stay] for x in (sym, word, start, end, rank, made))
-            at = hits - np.arange(len(hits))  # one row went for each earlier hit
-            rank[at] = _NEVER
-            again = np.concatenate([at, at - 1])
-            again = again[(again >= 0) & (again + 1 < len(sym))]
-            rank[again], made[again] = candidates(again)
-        of = np.concatenate([w for w, _ in merged])
-        order = np.argsort(of, kind="stable")
-        return done, of[order], np.concatenate([x for _, x in merged])[order]
-
-    def _emit(self, sym: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.ndarray, chunks: list[str], done: list[list[int]]) -> None:
-        heads = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        ids, odd = sym.tolist(), (sym >= self.n)
-        strange = np.add.reduceat(odd, heads)
-        for w, a, b, n_odd in zip(word[heads].tolist(), heads.tolist(), np.append(heads[1:], len(sym)).tolist(), strange.tolist()):
-            if not n_odd:
-                done[w] = ids[a:b]
-                continue
-            for k in range(a, b):
-                done[w] += [ids[k]] if not odd[k] else [self.byte_ids[x] for x in chunks[w][start[k] : end[k]].encode()]
+                live = np.flatnonzero(found < _NEVER)
+                found[live[skip(own[row[live]], a[live], b[live], after[y[live]])]] = _NEVER
+            rank[x], made[x] = found, piece
+
+        row, a = np.nonzero(column[:-1] + 1 < lengths[:, None])
+        consider(row, a, a + 1)
+        rows = np.arange(n)
+        while len(rows):
+            some = rank.reshape(n, width)[rows]
+            a = some.argmin(axis=1)
+            go = some[np.arange(len(rows)), a] < _NEVER
+            rows, a = rows[go], a[go]
+            x = base[rows] + a
+            b = after[x]
+            y = base[rows] + b
+            c = after[y]
+            merged.append((own[rows], _place(a, b, c)))
+            sym[x], after[x], rank[x] = made[x], c, _NEVER
+            sym[y], rank[y] = -1, _NEVER
+            right = np.flatnonzero(c < lengths[rows])
+            before[base[rows[right]] + c[right]] = a[right]
+            left = np.flatnonzero(before[x] >= 0)
+            consider(np.concatenate([rows[right], rows[left]]), np.concatenate([a[right], before[x[left]]]), np.concatenate([c[right], a[left]]))
+        there = np.flatnonzero(sym >= 0)
+        ids, counts = sym[there], np.bincount(there // width, minlength=n)
+        odd = np.flatnonzero(ids >= self.n)
+        if not len(odd):
+            return ids, counts
+        # symbols that are no piece are written as bytes
+        texts = [chunks[x // width][x % width : after[x]].encode() for x in there[odd].tolist()]
+        wide = np.ones(len(ids), np.int64)
+        wide[odd] = [len(t) for t in texts]
+        out = np.repeat(ids, wide)
+        starts = np.cumsum(wide) - wide
+        out[_ranges(starts[odd], wide[odd])] = [self.byte_ids[x] for t in texts for x in t]
+        return out, np.bincount(there // width, weights=wide, minlength=n).astype(np.int64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -300,17 +318,17 @@ class Encoder:
         # slots: the merges of all nodes that are still to be drawn for, and the node that follows if the merge is left out
         self.slot_at, self.n_slots, self.past = _Rows(np.int64), _Rows(np.int64), _Rows(np.int64)
         self.place, self.drawn, self.next, self.owner = _Rows(np.uint64), _Rows(np.uint64), _Rows(np.int64), _Rows(np.int64)
-        self._store([""], [()], [[self.pieces.byte_ids[b] for b in MARK.encode()]])
+        mark = np.array([self.pieces.byte_ids[b] for b in MARK.encode()], np.int32)
+        self._store([""], [()], mark, np.array([len(mark)]))
         self.known: dict[str | None, int] = {None: 0}  # the word mark inside a text
 
-    def _store(self, chunks: list[str], left_out: list[tuple[int, ...]], found: list[list[int]]) -> None:
-        """New nodes without slots."""
+    def _store(self, chunks: list[str], left_out: list[tuple[int, ...]], flat: np.ndarray, sizes: np.ndarray) -> None:
+        """New nodes without slots; flat holds their ids in a row."""
         self.chunks += chunks
         self.left_out += left_out
-        sizes = np.array([len(x) for x in found])
         self.id_at.add(self.ids.n + np.cumsum(sizes) - sizes)
         self.n_ids.add(sizes)
-        self.ids.add(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
+        self.ids.add(flat)
         for rows in (self.slot_at, self.n_slots, self.past):
             rows.add(np.zeros(len(chunks), np.int64))
 
@@ -324,8 +342,8 @@ class Encoder:
                 at = word << 24 | a << 16 | b << 8 | c
                 return out[np.minimum(np.searchsorted(out, at), len(out) - 1)] == at
 
-        found, of, place = self.pieces.agenda(chunks, skip)
-        self._store(chunks, left_out, found)
+        flat, sizes, of, place = self.pieces.agenda(chunks, skip)
+        self._store(chunks, left_out, flat, sizes)
         if self.rate > 0:
             counts = np.bincount(of, minlength=len(chunks))
             rest = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) >= past[of]
@@ -378,7 +396,9 @@ class Encoder:
             direct = np.flatnonzero(node < 0)
             if len(direct):
                 first, own = len(self.chunks), [chunks[k] for k in direct.tolist()]
-                self._store([""] * len(own), [()] * len(own), self.pieces.segment(own, keys[direct], self.rate))
+                found = self.pieces.segment(own, keys[direct], self.rate)
+                counts = np.array([len(x) for x in found])
+                self._store([""] * len(own), [()] * len(own), np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts)
                 node[direct] = first + np.arange(len(own))
             self._walk(node, keys)
         sizes = self.n_ids.all[node]
