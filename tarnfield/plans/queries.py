@@ -263,6 +263,20 @@ def trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_traces(spark, sf_dir).select("query_id", "summary.*")
 
 
+@registered(
+    f"""{_STAGES}, shown as (select query_id, 'initial_search' as stage, rank, file_path, start_line, end_line, score, 'hybrid' as source, text from seeds
+      union all select query_id, 'neighbor_recall', position, file_path, start_line, end_line, score, source, text from recalled
+      union all select query_id, 'final_filter', rank, file_path, start_line, end_line, score, source, text from final),
+    lined as (select *, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') as p from shown)
+    select query_id, stage, rank, file_path as file, start_line, end_line, round(score, 6) as score, source, case when length(p) > 120 then rtrim(substr(p, 1, 117)) || '...' else p end as preview from lined"""
+)
+def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of three stages, a row for each."""
+    traces = retrieval_traces(spark, sf_dir)
+    rows = [traces.select("query_id", F.lit(n).alias("stage"), F.inline(f"stages.{n}")) for n in ("initial_search", "neighbor_recall", "final_filter")]
+    return rows[0].union(rows[1]).union(rows[2]).withColumn("score", rounded("score"))
+
+
 def retrieval_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, chunks = docs_found(spark, sf_dir), docs_corpus(spark, sf_dir).chunks
     params = {"top_k": K, "chunk_size": SIZE, "overlap": OVERLAP, "recall_window": WINDOW}
@@ -702,16 +716,22 @@ def candidate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.candidate_files(docs_found(spark, sf_dir).final).select("query_id", F.array_join("files", ",").alias("files"))
 
 
+_CHECKS_SQL = " ".join(f"when '{k}' then [{', '.join(repr(c) for c in lines)}]" for k, lines in tasks.CHECKS.items())
+_KINDS = list(tasks.CHECKS)
+
+
 @registered(
-    f"""{_CANDIDATE_SQL} select query_id, array_to_string(list_concat(list_transform(list_filter(files, lambda f: starts_with(f, 'tests/')),
-      lambda f: 'python -m unittest ' || replace(regexp_replace(f, '\\.py$', ''), '/', '.')), ['python -m unittest', 'python -m compileall .']), ';') as checks from listed"""
+    f"""{_CANDIDATE_SQL}, known as (select *, [{', '.join(repr(k) for k in _KINDS)}][(query_id // 50) % {len(_KINDS)} + 1] as kind from listed)
+    select query_id, kind, array_to_string(list_concat(list_transform(list_filter(files, lambda f: starts_with(f, 'tests/')),
+      lambda f: 'python -m unittest ' || replace(regexp_replace(f, '\\.py$', ''), '/', '.')), case kind {_CHECKS_SQL} end), ';') as checks from known"""
 )
 def recommended_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tasks.candidate_files(docs_found(spark, sf_dir).final)
-    return c.select("query_id", F.array_join(tasks.recommended_checks(F.lit("feature"), F.col("files")), ";").alias("checks"))
+    """Checks for the found files under a kind chosen by the case's id."""
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("query_id") / 50).cast("int") % len(_KINDS))
+    c = tasks.candidate_files(docs_found(spark, sf_dir).final).withColumn("kind", kind)
+    return c.select("query_id", "kind", F.array_join(tasks.recommended_checks(F.col("kind"), F.col("files")), ";").alias("checks"))
 
 
-_CHECKS_SQL = " ".join(f"when '{k}' then [{', '.join(repr(c) for c in lines)}]" for k, lines in tasks.CHECKS.items())
 _CASE_RULES = _RULE_SQL.replace("lower(task)", "lower(query)")
 
 
