@@ -126,9 +126,8 @@ def with_fillers(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: in
     in a corpus of fewer than k files, the first chunks in order. Work is bounded
     by k and the number of matches of such queries.
     """
-    n = scored.groupBy("query_id").agg(
-        F.countDistinct(F.when(F.col("score") > 0, F.col("file_key"))).alias("good"), F.countDistinct("file_key").alias("files"), F.count("*").alias("rows")
-    )
+    by_file = scored.groupBy("query_id", "file_key").agg(F.max((F.col("score") > 0).cast("int")).alias("good"), F.count("*").alias("rows"))
+    n = by_file.groupBy("query_id").agg(F.sum("good").alias("good"), F.count("*").alias("files"), F.sum("rows").alias("rows"))
     needy = queries.select(*QUERY).join(n, "query_id", "left").na.fill(0, ["good", "files", "rows"]).filter(F.col("good") < k)
     bounds = needy.agg(F.max("files").alias("f"), F.max("rows").alias("r")).first()
     if bounds["f"] is None:
