@@ -7,6 +7,7 @@ from tarnfield.llm.importance import op2_importance
 from tarnfield.llm.pieces import op10_pieces
 from tarnfield.llm.pii import op7_pii
 from tarnfield.llm.quality_rules import op3_quality_rules
+from tarnfield.llm.resampling import OP11_SQL, op11_resampling
 from tarnfield.llm.revisits import OP5_SQL, op5_revisits
 from tarnfield.llm.secrets import op6_secrets
 from tarnfield.llm.sharding import op4_sharding
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_pieces": op10_pieces,
+    "op11_resampling": op11_resampling,
 }
 
-ORACLE_SQL = {"op5_revisits": OP5_SQL}
+ORACLE_SQL = {"op5_revisits": OP5_SQL, "op11_resampling": OP11_SQL}
