@@ -7,6 +7,7 @@ from tarnfield.llm.importance import op2_importance
 from tarnfield.llm.pieces import op10_pieces
 from tarnfield.llm.pii import op7_pii
 from tarnfield.llm.quality_rules import op3_quality_rules
+from tarnfield.llm.repeats import OP12_SQL, op12_repeats
 from tarnfield.llm.resampling import OP11_SQL, op11_resampling
 from tarnfield.llm.revisits import OP5_SQL, op5_revisits
 from tarnfield.llm.secrets import op6_secrets
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_pieces": op10_pieces,
     "op11_resampling": op11_resampling,
+    "op12_repeats": op12_repeats,
 }
 
-ORACLE_SQL = {"op5_revisits": OP5_SQL, "op11_resampling": OP11_SQL}
+ORACLE_SQL = {"op5_revisits": OP5_SQL, "op11_resampling": OP11_SQL, "op12_repeats": OP12_SQL}
