@@ -6,6 +6,7 @@ from tarnfield.llm.decontamination import op9_decontamination
 from tarnfield.llm.importance import op2_importance
 from tarnfield.llm.pieces import op10_pieces
 from tarnfield.llm.pii import op7_pii
+from tarnfield.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from tarnfield.llm.quality_rules import op3_quality_rules
 from tarnfield.llm.repeats import OP12_SQL, op12_repeats
 from tarnfield.llm.resampling import OP11_SQL, op11_resampling
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_pieces": op10_pieces,
     "op11_resampling": op11_resampling,
     "op12_repeats": op12_repeats,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL = {"op5_revisits": OP5_SQL, "op11_resampling": OP11_SQL, "op12_repeats": OP12_SQL}
+ORACLE_SQL = {"op5_revisits": OP5_SQL, "op11_resampling": OP11_SQL, "op12_repeats": OP12_SQL, "op13_prefix_trie": OP13_SQL}

@@ -79,7 +79,7 @@ def test_operators_take_odd_rows(spark, small):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     got = registry.QUERIES[name](spark, small)
     names = sorted(got.columns)
@@ -91,4 +91,4 @@ def test_queries_equal_their_sql(spark, small, name):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14)) and "pipeline" in names
