@@ -447,7 +447,7 @@ def encoder_of(model: str, rate: float, seed: int) -> Encoder:
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rate: float = RATE, seed: int = SEED
 ) -> DataFrame:
-    """doc_id, text, ids of every row. Null and empty texts have no ids; null ids count as one document key; repeated rows get equal ids."""
+    """doc_id, text, ids of every row. Null and empty texts have no ids; doc_id may be of any type, and null ones count as one document key; repeated rows get equal ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model, rate, seed)
@@ -457,8 +457,9 @@ def encode(
                 flat, ends = encoder.flat(b.column(1).to_pylist(), b.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "text", "ids"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, text string, ids array<int>")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"doc_id {kind}, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -482,8 +483,8 @@ def round_trip(
 ) -> DataFrame:
     """doc_id, ids, n_pieces, ids_hash (XXH64 over the ids) and lossless of every row.
 
-    Null and empty texts have no ids; null ids count as one document key;
-    repeated rows get equal ids; texts are read whole, however long; other
+    Null and empty texts have no ids; doc_id may be of any type, and null ones
+    count as one document key; repeated rows get equal ids; texts are read whole, however long; other
     columns of docs are not looked at; an empty table stays empty.  encode() and
     decode() in one pass: texts do not leave the worker again.
     """
@@ -502,8 +503,9 @@ def round_trip(
                 columns = [b.column(0), ids, pa.array(np.diff(ends)), pa.array(marks, pa.string()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_pieces", "ids_hash", "lossless"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, ids array<int>, n_pieces int, ids_hash string, lossless boolean")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces int, ids_hash string, lossless boolean")
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,7 +229,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id and spans (kind, start, end, added) of every row, by kind and start.
 
     Null and empty texts have no span; repeated rows are scanned each; ids may be
-    null; texts are read whole, however long, in time that grows with their
+    null and of any type; texts are read whole, however long, in time that grows with their
     length; other columns of docs are not looked at; an empty table stays empty.
     """
 
@@ -243,8 +243,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 rows.append([{"kind": KINDS[k], "start": x, "end": y, "added": new} for k, x, y, new in tagged])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id long, spans {_SPANS}")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"doc_id {kind}, spans {_SPANS}")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +256,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         *[number(k).alias(f"n_{k}") for k in KINDS],
-        F.size("spans").cast("long").alias("n_spans"),
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )

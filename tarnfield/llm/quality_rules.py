@@ -141,7 +141,7 @@ def judge(
     def of_counts(j: Column) -> Column:
         fails = base_failed(j["n_words"], j["n_repeat_words"])
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        return F.struct(*[j[n].alias(n) for n in names], fails.alias("base_failed"), j["score"].alias("score"), (~fails & (j["score"] >= threshold)).alias("kept"))
+        return F.struct(*[j[n].alias(n) for n in names], fails.alias("base_failed"), (~fails & (j["score"] >= threshold)).alias("kept"), j["score"].alias("score"))
 
     cut = F.struct(text.alias("t"), pieces_of(F.col(text_col)).alias("p"), F.col(table).alias("r"))
     bound = lambda m: let(F.struct(m.t.alias("t"), m.p.alias("p"), m.r.alias("r"), F.array_remove(m.p, "").alias("w")), of_words)

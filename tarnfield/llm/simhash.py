@@ -71,14 +71,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, mark): fp is the fingerprint as a signed long, mark a hash of the text. Every row stays, with null ids and repeats too."""
+    """(doc_id, fp, mark): fp is the fingerprint as a signed long, mark a hash of the text. Every row stays, with null ids and repeats too; ids are whole numbers, and others count as null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["doc_id", "fp", "mark"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _mark(text_col).alias("mark"))
+    narrow = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _mark(text_col).alias("mark"))
     return narrow.mapInArrow(run, "doc_id long, fp long, mark long")
 
 
@@ -328,7 +328,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id_name, mark_name = free_name("kept_id", docs), free_name("kept_mark", docs)
     keep = chosen.select(F.col("doc_id").alias(id_name), F.col("mark").alias(mark_name))
     own_id, own_mark = free_name("own_id", docs), free_name("own_mark", docs)
-    marked = docs.withColumns({own_id: F.col(id_col).cast("long"), own_mark: _mark(text_col)})
+    marked = docs.withColumns({own_id: F.col(id_col).try_cast("long"), own_mark: _mark(text_col)})
     kept = marked.join(keep, F.col(own_id).eqNullSafe(F.col(id_name)) & (F.col(own_mark) == F.col(mark_name)), "left_semi")
     return kept.dropDuplicates([own_id, own_mark]).select(*own_columns(docs))
 

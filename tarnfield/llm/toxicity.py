@@ -226,8 +226,9 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
