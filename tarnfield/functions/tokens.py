@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,5 +102,6 @@ def is_chinese(text: Column) -> Column:
     return text.rlike("\\A[\u4e00-\u9fff]*\\z")
 
 
-def has_test_intent(tokens: Column) -> Column:
-    return F.arrays_overlap(tokens, F.array(*map(F.lit, TEST_WORDS)))
+def has_any(tokens: Column, words: Sequence[str]) -> Column:
+    """Whether one of words is among the tokens, as TEST_WORDS are in a query for tests."""
+    return F.arrays_overlap(tokens, F.array(*map(F.lit, words)))

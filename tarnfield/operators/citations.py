@@ -18,14 +18,15 @@ REPORT_INVALID = "- 无效引用: "
 
 
 def citations_of(answer: Column) -> Column:
-    """Array of (path, start_line, end_line, text) in text order, duplicates kept."""
+    """Array of (path, start_line, end_line, text) in text order, duplicates kept; a line number of more than 38 digits is null, so no block supports it."""
     part = lambda i: F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(CITATION), F.lit(i))
     zipped = F.arrays_zip(part(1).alias("path"), part(2).alias("a"), part(3).alias("b"), part(0).alias("text"))
-    number = lambda x: x.cast("decimal(38,0)")
+    number = lambda x: x.try_cast("decimal(38,0)")
     return F.transform(zipped, lambda x: F.struct(x["path"].alias("path"), number(x["a"]).alias("start_line"), number(x["b"]).alias("end_line"), x["text"].alias("text")))
 
 
 def is_refusal(answer: Column) -> Column:
+    answer = F.coalesce(answer, F.lit(""))
     low = F.lower(answer)
     return answer.contains(REFUSAL_ZH) | low.contains(REFUSALS[0]) | low.contains(REFUSALS[1])
 
@@ -56,12 +57,13 @@ def check(answers: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def validate(answers: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(query_id, n_citations, invalid, missing_citations, has_issues, report): report is the answer, with a note where there are issues."""
+    """(query_id, n_citations, invalid, missing_citations, has_issues, report): report is the answer, with a note where there are issues. A null answer counts as empty."""
     checked = check(answers, blocks).groupBy("query_id").agg(
         F.count("*").alias("n_citations"),
         F.transform(F.sort_array(F.collect_list(F.when(~F.col("supported"), F.struct("citation_no", "text")))), lambda x: x["text"]).alias("invalid"),
     )
     seen = blocks.select("query_id").distinct().withColumn("has_results", F.lit(True))
+    answers = answers.select("query_id", F.coalesce("answer", F.lit("")).alias("answer"))
     rows = answers.join(checked, "query_id", "left").join(seen, "query_id", "left").na.fill(0, ["n_citations"]).na.fill(False, ["has_results"])
     rows = rows.withColumn("invalid", F.coalesce("invalid", F.array().cast("array<string>")))
     missing = F.col("has_results") & (F.col("n_citations") == 0) & ~is_refusal(F.col("answer"))

@@ -18,7 +18,7 @@ from tarnfield.plans.workloads import Corpus, Found
 from tarnfield.sources import cases as case_files
 from tarnfield.sources import files as source_files
 from tarnfield.sources.memories import append_memories, read_memories
-from tarnfield.sources.scratch import durable, scratch_dir
+from tarnfield.sources.scratch import durable, on_clear, scratch_dir
 from tarnfield.streaming.memory_stream import append_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,9 @@ def registered(sql: str | None) -> Callable[[Query], Query]:
 
 def _stamp(spark: SparkSession, sf_dir: str, tables_read: tuple[str, ...]) -> str:
     """Names, sizes and times of the files behind the tables; it changes when an input does."""
-    files = [read(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for t in tables_read]
-    return str(sorted(tuple(map(str, r)) for f in files for r in f.collect()))
+    mark = F.xxhash64("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string"))
+    files = [read(spark, sf_dir, t).select(mark.alias("m")).distinct().agg(F.count("*"), F.bit_xor("m")) for t in tables_read]
+    return str([tuple(f.first()) for f in files])
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object], tables_read: tuple[str, ...] = ("documents",)) -> object:
@@ -58,6 +59,9 @@ def forget_stages() -> None:
     _STORED.clear()
 
 
+on_clear.append(forget_stages)
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder for what a query writes and loads again."""
     return f"{scratch_dir(spark)}/tarnfield-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"

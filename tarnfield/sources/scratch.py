@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +50,14 @@ def forget(*tables: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
+#: What is called when stored tables are deleted, so that nothing keeps them.
+on_clear: list[Callable[[], None]] = []
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that durable() wrote for this application; call it when its results are written."""
+    for forgotten in on_clear:
+        forgotten()
     _delete(spark, f"{scratch_dir(spark)}/{_own_prefix(spark)}-*")
 
 

@@ -30,6 +30,25 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_queries_after_clearing_make_their_tables_anew(spark, small):
+    from tarnfield.sources.scratch import clear
+
+    first = queries.QUERIES["term_statistics"](spark, small).count()
+    clear(spark)
+    assert queries.QUERIES["term_statistics"](spark, small).count() == first
+
+
+def test_entry_without_a_library_of_the_subpackage(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    (tmp_path / "zstandard.py").write_text("raise ImportError('left out')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_search' in q and 'op1_toxicity' not in q; e.oracle_sql()"
+    root = str(Path(__spark_entry__.__file__).parent)
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, env={"PYTHONPATH": f"{tmp_path}:{root}", "PATH": "/usr/bin:/bin"}, check=True)
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """A copy of the repository without the subpackage and the pipeline still registers the other queries."""
     import shutil
