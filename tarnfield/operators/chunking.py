@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.functions.paths import file_key
 from tarnfield.functions.text import lines_of
 
 
-def split_files(files: DataFrame, chunk_size: int = 40, overlap: int = 5) -> DataFrame:
-    """chunks(corpus_id, file_path, file_key, chunk_no, start_line, end_line, text) of files(corpus_id, file_path, text).
+def split_files(files: DataFrame, chunk_size: int | Column = 40, overlap: int | Column = 5, keep: Sequence[str] = ()) -> DataFrame:
+    """chunks(corpus_id, file_path, file_key, chunk_no, start_line, end_line, text, and the columns in keep) of files(corpus_id, file_path, text, ...).
 
     Each chunk starts chunk_size - overlap lines after the one before; the last one is the first that reaches
     the end. Files without lines have no chunk. Row by row, without a shuffle.
+    Size and overlap may be columns of files in keep, so that rows have their own.
     """
-    if chunk_size <= 0 or not 0 <= overlap < chunk_size:
+    if not isinstance(chunk_size, Column) and not isinstance(overlap, Column) and not 0 <= overlap < chunk_size:
         raise ValueError("need chunk_size > 0 and 0 <= overlap < chunk_size")
+    chunk_size, overlap = (c if isinstance(c, Column) else F.lit(c) for c in (chunk_size, overlap))
     step = chunk_size - overlap
-    rows = files.select("corpus_id", "file_path", lines_of(F.col("text")).alias("lines"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("lines") - overlap - 1, F.lit(0)), F.lit(step))
-    chunks = rows.filter(F.size("lines") > 0).select("corpus_id", "file_path", "lines", F.posexplode(starts).alias("chunk_no", "at"))
+    rows = files.select("corpus_id", "file_path", *keep, lines_of(F.col("text")).alias("lines"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("lines") - overlap - 1, F.lit(0)), step)
+    chunks = rows.filter(F.size("lines") > 0).select("corpus_id", "file_path", *keep, "lines", F.posexplode(starts).alias("chunk_no", "at"))
     return chunks.select(
         "corpus_id",
         "file_path",
@@ -28,7 +32,8 @@ def split_files(files: DataFrame, chunk_size: int = 40, overlap: int = 5) -> Dat
         "chunk_no",
         (F.col("at") + 1).alias("start_line"),
         F.least(F.col("at") + chunk_size, F.size("lines")).alias("end_line"),
-        F.array_join(F.slice("lines", F.col("at") + 1, F.lit(chunk_size)), "\n").alias("text"),
+        F.array_join(F.slice("lines", F.col("at") + 1, chunk_size), "\n").alias("text"),
+        *keep,
     )
 
 

@@ -1,10 +1,15 @@
 """Index tables of a chunked corpus: postings of two fields, structural terms, and statistics.
 
-A posting holds how often a term stands in a chunk's content and in its metadata
-(its file's path, module, imports and calls, and its own symbols), so that a
-term shared with a query is one row whatever fields it is in.  Postings are made
-row by row where a chunk is, and lie there together: whatever is summed up for a
-chunk is summed up before any shuffle.
+A chunk's content is its path and text; its metadata is what its whole file has
+(path, module, imports and calls) and its own symbols.  The file's part is kept
+once for a file, however many chunks it has; a chunk's postings hold its content
+and its own symbols, and how often its file has the same term, so that scores
+add up.
+
+Tables lie in buckets by file_no and part (at most PART chunks of a file), so
+that scores are summed up, and the best chunks of a query chosen, where the
+postings lie.  file_no counts files in the order of their paths, so that order
+is a comparison of numbers.
 """
 
 from __future__ import annotations
@@ -15,11 +20,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.functions.paths import path_parts
+from tarnfield.functions.paths import is_test_path, path_parts
 from tarnfield.functions.text import let
 from tarnfield.functions.tokens import tokenize
-from tarnfield.operators.facts import chunk_symbols, structural_terms, symbol_words
-from tarnfield.sources.scratch import durable, sized_broadcast
+from tarnfield.operators.facts import FACTS, chunk_symbols, structural_terms, symbol_words
+from tarnfield.sources.scratch import durable, durable_buckets, sized_broadcast
 
 CHUNK = ["corpus_id", "file_path", "chunk_no"]
 EPSILON = 0.25
@@ -30,26 +35,42 @@ Tokenizer = Callable[[Column], Column]
 SYMBOL_LINE = "(?md)^\\s*(class|def|async\\s+def)\\s+([A-Za-z_][A-Za-z_0-9]*)"
 
 
+#: Chunks of a file that lie together; a larger file is spread over several parts.
+PART = 4096
+PLACE = ["file_no", "part", "chunk_no"]
+TEXT = "text"
+
+
 @dataclass(frozen=True)
 class Index:
-    """chunks: keys, lines and sort key of each chunk, with its number chunk_id.
-
-    postings: content and metadata frequency of each term of a chunk, with the
-    chunk's lengths; terms: df and idf of both fields; corpora: size and mean
-    lengths; structure, file_structure: terms for structural matches.
+    """chunks: keys, lines, place and lengths of each chunk; family stands for the file_key.
+
+    postings: by kind and term.  Of kind TEXT are content frequency of each term
+    of a chunk, its frequency in the chunk's own symbols (own_tf) and in what all
+    of its file has (file_tf); the latter stands once for each part of a file,
+    in a row without chunk_no.  Other kinds are structural terms, of chunks and
+    in such rows of files.  parts: the chunks of each part with their lengths;
+    terms: df and idf of both fields; corpora: size, mean lengths, and the most
+    parts that a file_key has.
     """
 
     chunks: DataFrame
     postings: DataFrame
+    parts: DataFrame
     terms: DataFrame
     corpora: DataFrame
-    structure: DataFrame
-    file_structure: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return dict(vars(self))
 
 
+def in_path_order(files: DataFrame) -> DataFrame:
+    """files with file_no, numbers that grow with corpus and path (by its parts); store what is made of it."""
+    order = ["corpus_id", path_parts(F.col("file_path")), "file_path"]
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("file_no", F.monotonically_increasing_id())
+
+
 def term_counts(content: Column, metadata: Column) -> Column:
     """(term, content_tf, metadata_tf) of the distinct terms of two token arrays, by one sort."""
     tagged = lambda tokens, f: F.transform(tokens, lambda t: F.struct(t.alias("t"), F.lit(f).alias("f")))
@@ -84,34 +105,59 @@ def file_metadata() -> Column:
     )
 
 
-def build(chunks: DataFrame, facts: DataFrame, tokenizer: Tokenizer = tokenize) -> Index:
-    """Index of stored tables chunks(..., chunk_id) and facts; the postings are written, once, and the other tables follow from them."""
-    shared = facts.withColumn("file_tokens", tokenizer(file_metadata()))
-    rows = chunk_symbols(chunks, shared, ["file_tokens"])
+def build(chunks: DataFrame, facts: DataFrame | None, tokenizer: Tokenizer = tokenize) -> Index:
+    """Index of stored tables chunks(..., file_no) and facts; without facts the metadata field has path and symbol lines only, and there is no structure."""
+    spark = chunks.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = ["corpus_id", "file_path"]
+    if facts is None:
+        facts = spark.createDataFrame([], FACTS)
+    known = facts.dropDuplicates(path)
+    file_tokens = known.select(*path, tokenizer(file_metadata()).alias("tokens"))
+    by_file = durable(file_tokens.select(*path, F.size("tokens").alias("file_dl"), F.transform(term_counts(F.col("tokens"), F.array().cast("array<string>")), lambda x: F.struct(x["term"].alias("term"), x["content_tf"].alias("tf"))).alias("counts")))
+    symbols = chunk_symbols(chunks.select(*CHUNK, "start_line", "end_line"), facts).filter((F.size("symbols") > 0) | (F.size("first_names") > 0))
+    symbols = durable(symbols.select(*CHUNK, "symbols", symbol_words().alias("words")))
+
+    rows = chunks.withColumns({"part": F.shiftright("chunk_no", 12), "family": F.xxhash64("corpus_id", "file_key"), "is_test": is_test_path(F.col("file_path"))})
+    rows = rows.join(sized_broadcast(by_file.select(*path, "file_dl")), path, "left").join(sized_broadcast(symbols.select(*CHUNK, "words")), CHUNK, "left")
     lines = F.array_join(F.regexp_extract_all("text", F.lit(SYMBOL_LINE), F.lit(2)), " ")
-    about = F.concat(F.coalesce("file_tokens", F.array().cast("array<string>")), tokenizer(F.concat_ws(" ", lines, symbol_words())))
-    bags = rows.select("corpus_id", "chunk_id", content_tokens(tokenizer).alias("content"), about.alias("metadata"))
-    counted = bags.select(
-        "corpus_id", "chunk_id", F.size("content").cast("long").alias("content_dl"), F.size("metadata").cast("long").alias("metadata_dl"),
-        F.explode(term_counts(F.col("content"), F.col("metadata"))).alias("p"),
-    )
-    postings = durable(counted.select("corpus_id", "chunk_id", "content_dl", "metadata_dl", "p.*"))
-
-    per_corpus = chunks.groupBy("corpus_id").agg(F.count("*").alias("n"))
-    lengths = postings.groupBy("corpus_id").agg(F.sum("content_tf").alias("c"), F.sum("metadata_tf").alias("m"))
-    means = [(F.coalesce(F.col(c), F.lit(0)) / F.col("n")).alias(name) for c, name in (("c", "content_avgdl"), ("m", "metadata_avgdl"))]
-    corpora = durable(per_corpus.join(lengths, "corpus_id", "left").select("corpus_id", "n", *means))
-    df = durable(postings.groupBy("corpus_id", "term").agg(*[F.sum((F.col(f"{f}_tf") > 0).cast("long")).alias(f"{f}_df") for f in FIELDS]))
+    keys = [*path, *PLACE, "family", "is_test", "start_line", "end_line", "file_dl"]
+    rows = rows.repartition(n, "file_no", "part").select(*keys, content_tokens(tokenizer).alias("content"), tokenizer(F.concat_ws(" ", lines, "words")).alias("own"))
+    dl = {"content_dl": F.size("content"), "metadata_dl": F.size("own") + F.coalesce("file_dl", F.lit(0))}
+    counted = durable_buckets(rows.select(*keys[:-1], *[c.alias(k) for k, c in dl.items()], term_counts(F.col("content"), F.col("own")).alias("counts")), n, "file_no", "part")
+    table = counted.drop("counts")
+
+    sized = F.struct("chunk_no", "content_dl", "metadata_dl")
+    parts = counted.groupBy(*path, "file_no", "part", "family", "is_test").agg(F.count("*").alias("n_chunks"), F.collect_list(sized).alias("chunks"))  # at most PART
+    parts = durable_buckets(parts, n, "file_no", "part")
+    of_files = durable(parts.join(by_file.select(*path, "counts"), path).select("corpus_id", "file_no", "part", "family", "is_test", "n_chunks", F.inline("counts")))
+    about = ["corpus_id", *PLACE, "family", "is_test", "content_dl", "metadata_dl"]
+    own = counted.select(*about, F.explode("counts").alias("p")).select(*about, "p.term", "p.content_tf", F.col("p.metadata_tf").alias("own_tf"))
+    shared = of_files.select("file_no", "part", "term", F.col("tf").alias("file_tf"))
+    own = own.join(shared, ["file_no", "part", "term"], "left").na.fill(0, ["file_tf"]).withColumn("kind", F.lit(TEXT))
 
     named = F.concat(F.transform("symbols", lambda s: s["signature"]), F.transform("symbols", lambda s: s["name"]))
     every_term = lambda c: F.array_distinct(F.flatten(F.transform(c, structural_terms)))
-    structure = rows.select("corpus_id", "chunk_id", F.lit("signature").alias("kind"), F.explode(every_term(named)).alias("term"))
+    structure = symbols.join(table.select(*CHUNK, *PLACE[:2], "family", "is_test"), CHUNK)
+    structure = structure.select("corpus_id", *PLACE, "family", "is_test", F.lit("signature").alias("kind"), F.explode(every_term(named)).alias("term"))
     kinds = {"calls": F.col("calls"), "imports": F.col("imports"), "tree": F.concat(F.array("module"), "directories")}
     by_kind = F.explode(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*kinds.values()))).alias("kind", "names")
-    by_file = facts.select("corpus_id", "file_path", by_kind)
-    file_structure = by_file.select("corpus_id", "file_path", "kind", F.explode(every_term(F.col("names"))).alias("term"))
-    table = chunks.select("chunk_id", *CHUNK, "file_key", "start_line", "end_line", path_parts(F.col("file_path")).alias("path_parts"))
-    return Index(table, postings, term_stats(df, corpora), corpora, structure, file_structure)
+    file_structure = known.select(*path, by_kind).join(parts, path).select("corpus_id", "file_no", "part", "family", "is_test", "kind", F.explode(every_term(F.col("names"))).alias("term"))
+    whole = of_files.select(*[c for c in of_files.columns if c not in ("n_chunks", "tf")], F.lit(TEXT).alias("kind"), F.col("tf").alias("file_tf"))
+    every = own
+    for more in (whole, structure, file_structure):
+        every = every.unionByName(more, allowMissingColumns=True)
+    postings = durable_buckets(every.repartition(n, "file_no", "part"), n, "file_no", "part")
+
+    lengths = counted.groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("content_dl").alias("content_avgdl"), F.avg("metadata_dl").alias("metadata_avgdl"))
+    widest = counted.groupBy("corpus_id", "family").agg(F.countDistinct("file_no", "part").alias("m")).groupBy("corpus_id").agg(F.max("m").alias("most_parts"))
+    corpora = durable(lengths.join(widest, "corpus_id"))
+    one = lambda c: F.sum(c.cast("long"))
+    df = postings.filter((F.col("kind") == TEXT) & F.col("chunk_no").isNotNull()).groupBy("corpus_id", "term")
+    df = df.agg(one(F.col("content_tf") > 0).alias("content_df"), one((F.col("own_tf") > 0) & (F.col("file_tf") == 0)).alias("metadata_df"))
+    by_files = of_files.groupBy("corpus_id", "term").agg(F.lit(0).cast("long").alias("content_df"), F.sum("n_chunks").alias("metadata_df"))
+    df = durable(df.unionByName(by_files).groupBy("corpus_id", "term").agg(F.sum("content_df").alias("content_df"), F.sum("metadata_df").alias("metadata_df")))
+    return Index(table, postings, parts.select("file_no", "part", "chunks"), durable(term_stats(df, corpora)), corpora)
 
 
 FIELDS = ("content", "metadata")

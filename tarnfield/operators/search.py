@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.functions.paths import is_test_path
-from tarnfield.functions.tokens import TEST_WORDS, tokenize
-from tarnfield.operators.index import CHUNK, FIELDS, Index, Tokenizer
+from tarnfield.functions.tokens import TEST_WORDS, has_any, tokenize
+from tarnfield.operators.index import FIELDS, PLACE, TEXT, Index, Tokenizer
 from tarnfield.sources.scratch import durable, sized_broadcast
 
 K1, B = 1.5, 0.75
@@ -22,10 +22,7 @@ INTENTS = {
     "tree": (("filetree", "tree", "path", "module"), 0.5),
 }
 QUERY = ["query_id", "corpus_id"]
-ORDER = ["path_parts", "start_line"]
-
-
-PLACE = [*CHUNK, "file_key", "start_line", "end_line", "path_parts"]
+ORDER = ["file_no", "chunk_no"]
 #: Parts in which the first rows of a table are found before they are compared with each other.
 _PARTS = 64
 
@@ -33,9 +30,9 @@ _PARTS = 64
 def query_terms(queries: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
     """(query_id, corpus_id, term, qtf, n_terms, intents, asks_tests) of queries(query_id, corpus_id, query): one row for each distinct token."""
     bags = queries.select(*QUERY, tokenizer(F.col("query")).alias("tokens"))
-    overlaps = lambda words: F.arrays_overlap("tokens", F.array(*map(F.lit, words)))
-    intents = F.array_compact(F.array(*[F.when(overlaps(words), k) for k, (words, _) in INTENTS.items()]))
-    bags = bags.withColumns({"intents": intents, "asks_tests": overlaps(TEST_WORDS), "n_terms": F.size(F.array_distinct("tokens"))})
+    asked = lambda words: has_any(F.col("tokens"), words)
+    intents = F.array_compact(F.array(*[F.when(asked(words), k) for k, (words, _) in INTENTS.items()]))
+    bags = bags.withColumns({"intents": intents, "asks_tests": asked(TEST_WORDS), "n_terms": F.size(F.array_distinct("tokens"))})
     rows = bags.select(*QUERY, "intents", "asks_tests", "n_terms", F.explode("tokens").alias("term"))
     return rows.groupBy(*QUERY, "intents", "asks_tests", "n_terms", "term").agg(F.count("*").cast("int").alias("qtf"))
 
@@ -45,62 +42,83 @@ def bm25(tf: Column, dl: Column, avgdl: Column, idf: Column, qtf: Column) -> Col
 
 
 def _weighted(index: Index, terms: DataFrame) -> DataFrame:
-    """(query_id, corpus_id, term, qtf, and idf and mean length of both fields) of the query terms that the index has; stored."""
+    """(query_id, corpus_id, kind, term, qtf, and idf and mean length of both fields) of the query terms that the index has, and of the structural terms that are asked for; stored."""
     known = index.terms.join(sized_broadcast(index.corpora), "corpus_id")
     stats = [f"{f}_{x}" for f in FIELDS for x in ("idf", "avgdl")]
-    return durable(terms.select(*QUERY, "term", "qtf").join(known.select("corpus_id", "term", *stats), ["corpus_id", "term"]))
+    words = terms.join(known.select("corpus_id", "term", *stats), ["corpus_id", "term"]).select(*QUERY, F.lit(TEXT).alias("kind"), "term", "qtf", *stats)
+    kinds = terms.filter(F.size("intents") > 0).select(*QUERY, F.explode("intents").alias("kind"), "term")
+    return durable(words.unionByName(kinds, allowMissingColumns=True))
 
 
-def _part(f: str) -> Column:
-    part = bm25(F.col(f"{f}_tf"), F.col(f"{f}_dl"), F.col(f"{f}_avgdl"), F.col(f"{f}_idf"), F.col("qtf"))
-    return F.when(F.col(f"{f}_tf") > 0, part).otherwise(0.0).alias(f)
+def _part(f: str, tf: Column) -> Column:
+    """What a frequency in a field adds to the field's score."""
+    return F.when(tf > 0, bm25(tf, F.col(f"{f}_dl"), F.col(f"{f}_avgdl"), F.col(f"{f}_idf"), F.col("qtf"))).otherwise(0.0)
 
 
 def content_scores(index: Index, terms: DataFrame) -> DataFrame:
-    """(query_id, corpus_id, chunk_id, score): BM25 of the content field alone, for chunks that share a term there."""
-    hits = index.postings.filter("content_tf > 0").join(sized_broadcast(_weighted(index, terms)), ["corpus_id", "term"])
-    return hits.groupBy(*QUERY, "chunk_id").agg(F.sum(_part("content")).alias("score"))
+    """(query_id, corpus_id, place, family, score): BM25 of the content field alone, for chunks that share a term there."""
+    words = _weighted(index, terms).filter(F.col("kind") == TEXT)
+    hits = index.postings.filter((F.col("kind") == TEXT) & (F.col("content_tf") > 0)).join(sized_broadcast(words), ["corpus_id", "kind", "term"])
+    return hits.groupBy(*QUERY, *PLACE, "family").agg(F.sum(_part("content", F.col("content_tf"))).alias("score"))
 
 
-def _structural(index: Index, terms: DataFrame) -> DataFrame:
-    """(query_id, corpus_id, chunk_id, kind): the kinds of structure that a query asks for and a chunk or its file has."""
-    asked = terms.filter(F.size("intents") > 0).select(*QUERY, "term", F.explode("intents").alias("kind"))
-    asked = sized_broadcast(durable(asked))
-    by_chunk = index.structure.join(asked, ["corpus_id", "kind", "term"]).select(*QUERY, "chunk_id", "kind")
-    by_file = index.file_structure.join(asked, ["corpus_id", "kind", "term"]).select(*QUERY, "file_path", "kind").distinct()
-    spread = by_file.join(index.chunks.select("corpus_id", "file_path", "chunk_id"), ["corpus_id", "file_path"]).select(*QUERY, "chunk_id", "kind")
-    return by_chunk.unionByName(spread)
+@dataclass(frozen=True)
+class Asked:
+    """Stored tables of a batch of queries: weighted terms by kind, and what a query is like."""
 
+    words: DataFrame
+    about: DataFrame
 
-def placed(index: Index, scores: DataFrame) -> DataFrame:
-    """scores(chunk_id, ...) with the chunks' keys, lines and sort key."""
-    return scores.join(sized_broadcast(index.chunks.select("chunk_id", *PLACE[1:])), "chunk_id")
+    @staticmethod
+    def of(index: Index, terms: DataFrame) -> Asked:
+        terms = durable(terms)
+        return Asked(_weighted(index, terms), durable(terms.select("query_id", "n_terms", "asks_tests").distinct()))
 
 
-def hybrid_scores(index: Index, terms: DataFrame) -> DataFrame:
-    """(query_id, chunk keys, lines, score) of the candidates: chunks that share a token or a structural term with the query; all others score zero.
+def field_sums(index: Index, asked: Asked, within: DataFrame | None = None) -> DataFrame:
+    """(query_id, corpus_id, place, family, is_test, content, metadata, shared, structure) of the chunks that share a token or a structural term with a query.
 
-    Hits of both fields and of the structure are summed up by (query, chunk) in
-    one aggregation, whose first half runs where a chunk's postings lie; what
-    is shuffled is one row for each query and chunk.  The sums are stored, since
-    a query's highest ones scale all of its scores.
+    All that is summed up for a chunk lies in one bucket, so nothing but the
+    queries' terms is moved.  What a file has counts for each of its chunks; a
+    chunk's own posting of such a term adds what the term's higher frequency
+    makes.  within(file_no, part, chunk_no), a small stored table, restricts the chunks.
     """
-    terms = durable(terms)
-    hits = index.postings.join(sized_broadcast(_weighted(index, terms)), ["corpus_id", "term"])
-    asks = {k: f"has_{k}" for k in INTENTS}
-    lexical = hits.select(*QUERY, "chunk_id", *map(_part, FIELDS), F.lit(1).cast("long").alias("shared"), *[F.lit(0.0).alias(has) for has in asks.values()])
-    bare = _structural(index, terms).select(
-        *QUERY, "chunk_id", *[F.lit(0.0).alias(f) for f in FIELDS], F.lit(0).cast("long").alias("shared"), *[(F.col("kind") == k).cast("double").alias(has) for k, has in asks.items()]
-    )
-    both = lexical.unionByName(bare).groupBy(*QUERY, "chunk_id").agg(
-        *[F.sum(f).alias(f) for f in FIELDS], F.sum("shared").alias("shared"), *[F.max(has).alias(has) for has in asks.values()]
-    )
-    weight = sum((F.col(has) * INTENTS[k][1] for k, has in asks.items()), F.lit(0.0))
-    every = durable(both.select(*QUERY, "chunk_id", *FIELDS, "shared", (F.least(weight, F.lit(1.5)) / 1.5).alias("structure")))
-
-    tops = durable(every.groupBy("query_id").agg(*[F.max(f).alias(f"top_{f}") for f in FIELDS]))
-    about = durable(terms.select("query_id", "n_terms", "asks_tests").distinct())
-    rows = placed(index, every).join(sized_broadcast(tops), "query_id").join(sized_broadcast(about), "query_id")
+    postings, parts = index.postings, index.parts
+    if within is not None:
+        few = sized_broadcast(within.select("file_no", "part").distinct())
+        postings, parts = (t.join(few, ["file_no", "part"], "left_semi") for t in (postings, parts))
+    hits = postings.join(sized_broadcast(asked.words), ["corpus_id", "kind", "term"])
+    # a row of a whole file becomes one for each of its chunks
+    spots = parts.select(F.col("file_no").alias("of_file"), F.col("part").alias("of_part"), "chunks")
+    of_file = (F.col("file_no") == F.col("of_file")) & (F.col("part") == F.col("of_part")) & F.col("chunk_no").isNull()
+    itself = F.array(F.struct("chunk_no", "content_dl", "metadata_dl"))
+    hits = hits.join(sized_broadcast(spots), of_file, "left").withColumn("at", F.explode(F.coalesce("chunks", itself)))
+    hits = hits.withColumns({c: F.col(f"at.{c}") for c in ("chunk_no", "content_dl", "metadata_dl")})
+    if within is not None:
+        hits = hits.join(sized_broadcast(within.select(*PLACE).distinct()), PLACE, "left_semi")
+    is_text, tf = F.col("kind") == TEXT, {c: F.coalesce(c, F.lit(0)) for c in ("content_tf", "own_tf", "file_tf")}
+    whole = F.col("content_tf").isNull()
+    metadata = F.when(whole, _part("metadata", tf["file_tf"])).otherwise(_part("metadata", tf["own_tf"] + tf["file_tf"]) - _part("metadata", tf["file_tf"]))
+    values = {
+        "content": F.when(is_text, _part("content", tf["content_tf"])).otherwise(0.0),
+        "metadata": F.when(is_text, metadata).otherwise(0.0),
+        "shared": F.when(is_text & (whole | (tf["file_tf"] == 0)), 1).otherwise(0).cast("long"),
+    }
+    has = {k: F.max(F.when(F.col("kind") == k, 1.0).otherwise(0.0)) for k in INTENTS}
+    sums = hits.select(*QUERY, *PLACE, "family", "is_test", "kind", *[v.alias(n) for n, v in values.items()])
+    sums = sums.groupBy(*QUERY, *PLACE, "family", "is_test").agg(*[F.sum(n).alias(n) for n in values], *[c.alias(f"has_{k}") for k, c in has.items()])
+    weight = sum((F.col(f"has_{k}") * INTENTS[k][1] for k in INTENTS), F.lit(0.0))
+    return sums.select(*QUERY, *PLACE, "family", "is_test", *FIELDS, "shared", (F.least(weight, F.lit(1.5)) / 1.5).alias("structure"))
+
+
+def highest(sums: DataFrame) -> DataFrame:
+    """(query_id, top_content, top_metadata), stored: a query's highest sums scale all of its scores."""
+    return durable(sums.groupBy("query_id").agg(*[F.max(f).alias(f"top_{f}") for f in FIELDS]))
+
+
+def fused(sums: DataFrame, tops: DataFrame, about: DataFrame) -> DataFrame:
+    """(query_id, corpus_id, place, family, score) of field_sums(): chunks that are not there score zero."""
+    rows = sums.join(sized_broadcast(tops), "query_id").join(sized_broadcast(about), "query_id")
     rel = lambda f: F.when(F.col(f"top_{f}") <= 0, 0.0).otherwise(F.col(f) / F.col(f"top_{f}"))
     raw = (
         WEIGHTS["content"] * rel("content")
@@ -108,58 +126,104 @@ def hybrid_scores(index: Index, terms: DataFrame) -> DataFrame:
         + WEIGHTS["overlap"] * F.col("shared") / F.col("n_terms")
         + WEIGHTS["structure"] * F.col("structure")
     )
-    role = F.when(is_test_path(F.col("file_path")), F.when(F.col("asks_tests"), 1.05).otherwise(0.85)).otherwise(1.0)
-    return rows.select("query_id", "chunk_id", *PLACE, (raw * role).alias("score"))
+    role = F.when(F.col("is_test"), F.when(F.col("asks_tests"), 1.05).otherwise(0.85)).otherwise(1.0)
+    return rows.select(*QUERY, *PLACE, "family", (raw * role).alias("score"))
 
 
-def _first(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """The first n rows of each group with their number `at`: those of parts of a group first, so that no task sorts a whole one."""
-    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "path_parts"]), F.lit(_PARTS))
-    few = rows.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy(*by, "part").orderBy(*order))).filter(F.col("at") <= n)
-    return few.drop("part").withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("at") <= n)
+def placed(index: Index, scores: DataFrame) -> DataFrame:
+    """scores(place, ...) of few chunks with the chunks' keys and lines."""
+    return index.chunks.select(*PLACE, "file_path", "start_line", "end_line").join(sized_broadcast(scores), PLACE)
 
 
-def with_fillers(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """scored with zero-score chunks for queries that have fewer than k files of positive score, as many as could get into the first k.
+def top_k(scored: DataFrame, k: int, diverse: bool = True, most_parts: int = 1) -> DataFrame:
+    """The first k rows of each query with `rank`: the best chunk of each family (file key) first, the others after; ties in the order of file_no and chunk_no.
 
-    Those are the first chunks without a match of the first files in order, and,
-    in a corpus of fewer than k files, the first chunks in order. Work is bounded
-    by k and the number of matches of such queries.
+    What can be among them is chosen where the rows lie: of each part of a file
+    its k best, and of a task's rows for a query as many as k families of
+    most_parts parts can push back.
     """
-    by_file = scored.groupBy("query_id", "file_key").agg(F.max((F.col("score") > 0).cast("int")).alias("good"), F.count("*").alias("rows"))
-    n = by_file.groupBy("query_id").agg(F.sum("good").alias("good"), F.count("*").alias("files"), F.sum("rows").alias("rows"))
-    needy = queries.select(*QUERY).join(n, "query_id", "left").na.fill(0, ["good", "files", "rows"]).filter(F.col("good") < k)
-    bounds = needy.agg(F.max("files").alias("f"), F.max("rows").alias("r")).first()
-    if bounds["f"] is None:
-        return scored
-    limit = k + bounds["f"]
-    files = chunks.groupBy("corpus_id", "file_key").agg(F.min("path_parts").alias("path_parts"))
-    files = _first(files, ["corpus_id"], ["path_parts", "file_key"], limit)
-    few = chunks.groupBy("corpus_id").agg(F.countDistinct("file_key").alias("n_files")).filter(F.col("n_files") < k).select("corpus_id")
-    first = _first(chunks.join(few, "corpus_id", "left_semi"), ["corpus_id"], ORDER, k + bounds["r"])
-    matched = scored.select("query_id", "chunk_id")
-    one = chunks.join(files.select("corpus_id", "file_key", "at"), ["corpus_id", "file_key"]).join(needy, "corpus_id").filter(F.col("at") <= k + F.col("files"))
-    one = one.join(matched, ["query_id", "chunk_id"], "left_anti").withColumn("i", F.row_number().over(Window.partitionBy("query_id", "file_key").orderBy(*ORDER))).filter("i = 1")
-    more = first.join(needy, "corpus_id").filter(F.col("at") <= k + F.col("rows")).join(matched, ["query_id", "chunk_id"], "left_anti")
-    names = ["query_id", "chunk_id", *PLACE]
-    extra = one.select(*names).unionByName(more.select(*names)).distinct().withColumn("score", F.lit(0.0))
-    return scored.unionByName(extra.select(*scored.columns))
-
-
-def top_k(scored: DataFrame, k: int, diverse: bool = True) -> DataFrame:
-    """The first k rows of each query with `rank`: the best chunk of each file first, the others after; ties in chunk order."""
-    score = F.round("score", 9)
-    order = [score.desc(), *ORDER]
+    k = max(k, 0)
+    order = [F.round("score", 9).desc(), *ORDER]
     if diverse:
-        in_file = F.row_number().over(Window.partitionBy("query_id", "file_key").orderBy(*order))
-        scored = scored.withColumn("again", in_file).filter(F.col("again") <= max(k, 0))
-        order = [(F.col("again") > 1), *order]
+        in_part = F.row_number().over(Window.partitionBy("query_id", "file_no", "part").orderBy(*order))
+        few = scored.withColumn("again", in_part).filter(F.col("again") <= k)
+        spare = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("again") > 1, *order))
+        few = few.withColumn("i", spare).filter(F.col("i") <= k * most_parts + k).drop("i")
+        in_family = F.row_number().over(Window.partitionBy("query_id", "family").orderBy(*order))
+        scored = few.withColumn("again", in_family)
+        order = [F.col("again") > 1, *order]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= max(k, 0)).drop("again")
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).drop("again")
+
+
+def fillers(needy: DataFrame, matched: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, corpus_id, place, family, score = 0): chunks without a match that can get into the first k of needy(query_id, corpus_id).
+
+    Those are the first one of each of the first files in order, k more than the
+    query has matches in, and in a corpus of fewer than k files the first chunks
+    in order.  matched(query_id, place) holds all chunks that the queries match.
+    """
+    counts = matched.groupBy("query_id").agg(F.countDistinct("file_no").alias("files"), F.count("*").alias("rows"))
+    needy = durable(needy.select(*QUERY).join(counts, "query_id", "left").na.fill(0, ["files", "rows"]))
+    limit = needy.agg(F.max("files").alias("f"), F.max("rows").alias("r")).first()
+    if limit["f"] is None:
+        return matched.select("query_id", *PLACE).limit(0).join(needy.select(*QUERY), "query_id").join(chunks.select(*PLACE, "family"), PLACE).withColumn("score", F.lit(0.0))
+    files = chunks.groupBy("corpus_id", "file_no").agg(F.count("*").alias("n_chunks"))
+    first = _first(files, ["corpus_id"], ["file_no"], k + limit["f"])
+    wanted = needy.select(*QUERY, F.explode(F.sequence(F.lit(1), (F.col("files") + k).cast("int"))).alias("at"))
+    # a file's chunks count from zero, so the matched ones that stand where they would if there were no gap lie before the first gap
+    run = F.row_number().over(Window.partitionBy("query_id", "file_no").orderBy("chunk_no")) - 1
+    gaps = matched.withColumn("run", run).groupBy("query_id", "file_no").agg(F.sum((F.col("chunk_no") == F.col("run")).cast("int")).alias("gap"))
+    one = wanted.join(first, ["corpus_id", "at"]).join(gaps, ["query_id", "file_no"], "left").na.fill(0, ["gap"]).filter(F.col("gap") < F.col("n_chunks"))
+    one = one.select(*QUERY, "file_no", F.col("gap").cast("int").alias("chunk_no"))
+    few = files.groupBy("corpus_id").agg(F.count("*").alias("n_files")).filter(F.col("n_files") < k).select("corpus_id")
+    head = _first(chunks.select("corpus_id", "file_no", "chunk_no").join(few, "corpus_id", "left_semi"), ["corpus_id"], ORDER, k + limit["r"])
+    more = needy.join(few, "corpus_id", "left_semi").select(*QUERY, F.explode(F.sequence(F.lit(1), (F.col("rows") + k).cast("int"))).alias("at"))
+    more = more.join(head, ["corpus_id", "at"]).join(matched.select("query_id", "file_no", "chunk_no"), ["query_id", "file_no", "chunk_no"], "left_anti")
+    every = one.unionByName(more.select(*one.columns)).distinct()
+    return every.join(chunks.select(*PLACE, "family"), ["file_no", "chunk_no"]).select(*QUERY, *PLACE, "family", F.lit(0.0).alias("score"))
+
+
+def _first(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of each group with their number `at`: those of parts of a group first, so that no task sorts a whole one."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(_PARTS))
+    few = rows.withColumn("slice", part).withColumn("at", F.row_number().over(Window.partitionBy(*by, "slice").orderBy(*order))).filter(F.col("at") <= n)
+    return few.drop("slice").withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("at") <= n)
+
+
+@dataclass(frozen=True)
+class Ranking:
+    """The first rows of each query, and what scores any other chunk alike."""
+
+    best: DataFrame
+    asked: Asked
+    tops: DataFrame
+
+    def scores_of(self, index: Index, within: DataFrame) -> DataFrame:
+        """(query_id, place, score) of the chunks in within(place) that match a query."""
+        return fused(field_sums(index, self.asked, within), self.tops, self.asked.about)
+
+
+def rank_queries(index: Index, queries: DataFrame, k: int, tokenizer: Tokenizer = tokenize) -> Ranking:
+    """Hybrid ranking with file diversity. Sums are made twice, for the highest ones and for the ranking, rather than stored for all pairs."""
+    asked = Asked.of(index, query_terms(queries, tokenizer))
+    sums = field_sums(index, asked)
+    tops = highest(sums)
+    most = index.corpora.agg(F.max("most_parts")).first()[0] or 1
+    best = durable(top_k(fused(sums, tops, asked.about), k, most_parts=most))
+    # queries with fewer than k files of positive score also get chunks that score zero
+    good = best.filter("score > 0").groupBy("query_id").agg(F.countDistinct("family").alias("good"))
+    needy = durable(queries.select(*QUERY).join(good, "query_id", "left").filter(F.coalesce("good", F.lit(0)) < k))
+    if not needy.isEmpty():
+        only = lambda df: df.join(sized_broadcast(needy.select("query_id")), "query_id", "left_semi")
+        few = Asked(durable(only(asked.words)), asked.about)
+        scored = durable(fused(field_sums(index, few), tops, asked.about))
+        every = scored.unionByName(fillers(needy, scored.select("query_id", *PLACE), index.chunks, k).select(*scored.columns))
+        rest = best.join(sized_broadcast(needy.select("query_id")), "query_id", "left_anti")
+        best = durable(rest.unionByName(top_k(every, k, most_parts=most)))
+    return Ranking(best, asked, tops)
 
 
 def search(index: Index, queries: DataFrame, k: int = 5, tokenizer: Tokenizer = tokenize) -> DataFrame:
-    """results(query_id, rank, chunk keys, score, source) of the hybrid ranking with file diversity."""
-    scored = hybrid_scores(index, query_terms(queries, tokenizer))
-    best = top_k(with_fillers(scored, queries, index.chunks, k), k)
-    return best.withColumn("source", F.lit("hybrid"))
+    """results(query_id, rank, chunk keys, place, score, source) of the hybrid ranking with file diversity."""
+    return placed(index, rank_queries(index, queries, k, tokenizer).best).withColumn("source", F.lit("hybrid"))

@@ -184,10 +184,9 @@ def metadata_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best chunks of each benchmark passage by the content field alone."""
-    own = docs_corpus(spark, sf_dir).index
-    scored = search.placed(own, search.content_scores(own, search.query_terms(tables.benchmark_queries(spark, sf_dir))))
-    best = search.top_k(scored, K, diverse=False)
-    return best.select("query_id", "file_path", "chunk_no", rounded("score").alias("score"), "rank")
+    own = _once(spark, sf_dir, "content", lambda: workloads.build_corpus(tables.document_files(spark, sf_dir), SIZE, OVERLAP, structure=False)).index
+    best = search.top_k(search.content_scores(own, search.query_terms(tables.benchmark_queries(spark, sf_dir))), K, diverse=False)
+    return search.placed(own, best).select("query_id", "file_path", "chunk_no", rounded("score").alias("score"), "rank")
 
 
 @registered(f"with {O.QUERIES}, {O.hybrid('queries', SIZE, OVERLAP)}, {O.seeds(K)} select query_id, rank, file_path, start_line, end_line, round(score, 6) as score from seeds")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.operators import context, evaluate, index, memory, recall, search, tasks
 from tarnfield.operators.chunking import split_files
 from tarnfield.operators.facts import file_facts
-from tarnfield.operators.index import CHUNK, Index, Tokenizer
+from tarnfield.operators.index import CHUNK, PLACE, Index, Tokenizer
 from tarnfield.functions.tokens import tokenize
 from tarnfield.sources.scratch import durable, sized_broadcast
 
@@ -25,13 +25,14 @@ class Corpus:
     tokenizer: Tokenizer = tokenize
 
 
-def build_corpus(files: DataFrame, chunk_size: int = 40, overlap: int = 5, tokenizer: Tokenizer = tokenize) -> Corpus:
-    """Chunk, parse and index files(corpus_id, file_path, text), whose paths are unique; the tables are written and serve any number of queries."""
-    # the numbers are written with the chunks, so they stay
-    chunks = durable(split_files(files, chunk_size, overlap).withColumn("chunk_id", F.monotonically_increasing_id()))
-    built = index.build(chunks, durable(file_facts(files)), tokenizer)
-    stored = {name: durable(getattr(built, name)) for name in ("chunks", "terms", "structure", "file_structure")}
-    return Corpus(chunks, Index(**stored, postings=built.postings, corpora=built.corpora), tokenizer)
+def build_corpus(files: DataFrame, chunk_size: int | Column = 40, overlap: int | Column = 5, tokenizer: Tokenizer = tokenize, structure: bool = True, keep: Sequence[str] = ()) -> Corpus:
+    """Chunk, parse and index files(corpus_id, file_path, text), whose paths are unique; the tables are written and serve any number of queries.
+
+    Without structure no file is parsed: enough for scores of the content field.
+    Size and overlap may be columns of files, which keep then names.
+    """
+    chunks = durable(split_files(index.in_path_order(files), chunk_size, overlap, ["file_no", *keep]))
+    return Corpus(chunks, index.build(chunks, durable(file_facts(files)) if structure else None, tokenizer), tokenizer)
 
 
 @dataclass(frozen=True)
@@ -54,15 +55,28 @@ def retrieve(
     recall_limit of -1 means the default for k and window, None no limit.
     """
     wide = candidate_k or top_k
-    place = corpus.index.chunks
-    scored = durable(search.hybrid_scores(corpus.index, search.query_terms(queries, corpus.tokenizer)))
-    ranked = search.top_k(search.with_fillers(scored, queries, place, wide), wide)
-    seeds = durable(ranked.withColumn("source", F.lit("hybrid")).select(*recall.RESULT, "rank"))
+    ranking, seeds = first_results(corpus, queries, wide)
     limit = recall.default_limit(wide, window) if recall_limit == -1 else recall_limit
-    recalled = durable(recall.expand_with_neighbors(seeds, place, window, limit))
+    last = {None: top_k, 0: None}.get(final_k, final_k)
+    return follow_up(corpus, ranking, seeds, window, limit, last, min_score, final_filter)
+
+
+def first_results(corpus: Corpus, queries: DataFrame, k: int) -> tuple[search.Ranking, DataFrame]:
+    """The hybrid ranking and its stored results."""
+    ranking = search.rank_queries(corpus.index, queries, k, corpus.tokenizer)
+    return ranking, durable(search.placed(corpus.index, ranking.best).withColumn("source", F.lit("hybrid")).select(*recall.RESULT, "rank"))
+
+
+def follow_up(
+    corpus: Corpus, ranking: search.Ranking, seeds: DataFrame, window: int, limit: int | None, last: int | None, min_score: float = 0.0, final_filter: bool = True
+) -> Found:
+    """Recall around stored seeds, the final ranking of at most last results, and their blocks."""
+    own = corpus.index
+    recalled = durable(recall.expand_with_neighbors(seeds, own.chunks, window, limit))
     if final_filter:
-        last = {None: top_k, 0: None}.get(final_k, final_k)
-        final = recall.final_results(recall.rescore(recalled, scored, place), last, min_score)
+        spots = durable(own.chunks.select(*CHUNK, *PLACE[:2]).join(sized_broadcast(recalled.select("query_id", *CHUNK)), CHUNK))
+        scored = ranking.scores_of(own, spots).select("query_id", *PLACE, "score").join(spots, ["query_id", *PLACE])
+        final = recall.final_results(recall.rescore(recalled, durable(scored), spots), last, min_score)
     else:
         final = recalled.withColumn("rank", F.col("position"))
     final = durable(final.select(*recall.RESULT, "rank"))
@@ -95,20 +109,36 @@ def evaluate_cases(found: Found, cases: DataFrame, k: int = 5, roots: Sequence[s
 def parameter_search(
     spark: SparkSession, files: DataFrame, cases: DataFrame, k: int = 5, settings: Sequence[tuple[int, int, int]] = evaluate.SETTINGS
 ) -> DataFrame:
-    """(setting_no, chunk_size, overlap, recall_window, mrr) of each setting; settings that differ in the window share one index."""
-    corpora: dict[tuple[int, int], Corpus] = {}
-    rows = []
-    for no, (size, overlap, window) in enumerate(settings):
-        if (size, overlap) not in corpora:
-            corpora[size, overlap] = build_corpus(files, size, overlap)
-        found = retrieve(corpora[size, overlap], cases, k, window=window)
-        mrr = evaluate_cases(found, cases, k).metrics.agg(F.round(F.coalesce(F.avg("rr"), F.lit(0.0)), 6).alias("mrr"))
-        own = [F.lit(v).alias(n) for n, v in (("setting_no", no), ("chunk_size", size), ("overlap", overlap), ("recall_window", window))]
-        rows.append(mrr.select(*own, "mrr"))
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+    """(setting_no, chunk_size, overlap, recall_window, mrr) of each setting.
+
+    Every size and overlap is a corpus of its own in one index, and every case
+    asks in each of them, so there is one build and one ranking for all
+    settings; only recall runs once for each different window.
+    """
+    shapes = list(dict.fromkeys((size, overlap) for size, overlap, _ in settings))
+    name = lambda c, size, overlap: F.concat_ws("|", c, size.cast("string"), overlap.cast("string"))
+    own = F.explode(F.array(*[F.struct(F.lit(s).alias("chunk_size"), F.lit(o).alias("overlap")) for s, o in shapes]))
+    shaped = files.select("*", own.alias("shape")).select("file_path", "text", "shape.*", name(F.col("corpus_id"), F.col("shape.chunk_size"), F.col("shape.overlap")).alias("corpus_id"))
+    corpus = build_corpus(shaped, F.col("chunk_size"), F.col("overlap"), keep=["chunk_size", "overlap"])
+    asked = cases.select("*", own.alias("shape")).withColumn("corpus_id", name(F.col("corpus_id"), F.col("shape.chunk_size"), F.col("shape.overlap")))
+    asked = durable(asked.withColumns({"case_id": F.col("query_id"), "query_id": F.struct("query_id", "corpus_id").cast("string")}))
+    ranking, seeds = first_results(corpus, asked, k)
+    out = []
+    for window in dict.fromkeys(w for _, _, w in settings):
+        mine = [(no, s, o) for no, (s, o, w) in enumerate(settings) if w == window]
+        rows = F.explode(F.array(*[F.struct(F.lit(no).alias("setting_no"), F.lit(s).alias("s"), F.lit(o).alias("o")) for no, s, o in mine]))
+        wanted = asked.select("*", rows.alias("x")).filter("shape.chunk_size = x.s and shape.overlap = x.o")
+        part = durable(wanted.select("query_id", "corpus_id", "query", "relevant", "x.setting_no", "shape.*"))
+        own_seeds = durable(seeds.join(sized_broadcast(part.select("query_id")), "query_id", "left_semi"))
+        found = follow_up(corpus, ranking, own_seeds, window, recall.default_limit(k, window), k)
+        metrics = evaluate_cases(found, part, k).metrics.join(part.select("query_id", "setting_no", "chunk_size", "overlap"), "query_id")
+        out.append(metrics.groupBy("setting_no", "chunk_size", "overlap").agg(F.round(F.avg("rr"), 6).alias("mrr")).withColumn("recall_window", F.lit(window)))
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    listed = spark.createDataFrame([(no, *s) for no, s in enumerate(settings)], "setting_no int, chunk_size int, overlap int, recall_window int")
+    every = listed.join(F.broadcast(every.select("setting_no", "mrr")), "setting_no", "left")  # a row for each setting
+    return every.select("setting_no", "chunk_size", "overlap", "recall_window", F.coalesce("mrr", F.lit(0.0)).alias("mrr"))
 
 
 def task_runs(corpus: Corpus, runs: DataFrame, memories: DataFrame, created_at: str, top_k: int = 5, window: int = 2) -> DataFrame:

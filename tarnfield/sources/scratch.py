@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Planned bytes from which on the size of a table is not known.
+_UNKNOWN = 1 << 60
 #: Bytes of rows up to which a table is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -35,6 +37,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def durable_buckets(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """durable() with the rows in n buckets by keys: joins and sums by them need no shuffle. Each task writes a file for each bucket it has rows of."""
+    spark = df.sparkSession
+    name = f"tarnfield_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{_own_prefix(spark)}-{name}"
+    df.write.bucketBy(n, *keys).option("path", path).saveAsTable(name)
+    stored = spark.table(name)
+    stored.schema  # resolved now, with its buckets, so the catalog's entry can go; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return stored
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
@@ -61,11 +75,18 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, f"{scratch_dir(spark)}/{_own_prefix(spark)}-*")
 
 
+def _planned_bytes(df: DataFrame) -> int:
+    """What the planner expects df to take, from the sizes of its files; an unknown size is a very large number."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def byte_size(df: DataFrame) -> int:
     """Bytes of all rows of df as text, a bound on what they take in memory up to a small factor."""
     return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
 
 
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if its rows take at most limit bytes; call it on stored tables, which it reads once."""
-    return F.broadcast(df) if df.columns and byte_size(df) <= limit else df
+    """df marked for broadcast if its rows take at most limit bytes; call it on stored tables. Rows are measured only where the files' sizes leave it open."""
+    if not df.columns or limit < _planned_bytes(df) < _UNKNOWN:
+        return df
+    return F.broadcast(df) if byte_size(df) <= limit else df

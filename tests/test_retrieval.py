@@ -13,7 +13,7 @@ from tarnfield.streaming.memory_stream import append_stream
 
 FILES = "corpus_id string, file_path string, text string"
 QUERIES = "query_id string, corpus_id string, query string"
-SCORED = "query_id int, corpus_id string, file_path string, file_key string, chunk_no int, start_line int, end_line int, path_parts array<string>, score double"
+SCORED = "query_id int, corpus_id string, family long, file_no long, part int, chunk_no int, score double"
 
 
 def found(spark, files, queries, k=5, size=40, **how):
@@ -86,16 +86,17 @@ def test_diverse_top_k_equals_the_loop(spark):
     rng = random.Random(3)
     rows, want = [], {}
     for q in range(60):
-        own = [(q, "c", f"f{f}", f"f{f}", n, n * 10, n * 10 + 9, [f"f{f}"], float(rng.randint(0, 4))) for f in range(rng.randint(1, 6)) for n in range(rng.randint(1, 4))]
+        # files 4 and 5 are one family, and a part has two chunks
+        own = [(q, "c", min(f, 4), f, n // 2, n, float(rng.randint(0, 4))) for f in range(rng.randint(1, 6)) for n in range(rng.randint(1, 6))]
         rows += own
-        ranked = sorted(own, key=lambda r: (-r[8], r[7], r[5]))
+        ranked = sorted(own, key=lambda r: (-r[6], r[3], r[5]))
         first, rest, seen = [], [], set()
         for r in ranked:
-            (rest if r[3] in seen else first).append(r)
-            seen.add(r[3])
-        want[q] = [(r[2], r[4]) for r in (first + rest)[:5]]
-    got = search.top_k(spark.createDataFrame(rows, SCORED), 5).orderBy("query_id", "rank").collect()
-    assert {q: [(r["file_path"], r["chunk_no"]) for r in got if r["query_id"] == q] for q in want} == want
+            (rest if r[2] in seen else first).append(r)
+            seen.add(r[2])
+        want[q] = [(r[3], r[5]) for r in (first + rest)[:5]]
+    got = search.top_k(spark.createDataFrame(rows, SCORED), 5, most_parts=6).orderBy("query_id", "rank").collect()
+    assert {q: [(r["file_no"], r["chunk_no"]) for r in got if r["query_id"] == q] for q in want} == want
     assert search.top_k(spark.createDataFrame(rows, SCORED), 0).count() == 0
 
 
