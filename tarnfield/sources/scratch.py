@@ -30,10 +30,10 @@ def _own_prefix(spark: SparkSession) -> str:
     return f"tarnfield-{spark.sparkContext.applicationId}"
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df written as Parquet into the shared folder and read back: computed once, with a short lineage that outlives executors."""
     path = f"{scratch_dir(df.sparkSession)}/{_own_prefix(df.sparkSession)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
