@@ -42,8 +42,8 @@ GRAM = 32
 #: Bytes of segments in a block, about; an anchor with more is spread over several blocks.
 BLOCK_BYTES = 1 << 20
 #: Windows that are looked at in one step, and bytes of texts that are cut together.
-_STEP = 1 << 20
-_TOGETHER = 1 << 20
+_STEP = 1 << 18
+_TOGETHER = 1 << 19
 #: A byte that no UTF-8 text holds.
 _BETWEEN = 0xFF
 _PLACE = (1 << 24) - 1
@@ -314,7 +314,7 @@ def covered(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(uid, doc_id, body, starts, ends) of every row: its UTF-8 bytes, and ranges of bytes that repeated strings cover, null where there are none."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
-    texts = durable(narrow.withColumn("uid", F.monotonically_increasing_id()))
+    texts = durable(narrow.withColumn("uid", F.monotonically_increasing_id()), "zstd")
     segments = durable(cut(texts, length))
     ranges = durable(repeated_ranges(texts, segments, length, block_bytes))
     hits = segments.join(ranges, ["anchor", "own"]).select("uid", F.explode("places").alias("place"), "first", "last")
