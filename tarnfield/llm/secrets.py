@@ -1,11 +1,12 @@
 """Secret scan: fixed patterns plus character Markov models, in DataFrame functions.
 
 Base spans come from three patterns.  The method adds tokens that look random:
-two first-order character models are counted from the corpus, one of random
-strings (the values that the base patterns find, the labelled positives) and
-one of ordinary identifiers (other tokens of the same alphabet that are put
-together from words; the undecided rest trains neither), and a token is a secret if its mean log-likelihood ratio per transition reaches a
-threshold.  Counts cover every text; the model is a table of fixed size that a
+of two first-order character models one is counted from labelled random strings
+(seeded, of the alphabets that keys are written in) and one from labelled
+ordinary identifiers (the corpus's tokens that are put together from words, as
+they are and in the ways that programs write names), and a token is a secret if
+its mean log-likelihood ratio per transition reaches a threshold.  Counts of
+ordinary identifiers cover every text; the model is a table of fixed size that a
 scalar subquery hands to the scoring pass, which runs row by row.
 
 Offsets are code points.  Pieces between matches come from split() and the
@@ -28,13 +29,22 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 8
 
 #: Tokens that the models judge, their characters, and the least mean log ratio of a secret.
-TOKEN = "[A-Za-z0-9+/_=-]{16,}"
+TOKEN = "[A-Za-z0-9+/_=-]{12,}"
+#: Different characters of a judged token, so that rules and fillers are none.
+LEAST_DISTINCT = 6
 ORDINARY = "^[_/+=-]*+(?:[a-z]{3,}+|[A-Z][a-z]{2,}+|[A-Z]{3,}+)(?:[_/+=-]*+(?:[a-z]{3,}+|[A-Z][a-z]{2,}+))*+[_/+=-]*+$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1  # and the start of a token
-THRESHOLD = 0.7
+THRESHOLD = 0.5
 #: Weight, in transitions, of what a character's frequency alone says about the one that follows.
-PRIOR = 4.0
+PRIOR = 8.0
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Alphabets of the labelled random strings, and how many of what length are drawn of each.
+RANDOM_KINDS = {
+    "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/", "base64url": _UPPER + _LOWER + _DIGITS + "-_", "base32": _UPPER + "234567",
+    "lower": _LOWER, "lower and digits": _LOWER + _DIGITS, "upper and digits": _UPPER + _DIGITS, "hex": _DIGITS + "abcdef",
+}
+SAMPLES, SAMPLE_LENGTH, SEED = 1_000, 32, "random strings"
 UNITS = 1_000_000
 
 _SPAN_FIELDS = "struct<start: int, rank: int, end: int, word: string>"
@@ -126,7 +136,8 @@ def _found(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
     spans = dict(zip(("assign", "access", "hex"), base_spans(text)))
     rows = rows.withColumns({names[n]: c for n, c in spans.items()} | {names["every_token"]: _places(text, TOKEN, 3)})
     base = F.concat(*[F.col(names[n]) for n in spans])
-    lettered = F.filter(names["every_token"], lambda x: x["word"].rlike("[A-Za-z]"))
+    several = lambda w: F.size(F.array_distinct(F.filter(F.split(w, ""), lambda c: c != ""))) >= LEAST_DISTINCT
+    lettered = F.filter(names["every_token"], lambda x: x["word"].rlike("[A-Za-z]") & several(x["word"]))
     both = F.struct(lettered.alias("tokens"), base.alias("base"))
     return rows.withColumn(names["tokens"], let(both, lambda m: _apart(m["tokens"], m["base"]))), names
 
@@ -136,19 +147,44 @@ def _ordinary(x: Column) -> Column:
     return x["word"].rlike(ORDINARY)
 
 
+def written_names(word: Column) -> Column:
+    """An ordinary token, and its parts of three to six letters as names: with low lines, in camel case, capitalised, as a path, with hyphens, in capitals, numbered; some others end in digits too."""
+    parts = F.regexp_extract_all(F.lower(word), F.lit("[a-z]{3,6}"), F.lit(0))
+
+    def names(p: Column) -> Column:
+        number = F.pmod(F.xxhash64(word), F.lit(200))
+        ending = F.when(number < 100, number.cast("string")).otherwise("")
+        capitalised = F.transform(p, lambda x: F.initcap(x))
+        snake = F.array_join(p, "_")
+        camel = F.concat(F.get(p, 0), F.array_join(F.slice(capitalised, F.lit(2), F.size(p)), ""), ending)
+        return F.array(word, F.concat(snake, ending), camel, F.array_join(capitalised, ""), F.array_join(p, "/"), F.array_join(p, "-"), F.upper(snake), F.concat_ws("_", F.get(p, 0), F.get(p, 1), number.cast("string")))
+
+    return let(parts, names)
+
+
+def random_samples(spark: SparkSession) -> DataFrame:
+    """(word): SAMPLES labelled random strings of each of RANDOM_KINDS, always the same ones."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).alias("letters")) for k, a in RANDOM_KINDS.items()]))
+    rows = spark.range(SAMPLES).select("id", kinds.alias("k")).select("id", "k.*")
+    draw = lambda j: F.pmod(F.xxhash64(F.concat_ws(":", F.lit(SEED), "kind", F.col("id").cast("string"), j.cast("string"))), F.length("letters")).cast("int")
+    letter = lambda j: F.substr("letters", draw(j) + 1, F.lit(1))
+    return rows.select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_LENGTH)), letter), "").alias("word"))
+
+
 def fit_ratios(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: ratios, SIZE * SIZE integers, log(random / ordinary) of each transition in UNITS.
 
-    Counts of all texts.  A transition's share is smoothed towards the frequency
-    of its second character (raised by one half), so that rows with few samples
-    do not look alike in both models; without any random sample all ratios are zero.
+    Ordinary tokens of all texts count as often as they occur.  A transition's
+    share is smoothed towards the frequency of its second character (raised by
+    one half), so that rows with few samples do not look alike in both models;
+    without any ordinary token all ratios are zero.
     """
     rows, names = _found(docs.select(text_col), text_col)
-    labelled = lambda spans, is_random: F.transform(spans, lambda x: F.struct(x["word"].alias("word"), F.lit(is_random).alias("r")))
-    samples = F.concat(*[labelled(F.col(names[n]), 1) for n in ("assign", "access", "hex")], labelled(F.filter(names["tokens"], _ordinary), 0))
-    words = rows.select(F.explode(samples).alias("s")).select(F.regexp_replace("s.word", "[^A-Za-z0-9+/_=-]", "").alias("word"), "s.r")
-    cells = words.filter("word <> ''").select(F.explode(_cells(F.col("word"))).alias("cell"), "r")
-    counts = durable(cells.groupBy("cell").agg(F.sum("r").alias("random"), F.sum(1 - F.col("r")).alias("ordinary")))
+    ordinary = rows.select(F.explode(F.filter(names["tokens"], _ordinary)).alias("s")).groupBy(F.col("s.word").alias("word")).agg(F.count("*").alias("n"))
+    words = ordinary.select(F.explode(written_names(F.col("word"))).alias("word"), F.col("n").alias("ordinary"), F.lit(0).cast("long").alias("random"))
+    words = words.unionByName(random_samples(docs.sparkSession).select("word", F.lit(0).cast("long").alias("ordinary"), F.lit(1).cast("long").alias("random")))
+    cells = words.filter("word <> ''").select(F.explode(_cells(F.col("word"))).alias("cell"), "random", "ordinary")
+    counts = durable(cells.groupBy("cell").agg(F.sum("random").alias("random"), F.sum("ordinary").alias("ordinary")))
 
     every = counts.sparkSession.range(SIZE * SIZE).select(F.col("id").cast("int").alias("cell"))
     full = every.join(F.broadcast(counts), "cell", "left").na.fill(0, ["random", "ordinary"])  # SIZE * SIZE rows
@@ -165,7 +201,7 @@ def fit_ratios(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return (F.col(n) + PRIOR * alone) / (F.col(f"{n}_first") + PRIOR)
 
     ratio = F.round(F.log(share("random") / share("ordinary")) * UNITS).cast("long")
-    listed = joined.agg(F.sort_array(F.collect_list(F.struct("cell", ratio.alias("ratio")))).alias("all"), F.sum("random").alias("n"))
+    listed = joined.agg(F.sort_array(F.collect_list(F.struct("cell", ratio.alias("ratio")))).alias("all"), F.sum("ordinary").alias("n"))
     return listed.select(F.transform("all", lambda x: F.when(F.col("n") > 0, x["ratio"]).otherwise(F.lit(0).cast("long"))).alias("ratios"))
 
 

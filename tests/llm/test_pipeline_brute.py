@@ -33,15 +33,20 @@ def brute_secrets(texts):
     cells = lambda w: [(place[w[i - 1]] if i else 0) * size + place[c] for i, c in enumerate(w)]
     known, judged = [base_of(t) for t in texts], []
     for t, own in zip(texts, known):
-        found = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t or "")]
-        judged.append([x for x in found if re.search("[A-Za-z]", x[3]) and not any(s[0] < x[2] and x[0] < s[2] for s in own)])
+        found = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", t or "")]
+        judged.append([x for x in found if re.search("[A-Za-z]", x[3]) and len(set(x[3])) >= 6 and not any(s[0] < x[2] and x[0] < s[2] for s in own)])
     counts = [Counter(), Counter()]
-    for own, tokens in zip(known, judged):
-        for *_, w in own:
-            counts[1].update(cells(re.sub(r"[^A-Za-z0-9+/_=-]", "", w)))
+    for kind, letters in secrets.RANDOM_KINDS.items():
+        for i in range(secrets.SAMPLES):
+            counts[1].update(cells("".join(letters[spark_hash(f"random strings:{kind}:{i}:{j}") % len(letters)] for j in range(1, secrets.SAMPLE_LENGTH + 1))))
+    for tokens in judged:
         for *_, w in tokens:
             if re.search(secrets.ORDINARY, w):
-                counts[0].update(cells(w))
+                parts, number = re.findall("[a-z]{3,6}", w.lower()), spark_hash(w) % 200
+                end = str(number) if number < 100 else ""
+                big = [x.title() for x in parts]
+                for name in (w, "_".join(parts) + end, parts[0] + "".join(big[1:]) + end, "".join(big), "/".join(parts), "-".join(parts), "_".join(parts).upper(), "_".join([*parts[:2], str(number)])):
+                    counts[0].update(cells(name))
     first, second = [Counter(), Counter()], [Counter(), Counter()]
     for kind in (0, 1):
         for c, n in counts[kind].items():
@@ -49,7 +54,7 @@ def brute_secrets(texts):
             second[kind][c % size] += n
     alone = lambda kind, c: (second[kind][c % size] + 0.5) / (sum(counts[kind].values()) + 0.5 * size)
     share = lambda kind, c: (counts[kind][c] + secrets.PRIOR * alone(kind, c)) / (first[kind][c // size] + secrets.PRIOR)
-    ratio = lambda c: round(math.log(share(1, c) / share(0, c)) * 1e6) if counts[1] else 0
+    ratio = lambda c: round(math.log(share(1, c) / share(0, c)) * 1e6) if counts[0] else 0
     random_ones = lambda tokens: [x for x in tokens if sum(map(ratio, cells(x[3]))) / len(x[3]) / 1e6 >= secrets.THRESHOLD]
     return [sorted(own + random_ones(tokens)) for own, tokens in zip(known, judged)]
 
@@ -99,6 +104,37 @@ def test_random_strings_are_found_and_names_left(spark):
     assert sum(hit[200 + i] for i in range(100)) >= 90 and sum(hit[300 + i] for i in range(100)) <= 5
 
 
+def test_kinds_of_random_strings_among_the_documents(spark):
+    """Planted tokens of many kinds among given documents: nearly all are found; identifiers, paths and words of the documents are left."""
+    rng = random.Random(31)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {
+        "base62 12": (upper + lower + digits, 12), "base62 16": (upper + lower + digits, 16), "base62 20": (upper + lower + digits, 20), "base62 32": (upper + lower + digits, 32),
+        "base64 40": (upper + lower + digits + "+/", 40), "base32 20": (upper + "234567", 20), "lower 24": (lower, 24), "lower digits 16": (lower + digits, 16),
+        "lower digits 24": (lower + digits, 24), "upper digits 20": (upper + digits, 20),
+    }
+    words = [w for r in docs.limit(40).collect() for w in re.findall("[a-z]{3,9}", (r["text"] or "").lower())]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    plain = {
+        "snake": lambda: "_".join(some(3)), "camel": lambda: "".join(x.title() for x in some(3)), "path": lambda: "/".join(some(4)), "dashed": lambda: "-".join(some(3)),
+        "numbered": lambda: "_".join(some(2)) + str(rng.randint(1, 99)), "joined": lambda: "".join(some(3)),
+    }
+    rows = []
+    for kind, (letters, n) in kinds.items():
+        rows += [(len(rows) + i, f"see {''.join(rng.choice(letters) for _ in range(n))} here", kind, True) for i in range(60)]
+    for kind, make in plain.items():
+        rows += [(len(rows) + i, f"see {make()} here", kind, False) for i in range(100)]
+    planted = spark.createDataFrame([(-1 - i, t) for i, t, _, _ in rows], docs.schema)
+    found = {r["doc_id"]: len(r["secrets"]) for r in secrets.scan(docs.union(planted)).filter("doc_id < 0").collect()}
+    share = {}
+    for i, _, kind, secret in rows:
+        share.setdefault((secret, kind), []).append(found[-1 - i])
+    share = {k: sum(x > 0 for x in v) / len(v) for k, v in share.items()}
+    wrong = {k[1]: v for k, v in share.items() if (v < 0.9 if k[0] else v > 0.05)}
+    assert not wrong
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     rng = random.Random(23)
     vocabulary = [f"w{i}" for i in range(300)] + ["the", "of"]
