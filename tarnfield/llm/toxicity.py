@@ -15,8 +15,8 @@ that, what toxic documents have in common with all others fills the dictionary
 and the windows' differences are mostly noise.
 
 Fitted on at most TRAIN_LIMIT labelled rows, none of them held out.  Word counts
-are made by Spark; the driver gets the selected beginnings, at most SAMPLE_LIMIT
-windows a class, and the features of each training document.
+are made by Spark; the driver gets the selected beginnings of words in those
+rows, at most two windows a row and class, and the features of each row.
 """
 
 from __future__ import annotations
@@ -34,10 +34,8 @@ from pyspark.sql import functions as F
 
 from tarnfield.llm.common import durable, read
 
-#: Bounds on what the model is fitted on: labelled rows, selected beginnings, and windows of a class for its dictionary.
+#: Bound on the labelled rows that the model is fitted on.
 TRAIN_LIMIT = 20_000
-STEM_LIMIT = 4_096
-SAMPLE_LIMIT = 40_000
 #: Least number of training documents with a beginning, and least z-score of its excess in toxic documents.
 LEAST_DOCS = 5
 LEAST_Z = 6.0
@@ -159,6 +157,12 @@ def _trained(size: int, samples: list[bytes], **how: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
+def _content(dictionary: bytes) -> bytes:
+    """A trained dictionary's text, which stands behind its tables and three first offsets."""
+    head, offsets, text = dictionary.partition(np.array([1, 4, 8], "<u4").tobytes())
+    return text if offsets else head
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -178,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel(b"", b"", (*[0.0] * (len(SHARES) + len(COUNTS) + 2), math.log(1 / 3)))
-    excess = _stem_excess(rows, n1, n0).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "stem").limit(STEM_LIMIT)
+    excess = _stem_excess(rows, n1, n0).filter(F.col("z") >= LEAST_Z)
     chosen = shortest([(bytes(r["stem"]), r["z"]) for r in excess.collect()])
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array([t] * len(own), pa.int32()), pa.array(own, pa.binary())], ["toxic", "window"])
 
     cut = durable(rows.mapInArrow(samples, "toxic int, window binary"))
-    take = lambda t: [bytes(r["window"]) for r in cut.filter(F.col("toxic") == t).orderBy(F.xxhash64("window"), "window").limit(SAMPLE_LIMIT).collect()]
+    take = lambda t: [bytes(r["window"]) for r in cut.filter(F.col("toxic") == t).orderBy(F.xxhash64("window"), "window").limit(2 * limit).collect()]
     ordinary = _trained(ORDINARY_BYTES, take(0))
-    toxic = ordinary + _trained(TOXIC_BYTES, take(1), k=32, d=8) if chosen else ordinary
+    toxic = ordinary + _content(_trained(TOXIC_BYTES, take(1), k=32, d=8)) if chosen else ordinary
     unfitted = ToxicityModel(toxic, ordinary, ())
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
