@@ -16,6 +16,11 @@ windows must occur word for word, so that no table meets every other one at all
 places.  A document's window that comes again word for word counts at its first
 place.  So a document has at most one row for each of its windows and each item
 that holds it.
+
+An item of fewer tokens than a window says too little wherever it stands: it is
+leaked by a document that has it as a whole line, word for word.  Items of fewer
+than LEAST_TOKENS tokens, such as single answers, are not judged at all;
+unjudged_items() names them.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from tarnfield.llm.common import durable, free_name, own_columns, read, sized_br
 
 WINDOW = 8
 COVERAGE = 0.5
+#: Tokens of an item from which on it is judged.
+LEAST_TOKENS = 3
 #: Different words besides placeholders from which a window can be matched by its template.
 LEAST_WORDS = 2
 
@@ -69,7 +76,7 @@ def _lower(words: Column) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """item_id, width, places, hash, weak, braw, brole, btemplate: all windows of every item; an item of fewer tokens is one window.
+    """item_id, width, places, hash, weak, braw, brole, btemplate: all windows of every item that has so many tokens.
 
     braw is in lower case; places are those of a window in its item, of which
     only weak ones have several.  An item is read three ways, since a document
@@ -79,11 +86,11 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     inside = [F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))) for x in tokens(F.concat(F.lit("a "), F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30)))]
     readings = F.array(*[F.struct(raw.alias("raw"), template.alias("template")) for raw, template in (tokens(text), inside, tokens(F.lower(text)))])
-    rows = items.select(F.col(id_col).alias("item_id"), F.explode(readings).alias("x")).select("item_id", "x.*").filter(F.size("template") > 0)
+    rows = items.select(F.col(id_col).alias("item_id"), F.explode(readings).alias("x")).select("item_id", "x.*").filter(F.size("template") >= window)
     rows = rows.withColumn("raw", _lower(F.col("raw")))
     # what must meet one value only: a name or unit, a number with the word after it
     role = F.transform("template", lambda x, i: F.when(x == _NUMBER, F.concat_ws(" ", F.get("raw", i), F.get("raw", i + 1))).otherwise(F.get("raw", i)))
-    rows = rows.withColumn("role", role).withColumn("width", F.least(F.size("template"), F.lit(window)))
+    rows = rows.withColumn("role", role).withColumn("width", F.lit(window))
     places = F.sequence(F.lit(0), F.size("template") - F.col("width"))
     rows = rows.withColumn("bpos", F.explode(places))
     piece = lambda c: F.slice(c, F.col("bpos") + 1, F.col("width"))
@@ -96,6 +103,25 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return rows.groupBy("item_id", "width", "hash", "btemplate", "braw", "weak").agg(F.array_sort(F.collect_set("bpos")).alias("places"), F.min("brole").alias("brole"))
 
 
+def _item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item_id, words): the tokens of each item in lower case."""
+    return items.select(F.col(id_col).alias("item_id"), _lower(tokens(F.col(text_col))[0]).alias("words"))
+
+
+def unjudged_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id of the items that no document is held to leak: those of fewer than LEAST_TOKENS tokens, null and empty ones among them."""
+    return _item_words(items, id_col, text_col).filter(F.size("words") < LEAST_TOKENS).select("item_id")
+
+
+def _whole_lines(rows: DataFrame, short: DataFrame) -> DataFrame:
+    """(key, doc_id, item_id) of rows(key, doc_id, text) that have an item of short(item_id, words) as a whole line."""
+    lines = rows.select("key", "doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    lines = lines.select("key", "doc_id", _lower(tokens(F.col("line"))[0]).alias("words"))
+    asked = short.select("item_id", F.col("words").alias("own"))
+    met = lines.join(sized_broadcast(asked), F.xxhash64("words") == F.xxhash64("own")).filter(F.col("words") == F.col("own"))
+    return met.select("key", "doc_id", "item_id").distinct()
+
+
 def _key(id_col: str, text_col: str) -> Column:
     """One number for an id and a text; rows that repeat both share it."""
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull().cast("string"), F.coalesce(F.col(text_col), F.lit("")))
@@ -113,8 +139,8 @@ def find_leaks(
 ) -> DataFrame:
     """key, doc_id, item_id, n_windows, n_found, coverage, reparameterised for each document and item that it leaks.
 
-    Null and empty texts leak nothing, and null, empty or word-less items are
-    never leaked; rows that repeat an id and a text give one result; items that
+    Null and empty texts leak nothing, and items of fewer than LEAST_TOKENS
+    tokens, null and empty ones too, are never leaked; rows that repeat an id and a text give one result; items that
     repeat an id count as one with the windows of both.  An empty benchmark or
     an empty table gives an empty result.  Texts are read whole, however long;
     other columns of docs and items are not looked at.
@@ -169,9 +195,16 @@ def find_leaks(
     counted = good.groupBy("key", "doc_id", "item_id").agg(F.countDistinct("bpos").alias("n_found"))
     scored = counted.join(sized_broadcast(durable(total)), "item_id").join(changed, ["key", "item_id"], "left")
     share = F.col("n_found") / F.col("n_windows")
-    return scored.filter(share >= coverage).select(
+    leaks = scored.filter(share >= coverage).select(
         "key", "doc_id", "item_id", "n_windows", "n_found", F.round(share, 6).alias("coverage"), F.coalesce("changed", F.lit(False)).alias("reparameterised")
     )
+    short = _item_words(items, item_id_col, item_text_col).filter((F.size("words") >= LEAST_TOKENS) & (F.size("words") < window)).filter("item_id is not null")
+    short = durable(short)
+    if short.isEmpty():
+        return leaks
+    one = F.lit(1).cast("long")
+    lines = _whole_lines(rows, short).select("key", "doc_id", "item_id", one.alias("n_windows"), one.alias("n_found"), F.lit(1.0).alias("coverage"), F.lit(False).alias("reparameterised"))
+    return leaks.unionByName(lines)
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

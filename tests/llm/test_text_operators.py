@@ -273,8 +273,8 @@ def test_reparameterised_items_are_found_and_inconsistent_ones_not(spark):
     again = "yesterday Bob Jones bought 7 apples for 4 dollars at the market and then {} gave 1 apples to Sue before noon"
     filler = " ".join(f"filler{i} of text" for i in range(3000))
     rows = [
-        (1, f"{filler}. So, {again.format('Bob')}. {filler}"), (2, again.format("Tim")), (3, ITEM), (4, ITEM.upper()), (5, None), (6, ""), (7, "x Four words stand here"),
-        (8, "four words stand"), (3, ITEM), (None, ITEM), (9, filler),
+        (1, f"{filler}. So, {again.format('Bob')}. {filler}"), (2, again.format("Tim")), (3, ITEM), (4, ITEM.upper()), (5, None), (6, ""), (7, "x y\nFour words, stand here.\nz"),
+        (8, "x four words stand here"), (3, ITEM), (None, ITEM), (9, filler),
     ]
     docs = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], DOCS + ", key string, item_id int")
     got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in decontamination.find_leaks(docs, items).collect()}
@@ -285,6 +285,16 @@ def test_reparameterised_items_are_found_and_inconsistent_ones_not(spark):
     assert decontamination.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_short_items_need_a_line_of_their_own(spark):
+    """Single words are in all ordinary sentences, so they are not judged; other short items leak as whole lines."""
+    items = spark.createDataFrame([(1, "yes"), (2, "Not at all"), (3, None), (4, "the boy"), (5, "Tom has 3 red apples"), (6, ITEM)], "item_id long, text string")
+    texts = ["yes it is", "yes", "it is not at all so", "a\nnot at all!\nb", "not at all", "Tom has 3 red apples", "Tom has 4 red apples", "so Tom has 3 red apples", "the boy"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    assert sorted(r["item_id"] for r in decontamination.unjudged_items(items).collect()) == [1, 3, 4]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, items).collect()}
+    assert got == {(3, 2), (4, 2), (5, 5)}
+
+
 def test_one_inconsistent_slot_drops_only_its_windows(spark):
     price = "at the small shop near our house she bought {} apples for {} dollars because they were on sale this week"
     copy = "the train left with 5 cars early in the morning and it came back late in the evening with all its 5 cars quite empty and very dirty again"
@@ -302,6 +312,10 @@ def brute_leaks(docs, readings):
     out = {}
     for item, ways in readings.items():
         rows, every = set(), set()
+        if len(ways[0][0]) < w:  # documents of one line
+            own = [x.lower() for x in ways[0][0]]
+            out |= {(d, item): (1, 1, False) for d, (raw, _) in docs.items() if len(own) >= decontamination.LEAST_TOKENS and [x.lower() for x in raw] == own}
+            continue
         for raw, template in ways:
             raw, width = [x.lower() for x in raw], min(w, len(template))
             role = [" ".join(raw[i : i + 2]) if t == "#n" else raw[i] for i, t in enumerate(template)]
@@ -363,7 +377,7 @@ def test_leaks_equal_brute_force(spark):
     words = ["the", "boy", "gave", "apples", "to", "market", "Tom", "Anna", "Bob", "kg", "dollars", "near", "house", "old", "red"]
     number = lambda: str(rng.choice([2, 3, 5, 12, 40]))
     text = lambda n: " ".join(number() if rng.random() < 0.25 else rng.choice(words) for _ in range(n))
-    items = [text(rng.randint(3, 26)) for _ in range(12)] + ["7 7 7 7 7 7 7 7 7 7 7", " ".join(f"{i} apples" for i in range(14)), " ".join(number() for _ in range(20)), "", "..."]
+    items = [text(rng.randint(3, 26)) for _ in range(12)] + [text(n) for n in (2, 3, 4, 5, 6)] + ["7 7 7 7 7 7 7 7 7 7 7", " ".join(f"{i} apples" for i in range(14)), " ".join(number() for _ in range(20)), "", "..."]
     docs = [None, "", " ".join(number() for _ in range(60)), "7 " * 40, " ".join(f"{i} apples" for i in range(5, 30))]
     for _ in range(80):
         parts = []
@@ -378,7 +392,7 @@ def test_leaks_equal_brute_force(spark):
     d = spark.createDataFrame(list(enumerate(docs)), DOCS)
     i = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_found"], r["reparameterised"]) for r in decontamination.find_leaks(d, i).collect()}
-    assert got == brute_leaks(*leak_tokens(spark, d, i)) and len(got) > 20
+    assert got == brute_leaks(*leak_tokens(spark, d, i)) and len(got) > 12
 
 
 def test_scattered_passages_and_number_tables(spark):
