@@ -7,6 +7,10 @@ character keeping the source range it came from; the same patterns run on the
 normalised text, and what they find is mapped back to source offsets.  Base
 spans stay as they are; spans that one of the same kind covers are left out, and
 those that reach beyond a base span stand beside it.
+
+Two forms are left alone, since plain sentences have them too: a bare "at" before
+a written host (joe at host.org), and a written sign before a host whose dot
+stands between blanks (joe@host . org).
 """
 
 from __future__ import annotations
@@ -31,15 +35,18 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a match can only start
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Letters of other scripts that look like Latin ones, beside what compatibility normalisation folds.
-HOMOGLYPHS = {
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ո": "n",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
-    "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ι": "i", "∙": ".", "․": ".", "‐": "-", "‑": "-", "–": "-", " ": " ", " ": " ", " ": " ",
+#: Fixed values, from the public list of confusable characters: by ASCII character, those of other scripts that look
+#: like it, beside what compatibility normalisation folds.
+LOOKALIKES = {
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜϺᎷ",
+    "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "ᎡᏒ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "УΥҮ", "Z": "ΖᏃ",
+    "a": "аαɑ", "b": "Ьƅ", "c": "сϲᴄ", "d": "ԁ", "e": "еҽ", "f": "ք", "g": "ɡցᶃ", "h": "һհ", "i": "іιıɩɪ", "j": "јϳ", "k": "кκĸ", "l": "ӏǀ", "n": "ոռη", "o": "оοօσᴏ",
+    "p": "рρϱ", "q": "ԛգ", "r": "гᴦ", "s": "ѕꜱƽ", "t": "τ", "u": "υսʋᴜ", "v": "νѵᴠ", "w": "ԝѡωɯᴡ", "x": "хχ", "y": "уүγʏ", "z": "ᴢ",
+    ".": "\u2024\u2219", "-": "\u2010\u2011\u2012\u2013\u2212\u2043", " ": "\u00a0\u2007\u2009\u202f",
 }
+HOMOGLYPHS = {c: plain for plain, others in LOOKALIKES.items() for c in others}
 #: Invisible characters that split identifiers.
-INVISIBLE = "​‌‍⁠﻿­"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 #: Names of digits.
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4",

@@ -256,6 +256,17 @@ def test_recall_of_each_disguise():
     assert all(h >= 0.9 * n for h in hits.values()), hits
 
 
+def test_each_look_alike_is_read_as_its_letter():
+    """A character of the table in an address brings the whole address back, at its source places; two stated forms stay as they are."""
+    for odd, plain in pii.HOMOGLYPHS.items():
+        if plain.isalnum():
+            text = f"to x{odd}ha@host.org now"
+            base, added = pii.detect(text)
+            assert (0, 3, 3 + len("xaha@host.org")) in base + added, (odd, plain)
+    assert pii.detect("αlpha@host.org")[1] == [(0, 0, 14)]
+    assert [pii.detect(t)[1] for t in ("joe at host.org", "joe@host . org", "Привет, мир; ελληνικά")] == [[], [], []]
+
+
 def test_very_long_texts_take_linear_time():
     import time
 
