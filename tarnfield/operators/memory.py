@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnfield.functions.tokens import tokenize
 from tarnfield.operators.index import Tokenizer
+from tarnfield.sources.scratch import BROADCAST_BYTES, byte_size, durable, sized_broadcast
 
 SCHEMA = "id string, created_at string, task string, status string, summary string, files array<string>, decisions array<string>"
 
@@ -27,13 +28,33 @@ def memory_tokens(memories: DataFrame, key: str = "seq", tokenizer: Tokenizer =
     return memories.select(key, F.explode(F.array_distinct(tokenizer(text))).alias("token"))
 
 
+#: Memories with a token from which on the token's rows are spread over SALTS tasks, and their number.
+HOT, SALTS = 10_000, 32
+
+
+def _salted(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """words joined to tokens; the rows of a token that HOT memories or more have are dealt by memory, and meet copies of its few words."""
+    hot = durable(tokens.groupBy("token").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= HOT).select("token", F.lit(SALTS).alias("salts")))
+    marked = lambda df: df.join(sized_broadcast(hot), "token", "left").na.fill(1, ["salts"])
+    dealt = marked(tokens).withColumn("salt", F.pmod(F.xxhash64("seq"), "salts")).drop("salts")
+    copied = marked(words).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))).drop("salts")
+    return copied.join(dealt, ["token", "salt"]).drop("salt")
+
+
 def search(tasks: DataFrame, tokens: DataFrame, limit: int = 5, tokenizer: Tokenizer = tokenize) -> DataFrame:
-    """(task_id, seq, score, rank) of tasks(task_id, task): share of the task's distinct tokens that a memory has, latest first among equals."""
+    """(task_id, seq, score, rank) of tasks(task_id, task): share of the task's distinct tokens that a memory has, latest first among equals.
+
+    The words of a batch of tasks go to where the memories' tokens lie, if they
+    are small; otherwise both meet by token, frequent tokens split by memory.
+    Of each task's sums a task of Spark hands on its best ones only.
+    """
     own = tasks.select("task_id", F.array_distinct(tokenizer(F.col("task"))).alias("t"))
-    words = own.select("task_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    hits = words.join(tokens, "token").groupBy("task_id", "seq").agg((F.count("*") / F.first("n")).alias("score"))
+    words = durable(own.select("task_id", F.size("t").alias("n"), F.explode("t").alias("token")))
+    small = byte_size(words) <= BROADCAST_BYTES
+    hits = F.broadcast(words).join(tokens, "token") if small else _salted(words, tokens)
+    sums = hits.groupBy("task_id", "seq").agg((F.count("*") / F.first("n")).alias("score"))
     order = Window.partitionBy("task_id").orderBy(F.desc("score"), F.desc("seq"))
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(limit, 0))
+    return sums.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(limit, 0))
 
 
 def new_memories(batch: DataFrame, stored: DataFrame) -> DataFrame:

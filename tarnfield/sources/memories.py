@@ -18,14 +18,14 @@ def _parsed(lines: DataFrame) -> DataFrame:
 def broken_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value) of the lines that are no memory record; it reads files as a whole, so call it only when something is wrong."""
     name = F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")
-    whole = spark.read.text(path, wholetext=True).select(name, F.posexplode(F.split("value", "\n")).alias("at", "value"))
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(name, F.posexplode(F.split("value", "\n")).alias("at", "value"))
     return _parsed(whole).filter("is_broken").select("file", (F.col("at") + 1).alias("line_no"), "value")
 
 
 def read_memories(spark: SparkSession, path: str) -> DataFrame:
     """All stored memories; none where the store does not exist yet; a broken record fails the read with its file and line number."""
     try:
-        rows = _parsed(spark.read.text(path))
+        rows = _parsed(spark.read.text(path, recursiveFileLookup=True))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

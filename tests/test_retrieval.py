@@ -6,9 +6,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from tarnfield.operators import chunking, citations, context, evaluate, index, memory, prompts, recall, search, tasks
+from tarnfield.operators import chunking, citations, context, evaluate, facts, index, memory, prompts, recall, search, tasks
 from tarnfield.plans import workloads
-from tarnfield.sources.memories import read_memories
+from tarnfield.sources.memories import append_memories, read_memories
+from tarnfield.streaming import memory_stream
 from tarnfield.streaming.memory_stream import append_stream
 
 FILES = "corpus_id string, file_path string, text string"
@@ -274,6 +275,56 @@ def test_memory_stream_skips_what_is_stored(spark, tmp_path):
     assert sorted(r["task"] for r in read_memories(spark, store).collect()) == ["A b", "new"]
 
 
+def test_a_batch_that_runs_again_appends_once(spark, tmp_path):
+    store, known = str(tmp_path / "store"), str(tmp_path / "known")
+    schema = "id string, created_at string, task string, status string, summary string, files array<string>, decisions array<string>, source_file string, source_block long"
+    rows = lambda *named: spark.createDataFrame([(i, "t", task, "s", "", ["f"], [], file, 0) for i, task, file in named], schema)
+    append_memories(rows(("0", "old", "x")), store)
+    memory_stream._identities(spark, known, store)
+    for _ in range(2):
+        memory_stream.append_batch(rows(("1", "a", "f2"), ("2", "A ", "f1"), ("3", "OLD", "f1"), ("4", "b", "f1")), 0, store, known)
+    for _ in range(2):
+        memory_stream.append_batch(rows(("5", "a", "f3"), ("6", "c", "f3")), 1, store, known)
+    assert sorted(r["id"] for r in read_memories(spark, store).collect()) == ["0", "2", "4", "6"]
+
+
+def test_a_token_of_every_memory_makes_no_large_task(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "all " + " ".join(rng.choice("abcdefgh") for _ in range(3))) for i in range(3_000)]
+    m = spark.createDataFrame(rows, "seq long, task string")
+    tokens = m.select("seq", F.explode(F.array_distinct(F.split("task", " "))).alias("token"))
+    asked = spark.createDataFrame([(1, "all a b"), (2, "all"), (3, "zz")], "task_id int, task string")
+    split = lambda c: F.split(c, " ")
+    ranked = lambda: sorted(tuple(r) for r in memory.search(asked, tokens, 7, split).select("task_id", "seq", "score", "rank").collect())
+    want = ranked()
+    monkeypatch.setattr(memory, "HOT", 500)
+    monkeypatch.setattr(memory, "BROADCAST_BYTES", 0)
+    assert ranked() == want and [r[1] for r in want if r[0] == 2] == list(range(2_993, 3_000))
+    words = spark.createDataFrame([(1, 1, "all")], "task_id int, n int, token string")
+    dealt = memory._salted(words, tokens).repartition(16, "token", F.pmod(F.xxhash64("seq"), F.lit(memory.SALTS)))
+    assert max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()) < 1_000
+
+
+def test_symbols_of_a_long_file_meet_their_chunks(spark):
+    """A class over 50 000 lines with a function each hundred: no chunk has more symbols than touch its lines."""
+    body = "class Big:\n" + "".join(f"    def f{i}(self):\n" + "        pass\n" * 99 for i in range(500))
+    files = spark.createDataFrame([("c", "big.py", body), ("c", "other.py", "x = 1\n"), ("c", "none.py", "def broken(")], FILES)
+    chunks = chunking.split_files(files, 40, 5)
+    got = {(r["file_path"], r["chunk_no"]): r for r in facts.chunk_symbols(chunks, facts.file_facts(files)).collect()}
+    symbols = facts.parse(body)["symbols"]
+    assert len(got) == chunks.count() and got["other.py", 0]["symbols"] == [] and got["none.py", 0]["symbols"] == []
+    for r in chunks.filter("file_path = 'big.py'").collect():
+        want = [s["name"] for s in symbols if s["start_line"] <= r["end_line"] and r["start_line"] <= s["end_line"]]
+        assert [s["name"] for s in got["big.py", r["chunk_no"]]["symbols"]] == want and 2 <= len(want) <= 3
+
+
+def test_citations_without_an_answer_and_with_huge_numbers(spark):
+    blocks = spark.createDataFrame([("1", "a.py", 1, 9), ("2", "a.py", 1, 9), ("3", "a.py", 1, 9)], "query_id string, file_path string, start_line int, end_line int")
+    answers = spark.createDataFrame([("1", None), ("2", "see a.py:1-" + "9" * 40), ("3", "a.py:2-3"), ("4", None)], "query_id string, answer string")
+    got = {r["query_id"]: (r["n_citations"], list(r["invalid"]), r["missing_citations"], r["has_issues"]) for r in citations.validate(answers, blocks).collect()}
+    assert got == {"1": (0, [], True, True), "2": (1, ["a.py:1-" + "9" * 40], False, True), "3": (1, [], False, False), "4": (0, [], False, False)}
+
+
 def test_task_profiles_and_checks(spark):
     texts = ["修复 BUG", "add pytest for recall", "plain", "更新 README 说明"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, task string")
