@@ -36,6 +36,79 @@ def test_toxicity_learns_held_out_documents(spark):
     assert toxicity.fit(docs, turned) == toxicity.fit(docs, lab.filter("doc_id is not null and toxic is not null"))
 
 
+def plain_toxicity(rows, labels):
+    """Scores of rows by the definition, in plain loops: beginnings, dictionaries, window lengths and the calibrated curve."""
+    import math
+    import zlib
+
+    import numpy as np
+    import xxhash
+    import zstandard
+
+    spark_hash = lambda b: int(np.array(xxhash.xxh64_intdigest(b, 42), np.uint64).view(np.int64))
+    edges = b".,;:!?|*&%$#\"'()[]{}<>~`-_=+/\\"
+    words = lambda t: [w for w in (x.strip(edges) for x in (t or "").lower().encode().split()) if w]
+    cut = lambda w: [b" ".join(w[a : a + 12]) for a in range(0, len(w), 12)]
+    text = {}
+    for i, t in rows:
+        if i in labels and zlib.crc32(str(i).encode()) % 5:
+            text[i] = min(text.get(i, t), t)
+    n, n1 = len(text), sum(labels[i] for i in text)
+    seen = {}
+    for i, t in text.items():
+        own = {b" " + w.decode()[:k].encode() for w in words(t) for k in range(4, 9) if k < len(w.decode())} | {b" " + w + b" " for w in words(t)}
+        for s in own:
+            a = seen.setdefault(s, [0, 0])
+            a[0] += labels[i]
+            a[1] += 1
+    share = n1 / n
+    z = {s: (a - m * share) / math.sqrt(m * share * (1 - share) * (1 - m / n) + 1e-9) for s, (a, m) in seen.items() if m >= 5}
+    z = {s: v for s, v in z.items() if v >= 6}
+    chosen = {s for s in z if not any(z.get(s[:k], -math.inf) >= z[s] for k in range(2, len(s)))}
+    begins = lambda w: any(s in chosen for s in [b" " + w.decode()[:k].encode() for k in range(4, 9)] + [b" " + w + b" "])
+    samples = [[], []]
+    for i, t in text.items():
+        w = [x for x in words(t) if begins(x)] if labels[i] else words(t)
+        samples[labels[i]] += [b" " + x + b" " if labels[i] else x for x in cut(w)]
+
+    def trained(size, parts, **how):
+        parts = [x for x in sorted(parts, key=lambda x: (spark_hash(x), x)) if len(x) >= 8]
+        return zstandard.train_dictionary(min(size, max(256, sum(map(len, parts)) // 8)), parts, **how).as_bytes()
+
+    ordinary = trained(110 << 10, samples[0])
+    tail = trained(2 << 10, samples[1], k=32, d=8)
+    at = tail.find(bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0]))
+    lengths = [toxicity.Scorer._compressor(d).compress for d in (ordinary, ordinary + tail[at + 12 :])]
+
+    def features(t):
+        d = np.array([len(lengths[0](w)) - len(lengths[1](w)) for w in cut(words(t))] or [0])
+        return [*((d >= x).mean() for x in (1, 2, 3, 4, 5, 6, 8)), *(math.log1p((d >= x).sum()) for x in (3, 4, 6)), d.mean(), min(d.max(), 20) / 10, 1.0]
+
+    x, y = np.array([features(t) for t in text.values()]), np.array([labels[i] for i in text], float)
+    w, weight = np.zeros(x.shape[1]), np.where(y > 0, 3.0, 1.0)
+    for _ in range(60):  # Newton steps on the penalised log likelihood
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (weight * (p - y)) + 0.1 * w)
+    return [1 / (1 + math.exp(-float(np.dot(features(t), w)))) for _, t in rows]
+
+
+def test_toxicity_equals_a_plain_recomputation(spark):
+    rng = random.Random(40)
+    plain, bad = [f"word{i}" for i in range(200)], ["nasty", "nastiest", "vile", "rotten!"]
+    rows, labels = [], {}
+    for i in range(400):
+        w = [rng.choice(plain) for _ in range(rng.randint(5, 90))]
+        for _ in range(4 * (i % 4 == 0)):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w)))
+        labels[i] = int(i % 4 == 0)
+    rows += [(7, "another vile text of one id"), (900, ""), (901, None)]
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, t) for i, t in labels.items()], LABELS)
+    got = sorted((str(r["doc_id"]), round(r["score"], 6)) for r in toxicity.score(docs, toxicity.fit(docs, lab)).collect())
+    want = sorted((str(i), round(s, 6)) for (i, _), s in zip(rows, plain_toxicity(rows, labels)))
+    assert [g[0] for g in got] == [w[0] for w in want] and all(abs(g[1] - w[1]) < 1e-5 for g, w in zip(got, want))
+
+
 def test_windows_cover_whole_texts_and_stems_end_words():
     words = toxicity.words_of_text("Early! " * 300 + "### late, " * 300)
     assert words == [b"early"] * 300 + [b"late"] * 300
