@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnfield.functions.text import fold
+
 
 def file_key(path: Column) -> Column:
-    """Path with forward slashes in lower case; unlike full case folding, letters such as sharp s stay."""
-    return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    """Path with forward slashes in full case folding."""
+    return fold(F.replace(path, F.lit("\\"), F.lit("/")))
 
 
 def path_text(path: Column) -> Column:
@@ -58,7 +60,7 @@ def readable_path(path: Column, roots: Sequence[str] = ()) -> Column:
 def comparable_forms(path: Column, roots: Sequence[str] = ()) -> Column:
     """Distinct forms of a path that count as the same file: as written, under each root, and relative to each root."""
     own = path_text(path)
-    bases = [r.replace("\\", "/").rstrip("/").lower() + "/" for r in roots]
+    bases = [r.replace("\\", "/").rstrip("/").casefold() + "/" for r in roots]
     absolute = own.rlike("^(/|[a-z]:/)")
     full = [F.when(absolute, own).otherwise(F.concat(F.lit(b), own)) for b in bases] or [own]
     inside = [F.when(f.startswith(b), F.substring(f, len(b) + 1, 1 << 20)) for f in full for b in bases]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.functions.paths import is_test_path, test_module
+from tarnfield.functions.text import fold, let
 
 #: Keywords by kind of task; the first kind with a hit wins.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -29,14 +30,15 @@ CHECKS: Mapping[str, Sequence[str]] = {
 
 def profile(task: Column) -> Column:
     """Struct of kind, confidence and reasons (the keywords found, in rule order)."""
-    low = F.lower(task)
-    hits = [(kind, F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))) for kind, words in RULES]
-    found = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("reasons")) for k, h in hits]), lambda x: F.size(x["reasons"]) > 0)
-    best = F.get(found, 0)
-    return F.when(
-        F.size(found) > 0,
-        F.struct(best["kind"].alias("kind"), F.least(F.lit(0.95), 0.45 + 0.15 * F.size(best["reasons"])).alias("confidence"), best["reasons"].alias("reasons")),
-    ).otherwise(F.struct(F.lit("general").alias("kind"), F.lit(0.2).alias("confidence"), F.array().cast("array<string>").alias("reasons")))
+
+    def of_folded(low: Column) -> Column:
+        hits = [(kind, F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))) for kind, words in RULES]
+        found = F.array(*[F.struct(F.lit(k).alias("kind"), h.alias("reasons")) for k, h in hits])
+        return F.get(F.filter(found, lambda x: F.size(x["reasons"]) > 0), 0)
+
+    none = F.struct(F.lit("general").alias("kind"), F.lit(0.2).alias("confidence"), F.array().cast("array<string>").alias("reasons"))
+    sure = lambda b: F.struct(b["kind"].alias("kind"), F.least(F.lit(0.95), 0.45 + 0.15 * F.size(b["reasons"])).alias("confidence"), b["reasons"].alias("reasons"))
+    return let(let(fold(task), of_folded), lambda b: F.when(b.isNotNull(), sure(b)).otherwise(none))
 
 
 def candidate_files(results: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.functions import paths, tokens
-from tarnfield.functions.text import preview
+from tarnfield.functions.text import fold, preview
 from tarnfield.operators import chunking, citations, context, evaluate, facts, index, memory, patch, prompts, search, tasks
 from tarnfield.plans import oracle as O
 from tarnfield.plans import tables, workloads
@@ -280,6 +280,19 @@ def trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].union(rows[1]).union(rows[2]).withColumn("score", rounded("score"))
 
 
+@registered(
+    f"""{_STAGES}, lined as (select *, row_number() over (partition by query_id order by first_rank) as i,
+      list_filter(all_sources, lambda x, i: list_position(all_sources, x) = i) as own,
+      array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') as p from blocks)
+    select query_id, cast(i as int) as rank, file_path as file, start_line, end_line, round(score, 6) as score, array_to_string(own, ',') as sources, chunk_count,
+      cast(first_rank + 1 as int) as first_rank, cast(length(text) as int) as char_count, case when length(p) > 120 then rtrim(substr(p, 1, 117)) || '...' else p end as preview from lined"""
+)
+def block_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the compaction stage, a row for each."""
+    rows = retrieval_traces(spark, sf_dir).select("query_id", F.inline("stages.context_compaction"))
+    return rows.withColumns({"score": rounded("score"), "sources": F.array_join("sources", ","), "first_rank": F.col("first_rank").cast("int")})
+
+
 def retrieval_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, chunks = docs_found(spark, sf_dir), docs_corpus(spark, sf_dir).chunks
     params = {"top_k": K, "chunk_size": SIZE, "overlap": OVERLAP, "recall_window": WINDOW}
@@ -297,6 +310,12 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", preview(F.col("text")).alias("preview"))
 
 
+@registered("select doc_id, md5(replace(lower(coalesce(text, '')), 'ß', 'ss')) as folded_md5 from documents")
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full case folding of whole texts, in whose languages sharp s is the letter that lower case leaves."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(fold(F.coalesce("text", F.lit("")))).alias("folded_md5"))
+
+
 # ---------------------------------------------------------------- evaluation
 
 

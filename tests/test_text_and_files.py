@@ -43,6 +43,17 @@ def test_lines_and_preview(spark):
     assert column(spark, samples, text.preview) == [w if len(w) <= 120 else w[:117].rstrip() + "..." for w in want]
 
 
+def test_folding_equals_the_standard(spark):
+    """Every code point alone, and in a word with others."""
+    import unicodedata
+
+    every = [chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    texts = every + ["a" + "".join(every[i : i + 50]) + "😀" for i in range(0, 12_000, 50)] + ["STRASSE ẞ ß ΣΑΣ ŉ ﬃ Ⴀ Ꭰ ꭰ"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.fold(F.col("t")).alias("f")).collect()
+    wrong = [(texts[r["i"]], r["f"]) for r in got if r["f"] != texts[r["i"]].casefold()]
+    assert not wrong, wrong[:5]
+
+
 def test_paths(spark):
     p = ["tests/a.py", "src\\Tests\\b.py", "src/test_x.py", "x_test.py", "src/latest/a.py"]
     assert column(spark, p, paths.is_test_path) == [True, True, True, True, False]
