@@ -92,3 +92,13 @@ def test_queries_equal_their_sql(spark, small, name):
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14)) and "pipeline" in names
+
+
+def test_operators_take_ids_of_text(spark, small):
+    """Ids that are no numbers come back as they are; near-duplicate classes, whose ids are numbers, take them as null."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    docs = spark.createDataFrame([("a", "some words to read"), ("b", None), ("12", "mail x@host.org")], "doc_id string, text string")
+    for call in (lambda d: toxicity.score(d, toxicity.fit(d, labels.withColumn("doc_id", labels["doc_id"].cast("string")))), pii.scan, pieces.encode, pieces.round_trip):
+        assert {r["doc_id"] for r in call(docs).collect()} == {"a", "b", "12"}
+    assert sorted(str(r["doc_id"]) for r in simhash.near_duplicates(docs).collect()) == ["12", "None", "None"]
+    assert simhash.keep_one_of_each(docs).columns == docs.columns
