@@ -39,13 +39,16 @@ SYMBOL_LINE = "(?md)^\\s*(class|def|async\\s+def)\\s+([A-Za-z_][A-Za-z_0-9]*)"
 PART = 4096
 PLACE = ["file_no", "part", "chunk_no"]
 TEXT = "text"
+#: Postings of a bucket lie in the order of bands, hash ranges of corpus, kind and term, in pages of so many rows; a search reads the pages of its terms' bands.
+BANDS = 1 << 14
+PAGE_ROWS = 2048
 
 
 @dataclass(frozen=True)
 class Index:
     """chunks: keys, lines, place and lengths of each chunk; family stands for the file_key.
 
-    postings: by kind and term.  Of kind TEXT are content frequency of each term
+    postings: by kind and term, sorted by band in each bucket.  Of kind TEXT are content frequency of each term
     of a chunk, its frequency in the chunk's own symbols (own_tf) and in what all
     of its file has (file_tf); the latter stands once for each part of a file,
     in a row without chunk_no.  Other kinds are structural terms, of chunks and
@@ -64,6 +67,11 @@ class Index:
         return dict(vars(self))
 
 
+def band() -> Column:
+    """The band of a term of a kind in a corpus."""
+    return F.pmod(F.xxhash64("corpus_id", "kind", "term"), F.lit(BANDS)).cast("int").alias("band")
+
+
 def in_path_order(files: DataFrame) -> DataFrame:
     """files with file_no, numbers that grow with corpus and path (by its parts); store what is made of it."""
     order = ["corpus_id", path_parts(F.col("file_path")), "file_path"]
@@ -147,7 +155,8 @@ def build(chunks: DataFrame, facts: DataFrame | None, tokenizer: Tokenizer = tok
     every = own
     for more in (whole, structure, file_structure):
         every = every.unionByName(more, allowMissingColumns=True)
-    postings = durable_buckets(every.repartition(n, "file_no", "part"), n, "file_no", "part")
+    every = every.repartition(n, "file_no", "part").withColumn("band", band())
+    postings = durable_buckets(every, n, "file_no", "part", sort=["band"], page_rows=PAGE_ROWS)
 
     lengths = counted.groupBy("corpus_id").agg(F.count("*").alias("n"), F.avg("content_dl").alias("content_avgdl"), F.avg("metadata_dl").alias("metadata_avgdl"))
     widest = counted.groupBy("corpus_id", "family").agg(F.countDistinct("file_no", "part").alias("m")).groupBy("corpus_id").agg(F.max("m").alias("most_parts"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.functions.tokens import TEST_WORDS, has_any, tokenize
-from tarnfield.operators.index import FIELDS, PLACE, TEXT, Index, Tokenizer
+from tarnfield.operators.index import FIELDS, PLACE, TEXT, Index, Tokenizer, band
 from tarnfield.sources.scratch import durable, sized_broadcast
 
 K1, B = 1.5, 0.75
@@ -25,6 +27,8 @@ QUERY = ["query_id", "corpus_id"]
 ORDER = ["file_no", "chunk_no"]
 #: Parts in which the first rows of a table are found before they are compared with each other.
 _PARTS = 64
+#: Ranges of bands in a filter of postings.
+_RANGES = 64
 
 
 def query_terms(queries: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
@@ -55,24 +59,39 @@ def _part(f: str, tf: Column) -> Column:
     return F.when(tf > 0, bm25(tf, F.col(f"{f}_dl"), F.col(f"{f}_avgdl"), F.col(f"{f}_idf"), F.col("qtf"))).otherwise(0.0)
 
 
+def _ranges(bands: Sequence[int], most: int = _RANGES) -> list[tuple[int, int]]:
+    """At most so many ranges that hold all of the sorted bands; the widest gaps stay out of them."""
+    gaps = sorted(range(1, len(bands)), key=lambda i: bands[i - 1] - bands[i])[: most - 1]
+    cuts = [0, *sorted(gaps), len(bands)]
+    return [(bands[a], bands[b - 1]) for a, b in pairwise(cuts) if a < b]
+
+
+def asked_bands(words: DataFrame) -> Column:
+    """Whether a posting is in a band of stored words, as a filter that Parquet's page ranges answer; at most BANDS numbers come to the driver."""
+    bands = sorted(r["band"] for r in words.select(band()).distinct().collect())
+    return reduce(Column.__or__, [F.col("band").between(a, b) for a, b in _ranges(bands)], F.lit(False))
+
+
 def content_scores(index: Index, terms: DataFrame) -> DataFrame:
     """(query_id, corpus_id, place, family, score): BM25 of the content field alone, for chunks that share a term there."""
-    words = _weighted(index, terms).filter(F.col("kind") == TEXT)
-    hits = index.postings.filter((F.col("kind") == TEXT) & (F.col("content_tf") > 0)).join(sized_broadcast(words), ["corpus_id", "kind", "term"])
+    words = durable(_weighted(index, terms).filter(F.col("kind") == TEXT))
+    hits = index.postings.filter(asked_bands(words) & (F.col("kind") == TEXT) & (F.col("content_tf") > 0)).join(sized_broadcast(words), ["corpus_id", "kind", "term"])
     return hits.groupBy(*QUERY, *PLACE, "family").agg(F.sum(_part("content", F.col("content_tf"))).alias("score"))
 
 
 @dataclass(frozen=True)
 class Asked:
-    """Stored tables of a batch of queries: weighted terms by kind, and what a query is like."""
+    """Stored tables of a batch of queries: weighted terms by kind, and what a query is like; and the filter of the terms' bands."""
 
     words: DataFrame
     about: DataFrame
+    bands: Column
 
     @staticmethod
     def of(index: Index, terms: DataFrame) -> Asked:
         terms = durable(terms)
-        return Asked(_weighted(index, terms), durable(terms.select("query_id", "n_terms", "asks_tests").distinct()))
+        words = _weighted(index, terms)
+        return Asked(words, durable(terms.select("query_id", "n_terms", "asks_tests").distinct()), asked_bands(words))
 
 
 def field_sums(index: Index, asked: Asked, within: DataFrame | None = None) -> DataFrame:
@@ -83,7 +102,7 @@ def field_sums(index: Index, asked: Asked, within: DataFrame | None = None) -> D
     chunk's own posting of such a term adds what the term's higher frequency
     makes.  within(file_no, part, chunk_no), a small stored table, restricts the chunks.
     """
-    postings, parts = index.postings, index.parts
+    postings, parts = index.postings.filter(asked.bands), index.parts
     if within is not None:
         few = sized_broadcast(within.select("file_no", "part").distinct())
         postings, parts = (t.join(few, ["file_no", "part"], "left_semi") for t in (postings, parts))
@@ -216,7 +235,7 @@ def rank_queries(index: Index, queries: DataFrame, k: int, tokenizer: Tokenizer
     needy = durable(queries.select(*QUERY).join(good, "query_id", "left").filter(F.coalesce("good", F.lit(0)) < k))
     if not needy.isEmpty():
         only = lambda df: df.join(sized_broadcast(needy.select("query_id")), "query_id", "left_semi")
-        few = Asked(durable(only(asked.words)), asked.about)
+        few = Asked(durable(only(asked.words)), asked.about, asked.bands)
         scored = durable(fused(field_sums(index, few), tops, asked.about))
         every = scored.unionByName(fillers(needy, scored.select("query_id", *PLACE), index.chunks, k).select(*scored.columns))
         rest = best.join(sized_broadcast(needy.select("query_id")), "query_id", "left_anti")

@@ -62,6 +62,42 @@ def test_a_user_sets_the_tokenizer(spark):
         assert sorted(r["file_path"] for r in search.placed(corpus.index, found).collect()) == want
 
 
+def rows_read(df):
+    """Rows that the scan of a table without joins gave to its filter."""
+    assert df.collect() is not None
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_a_small_batch_reads_few_postings(spark, monkeypatch):
+    monkeypatch.setattr(index, "PAGE_ROWS", 128)
+    rng = random.Random(4)
+    files = [("c", f"d{i % 7}/f{i}.py", "\n".join(" ".join(f"w{rng.randint(0, 5000)}" for _ in range(12)) for _ in range(60))) for i in range(120)]
+    own = workloads.build_corpus(spark.createDataFrame(files, FILES), 4, 1).index
+    queries = spark.createDataFrame([(str(i), "c", f"w{i * 37} w{i * 91}") for i in range(10)], QUERIES)
+    asked = search.Asked.of(own, search.query_terms(queries))
+    hits = own.postings.filter(asked.bands)
+    assert rows_read(hits) < own.postings.count() / 10
+    # nothing that a query asks for is left out
+    names = ["corpus_id", "kind", "term"]
+    matched = lambda postings: postings.join(asked.words.select(*names).distinct(), names, "left_semi").count()
+    assert matched(hits) == matched(own.postings) > 100
+    nothing = search.Asked.of(own, search.query_terms(queries.filter("false")))
+    assert own.postings.filter(nothing.bands).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 2, 5, 64])
+def test_ranges_hold_all_bands(most):
+    rng = random.Random(most)
+    for n in (0, 1, 3, 40, 200):
+        bands = sorted(rng.sample(range(1000), n))
+        got = search._ranges(bands, most)
+        assert len(got) == min(most, n) and all(sum(a <= b <= z for a, z in got) == 1 for b in bands)
+        assert sum(z - a for a, z in got) <= (bands[-1] - bands[0] if bands else 0)
+
+
 def test_term_counts_equal_plain_counts(spark):
     from collections import Counter
 
