@@ -487,6 +487,21 @@ def normalized_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", F.md5("query").alias("query_md5"), F.array_join("relevant", ",").alias("relevant"))
 
 
+@registered(
+    """with raw as (select *, row_number() over (order by doc_id) as no from documents where doc_id % 50 = 0)
+    select case when doc_id % 3 = 0 then 'case-' || no else 'own-' || doc_id end as query_id, md5(text) as query_md5, 'c.py,' || source as relevant from raw where coalesce(text, '') <> '' and source is not null"""
+)
+def array_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as JSON arrays, at most 64 in a file, and loaded again; numbers go on from file to file."""
+    i, path = F.col("doc_id"), _folder(spark)
+    gold = F.when(F.col("source").isNotNull(), F.array(F.lit("c.py"), F.col("source")))
+    case = F.struct(i.alias("at"), F.when(i % 3 != 0, F.concat(F.lit("own-"), i.cast("string"))).alias("id"), F.col("text").alias("query"), gold.alias("relevant"))
+    raw = read(spark, sf_dir, "documents").filter(i % 50 == 0).groupBy(F.format_string("%09d", F.floor(i / 3200)).alias("block"))
+    raw.agg(F.to_json(F.sort_array(F.collect_list(case))).alias("value")).write.partitionBy("block").text(path)
+    rows = case_files.normalize_cases(case_files.load_cases(spark, path, lines=False), strict=False)
+    return rows.select("query_id", F.md5("query").alias("query_md5"), F.array_join("relevant", ",").alias("relevant"))
+
+
 @registered(f"with {O.CASES} select query_id, md5(query) as query_md5, array_to_string(relevant, ',') as relevant, 'run/trace_stage_files.jsonl' as stage_files from cases")
 def written_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases written as JSON and read back, with the name of the file that goes beside their traces."""

@@ -7,6 +7,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfield.sources.lines import numbered, stored_with_spots
+
 RAW = "id string, query string, question string, relevant array<string>, gold_files array<string>"
 
 
@@ -27,26 +29,13 @@ def gold_of() -> Column:
     return F.coalesce(some("relevant"), some("gold_files"))
 
 
-def _numbered(raw: DataFrame, name: str) -> DataFrame:
-    """raw with the number of each row, by file, place in the file and place in the task; counted by tasks, so that no task sees all rows."""
-    spot = {"file": F.input_file_name(), "block": F.input_file_block_start(), "task": F.spark_partition_id()}
-    rows = raw.withColumns(spot | {"at": F.monotonically_increasing_id()})
-    parts = rows.groupBy(*spot).agg(F.count("*").alias("n"), F.min("at").alias("first")).collect()  # a row for each split of a file
-    before, starts = 0, []
-    for r in sorted(parts, key=lambda r: (r["file"], r["block"], r["task"])):
-        starts.append((r["file"], r["block"], r["task"], before - r["first"] + 1))
-        before += r["n"]
-    offsets = raw.sparkSession.createDataFrame(starts, "file string, block long, task int, offset long")
-    return rows.join(F.broadcast(offsets), [*spot]).withColumn(name, F.col("at") + F.col("offset"))
-
-
 def normalize_cases(raw: DataFrame, strict: bool = True) -> DataFrame:
     """cases(query_id, query, relevant): empty counts as missing, question and gold_files stand in, ids default to case-<number>.
 
     raw comes from load_cases() or another source whose rows keep their places.
     Strict fails on a case without query or gold; otherwise such rows are in bad_cases().
     """
-    rows = _numbered(raw.select("id", query_of().alias("asked"), gold_of().alias("gold")), "no")
+    rows = numbered(stored_with_spots(raw.select("id", query_of().alias("asked"), gold_of().alias("gold"))), "no")
     own_id = F.coalesce(F.nullif(F.col("id"), F.lit("")), F.format_string("case-%d", "no"))
     rows = rows.select(own_id.alias("query_id"), F.col("asked").alias("query"), F.col("gold").alias("relevant"))
     if not strict:

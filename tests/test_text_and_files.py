@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from tarnfield.functions import paths, text, tokens
 from tarnfield.operators import chunking, facts, patch
-from tarnfield.sources import cases, files, memories
+from tarnfield.sources import cases, files, lines, memories
 
 
 def column(spark, values, expr):
@@ -170,6 +170,26 @@ def test_import_patch(spark):
     assert {r["directory"] for r in patch.shim_directories(df).collect()} == {"d", "e"}
 
 
+def test_numbers_of_lines_in_parts_of_files(spark, tmp_path):
+    sizes = {"b.txt": 700, "a.txt": 1, "c.txt": 0, "d.txt": 300}
+    for name, n in sizes.items():
+        (tmp_path / name).write_text("".join(f"{name}:{i + 1}\n" if i % 5 else "\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1024)
+    try:
+        stored = lines.stored_with_spots(spark.read.text(str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert stored.select(*lines.SPOT).distinct().count() > 6
+    in_files = lines.numbered(stored, "no", each_file=True).collect()
+    assert len(in_files) == 1001 and all(r["value"].split(":")[1] == str(r["no"]) for r in in_files if r["value"])
+    through = {r["value"]: r["no"] for r in lines.numbered(stored, "no").collect() if r["value"]}
+    assert through == {f"{f}:{i + 1}": i + 1 + before for f, before in (("b.txt", 1), ("d.txt", 701)) for i in range(sizes[f]) if i % 5}
+    # a store whose blank lines count, broken in a later part of a file
+    (tmp_path / "store").mkdir()
+    (tmp_path / "store" / "m.json").write_text('{"id": "x"}\n\n' * 50 + "[broken\n")
+    assert [tuple(r) for r in memories.broken_records(spark, str(tmp_path / "store")).collect()] == [("m.json", 101, "[broken")]
+
+
 def test_memory_store(spark, tmp_path):
     store = str(tmp_path / "store")
     assert memories.read_memories(spark, store).count() == 0
