@@ -27,8 +27,9 @@ QUERY = ["query_id", "corpus_id"]
 ORDER = ["file_no", "chunk_no"]
 #: Parts in which the first rows of a table are found before they are compared with each other.
 _PARTS = 64
-#: Ranges of bands in a filter of postings.
+#: Ranges of bands in a filter of postings, and the bands from which on there is no filter.
 _RANGES = 64
+_MOST_BANDS = 4 * _RANGES
 
 
 def query_terms(queries: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
@@ -67,8 +68,13 @@ def _ranges(bands: Sequence[int], most: int = _RANGES) -> list[tuple[int, int]]:
 
 
 def asked_bands(words: DataFrame) -> Column:
-    """Whether a posting is in a band of stored words, as a filter that Parquet's page ranges answer; at most BANDS numbers come to the driver."""
+    """Whether a posting is in a band of stored words, as a filter that Parquet's page ranges answer; at most BANDS numbers come to the driver.
+
+    A batch of so many bands that ranges would hold most postings is not filtered: the join with its words alone is cheaper.
+    """
     bands = sorted(r["band"] for r in words.select(band()).distinct().collect())
+    if len(bands) > _MOST_BANDS:
+        return F.lit(True)
     return reduce(Column.__or__, [F.col("band").between(a, b) for a, b in _ranges(bands)], F.lit(False))
 
 

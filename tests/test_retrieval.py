@@ -84,6 +84,8 @@ def test_a_small_batch_reads_few_postings(spark, monkeypatch):
     names = ["corpus_id", "kind", "term"]
     matched = lambda postings: postings.join(asked.words.select(*names).distinct(), names, "left_semi").count()
     assert matched(hits) == matched(own.postings) > 100
+    many = search.Asked.of(own, search.query_terms(spark.createDataFrame([("q", "c", " ".join(f"w{i}" for i in range(600)))], QUERIES)))
+    assert matched(own.postings.filter(many.bands)) == matched(own.postings) and own.postings.filter(many.bands).count() == own.postings.count()
     nothing = search.Asked.of(own, search.query_terms(queries.filter("false")))
     assert own.postings.filter(nothing.bands).count() == 0
 
