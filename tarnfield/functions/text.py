@@ -32,7 +32,8 @@ def fold(text: Column) -> Column:
     table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{x}" for c, x in folds.items())), F.lit("\x01"), F.lit("\x02"))  # one literal after optimisation
     chars = F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0))
     folded = F.array_join(F.transform(chars, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(low.rlike("[" + "".join(folds) + "]"), folded).otherwise(low)
+    # the class is a long chain of characters for Java, so it is only asked about those beyond ASCII, where all of them are
+    return F.when(low.rlike(f"(?=[^\\x00-\\x7f])[{''.join(folds)}]"), folded).otherwise(low)
 
 
 def preview(text: Column, max_chars: int = 120) -> Column:
