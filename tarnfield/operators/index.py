@@ -113,6 +113,20 @@ def file_metadata() -> Column:
     )
 
 
+def symbol_lines() -> Column:
+    """Names on a chunk's lines that begin with class or def."""
+    return F.array_join(F.regexp_extract_all("text", F.lit(SYMBOL_LINE), F.lit(2)), " ")
+
+
+def symbols_of(chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """(chunk keys, symbols, words) of the chunks of files that have symbols, of stored facts."""
+    path = ["corpus_id", "file_path"]
+    named = sized_broadcast(facts.filter(F.size("symbols") > 0).select(*path))
+    keys = chunks.select(*CHUNK, "start_line", "end_line").join(named, path, "left_semi")
+    symbols = chunk_symbols(keys, facts).filter((F.size("symbols") > 0) | (F.size("first_names") > 0))
+    return symbols.select(*CHUNK, "symbols", symbol_words().alias("words"))
+
+
 def build(chunks: DataFrame, facts: DataFrame | None, tokenizer: Tokenizer = tokenize) -> Index:
     """Index of stored tables chunks(..., file_no) and facts; without facts the metadata field has path and symbol lines only, and there is no structure."""
     spark = chunks.sparkSession
@@ -123,14 +137,12 @@ def build(chunks: DataFrame, facts: DataFrame | None, tokenizer: Tokenizer = tok
     known = facts.dropDuplicates(path)
     file_tokens = known.select(*path, tokenizer(file_metadata()).alias("tokens"))
     by_file = durable(file_tokens.select(*path, F.size("tokens").alias("file_dl"), F.transform(term_counts(F.col("tokens"), F.array().cast("array<string>")), lambda x: F.struct(x["term"].alias("term"), x["content_tf"].alias("tf"))).alias("counts")))
-    symbols = chunk_symbols(chunks.select(*CHUNK, "start_line", "end_line"), facts).filter((F.size("symbols") > 0) | (F.size("first_names") > 0))
-    symbols = durable(symbols.select(*CHUNK, "symbols", symbol_words().alias("words")))
+    symbols = durable(symbols_of(chunks, facts))
 
     rows = chunks.withColumns({"part": F.shiftright("chunk_no", 12), "family": F.xxhash64("corpus_id", "file_key"), "is_test": is_test_path(F.col("file_path"))})
     rows = rows.join(sized_broadcast(by_file.select(*path, "file_dl")), path, "left").join(sized_broadcast(symbols.select(*CHUNK, "words")), CHUNK, "left")
-    lines = F.array_join(F.regexp_extract_all("text", F.lit(SYMBOL_LINE), F.lit(2)), " ")
     keys = [*path, *PLACE, "family", "is_test", "start_line", "end_line", "file_dl"]
-    rows = rows.repartition(n, "file_no", "part").select(*keys, content_tokens(tokenizer).alias("content"), tokenizer(F.concat_ws(" ", lines, "words")).alias("own"))
+    rows = rows.repartition(n, "file_no", "part").select(*keys, content_tokens(tokenizer).alias("content"), tokenizer(F.concat_ws(" ", symbol_lines(), "words")).alias("own"))
     dl = {"content_dl": F.size("content"), "metadata_dl": F.size("own") + F.coalesce("file_dl", F.lit(0))}
     counted = durable_buckets(rows.select(*keys[:-1], *[c.alias(k) for k, c in dl.items()], term_counts(F.col("content"), F.col("own")).alias("counts")), n, "file_no", "part")
     table = counted.drop("counts")
@@ -172,6 +184,36 @@ def build(chunks: DataFrame, facts: DataFrame | None, tokenizer: Tokenizer = tok
 FIELDS = ("content", "metadata")
 
 
+def content_df(chunks: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
+    """(corpus_id, term, content_df): the chunks with a term, added up where the chunks are made, so that only terms with sums are moved."""
+    terms = chunks.select("corpus_id", F.explode(F.array_distinct(content_tokens(tokenizer))).alias("term"))
+    return terms.groupBy("corpus_id", "term").agg(F.count("*").alias("content_df"))
+
+
+def metadata_df(chunks: DataFrame, facts: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
+    """(corpus_id, term, metadata_df) of chunks and stored facts: a file's terms count for all of its chunks, a chunk's own ones where its file lacks them.
+
+    Keys, names of symbols and sums are moved, no texts.
+    """
+    path = ["corpus_id", "file_path"]
+    shared = facts.dropDuplicates(path).select(*path, F.array_distinct(tokenizer(file_metadata())).alias("shared"))
+    counts = chunks.groupBy(*path).agg(F.count("*").alias("n_chunks"))
+    of_files = shared.join(counts, path).select("corpus_id", F.explode("shared").alias("term"), "n_chunks").groupBy("corpus_id", "term").agg(F.sum("n_chunks").alias("metadata_df"))
+    symbols = symbols_of(chunks, facts).select(*CHUNK, "words")
+    own = chunks.select(*CHUNK, symbol_lines().alias("lines")).filter("lines <> ''").join(symbols, CHUNK, "full")
+    own = own.select(*path, tokenizer(F.concat_ws(" ", "lines", "words")).alias("own")).join(shared, path, "left")
+    alone = F.array_except("own", F.coalesce("shared", F.array().cast("array<string>")))
+    of_chunks = own.select("corpus_id", F.explode(alone).alias("term")).groupBy("corpus_id", "term").agg(F.count("*").alias("metadata_df"))
+    return of_files.unionByName(of_chunks).groupBy("corpus_id", "term").agg(F.sum("metadata_df").alias("metadata_df"))
+
+
+def statistics(chunks: DataFrame, facts: DataFrame | None, tokenizer: Tokenizer = tokenize) -> DataFrame:
+    """(corpus_id, term, and df and idf of both fields) as in an index's terms, without its postings: of the content field if facts is None, else of the metadata field."""
+    df = content_df(chunks, tokenizer) if facts is None else metadata_df(chunks, facts, tokenizer)
+    df = durable(df.withColumns({f"{f}_df": F.lit(0).cast("long") for f in FIELDS if f"{f}_df" not in df.columns}))
+    return term_stats(df, durable(chunks.groupBy("corpus_id").agg(F.count("*").alias("n"))))
+
+
 def term_stats(df: DataFrame, corpora: DataFrame) -> DataFrame:
     """(corpus_id, term, and df and idf of both fields) of stored tables: a negative idf becomes EPSILON times the mean over all terms of the field, taken before."""
     raw = df.join(sized_broadcast(corpora.select("corpus_id", "n")), "corpus_id")

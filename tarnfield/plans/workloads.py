@@ -35,6 +35,12 @@ def build_corpus(files: DataFrame, chunk_size: int | Column = 40, overlap: int |
     return Corpus(chunks, index.build(chunks, durable(file_facts(files)) if structure else None, tokenizer), tokenizer)
 
 
+def corpus_statistics(files: DataFrame, field: str, chunk_size: int = 40, overlap: int = 5, tokenizer: Tokenizer = tokenize) -> DataFrame:
+    """df and idf of a field's terms, as the index of build_corpus() has them, straight from the files."""
+    facts = durable(file_facts(files)) if field == "metadata" else None
+    return index.statistics(split_files(files, chunk_size, overlap), facts, tokenizer)
+
+
 @dataclass(frozen=True)
 class Found:
     """The stages of a retrieval, one row for each query and result."""

@@ -44,3 +44,19 @@ def test_chinese_terms_within_each_other(spark):
 def test_loaded_files_are_read_once(spark, small):
     """The sort over them read and decoded every file twice."""
     assert "binaryFile" not in optimized(queries.QUERIES["loaded_files"](spark, small)) and "_decoded" not in optimized(queries.QUERIES["loaded_files"](spark, small))
+
+
+def test_statistics_need_no_postings_and_equal_those_of_an_index(spark, small, monkeypatch):
+    from tarnfield.operators import chunking, facts, index
+
+    code = "import os.path\nfrom lib import load\n\n\nclass Loader(Base):\n    def load(self, path):\n        return helper(path)\n\n\ndef other(x):\n    return x\n"
+    files = [("a", "src/loader.py", code), ("a", "src/prose.py", "def load nothing that parses\nclass of its own\n" * 3), ("b", "loader.py", code), ("b", "none.py", None), ("b", "p.py", "plain words\n")]
+    files = index.in_path_order(spark.createDataFrame(files, "corpus_id string, file_path string, text string"))
+    chunks = index.durable(chunking.split_files(files, 4, 1, ["file_no"]))
+    known = index.durable(facts.file_facts(files))
+    whole = index.build(chunks, known).terms
+    for field, given in (("content", None), ("metadata", known)):
+        rows = lambda df: sorted((r[0], r[1], r[2], round(r[3], 9)) for r in df.filter(f"{field}_df > 0").select("corpus_id", "term", f"{field}_df", f"{field}_idf").collect())  # noqa: B023, E731
+        assert rows(index.statistics(chunks, given)) == rows(whole)
+    monkeypatch.setattr(queries.workloads, "build_corpus", None)
+    assert all(queries.QUERIES[f"{n}_statistics"](spark, small).count() for n in ("term",))
