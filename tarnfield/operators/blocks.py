@@ -83,6 +83,12 @@ def sums(q: pa.StructArray, c: pa.StructArray, kinds: list[float]) -> tuple[np.n
     return text("content", asked), text("metadata", asked), shared, np.minimum(weight, 1.5) / 1.5, (shared > 0) | (weight > 0)
 
 
+def shared_terms(q: pa.StructArray, c: pa.StructArray) -> np.ndarray:
+    """How many terms each pair of rows shares; terms have ids only."""
+    listed = lambda rows: (lambda at, own: (at, own["id"], np.ones(len(at))))(*_entries(rows))
+    return np.rint(_product(listed(q), listed(c), (len(q), len(c)))).astype(np.int64)
+
+
 def best_places(score: np.ndarray, matches: np.ndarray, family: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of each row's k best, and of the best of its k best families; among equals the earlier place.
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfield.functions.tokens import tokenize
+from tarnfield.operators import blocks
 from tarnfield.operators.index import Tokenizer
 from tarnfield.sources.scratch import BROADCAST_BYTES, byte_size, durable, sized_broadcast
 
@@ -41,20 +47,53 @@ def _salted(words: DataFrame, tokens: DataFrame) -> DataFrame:
     return copied.join(dealt, ["token", "salt"]).drop("salt")
 
 
+#: Memories that meet a block of tasks together.
+BLOCK = 4096
+
+
 def search(tasks: DataFrame, tokens: DataFrame, limit: int = 5, tokenizer: Tokenizer = tokenize) -> DataFrame:
     """(task_id, seq, score, rank) of tasks(task_id, task): share of the task's distinct tokens that a memory has, latest first among equals.
 
-    The words of a batch of tasks go to where the memories' tokens lie, if they
-    are small; otherwise both meet by token, frequent tokens split by memory.
-    Of each task's sums a task of Spark hands on its best ones only.
+    Tokens of the tasks are numbered; a memory is a row of the numbers it has.
+    Blocks of memories meet blocks of tasks by matrix products, and rows are
+    made of a block's best memories for a task only, not of all that share a
+    token.  If the tasks' tokens are many, frequent ones are split by memory.
     """
     own = tasks.select("task_id", F.array_distinct(tokenizer(F.col("task"))).alias("t"))
     words = durable(own.select("task_id", F.size("t").alias("n"), F.explode("t").alias("token")))
-    small = byte_size(words) <= BROADCAST_BYTES
-    hits = F.broadcast(words).join(tokens, "token") if small else _salted(words, tokens)
-    sums = hits.groupBy("task_id", "seq").agg((F.count("*") / F.first("n")).alias("score"))
+    known = durable(words.select("token").distinct().coalesce(1).select("token", F.monotonically_increasing_id().cast("int").alias("id")))
+    small = byte_size(known) <= BROADCAST_BYTES
+    listed = F.collect_list(F.struct("id")).alias("terms")
+    asked = words.join(sized_broadcast(known), "token").groupBy("task_id").agg(F.first("n").alias("n"), listed)
+    asked = durable(blocks.packed(asked, blocks.QUERIES))
+    hits = tokens.join(F.broadcast(known), "token") if small else _salted(known, tokens)
+    memories = durable(blocks.packed(hits.groupBy("seq").agg(listed), BLOCK))
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("task_id", tasks), ("seq", tokens)))
+    pairs = asked.select(F.col("rows").alias("q")).crossJoin(memories.select(F.col("rows").alias("c")))
+    best = pairs.mapInArrow(_best(max(limit, 1)), f"{kinds}, score double")
     order = Window.partitionBy("task_id").orderBy(F.desc("score"), F.desc("seq"))
-    return sums.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(limit, 0))
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(limit, 0))
+
+
+def _best(k: int):
+    """Of each pair of blocks the k best memories of each task."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                q, c = (pa.concat_arrays([batch.column(n)[i].values]) for n in (0, 1))
+                shared = blocks.shared_terms(q, c)
+                latest = np.empty(len(c), np.int64)
+                latest[pc.sort_indices(c.field("seq"), null_placement="at_start").to_numpy()] = np.arange(len(c))
+                key = shared * len(c) + latest
+                at = np.argpartition(key, len(c) - min(k, len(c)), axis=1)[:, -k:]
+                task, spot = np.repeat(np.arange(len(q)), at.shape[1]), at.ravel()
+                found = shared[task, spot] > 0
+                task, spot = task[found], spot[found]
+                score = shared[task, spot] / q.field("n").to_numpy(zero_copy_only=False)[task]
+                yield pa.RecordBatch.from_arrays([q.field("task_id").take(pa.array(task)), c.field("seq").take(pa.array(spot)), pa.array(score)], ["task_id", "seq", "score"])
+
+    return best
 
 
 def new_memories(batch: DataFrame, stored: DataFrame) -> DataFrame:

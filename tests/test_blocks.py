@@ -41,3 +41,24 @@ def test_recalled_chunks_meet_their_own_queries_only(spark, small):
     spots = search.durable(ranking.best.select("query_id", *search.PLACE))
     scored = ranking.scores_of(index, spots)
     assert scored.count() == spots.count()
+
+
+def test_memories_are_found_by_small_blocks_and_not_by_rows_of_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tarnfield.operators import memory
+
+    draw = np.random.default_rng(3)
+    texts = {f"m{i:03d}": set(draw.choice(list("abcdefghij"), 4)) for i in range(150)}
+    asked = {i: set(draw.choice(list("abcdefghijkl"), 5)) for i in range(9)} | {9: {"x"}}
+    tokens = spark.createDataFrame([(s, t) for s, own in texts.items() for t in own], "seq string, token string")
+    tasks = spark.createDataFrame([(i, " ".join(own)) for i, own in asked.items()], "task_id int, task string")
+    want = []
+    for i, own in asked.items():
+        scored = sorted(((len(own & x) / len(own), s) for s, x in texts.items() if own & x), reverse=True)
+        want += [(i, s, score, rank) for rank, (score, s) in enumerate(scored[:6], 1)]
+    monkeypatch.setattr(memory, "BLOCK", 16)
+    monkeypatch.setattr(blocks, "QUERIES", 4)
+    found = memory.search(tasks, tokens, 6, lambda c: F.split(c, " "))
+    assert sorted(tuple(r) for r in found.select("task_id", "seq", "score", "rank").collect()) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "token" not in plan
