@@ -60,3 +60,15 @@ def test_statistics_need_no_postings_and_equal_those_of_an_index(spark, small, m
         assert rows(index.statistics(chunks, given)) == rows(whole)
     monkeypatch.setattr(queries.workloads, "build_corpus", None)
     assert all(queries.QUERIES[f"{n}_statistics"](spark, small).count() for n in ("term", "metadata"))
+
+
+def test_postings_of_chunks_are_neither_joined_nor_moved(spark, monkeypatch):
+    """They were joined with their files' terms and shuffled once more, after the chunks had been dealt."""
+    from tarnfield.operators import index
+    from tarnfield.plans import workloads
+
+    stored, store = [], index.durable_buckets
+    monkeypatch.setattr(index, "durable_buckets", lambda tables, *a, **k: (stored.append(tables), store(tables, *a, **k))[1])
+    workloads.build_corpus(spark.createDataFrame([("c", "a.py", "import os\nx = os\n"), ("c", "b.py", "y")], "corpus_id string, file_path string, text string"))
+    plan = stored[-1][0]._jdf.queryExecution().executedPlan().toString()
+    assert "counts" in plan and "Join" not in plan and "Exchange" not in plan
