@@ -42,7 +42,7 @@ def _entries(rows: pa.StructArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 
 
 def _product(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], shape: tuple[int, int]) -> np.ndarray:
-    """Sums over common ids of a query's value times a chunk's; q and c are row, id and value, sorted by id."""
+    """Sums over common ids of a query's value times a chunk's; q and c are row, id and value, sorted by id; values of a row's repeated ids add up."""
     ids, first, count = np.unique(c[1], return_index=True, return_counts=True)
     if not len(ids):
         return np.zeros(shape)
@@ -56,10 +56,9 @@ def _product(q: tuple[np.ndarray, ...], c: tuple[np.ndarray, ...], shape: tuple[
     out = np.bincount(np.repeat(row[few] * shape[1], size) + c[0][at], np.repeat(value[few], size) * c[2][at], shape[0] * shape[1]).reshape(shape).astype(float)
     if many.any():
         column = np.cumsum(many) - 1
-        left, right = np.zeros((shape[0], many.sum())), np.zeros((many.sum(), shape[1]))
-        left[row[~few], column[spot[~few]]] = value[~few]
-        mine = np.repeat(many, count)
-        right[np.repeat(column, count)[mine], c[0][mine]] = c[2][mine]
+        mine, wide = np.repeat(many, count), many.sum()
+        left = np.bincount(row[~few] * wide + column[spot[~few]], value[~few], shape[0] * wide).reshape(shape[0], wide)
+        right = np.bincount(np.repeat(column, count)[mine] * shape[1] + c[0][mine], c[2][mine], wide * shape[1]).reshape(wide, shape[1])
         out += left @ right
     return out
 

@@ -16,6 +16,14 @@ def test_products_of_dense_and_rare_terms(monkeypatch, dense):
     assert np.allclose(blocks._product(listed(q), listed(c), (7, 11)), q @ c.T)
 
 
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_values_of_repeated_terms_add_up(monkeypatch, dense):
+    monkeypatch.setattr(blocks, "_DENSE", dense)
+    of = lambda *rows: tuple(np.array(x) for x in zip(*rows))
+    found = blocks._product(of((0, 1, 2.0), (1, 1, 1.0), (1, 4, 3.0)), of((0, 1, 0.5), (0, 1, 0.25), (1, 4, 1.0), (1, 4, 1.0)), (2, 2))
+    assert found.tolist() == [[1.5, 0.0], [0.75, 6.0]]
+
+
 def test_best_places_keep_families_and_break_ties_by_place():
     score, family, place = np.array([[0.9, 0.9, 0.8, 0.1, 0.9]]), np.array([1, 1, 1, 2, 3]), np.array([1, 0, 2, 3, 4])
     _, found = blocks.best_places(score, score > 0, family, place, 2)
