@@ -70,3 +70,30 @@ def test_memories_are_found_by_small_blocks_and_not_by_rows_of_pairs(spark, monk
     assert sorted(tuple(r) for r in found.select("task_id", "seq", "score", "rank").collect()) == sorted(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "token" not in plan
+
+
+@pytest.mark.parametrize("together", [0, 7, 1000])
+def test_blocks_are_cut_between_rows(together):
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    keys = np.repeat(np.arange(23), draw.integers(1, 9, 23))
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys % 2 == 0), pa.array(draw.integers(0, 40, len(keys)), pa.int32()), pa.array(draw.random(len(keys)))], ["place", "is_test", "id", "worth"])
+    made = list(blocks.cut((rows.slice(i, 6) for i in range(0, len(keys), 6)), 4, ["place"], ["place", "is_test"], together))
+    made = [blocks.Block.loaded(b.stored()) for b in made]
+    assert [len(b) for b in made] == [4, 4, 4, 4, 4, 3] and all((np.diff(b.terms["id"]) >= 0).all() for b in made)
+    of = lambda b: zip(b.of("place")[b.terms["at"]], b.of("is_test")[b.terms["at"]], b.terms["id"], b.terms["worth"])
+    assert sorted(x for b in made for x in of(b)) == sorted(zip(*(c.to_pylist() for c in rows.columns)))
+    assert not list(blocks.cut(iter([rows.slice(0, 0)]), 4, ["place"], ["place", "is_test"], together))
+
+
+def test_highest_sums_need_no_shared_counts_unless_a_term_is_worth_nothing():
+    import pyarrow as pa
+
+    of = lambda ids, **own: blocks.Block(pa.RecordBatch.from_arrays([pa.array(ids)], ["x"]), {n: np.array(v) for n, v in own.items()})
+    q = of([0, 1], at=[0, 1, 0], id=[1, 1, 2], kind=[0, 0, 0], qtf=[2, 1, 1])
+    c = of([0, 1], at=[0, 1, 1], id=[1, 1, 2], kind=[0, 0, 0], content=[0.5, 0.0, 1.0], metadata=[0.0, 0.25, 0.0], shared=[1, 1, 1])
+    found, every = blocks.fields(q, c), blocks.sums(q, c, [])
+    assert [x.tolist() for x in found] == [x.tolist() for x in every[:2]] == [[[1.0, 1.0], [0.5, 0.0]], [[0.0, 0.5], [0.0, 0.25]]]
+    c.terms["content"][2] = 0.0
+    assert blocks.fields(q, c) is None and blocks.sums(q, c, [])[4].all()

@@ -72,3 +72,52 @@ def test_postings_of_chunks_are_neither_joined_nor_moved(spark, monkeypatch):
     workloads.build_corpus(spark.createDataFrame([("c", "a.py", "import os\nx = os\n"), ("c", "b.py", "y")], "corpus_id string, file_path string, text string"))
     plan = stored[-1][0]._jdf.queryExecution().executedPlan().toString()
     assert "counts" in plan and "Join" not in plan and "Exchange" not in plan
+
+
+CODE = "import os.path\nfrom lib import load\n\n\nclass Loader(Base):\n    def load(self, path):\n        return helper(path)\n"
+
+
+def _corpus(spark, **more):
+    from tarnfield.plans import workloads
+
+    files = [("c", "src/loader.py", CODE), ("c", "tests/prose.py", "def load nothing\nclass of its own\n" * 9), ("c", "b.py", None), *[("c", f"d{i}.py", f"word{i} load path\n" * i) for i in range(20)]]
+    return workloads.build_corpus(spark.createDataFrame(files, "corpus_id string, file_path string, text string"), 4, 1, **more)
+
+
+def test_large_batches_sort_no_postings_and_find_the_same(spark, small, monkeypatch):
+    """Postings were written once more, sorted by bands, for batches that read all of them anyway."""
+    from tarnfield.operators import index, search
+
+    found, asked = {}, spark.createDataFrame([("a", "c", "which function calls helper in the Loader signature"), ("b", "c", "word7 load import path"), ("n", "c", None), ("o", "c", "absent")], "query_id string, corpus_id string, query string")
+    for lookup, most in ((True, 256), (True, 0), (False, 0)):
+        monkeypatch.setattr(search, "_MOST_BANDS", most)
+        best = search.search(_corpus(spark, lookup=lookup).index, asked, 4)
+        found[lookup, most] = sorted((r["query_id"], r["rank"], r["file_path"], r["start_line"], round(r["score"], 9)) for r in best.collect())
+    assert found[True, 256] == found[True, 0] == found[False, 0] and len(found[True, 256]) == 16
+    sorts, store = [], index.durable_buckets
+    monkeypatch.setattr(index, "durable_buckets", lambda *a, **k: (sorts.append(k.get("sort")), store(*a, **k))[1])
+    queries.forget_stages()
+    queries.docs_corpus(spark, small)
+    assert len(sorts) > 1 and not any(sorts)
+
+
+def test_chunks_of_a_large_batch_are_not_moved(spark):
+    """All postings were grouped by chunk once more, after the chunks had been dealt."""
+    from tarnfield.operators import search
+
+    own = _corpus(spark, lookup=False).index
+    asked = search.Asked.of(own, search.query_terms(spark.createDataFrame([("a", "c", "which function has a call of helper in load")], "query_id string, corpus_id string, query string")))
+    hits = search._chunk_hits(own, F.broadcast(search._numbered_terms(asked)))
+    rows = hits.collect()
+    assert {r["kind"] for r in rows} == {"text", "calls", "signature"}
+    places = [(r["file_no"], r["part"], r["chunk_no"]) for r in rows]
+    assert sum(a != b for a, b in zip(places, places[1:])) + 1 == len(set(places))
+    assert "Exchange hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_tokens_are_made_once(spark, small):
+    from tarnfield.functions import tokens
+    from tarnfield.operators import search
+    from tarnfield.plans import tables
+
+    assert optimized(search.query_terms(tables.document_cases(spark, small))).count(tokens._TOKEN) == 2
