@@ -97,3 +97,16 @@ def test_highest_sums_need_no_shared_counts_unless_a_term_is_worth_nothing():
     assert [x.tolist() for x in found] == [x.tolist() for x in every[:2]] == [[[1.0, 1.0], [0.5, 0.0]], [[0.0, 0.5], [0.0, 0.25]]]
     c.terms["content"][2] = 0.0
     assert blocks.fields(q, c) is None and blocks.sums(q, c, [])[4].all()
+
+
+@pytest.mark.parametrize("once", [1, 3, 50])
+def test_rare_terms_are_added_up_in_parts(monkeypatch, once):
+    """All single products of a pair of blocks were held at once."""
+    sizes, count = [], np.bincount
+    monkeypatch.setattr(blocks.np, "bincount", lambda x, *a, **k: (sizes.append(len(x)) if a else None, count(x, *a, **k))[1])
+    monkeypatch.setattr(blocks, "_AT_ONCE", once)
+    draw = np.random.default_rng(2)
+    q, c = draw.integers(0, 3, (7, 30)), draw.random((11, 30)) * (draw.random((11, 30)) < 0.3)
+    listed = lambda m: (lambda at, ids: (at[o := np.argsort(ids, kind="stable")], ids[o], m[at, ids][o].astype(float)))(*np.nonzero(m))
+    assert np.allclose(blocks._product(listed(q), listed(c), (7, 11)), q @ c.T)
+    assert max(sizes) <= once + 11
