@@ -79,11 +79,15 @@ def test_a_task_hands_on_few_rows_of_a_query_and_none_of_the_first_is_missing(sh
     for c in _blocks(draw, 40, 50):
         own.add(c)
         content, metadata, shared, structure, matches = blocks.sums(q, c, search._WORTH)
-        score = (0.5 * content / 3 + 0.1 * shared / q.of("n_terms")[:, None]) * search._Best._role(q, c)
+        score = (0.5 * content / 3 + 0.1 * shared / q.of("n_terms")[:, None]) * search._role(q, c)
         every += [(i, -round(score[i, j] * 1e9), int(c.of("file_no")[j]), int(c.of("family")[j])) for i, j in zip(*np.nonzero(matches))]
     found = own.rows()
     got = {(q_, f) for q_, f in zip(found.column("query_id").to_pylist(), found.column("file_no").to_pylist())}
     assert found.num_rows <= 2 * k * n
+    none = search._Best(q, k)
+    none.floor = np.full(n, 10**12)
+    none.add(_blocks(draw, 1, 5)[0])
+    assert none.rows().num_rows == 0 and none.rows().schema == found.schema
     for i in range(n):
         mine, seen = sorted(x[1:] for x in every if x[0] == i), set()
         heads = [x for x in mine if x[2] not in seen and not seen.add(x[2])]
@@ -119,3 +123,14 @@ def test_letters_that_become_letters_of_tokens(spark):
 
     rows = spark.createDataFrame([("a K b",), ("İx Ypsilon",), ("Plain ÜBER x1",), (None,)], "t string").select(tokenize(F.col("t")).alias("x"))
     assert [r["x"] for r in rows.collect()] == [["a", "b"], ["x", "ypsilon"], ["plain", "ber", "x1"], []]
+
+
+def test_first_rows_alone_start_from_the_highest_content(spark, small):
+    """Each task compared short queries with all of its chunks, as it did not know what others had found."""
+    index, asked = queries.docs_corpus(spark, small).index, tables.document_cases(spark, small)
+    ranking = search.rank_queries(index, asked, 1)
+    sums = search.field_sums(index, ranking.asked)
+    pairs = search.top_k(search.fused(sums, search.highest(sums), ranking.asked.about), 1, most_parts=2)
+    assert ranked(ranking.best) == ranked(pairs)
+    seen = spark.createDataFrame([(1, 2.0, 1.0, 0.5, 0.85), (1, 3.0, 0.2, 0.1, 1.0)], "query_id int, content double, metadata double, there double, role double")
+    assert search._floors(seen).first()["floor"] == 530_000_000 - 2
