@@ -38,6 +38,19 @@ def load_files(spark: SparkSession, root: str, corpus_id: str, pattern: str = "*
     return rows.filter(is_loaded(F.col("file_path"))).select("corpus_id", "file_path", _decoded("content").alias("text"))
 
 
+#: Files that a task writes, about.
+FILES_PER_TASK = 1000
+
+
+def write_files(rows: DataFrame, root: str, key: str) -> None:
+    """Each of stored rows(key, value) as a text file in a folder `key=...` of its own below root.
+
+    A file costs the same however short it is, so tasks are dealt by files; by bytes, few tasks would write all short ones.
+    """
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // FILES_PER_TASK)
+    rows.repartition(n, key).write.partitionBy(key).mode("append").text(root)
+
+
 def in_file_order(files: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """files sorted by the parts of their paths."""
     return files.orderBy("corpus_id", F.split("file_path", "/"), *more)

@@ -134,3 +134,15 @@ def test_first_rows_alone_start_from_the_highest_content(spark, small):
     assert ranked(ranking.best) == ranked(pairs)
     seen = spark.createDataFrame([(1, 2.0, 1.0, 0.5, 0.85), (1, 3.0, 0.2, 0.1, 1.0)], "query_id int, content double, metadata double, there double, role double")
     assert search._floors(seen).first()["floor"] == 530_000_000 - 2
+
+
+def test_short_files_are_written_by_many_tasks(spark, tmp_path):
+    """Tasks were dealt by bytes, so that one or two wrote all short files."""
+    from tarnfield.sources import files
+
+    rows = spark.createDataFrame([(i, f"text {i}\nmore") for i in range(60)], "doc_id long, value string")
+    files.write_files(rows, str(tmp_path / "w"), "doc_id")
+    found = list((tmp_path / "w").glob("doc_id=*/part-*.txt"))
+    assert len(found) == 60 and len({f.name[:10] for f in found}) > 1
+    texts = files.load_files(spark, str(tmp_path / "w"), "w", "*.txt").collect()
+    assert sorted(r["text"] for r in texts) == sorted(f"text {i}\nmore\n" for i in range(60))
